@@ -1,0 +1,5 @@
+"""Nothing to build here: every analysis is a batch job.
+
+The row-local rules (plumbline.functions, operators.security.findings) are plain column
+expressions and run unchanged on a streaming DataFrame.
+"""

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# ship the worker functions by value: executors need no installed copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def skew_g1(n: Column, population_skew: Column) -> Column:
     """Bias-corrected skewness; 0 for a constant column, null below three values."""

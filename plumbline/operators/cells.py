@@ -7,7 +7,8 @@ shuffled however many rows the table has.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import roles
@@ -15,14 +16,22 @@ from plumbline import roles
 TABLE = "__all__"
 
 
-def _schema_only(df: DataFrame, ddl: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([], ddl)
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(),
+          "boolean": pa.bool_()}
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """Driver-side rows as a local relation (scalar columns only, see _ARROW)."""
+    fields = [x.split() for x in ddl.split(",")]
+    cols = list(zip(*rows)) if rows else [[] for _ in fields]
+    table = pa.table({n: pa.array(list(c), type=_ARROW[t]) for (n, t), c in zip(fields, cols)})
+    return spark.createDataFrame(table)
 
 
 def text_cells(df: DataFrame, names: list[str]) -> DataFrame:
     """(column, value STRING) for the named columns; values keep their own spelling."""
     if not names:
-        return _schema_only(df, "column string, value string")
+        return small_frame(df.sparkSession, [], "column string, value string")
     # stack instead of unpivot: generated code for shared regex results over an unpivot
     # does not compile in Spark 4.1, and the interpreted fallback is several times slower
     pairs = [x for n in names for x in (F.lit(n), F.col(n).cast("string"))]
@@ -32,7 +41,7 @@ def text_cells(df: DataFrame, names: list[str]) -> DataFrame:
 def number_cells(df: DataFrame, names: list[str]) -> DataFrame:
     """(column, value DOUBLE) for the named numeric columns."""
     if not names:
-        return _schema_only(df, "column string, value double")
+        return small_frame(df.sparkSession, [], "column string, value double")
     return (df.select([F.col(n).cast("double").alias(n) for n in names])
             .unpivot([], names, "column", "value"))
 
@@ -64,7 +73,7 @@ def pin(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     The rows become a local relation, so later steps neither rescan the table nor depend on
     cached blocks that a lost executor would take along.  Exceeding the bound is an error.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    table = df.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
         raise ValueError(f"expected at most {max_rows} rows for a small result")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return df.sparkSession.createDataFrame(table, df.schema)

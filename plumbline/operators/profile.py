@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline import roles
 from plumbline.functions import stats, text
 from plumbline.operators.cells import (
-    histogram, in_columns, names_of, number_cells, text_cells)
+    histogram, in_columns, names_of, number_cells, pin, text_cells)
 from plumbline.operators.quantiles import exact_quantiles
 
 TOP_VALUES = 10
@@ -165,12 +165,14 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
         out = out.join(top, "column", "left")
     else:
         out = out.join(approx_distinct_counts(df), "column", "left")
-    quantiles = exact_quantiles(df, numeric).select(
+    moments = pin(numeric_stats(df, numeric))
+    counts = {r["column"]: r["n"] for r in moments.collect()}
+    quantiles = exact_quantiles(df, numeric, counts=counts).select(
         "column", F.col("q_25").alias("q1"), F.col("q_50").alias("median"),
         F.col("q_75").alias("q3"))
     return (out.withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
             .withColumn("is_potentially_categorical", F.when(
                 ~in_columns(numeric), F.col("unique_count")
                 < F.greatest(F.lit(10.0), F.col("rows") * 0.05)))
-            .join(numeric_stats(df, numeric).drop("n"), "column", "left")
+            .join(moments.drop("n"), "column", "left")
             .join(quantiles, "column", "left"))

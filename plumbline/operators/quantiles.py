@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.cells import number_cells
+from plumbline.operators.cells import number_cells, small_frame
 
 EXACT_LIMIT = 1_000_000
 _ACCURACY = 10_000
@@ -25,21 +25,21 @@ def _num(name: str):
 
 
 def exact_quantiles(df: DataFrame, names: list[str], probs=(0.25, 0.5, 0.75),
-                    exact_limit: int = EXACT_LIMIT, where: dict | None = None) -> DataFrame:
+                    exact_limit: int = EXACT_LIMIT,
+                    counts: dict[str, int] | None = None) -> DataFrame:
     """(column, n, q_<prob>...) with linear interpolation, one row per non-empty column.
 
-    where maps a column to an extra condition on the rows that count for it.
+    counts: non-null rows per column if already known, which saves a scan.
     """
     spark = df.sparkSession
     labels = [label(p) for p in probs]
     ddl = "column string, n bigint, " + ", ".join(f"{x} double" for x in labels)
     if not names:
-        return spark.createDataFrame([], ddl)
-    where = where or {}
-    small_df = df.select([F.when(where.get(n, F.lit(True)), _num(n)).alias(n) for n in names])
-    counts = {r["column"]: r["n"] for r in
-              number_cells(small_df, names).groupBy("column").agg(F.count("value").alias("n"))
-              .collect()}
+        return small_frame(spark, [], ddl)
+    small_df = df.select([_num(n).alias(n) for n in names])
+    if counts is None:
+        counts = {r["column"]: r["n"] for r in number_cells(small_df, names)
+                  .groupBy("column").agg(F.count("value").alias("n")).collect()}
     out = []
     small = [n for n in names if 0 < counts.get(n, 0) <= exact_limit]
     if small:
@@ -59,7 +59,14 @@ def exact_quantiles(df: DataFrame, names: list[str], probs=(0.25, 0.5, 0.75),
             row = [stats[n, ranks[n, p][0]] + ranks[n, p][2]
                    * (stats[n, ranks[n, p][1]] - stats[n, ranks[n, p][0]]) for p in probs]
             out.append((n, counts[n], *row))
-    return spark.createDataFrame(out, ddl)
+    return small_frame(spark, out, ddl)
+
+
+def sketch(name: str, probs: list[float], accuracy: int):
+    """percentile_approx with many probabilities, passed as one SQL text (thousands of
+    literals are slow to build one by one)."""
+    return F.expr(f"percentile_approx(`{name}`, array({', '.join(f'{p!r}D' for p in probs)}), "
+                  f"{accuracy})")
 
 
 def label(p: float) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.cells import pin
+from plumbline.operators.quantiles import sketch
 
 RANGES = 256
 
@@ -22,7 +23,7 @@ def cumulative(hist: DataFrame, counts: list[str], ranges: int = RANGES) -> Data
     """
     probs = [i / ranges for i in range(1, ranges)]
     cuts = pin(hist.groupBy("column").agg(
-        F.array_distinct(F.percentile_approx("value", probs, 10 * ranges)).alias("cuts")))
+        F.array_distinct(sketch("value", probs, 10 * ranges)).alias("cuts")))
     # one row per column with at most `ranges` numbers
     ranged = hist.join(F.broadcast(cuts), "column").withColumn(
         "range", F.size(F.filter("cuts", lambda x: x < F.col("value")))).drop("cuts")

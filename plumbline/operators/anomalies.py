@@ -13,7 +13,7 @@ from plumbline import roles, vocab
 from plumbline.functions import dates, text
 from plumbline.operators import isolation
 from plumbline.operators.cells import (
-    histogram, in_columns, number_cells, pin, small_frame, text_cells)
+    histogram, in_columns, number_cells, pin, small_frame, text_cells, together)
 from plumbline.operators.profile import numeric_stats
 from plumbline.operators.quantiles import exact_quantiles
 
@@ -36,10 +36,16 @@ def _rank(severity: Column) -> Column:
     return F.when(severity == "high", 3).when(severity == "medium", 2).otherwise(1)
 
 
-def fences(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """column, n, q1, q3, lo, hi, mean, std for numeric columns with enough observations."""
+def fences(df: DataFrame, names: list[str] | None = None,
+           moments: DataFrame | None = None) -> DataFrame:
+    """column, n, q1, q3, lo, hi, mean, std for numeric columns with enough observations.
+
+    moments: pinned column, n, mean, std if already known.
+    """
     names = names if names is not None else _names(df, "numeric")
-    moments = pin(numeric_stats(df, names).select("column", "n", "mean", "std"))
+    if moments is None:
+        moments = pin(numeric_stats(df, names))
+    moments = moments.select("column", "n", "mean", "std").where(F.col("column").isin(*names))
     counts = {r["column"]: r["n"] for r in moments.collect()}
     q = exact_quantiles(df, names, (0.25, 0.75), counts=counts).select(
         "column", F.col("q_25").alias("q1"), F.col("q_75").alias("q3"))
@@ -63,7 +69,8 @@ def _flag(cells: DataFrame, flags: dict[str, Column], shown: Column) -> DataFram
             .select("column", "value", F.explode("methods").alias("method"), "n"))
 
 
-def numeric_flags(df: DataFrame, method: str = "all") -> DataFrame:
+def numeric_flags(df: DataFrame, method: str = "all",
+                  moments: DataFrame | None = None) -> DataFrame:
     """Flagged values of numeric columns: impossible ages, sentinels and outliers."""
     empty = small_frame(df.sparkSession, [], _FLAGGED)
     names = _names(df, "numeric")
@@ -79,7 +86,12 @@ def numeric_flags(df: DataFrame, method: str = "all") -> DataFrame:
             "impossible_age": (v < lo) | (v > hi)}, v.cast("string")))
     if not rest:
         return out
-    limits = pin(fences(df, rest))  # one row per column
+    forest = method in ("isolation_forest", "all")
+    least = vocab.FOREST_MIN_OBSERVATIONS if method == "all" else vocab.MIN_OBSERVATIONS
+    # one row per column each
+    limits, ranges = together(
+        lambda: pin(fences(df, rest, moments)),
+        lambda: pin(isolation.flagged_ranges(df, rest, min_rows=least)) if forest else None)
     cells = (number_cells(df, rest).where(v.isNotNull())
              .join(F.broadcast(limits), "column", "left"))
     flags = {"sentinel_value": in_columns(_names(df, "numeric", "sentinel"))
@@ -89,9 +101,7 @@ def numeric_flags(df: DataFrame, method: str = "all") -> DataFrame:
     if method in ("zscore", "all"):
         flags["zscore"] = (F.col("std") > 0) & (
             F.abs((v - F.col("mean")) / F.col("std")) > vocab.Z_THRESHOLD)
-    if method in ("isolation_forest", "all"):
-        least = vocab.FOREST_MIN_OBSERVATIONS if method == "all" else vocab.MIN_OBSERVATIONS
-        ranges = pin(isolation.flagged_ranges(df, rest, min_rows=least))
+    if forest:
         cells = cells.join(F.broadcast(ranges), "column", "left")
         flags["isolation_forest"] = F.coalesce(
             isolation.in_ranges(v, F.col("ranges")), F.lit(False))
@@ -164,24 +174,30 @@ def rare_values(df: DataFrame, date_columns: list[str]) -> DataFrame:
             .select("column", "value", F.lit("categorical_rarity").alias("method"), "n"))
 
 
-def date_columns(df: DataFrame) -> list[str]:
-    """String columns treated as dates: by name, or because most cells look like dates."""
-    named = _names(df, "string", "date")
-    auto = date_like_columns(df).where(F.col("date_share") >= vocab.DATE_LIKE_SHARE)
-    return named + [r["column"] for r in auto.collect()]
-
+def flagged(df: DataFrame, method: str = "all", as_dates: list[str] | None = None,
+            moments: DataFrame | None = None) -> DataFrame:
+    """column, value, method, severity, n: every anomalous value with its row count.
 
-def flagged(df: DataFrame, method: str = "all") -> DataFrame:
-    """column, value, method, severity, n: every anomalous value with its row count."""
+    as_dates (facts.date_columns) and moments (facts.number_facts) may be passed in when
+    they were measured before.
+    """
     method = method.lower()
     if method not in METHODS:
         raise ValueError(f"unknown method '{method}'; use one of {', '.join(METHODS)}")
-    as_dates = date_columns(df)
-    out = (numeric_flags(df, method).unionByName(text_flags(df, as_dates))
-           .unionByName(rare_values(df, as_dates)))
+    if as_dates is None:
+        as_dates = date_columns(df)
+    parts = together(lambda: numeric_flags(df, method, moments),
+                     lambda: text_flags(df, as_dates), lambda: rare_values(df, as_dates))
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.withColumn("severity", _severity(F.col("method")))
 
 
+def date_columns(df: DataFrame) -> list[str]:
+    """String columns treated as dates: by name, or because most cells look like dates."""
+    auto = date_like_columns(df).where(F.col("date_share") >= vocab.DATE_LIKE_SHARE)
+    return _names(df, "string", "date") + [r["column"] for r in auto.collect()]
+
+
 def assemble(found: DataFrame, limit: int = vocab.ANOMALY_LIST_LIMIT) -> DataFrame:
     """One row per column: distinct_values, affected_rows, anomalies (at most limit, for
     showing), methods_used, severity."""
@@ -201,9 +217,10 @@ def assemble(found: DataFrame, limit: int = vocab.ANOMALY_LIST_LIMIT) -> DataFra
         .otherwise("low").alias("severity"))
 
 
-def detect(df: DataFrame, method: str = "all") -> DataFrame:
+def detect(df: DataFrame, method: str = "all", as_dates: list[str] | None = None,
+           moments: DataFrame | None = None) -> DataFrame:
     """Anomalous columns of df, assembled."""
-    return assemble(flagged(df, method))
+    return assemble(flagged(df, method, as_dates, moments))
 
 
 def cells(df: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:

@@ -7,7 +7,10 @@ shuffled however many rows the table has.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +80,14 @@ def pin(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     if table.num_rows > max_rows:
         raise ValueError(f"expected at most {max_rows} rows for a small result")
     return df.sparkSession.createDataFrame(table, df.schema)
+
+
+def together(*actions):
+    """Run independent Spark actions at the same time and return their results in order.
+
+    Each action is a job of its own; submitting them together lets the cluster fill the
+    tail of one with tasks of the next.
+    """
+    with ThreadPoolExecutor(max_workers=max(1, len(actions))) as pool:
+        return [f.result() for f in
+                [pool.submit(inheritable_thread_target(a)) for a in actions]]

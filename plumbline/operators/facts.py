@@ -15,6 +15,8 @@ from plumbline import roles, vocab
 from plumbline.functions import dates, text
 from plumbline.operators.cells import in_columns, names_of, number_cells, text_cells
 
+DATE_CHARS = 40
+
 
 def _role(df: DataFrame, *names: str) -> Column:
     return in_columns(c.name for c in roles.columns(df) if any(c.has(r) for r in names))
@@ -29,7 +31,8 @@ def text_facts(df: DataFrame, as_of: dt.date | None = None) -> DataFrame:
 
     column, rows, nulls, missing, garbage, sentinel, placeholders, numeric, email_bad,
     email_bad_lenient, date_unparseable, date_bad_year, date_future, date_ambiguous,
-    date_non_iso, date_formats, cause_formats, date_like.
+    date_non_iso, date_formats, cause_formats, date_like, age_bad.  Cells too long for a
+    date never reach the date parser.
     """
     as_of_col = F.lit(as_of) if as_of else F.current_date()
     names = names_of(df, "string")
@@ -43,9 +46,12 @@ def text_facts(df: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     cells = (text_cells(df, names)
              .withColumn("stripped", text.strip(v))
              .withColumn("folded", F.lower("stripped"))
-             .withColumn("ambiguous", F.when(any_date, s.rlike(vocab.AMBIGUOUS_DATE)))
-             .withColumn("parsed", F.when(any_date & ~F.col("ambiguous"), dates.as_date(s))))
+             .withColumn("ambiguous", s.rlike(vocab.AMBIGUOUS_DATE))
+             .withColumn("parsed", F.when(any_date | (F.length(s) <= DATE_CHARS),
+                                          F.when(~F.col("ambiguous"), dates.as_date(s)))))
     known = v.isNotNull()
+    lo, hi = vocab.AGE_RANGE
+    age = text.as_num(v)
     settled = any_date & known & ~F.col("ambiguous")
     year = F.year(d)
     bad_year = (year < 1900) | (year > F.year(as_of_col) + 1)
@@ -64,30 +70,38 @@ def text_facts(df: DataFrame, as_of: dt.date | None = None) -> DataFrame:
         F.count_if(settled & d.isNotNull() & bad_year).alias("date_bad_year"),
         F.count_if(settled & d.isNotNull() & ~bad_year & (d > as_of_col) & ~future_ok)
         .alias("date_future"),
-        F.count_if(F.col("ambiguous")).alias("date_ambiguous"),
+        F.count_if(any_date & F.col("ambiguous")).alias("date_ambiguous"),
         F.count_if(settled & d.isNotNull() & ~s.rlike(vocab.ISO_DATE)).alias("date_non_iso"),
         F.array_sort(F.collect_set(F.when(date, dates.date_label(s, vocab.DATE_LABELS_SCORE))))
         .alias("date_formats"),
         F.array_sort(F.collect_set(F.when(
-            any_date, dates.date_label(s, vocab.DATE_LABELS_CAUSE)))).alias("cause_formats"))
+            any_date, dates.date_label(s, vocab.DATE_LABELS_CAUSE)))).alias("cause_formats"),
+        F.count_if(F.col("ambiguous") | d.isNotNull()).alias("date_like"),
+        F.count_if(_role(df, "age") & ((age < lo) | (age > hi))).alias("age_bad"))
 
 
 def number_facts(df: DataFrame) -> DataFrame:
-    """One row per numeric column: column, rows, nulls, age_bad (outside the age range)."""
+    """One row per numeric column: column, rows, nulls, n, mean, std, age_bad (outside the
+    age range)."""
     v = F.col("value")
     lo, hi = vocab.AGE_RANGE
     return number_cells(df, names_of(df, "numeric")).groupBy("column").agg(
         F.count("*").alias("rows"), F.count_if(v.isNull()).alias("nulls"),
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
         F.count_if(_role(df, "age") & ((v < lo) | (v > hi))).alias("age_bad"))
 
 
-def text_age_facts(df: DataFrame) -> DataFrame:
-    """Ages stored as text: column, age_bad among the cells that are numbers."""
-    names = [c.name for c in roles.columns(df) if c.kind == "string" and c.has("age")]
-    lo, hi = vocab.AGE_RANGE
-    n = text.as_num(F.col("value"))
-    return text_cells(df, names).groupBy("column").agg(
-        F.count_if((n < lo) | (n > hi)).alias("age_bad"))
+def date_columns(df: DataFrame, text: DataFrame) -> list[str]:
+    """String columns treated as dates: by name, or because most cells look like dates.
+
+    text: the pinned text_facts of df.
+    """
+    named = [c.name for c in roles.columns(df) if c.kind == "string" and c.has("date")]
+    ids = [c.name for c in roles.columns(df) if c.has("id")]
+    auto = text.where(F.col("rows") > F.col("nulls")).where(
+        F.col("date_like") >= vocab.DATE_LIKE_SHARE * (F.col("rows") - F.col("nulls")))
+    return named + [r["column"] for r in auto.select("column").collect()
+                    if r["column"] not in named and r["column"] not in ids]
 
 
 def case_variants(df: DataFrame, role: str) -> DataFrame:

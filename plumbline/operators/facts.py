@@ -31,7 +31,7 @@ def text_facts(df: DataFrame, as_of: dt.date | None = None) -> DataFrame:
 
     column, rows, nulls, missing, garbage, sentinel, placeholders, numeric, email_bad,
     email_bad_lenient, date_unparseable, date_bad_year, date_future, date_ambiguous,
-    date_non_iso, date_formats, cause_formats, date_like, age_bad.  Cells too long for a
+    date_non_iso, date_unlabelled, date_formats, cause_formats, date_like, age_bad.  Cells too long for a
     date never reach the date parser.
     """
     as_of_col = F.lit(as_of) if as_of else F.current_date()
@@ -72,6 +72,9 @@ def text_facts(df: DataFrame, as_of: dt.date | None = None) -> DataFrame:
         .alias("date_future"),
         F.count_if(any_date & F.col("ambiguous")).alias("date_ambiguous"),
         F.count_if(settled & d.isNotNull() & ~s.rlike(vocab.ISO_DATE)).alias("date_non_iso"),
+        F.count_if(any_date & known & (F.col("ambiguous") | d.isNotNull())
+                   & dates.date_label(s, vocab.DATE_LABELS_CAUSE).isNull())
+        .alias("date_unlabelled"),
         F.array_sort(F.collect_set(F.when(date, dates.date_label(s, vocab.DATE_LABELS_SCORE))))
         .alias("date_formats"),
         F.array_sort(F.collect_set(F.when(

@@ -88,6 +88,6 @@ def together(*actions):
     Each action is a job of its own; submitting them together lets the cluster fill the
     tail of one with tasks of the next.
     """
+    share = inheritable_thread_target(SparkSession.getActiveSession())
     with ThreadPoolExecutor(max_workers=max(1, len(actions))) as pool:
-        return [f.result() for f in
-                [pool.submit(inheritable_thread_target(a)) for a in actions]]
+        return [f.result() for f in [pool.submit(share(a)) for a in actions]]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,9 @@ SETTINGS = {
 }
 
 
+_LOCAL_DIR: str | None = None
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings; cluster-level ones stay as submitted."""
     for k, v in SETTINGS.items():
@@ -34,16 +38,31 @@ def local_session(cores: str = "8", shuffle: str = "8", memory: str = "12g") ->
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which every executor can reach.
 
-    The folder named by spark.checkpoint.dir is used; only a local session without one gets
-    a temporary folder.
+    Only a local session without that setting gets a temporary folder.
     """
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
+        "spark.checkpoint.dir")
+    if shared is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        global _LOCAL_DIR
+        _LOCAL_DIR = _LOCAL_DIR or tempfile.mkdtemp(prefix="plumbline-")
+        shared = _LOCAL_DIR
+    return shared.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder nobody has used before."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if shared is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)

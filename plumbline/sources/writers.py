@@ -13,7 +13,9 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -
     if fmt == "parquet":
         out.parquet(path)
     elif fmt == "csv":
-        out.option("header", True).option("escape", '"').csv(path)
+        (out.option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .csv(path))
     elif fmt == "json":
         out.option("ignoreNullFields", False).json(path)
     else:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import stats
 from plumbline.operators import changes, drift
 from plumbline.plans import sqltext as s
-from plumbline.plans.fixtures import people, people_v2, table
+from plumbline.plans.fixtures import PEOPLE_V2, people, people_v2, table
 from plumbline.plans.registry import query
 
 _NUM = ("id", "age", "salary", "quantity")
@@ -134,8 +134,16 @@ def drift_report(spark, d):
     return drift.detect(*_versions(spark, d))
 
 
-@query("drift_summary", "SELECT CAST(3 AS BIGINT) AS drifted, CAST(8 AS BIGINT) AS stable, "
-       "'country,salary,status' AS drifted_columns")
+# upper 5 % point of chi-square by the cube-root normal approximation
+_CHI_DRIFTED = """categories > 1 AND (power(greatest(statistic, 0) / (categories - 1), 1.0 / 3)
+  - (1 - 2 / (9.0 * (categories - 1)))) / sqrt(2 / (9.0 * (categories - 1))) > 1.6448536"""
+
+
+@query("drift_summary", f"""{_PEOPLE_PAIRED}, {_CHI}, {', '.join(_SIDES)}, {_KS},
+d AS (SELECT "column", {_CHI_DRIFTED} AS hit FROM chi UNION ALL
+      SELECT "column", {_ks_p()} < 0.05 FROM ks)
+SELECT count_if(hit) AS drifted, count_if(NOT hit) AS stable,
+  string_agg("column", ',' ORDER BY "column") FILTER (WHERE hit) AS drifted_columns FROM d""")
 def drift_summary(spark, d):
     return drift.summary(drift.detect(*_versions(spark, d))).select(
         "drifted", "stable", F.array_join("drifted_columns", ",").alias("drifted_columns"))
@@ -150,9 +158,19 @@ def drift_self(spark, d):
                                      "is_drifted")
 
 
-@query("column_changes", """SELECT * FROM (VALUES ('added', 'segment', NULL, 'string'),
-('removed', 'notes', 'string', NULL), ('type', 'quantity', 'bigint', 'double'))
-t(change, "column", before, after)""")
+def _types(columns, source):
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", any_value(typeof({c})) AS t "
+                              f"FROM {source}" for c in columns)
+    return (f"SELECT \"column\", CASE t WHEN 'VARCHAR' THEN 'string' ELSE lower(t) END AS t "
+            f"FROM ({rows})")
+
+
+@query("column_changes", f"""{s.both_versions()}
+SELECT CASE WHEN a.t IS NULL THEN 'added' WHEN b.t IS NULL THEN 'removed' ELSE 'type' END
+  AS change, "column", a.t AS before, b.t AS after
+FROM ({_types(s.COLUMNS, 'people')}) a
+FULL JOIN ({_types(PEOPLE_V2, 'people_v2')}) b USING ("column")
+WHERE a.t IS DISTINCT FROM b.t""")
 def column_changes(spark, d):
     return changes.column_changes(*_versions(spark, d))
 

@@ -13,7 +13,8 @@ from plumbline import roles, vocab
 from plumbline.functions import dates, text
 from plumbline.operators import isolation
 from plumbline.operators.cells import (
-    histogram, in_columns, number_cells, pin, small_frame, text_cells, together)
+    histogram, in_columns, number_cells, pin, small_frame, tally, text_cells, together,
+    weighted_cells)
 from plumbline.operators.profile import numeric_stats
 from plumbline.operators.quantiles import exact_quantiles
 
@@ -62,10 +63,12 @@ def _collect_methods(flags: dict[str, Column]) -> Column:
 
 
 def _flag(cells: DataFrame, flags: dict[str, Column], shown: Column) -> DataFrame:
-    """Rows (column, value, method, n) for cells with at least one method."""
+    """Rows (column, value, method, n) for cells (weighted or not) with at least one method."""
+    if "n" not in cells.columns:  # unweighted: every cell counts once
+        cells = cells.withColumn("n", F.lit(1).cast("bigint"))
     hit = cells.withColumn("methods", _collect_methods(flags)).where(F.size("methods") > 0)
-    return (hit.select("column", shown.alias("value"), "methods")
-            .groupBy("column", "value", "methods").agg(F.count("*").alias("n"))
+    return (hit.select("column", shown.alias("value"), "methods", "n")
+            .groupBy("column", "value", "methods").agg(F.sum("n").alias("n"))
             .select("column", "value", F.explode("methods").alias("method"), "n"))
 
 
@@ -93,7 +96,7 @@ def numeric_flags(df: DataFrame, method: str = "all",
         lambda: pin(fences(df, rest, moments)),
         lambda: pin(isolation.flagged_ranges(df, rest, min_rows=least)) if forest else None)
     cells = (number_cells(df, rest).where(v.isNotNull())
-             .join(F.broadcast(limits), "column", "left"))
+             .join(F.broadcast(limits.drop("n")), "column", "left"))
     flags = {"sentinel_value": in_columns(_names(df, "numeric", "sentinel"))
              & v.isin(*[float(x) for x in vocab.SENTINEL_NUMERIC])}
     if method in ("iqr", "all"):
@@ -117,13 +120,14 @@ def date_like_columns(df: DataFrame) -> DataFrame:
              if c.kind == "string" and not c.has("id") and not c.has("date")]
     v = F.col("value")
     like = (F.length(v) <= 40) & (dates.is_ambiguous(v) | dates.as_date(v).isNotNull())
-    return (text_cells(df, names).groupBy("column").agg(
-        F.count(v).alias("non_null"), F.count_if(like).alias("dates"))
+    return (weighted_cells(df, names).groupBy("column").agg(
+        tally(v.isNotNull()).alias("non_null"), tally(like).alias("dates"))
         .where(F.col("non_null") > 0)
         .select("column", "non_null", (F.col("dates") / F.col("non_null")).alias("date_share")))
 
 
-def text_flags(df: DataFrame, date_columns: list[str]) -> DataFrame:
+def text_flags(df: DataFrame, date_columns: list[str],
+               repeated: list[str] | None = None) -> DataFrame:
     """Flagged values of string columns, rarity excepted."""
     names = _names(df, "string")
     v = F.col("value")
@@ -142,7 +146,7 @@ def text_flags(df: DataFrame, date_columns: list[str]) -> DataFrame:
         "text_length": in_columns(_names(df, "string", "short_text"))
         & (F.length(v) > vocab.SHORT_TEXT_LIMIT),
     }
-    cells = text_cells(df, names).where(v.isNotNull())
+    cells = weighted_cells(df, names, repeated).where(v.isNotNull())
     return _flag(cells, flags, F.when(is_date, s).otherwise(v))
 
 
@@ -175,11 +179,11 @@ def rare_values(df: DataFrame, date_columns: list[str]) -> DataFrame:
 
 
 def flagged(df: DataFrame, method: str = "all", as_dates: list[str] | None = None,
-            moments: DataFrame | None = None) -> DataFrame:
+            moments: DataFrame | None = None, repeated: list[str] | None = None) -> DataFrame:
     """column, value, method, severity, n: every anomalous value with its row count.
 
-    as_dates (facts.date_columns) and moments (facts.number_facts) may be passed in when
-    they were measured before.
+    as_dates (facts.date_columns), moments (facts.number_facts) and repeated
+    (cells.repeated_columns) may be passed in when they were measured before.
     """
     method = method.lower()
     if method not in METHODS:
@@ -187,7 +191,8 @@ def flagged(df: DataFrame, method: str = "all", as_dates: list[str] | None = Non
     if as_dates is None:
         as_dates = date_columns(df)
     parts = together(lambda: numeric_flags(df, method, moments),
-                     lambda: text_flags(df, as_dates), lambda: rare_values(df, as_dates))
+                     lambda: text_flags(df, as_dates, repeated),
+                     lambda: rare_values(df, as_dates))
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.withColumn("severity", _severity(F.col("method")))
 
@@ -218,9 +223,9 @@ def assemble(found: DataFrame, limit: int = vocab.ANOMALY_LIST_LIMIT) -> DataFra
 
 
 def detect(df: DataFrame, method: str = "all", as_dates: list[str] | None = None,
-           moments: DataFrame | None = None) -> DataFrame:
+           moments: DataFrame | None = None, repeated: list[str] | None = None) -> DataFrame:
     """Anomalous columns of df, assembled."""
-    return assemble(flagged(df, method, as_dates, moments))
+    return assemble(flagged(df, method, as_dates, moments, repeated))
 
 
 def cells(df: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:

@@ -49,6 +49,53 @@ def number_cells(df: DataFrame, names: list[str]) -> DataFrame:
             .unpivot([], names, "column", "value"))
 
 
+REPEATED_SHARE = 0.2
+
+
+def repeated_columns(df: DataFrame, names: list[str] | None = None) -> list[str]:
+    """Columns whose values repeat so much that grouping equal cells first pays off.
+
+    Decided on distinct-count sketches from one cheap scan; it steers the plan only and
+    never changes a result.
+    """
+    names = names if names is not None else [c.name for c in roles.columns(df)]
+    out: list[str] = []
+    for i in range(0, len(names), 50):
+        part = names[i:i + 50]
+        row = df.agg(F.count("*").alias("rows"), *[
+            F.approx_count_distinct(F.col(n), 0.05).alias(f"d{j}")
+            for j, n in enumerate(part)]).first()
+        out += [n for j, n in enumerate(part) if row[f"d{j}"] <= REPEATED_SHARE * row["rows"]]
+    return out
+
+
+def weighted_cells(df: DataFrame, names: list[str], repeated: list[str] | None = None
+                   ) -> DataFrame:
+    """(column, value STRING, n): cells with multiplicity.
+
+    Row-local rules depend on a cell's column and value only, so equal cells of repeated
+    columns are grouped first (map-side combine; nulls included) and each rule runs once per
+    distinct value.  Cells of other columns, such as free text, stay where they are with
+    n = 1 and are never shuffled.
+    """
+    if repeated is None:
+        repeated = repeated_columns(df, names) if names else []
+    grouped = [n for n in names if n in repeated]
+    single = [n for n in names if n not in repeated]
+    parts = []
+    if grouped:
+        parts.append(text_cells(df, grouped).groupBy("column", "value").agg(
+            F.count("*").alias("n")))
+    if single or not parts:
+        parts.append(text_cells(df, single).withColumn("n", F.lit(1).cast("bigint")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def tally(condition: Column) -> Column:
+    """Number of weighted cells that meet the condition."""
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0).cast("bigint"))
+
+
 def names_of(df: DataFrame, kind: str, role: str | None = None) -> list[str]:
     return [c.name for c in roles.columns(df)
             if c.kind == kind and (role is None or c.has(role))]
@@ -88,6 +135,7 @@ def together(*actions):
     Each action is a job of its own; submitting them together lets the cluster fill the
     tail of one with tasks of the next.
     """
-    share = inheritable_thread_target(SparkSession.getActiveSession())
-    with ThreadPoolExecutor(max_workers=max(1, len(actions))) as pool:
+    session = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    share = inheritable_thread_target(session)
+    with ThreadPoolExecutor(max_workers=max(1, min(8, len(actions)))) as pool:
         return [f.result() for f in [pool.submit(share(a)) for a in actions]]

@@ -49,9 +49,10 @@ def numeric_moments(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
 
 def ks_statistics(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
     """column, n_a, n_b, statistic: largest gap between the two distribution functions."""
-    hist = paired_histogram(number_cells, a, b, names)
-    totals = pin(hist.groupBy("column").agg(F.sum("n_a").alias("t_a"), F.sum("n_b").alias("t_b")))
-    steps = cumulative(hist, ["n_a", "n_b"]).join(F.broadcast(totals), "column")
+    steps = cumulative(paired_histogram(number_cells, a, b, names), ["n_a", "n_b"])
+    totals = steps.groupBy("column").agg(  # one row per column
+        F.max("cum_n_a").alias("t_a"), F.max("cum_n_b").alias("t_b"))
+    steps = steps.join(F.broadcast(totals), "column")
     gap = F.abs(F.col("cum_n_a") / F.col("t_a") - F.col("cum_n_b") / F.col("t_b"))
     return (steps.groupBy("column").agg(
         F.max("t_a").alias("n_a"), F.max("t_b").alias("n_b"), F.max(gap).alias("statistic"))

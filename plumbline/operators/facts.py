@@ -1,7 +1,8 @@
 """Row-local facts of every column, from one scan of the string and one of the numeric cells.
 
-Each fact is a conditional count per column.  Text predicates are computed once per cell in
-a projection and counted in a column-grouped aggregate with map-side combine.
+Each fact is a conditional count per column.  Text predicates are computed once per distinct
+value of repetitive columns and once per cell of the others, then counted in a
+column-grouped aggregate with map-side combine.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from plumbline import roles, vocab
 from plumbline.functions import dates, text
-from plumbline.operators.cells import in_columns, names_of, number_cells, text_cells
+from plumbline.operators.cells import (
+    in_columns, names_of, number_cells, tally, text_cells, weighted_cells)
 
 DATE_CHARS = 40
 
@@ -26,7 +28,8 @@ def _labels(c: Column, table) -> Column:
     return F.array_sort(F.collect_set(dates.date_label(c, table)))
 
 
-def text_facts(df: DataFrame, as_of: dt.date | None = None) -> DataFrame:
+def text_facts(df: DataFrame, as_of: dt.date | None = None,
+               repeated: list[str] | None = None) -> DataFrame:
     """One row per string column.
 
     column, rows, nulls, missing, garbage, sentinel, placeholders, numeric, email_bad,
@@ -43,7 +46,7 @@ def text_facts(df: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     future_ok = in_columns(c.name for c in roles.columns(df)
                            if roles.norm(c.name) in vocab.FUTURE_ALLOWED_NAMES)
     s, d = F.col("stripped"), F.col("parsed")
-    cells = (text_cells(df, names)
+    cells = (weighted_cells(df, names, repeated)
              .withColumn("stripped", text.strip(v))
              .withColumn("folded", F.lower("stripped"))
              .withColumn("ambiguous", s.rlike(vocab.AMBIGUOUS_DATE))
@@ -56,31 +59,31 @@ def text_facts(df: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     year = F.year(d)
     bad_year = (year < 1900) | (year > F.year(as_of_col) + 1)
     return cells.groupBy("column").agg(
-        F.count("*").alias("rows"),
-        F.count_if(v.isNull()).alias("nulls"),
-        F.count_if(v.isNull() | v.isin(*vocab.NULL_PATTERNS)).alias("missing"),
-        F.count_if(f.isin(*vocab.GARBAGE)).alias("garbage"),
-        F.count_if(f.isin(*vocab.GARBAGE_SENTINEL)).alias("sentinel"),
-        F.count_if((email & f.isin(*vocab.PLACEHOLDER_EMAILS_SCORE))
+        F.sum("n").alias("rows"),
+        tally(v.isNull()).alias("nulls"),
+        tally(v.isNull() | v.isin(*vocab.NULL_PATTERNS)).alias("missing"),
+        tally(f.isin(*vocab.GARBAGE)).alias("garbage"),
+        tally(f.isin(*vocab.GARBAGE_SENTINEL)).alias("sentinel"),
+        tally((email & f.isin(*vocab.PLACEHOLDER_EMAILS_SCORE))
                    | (date & s.isin(*vocab.PLACEHOLDER_DATES))).alias("placeholders"),
-        F.count_if(text.is_num(v)).alias("numeric"),
-        F.count_if(email & known & ~s.rlike(vocab.EMAIL_STRICT)).alias("email_bad"),
-        F.count_if(email & known & ~s.rlike(vocab.EMAIL_LENIENT)).alias("email_bad_lenient"),
-        F.count_if(settled & d.isNull()).alias("date_unparseable"),
-        F.count_if(settled & d.isNotNull() & bad_year).alias("date_bad_year"),
-        F.count_if(settled & d.isNotNull() & ~bad_year & (d > as_of_col) & ~future_ok)
+        tally(text.is_num(v)).alias("numeric"),
+        tally(email & known & ~s.rlike(vocab.EMAIL_STRICT)).alias("email_bad"),
+        tally(email & known & ~s.rlike(vocab.EMAIL_LENIENT)).alias("email_bad_lenient"),
+        tally(settled & d.isNull()).alias("date_unparseable"),
+        tally(settled & d.isNotNull() & bad_year).alias("date_bad_year"),
+        tally(settled & d.isNotNull() & ~bad_year & (d > as_of_col) & ~future_ok)
         .alias("date_future"),
-        F.count_if(any_date & F.col("ambiguous")).alias("date_ambiguous"),
-        F.count_if(settled & d.isNotNull() & ~s.rlike(vocab.ISO_DATE)).alias("date_non_iso"),
-        F.count_if(any_date & known & (F.col("ambiguous") | d.isNotNull())
+        tally(any_date & F.col("ambiguous")).alias("date_ambiguous"),
+        tally(settled & d.isNotNull() & ~s.rlike(vocab.ISO_DATE)).alias("date_non_iso"),
+        tally(any_date & known & (F.col("ambiguous") | d.isNotNull())
                    & dates.date_label(s, vocab.DATE_LABELS_CAUSE).isNull())
         .alias("date_unlabelled"),
         F.array_sort(F.collect_set(F.when(date, dates.date_label(s, vocab.DATE_LABELS_SCORE))))
         .alias("date_formats"),
         F.array_sort(F.collect_set(F.when(
             any_date, dates.date_label(s, vocab.DATE_LABELS_CAUSE)))).alias("cause_formats"),
-        F.count_if(F.col("ambiguous") | d.isNotNull()).alias("date_like"),
-        F.count_if(_role(df, "age") & ((age < lo) | (age > hi))).alias("age_bad"))
+        tally(F.col("ambiguous") | d.isNotNull()).alias("date_like"),
+        tally(_role(df, "age") & ((age < lo) | (age > hi))).alias("age_bad"))
 
 
 def number_facts(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline import roles
+from plumbline import roles, vocab
 from plumbline.functions import stats, text
 from plumbline.operators.cells import (
     histogram, in_columns, names_of, number_cells, pin, text_cells)
@@ -23,11 +23,19 @@ def normalised(df: DataFrame) -> DataFrame:
 
 
 def missing(df: DataFrame) -> DataFrame:
-    """column, rows, missing_count, missing_pct after null-word normalisation."""
-    names = [c.name for c in roles.columns(df)]
-    return (text_cells(normalised(df), names).groupBy("column")
-            .agg(F.count("*").alias("rows"),
-                 F.count_if(F.col("value").isNull()).alias("missing_count"))
+    """column, rows, missing_count, missing_pct after null-word normalisation.
+
+    Only a flag per cell is laid out tall, so numbers are never turned into text.
+    """
+    pairs = []
+    for c in roles.columns(df):
+        gap = F.col(c.name).isNull()
+        if c.kind == "string":
+            gap = gap | F.col(c.name).isin(*vocab.NULL_PATTERNS)
+        pairs += [F.lit(c.name), gap]
+    flags = df.select(F.stack(F.lit(len(pairs) // 2), *pairs).alias("column", "gap"))
+    return (flags.groupBy("column")
+            .agg(F.count("*").alias("rows"), F.count_if("gap").alias("missing_count"))
             .withColumn("missing_pct", F.round(F.col("missing_count") * 100.0 / F.col("rows"), 2)))
 
 
@@ -85,15 +93,42 @@ def value_histogram(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 
 def distinct_counts(hist: DataFrame) -> DataFrame:
-    """column, unique_count (exact, nulls excluded)."""
+    """column, unique_count (exact, nulls excluded) of the columns in a histogram."""
     return hist.groupBy("column").agg(F.count("*").alias("unique_count"))
 
 
+def unique_counts(df: DataFrame) -> DataFrame:
+    """column, unique_count (exact, nulls excluded) for every column of df.
+
+    Whole numbers and floats are grouped in their own type, the rest as text.
+    """
+    groups: dict[str, list[str]] = {}
+    for c in roles.columns(df):
+        whole = c.dtype.typeName() in ("byte", "short", "integer", "long")
+        real = c.dtype.typeName() in ("float", "double")
+        groups.setdefault("bigint" if whole else "double" if real else "string", []).append(
+            c.name)
+    out = None
+    for kind, names in groups.items():
+        source = normalised(df.select(names)) if kind == "string" else df
+        cells = source.select([F.col(n).cast(kind).alias(n) for n in names]).unpivot(
+            [], names, "column", "value")
+        part = distinct_counts(histogram(cells))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def approx_distinct_counts(df: DataFrame, rsd: float = 0.02) -> DataFrame:
-    """column, unique_count from mergeable sketches; one scan, no value shuffle."""
+    """column, unique_count from mergeable sketches; one scan per 50 columns (each reading
+    only its own), no value shuffle."""
     names = [c.name for c in roles.columns(df)]
-    return (text_cells(normalised(df), names).groupBy("column")
-            .agg(F.approx_count_distinct("value", rsd).alias("unique_count")))
+    clean, out = normalised(df), None
+    for i in range(0, len(names), 50):
+        part = names[i:i + 50]
+        wide = clean.agg(*[F.approx_count_distinct(F.col(n), rsd).alias(n) for n in part])
+        tall = wide.unpivot([], part, "column", "unique_count")
+        out = tall if out is None else out.unionByName(tall)
+    return out
 
 
 def modes(hist: DataFrame) -> DataFrame:
@@ -157,12 +192,13 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     dtypes = F.create_map(*[F.lit(x) for c in roles.columns(df)
                             for x in (c.name, c.dtype.simpleString())])
     out = missing(df).withColumn("dtype", F.try_element_at(dtypes, F.col("column")))
+    words = [c.name for c in roles.columns(df) if c.kind != "numeric"]
     if exact:
-        hist = value_histogram(df)
-        out = out.join(distinct_counts(hist), "column", "left")
-        top = top_values(hist).where(~in_columns(numeric)).groupBy("column").agg(
-            F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("top_values"))
-        out = out.join(top, "column", "left")
+        out = out.join(unique_counts(df), "column", "left")
+        if words:
+            top = top_values(value_histogram(df, words)).groupBy("column").agg(F.array_sort(
+                F.collect_list(F.struct("rank", "value", "n"))).alias("top_values"))
+            out = out.join(top, "column", "left")
     else:
         out = out.join(approx_distinct_counts(df), "column", "left")
     moments = pin(numeric_stats(df, numeric))

@@ -1,9 +1,9 @@
 """Exact quantiles of many columns without holding a column in one task.
 
-Up to a size bound the built-in exact aggregate is used.  Beyond it each wanted order
-statistic is bracketed with a mergeable quantile sketch, the bracket is verified by exact
-counts and narrowed until what lies inside is small.  Each round is one fused scan for all
-columns, and the kept range shrinks by a factor of about a thousand per round.
+Each wanted order statistic is bracketed with a mergeable quantile sketch, the bracket is
+verified by exact counts and narrowed until the values inside are few enough to keep.  Each
+round is one fused scan, and the kept range shrinks by a factor of about a thousand per
+round.  Columns below the size bound need no narrowing at all.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.cells import number_cells, small_frame
+from plumbline.operators.cells import number_cells, small_frame, together
 
 EXACT_LIMIT = 1_000_000
 _ACCURACY = 10_000
-_BATCH = 40
+_BATCH = 80
 
 
 def _num(name: str):
@@ -40,24 +40,20 @@ def exact_quantiles(df: DataFrame, names: list[str], probs=(0.25, 0.5, 0.75),
     if counts is None:
         counts = {r["column"]: r["n"] for r in number_cells(small_df, names)
                   .groupBy("column").agg(F.count("value").alias("n")).collect()}
+    ranks, wanted = {}, set()
+    for n in names:
+        for p in probs if counts.get(n) else ():
+            h = (counts[n] - 1) * p
+            ranks[n, p] = (math.floor(h), math.ceil(h), h - math.floor(h))
+            wanted |= {(n, math.floor(h)), (n, math.ceil(h))}
+    stats = order_statistics(small_df, sorted(wanted), counts, exact_limit)
     out = []
-    small = [n for n in names if 0 < counts.get(n, 0) <= exact_limit]
-    if small:
-        agg = number_cells(small_df, small).groupBy("column").agg(
-            F.percentile("value", F.array(*map(F.lit, map(float, probs)))).alias("q")).collect()
-        out += [(r["column"], counts[r["column"]], *r["q"]) for r in agg]
-    large = [n for n in names if counts.get(n, 0) > exact_limit]
-    if large:
-        ranks = {}
-        for n in large:
+    for n in names:
+        if counts.get(n):
+            row = []
             for p in probs:
-                h = (counts[n] - 1) * p
-                ranks[n, p] = (math.floor(h), math.ceil(h), h - math.floor(h))
-        wanted = sorted({(n, k) for (n, _), (lo, hi, _) in ranks.items() for k in (lo, hi)})
-        stats = order_statistics(small_df, wanted, counts, exact_limit)
-        for n in large:
-            row = [stats[n, ranks[n, p][0]] + ranks[n, p][2]
-                   * (stats[n, ranks[n, p][1]] - stats[n, ranks[n, p][0]]) for p in probs]
+                lo, hi, part = ranks[n, p]
+                row.append(stats[n, lo] + part * (stats[n, hi] - stats[n, lo]))
             out.append((n, counts[n], *row))
     return small_frame(spark, out, ddl)
 
@@ -86,7 +82,7 @@ def order_statistics(df: DataFrame, wanted: list[tuple[str, int]], counts: dict[
     while todo:
         finish = {t: s for t, s in todo.items() if s[3] <= limit}
         if finish:
-            done.update(_pick(df, finish))
+            done.update(_pick(df, finish, limit))
             todo = {t: s for t, s in todo.items() if t not in finish}
         if not todo:
             break
@@ -134,42 +130,61 @@ def _fused(df: DataFrame, exprs: list) -> dict:
 
 
 def _sketch(df, todo, slack):
-    """Bracketing values for each target from a quantile sketch of its interval."""
-    exprs = []
+    """Bracketing values for each target; targets of one interval share one sketch.
+
+    Neighbouring ranks (the two an interpolation needs) get the same bracket.
+    """
+    shared: dict = {}
     for t, (lo, hi, rank, inside) in todo.items():
-        p = (rank + 0.5) / inside
-        e = slack / _ACCURACY
-        pair = [max(0.0, p - e), min(1.0, p + e)]
-        exprs.append((t, F.percentile_approx(
-            F.when(_inside(t[0], lo, hi), F.col(t[0])), pair, _ACCURACY)))
-    return {t: (float(v[0]), float(v[1])) for t, v in _fused(df, exprs).items()}
+        shared.setdefault((t[0], lo, hi, inside), []).append((rank, t))
+    exprs, wanted = [], {}
+    for key, ranked in shared.items():
+        name, lo, hi, inside = key
+        probs, last = [], None
+        for rank, t in sorted(ranked):
+            if last is None or rank > last + 1:
+                p, e = (rank + 0.5) / inside, slack / _ACCURACY
+                probs += [max(0.0, p - e), min(1.0, p + e)]
+            last = rank
+            wanted[t] = (key, len(probs) - 2)
+        exprs.append((key, F.percentile_approx(
+            F.when(_inside(name, lo, hi), F.col(name)), probs, _ACCURACY)))
+    got = _fused(df, exprs)
+    return {t: (float(got[key][i]), float(got[key][i + 1])) for t, (key, i) in wanted.items()}
 
 
 def _count(df, todo, brackets):
     """Exact (below a, equal a, strictly between, equal b) inside each interval."""
-    exprs = []
+    exprs: dict = {}
     for t, (lo, hi, _, _) in todo.items():
         a, b = brackets[t]
-        c, inside = F.col(t[0]), _inside(t[0], lo, hi)
-        exprs += [((t, 0), F.count_if(inside & (c < a))), ((t, 1), F.count_if(c == a)),
-                  ((t, 2), F.count_if((c > a) & (c < b))),
-                  ((t, 3), F.count_if((c == b) & (F.lit(a) < b)))]
-    got = _fused(df, exprs)
-    return {t: tuple(got[t, i] for i in range(4)) for t in todo}
-
-
-def _pick(df, finish):
-    """Read the wanted ranks out of intervals that hold at most the bounded row count."""
-    exprs = []
+        c, key = F.col(t[0]), (t[0], lo, hi, a, b)
+        if (key, 0) not in exprs:
+            inside = _inside(t[0], lo, hi)
+            exprs[key, 0] = F.count_if(inside & (c < a))
+            exprs[key, 1] = F.count_if(c == a)
+            exprs[key, 2] = F.count_if((c > a) & (c < b))
+            exprs[key, 3] = F.count_if((c == b) & (F.lit(a) < b))
+    got = _fused(df, list(exprs.items()))
+    return {t: tuple(got[(t[0], s[0], s[1], *brackets[t]), i] for i in range(4))
+            for t, s in todo.items()}
+
+
+def _pick(df, finish, limit):
+    """Read the wanted ranks out of intervals that hold at most `limit` values.
+
+    A sketch whose accuracy exceeds twice the number of values keeps them all, so its ranks
+    are exact; it is built from sorted arrays and merges map-side.
+    """
+    shared: dict = {}
     for t, (lo, hi, rank, inside) in finish.items():
-        name = "`" + t[0].replace("`", "``") + "`"
-        cond = [f"{name} IS NOT NULL"]
-        if lo != -math.inf:
-            cond.append(f"{name} > {lo!r}D")
-        if hi != math.inf:
-            cond.append(f"{name} < {hi!r}D")
-        p = (rank + 0.5) / inside  # halfway into the wanted row's share, safe to round
-        exprs.append((t, F.expr(
-            f"percentile_disc({p!r}D) WITHIN GROUP (ORDER BY {name}) "
-            f"FILTER (WHERE {' AND '.join(cond)})")))
-    return _fused(df, exprs)
+        shared.setdefault((t[0], lo, hi), []).append((t, (rank + 0.5) / inside))
+    items = [(key, F.percentile_approx(
+        F.when(_inside(*key), F.col(key[0])), [p for _, p in pairs],
+        4 * max(limit, 1_000))) for key, pairs in shared.items()]
+    parts = [items[i:i + 4] for i in range(0, len(items), 4)]  # bounds a task's memory
+    got: dict = {}
+    for part in together(*[lambda x=x: _fused(df, x) for x in parts]):
+        got.update(part)
+    return {t: float(got[key][i]) for key, pairs in shared.items()
+            for i, (t, _) in enumerate(pairs)}

@@ -9,7 +9,8 @@ from plumbline import roles, vocab
 from plumbline.functions import dates, text
 from plumbline.operators import profile
 from plumbline.operators.cells import (
-    TABLE, histogram, in_columns, number_cells, pin, small_frame, text_cells, together)
+    TABLE, histogram, in_columns, number_cells, pin, small_frame, tally, text_cells, together,
+    weighted_cells)
 from plumbline.operators.quantiles import exact_quantiles
 
 SUGGESTION = ("column", "issue_type", "action", "affected", "fill_value", "detail")
@@ -26,21 +27,21 @@ def text_counts(df: DataFrame) -> DataFrame:
     v, s, f = F.col("value"), F.col("s"), F.col("f")
     email, date = in_columns(_columns(df, "string", "email")), in_columns(
         _columns(df, "string", "date"))
-    cells = (text_cells(df, _columns(df, "string")).withColumn("s", text.strip(v))
+    cells = (weighted_cells(df, _columns(df, "string")).withColumn("s", text.strip(v))
              .withColumn("f", F.lower("s")).withColumn("junk", f.isin(*vocab.JUNK_REPAIR))
              .withColumn("iso", F.when(date, s.rlike(vocab.ISO_DATE)))
              .withColumn("dated", F.when(date & ~F.col("iso"),
                                          s.rlike(vocab.AMBIGUOUS_DATE)
                                          | dates.as_date(v).isNotNull())))
     return cells.groupBy("column").agg(
-        F.count("*").alias("rows"), F.count(v).alias("known"),
-        F.count_if("junk").alias("junk"),
-        F.count_if(v.isNull() | F.col("junk")).alias("missing"),
-        F.count_if(text.is_num(v)).alias("numeric"),
-        F.count_if(~text.is_num(v) & ~F.col("junk")).alias("invalid_text"),
-        F.count_if(email & ~s.rlike(vocab.EMAIL_LENIENT)).alias("email_bad"),
-        F.count_if(~F.col("dated")).alias("date_bad"),
-        F.count_if(F.col("dated")).alias("date_non_iso"))
+        F.sum("n").alias("rows"), tally(v.isNotNull()).alias("known"),
+        tally(F.col("junk")).alias("junk"),
+        tally(v.isNull() | F.col("junk")).alias("missing"),
+        tally(text.is_num(v)).alias("numeric"),
+        tally(~text.is_num(v) & ~F.col("junk")).alias("invalid_text"),
+        tally(email & ~s.rlike(vocab.EMAIL_LENIENT)).alias("email_bad"),
+        tally(~F.col("dated")).alias("date_bad"),
+        tally(F.col("dated")).alias("date_non_iso"))
 
 
 def numeric_intent(df: DataFrame, counts: DataFrame) -> list[str]:

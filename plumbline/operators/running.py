@@ -1,8 +1,8 @@
-"""Cumulative counts in value order, spread over many tasks.
+"""Ordered computations over groups of any size, spread over many tasks.
 
-A window ordered by value over a whole column would put the column into one task.  Here
-the distinct values are cut into ranges of about equal size by a quantile sketch, each
-(column, range) is one window group, and ranges are stitched by small per-range totals.
+A window over a whole group puts the group into one task.  Here rows are range-partitioned
+on (group, order), each (group, range) is one window group, and neighbouring ranges are
+stitched together by one small row each.
 """
 
 from __future__ import annotations
@@ -10,23 +10,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.cells import pin
-from plumbline.operators.quantiles import sketch
+from plumbline.plans.session import checkpointed
 
-RANGES = 256
 
+def _ranged(df: DataFrame, key: str, order: str, ranges: int | None) -> DataFrame:
+    """df with its range number, stored in the shared folder.
 
-def cumulative(hist: DataFrame, counts: list[str], ranges: int = RANGES) -> DataFrame:
+    Range bounds are sampled, and a second evaluation could draw other ones; the reliable
+    checkpoint fixes them.
+    """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(df.repartitionByRange(ranges, key, order)
+                        .withColumn("range", F.spark_partition_id()))
+
+
+def cumulative(hist: DataFrame, counts: list[str], ranges: int | None = None) -> DataFrame:
     """hist(column, value DOUBLE, counts...) plus cum_<count>: running sum up to value.
 
     hist holds each (column, value) once, so no range can be dominated by a hot value.
     """
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = pin(hist.groupBy("column").agg(
-        F.array_distinct(sketch("value", probs, 10 * ranges)).alias("cuts")))
-    # one row per column with at most `ranges` numbers
-    ranged = hist.join(F.broadcast(cuts), "column").withColumn(
-        "range", F.size(F.filter("cuts", lambda x: x < F.col("value")))).drop("cuts")
+    ranged = _ranged(hist, "column", "value", ranges)
     totals = ranged.groupBy("column", "range").agg(*[F.sum(c).alias(f"t_{c}") for c in counts])
     before = Window.partitionBy("column").orderBy("range").rowsBetween(
         Window.unboundedPreceding, -1)  # at most `ranges` rows per column
@@ -35,7 +38,29 @@ def cumulative(hist: DataFrame, counts: list[str], ranges: int = RANGES) -> Data
     upto = Window.partitionBy("column", "range").orderBy("value").rowsBetween(
         Window.unboundedPreceding, 0)
     running = ranged.select("*", *[F.sum(c).over(upto).alias(f"s_{c}") for c in counts])
-    # at most columns x ranges rows, so broadcasting is safe at any table size
+    # ranges are contiguous: at most columns + ranges rows, so broadcasting is always safe
     return running.join(F.broadcast(offsets), ["column", "range"]).select(
         "column", "value", *counts,
         *[(F.col(f"s_{c}") + F.col(f"o_{c}")).alias(f"cum_{c}") for c in counts])
+
+
+def with_previous(df: DataFrame, key: str, order: str, columns: list[str],
+                  ranges: int | None = None) -> DataFrame:
+    """df plus prev_<column> from the row before it in its key's order (null for the first).
+
+    (key, order) must be unique.  A key may hold any share of the rows: it then spans many
+    ranges, and only such keys take part in the stitching.
+    """
+    ranged = _ranged(df, key, order, ranges)
+    w = Window.partitionBy(key, "range").orderBy(order)
+    inside = ranged.select("*", F.lag(F.struct(*columns)).over(w).alias("_before"))
+    last = ranged.groupBy(key, "range").agg(
+        F.max_by(F.struct(*columns), F.col(order)).alias("_last"))
+    spanning = last.groupBy(key).agg(F.count("*").alias("_spans")).where("_spans > 1")
+    # a key spanning k ranges adds k rows, so there are at most twice as many rows as ranges
+    edges = last.join(F.broadcast(spanning.select(key)), key).select(
+        key, "range", F.lag("_last").over(Window.partitionBy(key).orderBy("range"))
+        .alias("_carried"))
+    before = F.coalesce("_before", "_carried")
+    return inside.join(F.broadcast(edges), [key, "range"], "left").select(
+        *df.columns, *[before[c].alias(f"prev_{c}") for c in columns])

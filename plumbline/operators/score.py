@@ -9,12 +9,13 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import roles, vocab
 from plumbline.operators import anomalies, facts, pii, profile, security
-from plumbline.operators.cells import in_columns, pin, together
+from plumbline.operators.cells import in_columns, pin, repeated_columns, together
+from plumbline.operators.running import with_previous
 
 PENALTY = ("dimension", "reason", "impact", "deduction", "affected_columns")
 
@@ -55,21 +56,25 @@ def measure(df: DataFrame, config: ScoreConfig = ScoreConfig(),
     the rules on top never rescan the table.
     """
     others = [c.name for c in roles.columns(df) if c.kind == "other"]
+    repeated = repeated_columns(df)
     size, text, numbers, rest, dups, variants, found, personal = together(
         lambda: pin(profile.null_rows(df)),
-        lambda: pin(facts.text_facts(df, config.as_of)),
+        lambda: pin(facts.text_facts(df, config.as_of, repeated)),
         lambda: pin(facts.number_facts(df)),
         lambda: pin(profile.missing(df.select(others))) if others else None,
         lambda: pin(profile.duplicates(df)),
         lambda: pin(facts.case_variants(df, "status")),
-        lambda: pin(security.threat_counts(df)) if config.with_security else None,
-        lambda: pin(pii.columns(pii.match_counts(df))) if config.with_pii else None)
+        lambda: pin(security.threat_counts(df, None, repeated))
+        if config.with_security else None,
+        lambda: pin(pii.columns(pii.match_counts(df, repeated)))
+        if config.with_pii else None)
     missing = (text.select("column", "rows", F.col("missing").alias("missing_count"))
                .unionByName(numbers.select("column", "rows",
                                            F.col("nulls").alias("missing_count"))))
     if others:
         missing = missing.unionByName(rest.drop("missing_pct"))
-    odd = pin(anomalies.detect(df, config.method, facts.date_columns(df, text), numbers))
+    odd = pin(anomalies.detect(df, config.method, facts.date_columns(df, text), numbers,
+                               repeated))
     return Measures(
         table=df, size=size.withColumn("columns", F.lit(len(roles.columns(df)))), text=text,
         missing=missing.withColumn(
@@ -376,9 +381,10 @@ def score_measures(m: Measures) -> Scored:
 
 def version_delta(history: DataFrame) -> DataFrame:
     """dataset_id, version, score, delta, status against the previous version."""
-    w = Window.partitionBy("dataset_id").orderBy("version")
     d = F.col("delta")
-    return (history.withColumn("delta", F.round(F.col("score") - F.lag("score").over(w), 2))
+    return (with_previous(history, "dataset_id", "version", ["score"])
+            .withColumn("delta", F.round(F.col("score") - F.col("prev_score"), 2))
+            .drop("prev_score")
             .withColumn("status", F.when(d.isNull(), F.lit(None)).when(d <= -20, "unstable")
                         .when(d <= -10, "degraded").when(d >= 5, "improved")
                         .otherwise("stable")))

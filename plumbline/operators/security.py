@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline import vocab
 from plumbline.functions.text import matched
-from plumbline.operators.cells import names_of, text_cells
+from plumbline.operators.cells import names_of, tally, weighted_cells
 
 VALUE_CHARS, MATCH_CHARS, DISPLAY_ROWS = 200, 80, 100
 
@@ -36,15 +36,16 @@ def findings(df: DataFrame, key: list[str], columns: list[str] | None = None) ->
     return df.select(*key, F.inline(hits))
 
 
-def threat_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def threat_counts(df: DataFrame, columns: list[str] | None = None,
+                  repeated: list[str] | None = None) -> DataFrame:
     """column, threat_type, n, severity, weight for every (column, threat) with hits.
 
     Counting needs no findings: one column-grouped aggregate over the cells.
     """
     names = columns or names_of(df, "string")
     v = F.col("value")
-    counts = text_cells(df, names).groupBy("column").agg(
-        *[F.count_if(_hit(v, t)).alias(t) for t in vocab.THREATS])
+    counts = weighted_cells(df, names, repeated).groupBy("column").agg(
+        *[tally(_hit(v, t)).alias(t) for t in vocab.THREATS])
     rows = F.array(*[F.struct(F.lit(t).alias("threat_type"), F.col(t).alias("n"),
                               F.lit(sev).alias("severity"), F.lit(w).alias("weight"))
                      for t, (_, sev, w) in vocab.THREATS.items()])

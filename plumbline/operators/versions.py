@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import roles
+from plumbline.operators.running import with_previous
 
 LOG_SCHEMA = ("dataset_id string, version bigint, event string, row_count bigint, "
               "col_count bigint, columns array<string>, changes array<string>, path string, "
@@ -69,13 +70,13 @@ def newest_first(versions: DataFrame) -> DataFrame:
 
 def diff_consecutive(log: DataFrame) -> DataFrame:
     """dataset_id, version_a, version_b, rows_a, rows_b, row_delta for neighbouring live
-    versions: one shuffle on the dataset, no self-join."""
-    w = Window.partitionBy("dataset_id").orderBy("version")
-    return (live(log).withColumn("version_a", F.lag("version").over(w))
-            .withColumn("rows_a", F.lag("row_count").over(w)).where("version_a IS NOT NULL")
-            .select("dataset_id", "version_a", F.col("version").alias("version_b"), "rows_a",
-                    F.col("row_count").alias("rows_b"),
-                    (F.col("row_count") - F.col("rows_a")).alias("row_delta")))
+    versions."""
+    pairs = with_previous(live(log), "dataset_id", "version", ["version", "row_count"])
+    return pairs.where("prev_version IS NOT NULL").select(
+        "dataset_id", F.col("prev_version").alias("version_a"),
+        F.col("version").alias("version_b"), F.col("prev_row_count").alias("rows_a"),
+        F.col("row_count").alias("rows_b"),
+        (F.col("row_count") - F.col("prev_row_count")).alias("row_delta"))
 
 
 def diff(log: DataFrame, version_a: int, version_b: int) -> DataFrame:

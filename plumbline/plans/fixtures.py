@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.sources.readers import read_parquet
+from plumbline.sources.readers import read_parquet, spread
 
 PEOPLE = {
     "id": "c_custkey",
@@ -83,8 +83,10 @@ SELECT o_custkey AS dataset_id,
 FROM orders"""
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """A given table; wide=True spreads small files over all cores for costly rules."""
+    df = read_parquet(spark, f"{sf_dir}/{name}.parquet")
+    return spread(df) if wide else df
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def ks_statistic(spark, d):
 
 def _halves(spark, d):
     """Line items by flag: returned ones against all the others."""
-    li = table(spark, d, "lineitem").select(
+    li = table(spark, d, "lineitem", wide=True).select(
         "l_extendedprice", "l_quantity", "l_discount", "l_linestatus", "l_returnflag")
     return (li.where("l_returnflag = 'R'").drop("l_returnflag"),
             li.where("l_returnflag <> 'R'").drop("l_returnflag"))

@@ -87,7 +87,7 @@ def distinct_counts(spark, d):
     f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS unique_count FROM lineitem"
     for c in LINE_ALL))
 def distinct_counts_lineitem(spark, d):
-    return profile.distinct_counts(profile.value_histogram(table(spark, d, "lineitem")))
+    return profile.unique_counts(table(spark, d, "lineitem", wide=True))
 
 
 @query("distinct_counts_approx")
@@ -200,4 +200,4 @@ def profile_table(spark, d):
 @query("profile_full")
 def profile_full(spark, d):
     """Every profile field, nested ones included, for the widest table."""
-    return profile.profile(table(spark, d, "lineitem"))
+    return profile.profile(table(spark, d, "lineitem", wide=True))

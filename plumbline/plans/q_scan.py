@@ -48,7 +48,7 @@ def security_findings(spark, d):
 
 @query("security_findings_pages", _finding_rows("pages", "page_id", ("url", "html")))
 def security_findings_pages(spark, d):
-    return security.findings(table(spark, d, "pages"), ["page_id"])
+    return security.findings(table(spark, d, "pages", wide=True), ["page_id"])
 
 
 @query("security_threats", f"{s.people(s.cells(s.STRINGS), COUNTS)} SELECT * FROM threats")
@@ -72,7 +72,7 @@ def security_summary(spark, d):
 
 @query("security_summary_documents", f"WITH {_DOC_CELLS}, {COUNTS} {_SUMMARY}")
 def security_summary_documents(spark, d):
-    return _summary(table(spark, d, "documents").drop("doc_id", "n_chars"))
+    return _summary(table(spark, d, "documents", wide=True).drop("doc_id", "n_chars"))
 
 
 @query("security_verdict", f"""{s.people(s.cells(s.STRINGS), COUNTS)}
@@ -131,7 +131,7 @@ def pii_columns(spark, d):
                                           'documents')}, {PII_COUNTS}, {PII_COLUMNS}
 SELECT * FROM pii_columns""")
 def pii_documents(spark, d):
-    return pii.columns(pii.match_counts(table(spark, d, "documents")))
+    return pii.columns(pii.match_counts(table(spark, d, "documents", wide=True)))
 
 
 @query("pii_risk", f"""{s.people(s.cells(), PII_COUNTS, PII_COLUMNS)}

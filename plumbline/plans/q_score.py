@@ -193,12 +193,12 @@ def quality_all_methods(spark, d):
 @query("quality_lineitem")
 def quality_lineitem(spark, d):
     """The whole score on the largest table."""
-    return _scored_table(table(spark, d, "lineitem"))
+    return _scored_table(table(spark, d, "lineitem", wide=True))
 
 
 @query("quality_documents")
 def quality_documents(spark, d):
-    return _scored_table(table(spark, d, "documents"))
+    return _scored_table(table(spark, d, "documents", wide=True))
 
 
 def _scored_table(df):

@@ -30,7 +30,8 @@ def local_session(cores: str = "8", shuffle: str = "8", memory: str = "12g") ->
     """Session for tests and benchmarks on one machine."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName("plumbline")
                .config("spark.sql.shuffle.partitions", shuffle)
-               .config("spark.driver.memory", memory).config("spark.ui.enabled", "false"))
+               .config("spark.driver.memory", memory).config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false"))
     for k, v in SETTINGS.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

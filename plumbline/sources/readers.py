@@ -91,6 +91,16 @@ def read_json(spark: SparkSession, path, lines: bool = False) -> DataFrame:
     return nan_to_null(spark.read.option("multiLine", not lines).json(path))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a freshly read frame at least one partition per core.
+
+    Small files have fewer splits than the cluster has cores, which would leave costly
+    row-local rules to a few tasks.  A scan with enough splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_parquet(spark: SparkSession, path, row_id: bool = False) -> DataFrame:
     """Parquet; row_id=True adds _row_file and _row_index, a stable position of every row."""
     df = spark.read.parquet(path)
@@ -134,12 +144,21 @@ def validate(df: DataFrame) -> DataFrame:
 def sample_exact(df: DataFrame, n: int = vocab.PROFILE_SAMPLE_ROWS, seed: int = 42) -> DataFrame:
     """Deterministic sample of n rows: the n smallest salted row hashes.
 
-    A top-k per task followed by a merge, no full sort.  Row contents break ties, so the
-    result does not depend on partitioning.
+    A hash cut-off lets only slightly more than n rows through the scan, so the final top-n
+    never sees the whole table.  Row contents break ties: the result does not depend on
+    partitioning.
     """
-    names = df.columns
+    names, rows = df.columns, df.count()
     h = F.xxhash64(F.lit(seed), *names)
-    return df.orderBy(h, *names).limit(n)
+    share = 1.2 * n / max(rows, 1) + 1e-6
+    kept = df
+    while share < 1.0:
+        cut = int(-(2 ** 63) + share * 2 ** 64)
+        kept = df.where(h <= F.lit(cut).cast("bigint"))
+        if kept.count() >= n:
+            break
+        share, kept = 4 * share, df
+    return kept.orderBy(h, *names).limit(n)
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:

@@ -491,3 +491,28 @@ def test_no_cartesian_products(spark, sf):
     m = score.measure(fixtures.people(spark, sf), CFG)
     plan = score.base_penalties(m)._jdf.queryExecution().optimizedPlan().toString()
     assert "Cross" not in plan
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 16])
+def test_previous_row_across_ranges_of_a_hot_key(spark, ranges):
+    from plumbline.operators.running import with_previous
+    rows = [("hot", v, float(v * v)) for v in range(400)]
+    rows += [(f"k{i}", v, float(i + v)) for i in range(40) for v in range(3)]
+    df = spark.createDataFrame(rows, "k string, v int, x double").repartition(5)
+    got = {(r["k"], r["v"]): r["prev_x"]
+           for r in with_previous(df, "k", "v", ["x"], ranges).collect()}
+    assert len(got) == len(rows)
+    want = {(k, v): x for k, v, x in rows}
+    assert all(p == want.get((k, v - 1)) for (k, v), p in got.items())
+
+
+def test_large_samples_use_a_hash_cut(spark):
+    df = spark.range(200_000)
+    got = readers.sample_exact(df, 500)
+    top = df.orderBy(F.xxhash64(F.lit(42), "id"), "id").limit(500)
+    assert {r[0] for r in got.collect()} == {r[0] for r in top.collect()}
+
+
+def test_flagged_rows_are_counted_exactly(spark):
+    df = frame(spark, "v", [float(x % 10) for x in range(100)] + [500.0] * 3, "double")
+    assert anomalies.numeric_flags(df, "iqr").first()["n"] == 3

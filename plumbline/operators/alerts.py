@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline import vocab
-
 ALERT = ("alert_id", "dataset_id", "version", "alert_type", "severity", "message", "details")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline import roles
 from plumbline.operators import drift
 from plumbline.operators.cells import small_frame, text_cells
-from plumbline.operators.profile import missing, normalised
+from plumbline.operators.profile import missing
 
 VALUES_SHOWN = 20
 

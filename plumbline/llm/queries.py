@@ -4,15 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, sharding, simhash
-from plumbline.llm.common import QUERIES, SQL, query, table  # noqa: F401
+from plumbline.llm import decontaminate, html, mixing, quality, sharding, simhash, urls
+from plumbline.llm.common import QUERIES, SQL, fold, query, table  # noqa: F401
 from plumbline.llm.sql import MIXING
 
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+             ("block", "net/es/"), ("block", "net/fr/")]
+QUALITY_FOLDS, QUALITY_HELD_OUT = 4, 2
 SHARDS = 40
+WINDOW = 10
 MIX_WEIGHTS = [1, 2, 3]
 MIX_MOST = 3
 
 
+@query("op1_urls")
+def op1_urls(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op2_quality")
+def op2_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, QUALITY_HELD_OUT, QUALITY_FOLDS)
+    return quality.score(docs, model).select(
+        "doc_id", F.coalesce(fold("doc_id", QUALITY_FOLDS) == QUALITY_HELD_OUT, F.lit(False)
+                             ).alias("held_out"),
+        "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
 @query("op3_sharding")
 def op3_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"), SHARDS).select(
@@ -26,6 +45,18 @@ def op5_simhash(spark, sf_dir):
         "doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op6_html")
+def op6_html(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html.main_text(pages, html.train(pages))
+
+
+@query("op8_decontamination")
+def op8_decontamination(spark, sf_dir):
+    return decontaminate.judge(table(spark, sf_dir, "documents"),
+                               table(spark, sf_dir, "benchmark"), WINDOW)
+
+
 @query("op9_mixing", MIXING)
 def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_MOST).select(

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, html, mixing, quality, sharding, simhash, urls
+from plumbline.llm import decontaminate, html, language, mixing, quality, sharding, simhash, urls
 from plumbline.llm.common import QUERIES, SQL, fold, query, table  # noqa: F401
 from plumbline.llm.sql import MIXING
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
              ("block", "net/es/"), ("block", "net/fr/")]
 QUALITY_FOLDS, QUALITY_HELD_OUT = 4, 2
+LM_FOLDS, LM_HELD_OUT = 10, 0
 SHARDS = 40
 WINDOW = 10
 MIX_WEIGHTS = [1, 2, 3]
@@ -39,6 +40,15 @@ def op3_sharding(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op4_language")
+def op4_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", LM_FOLDS) == LM_HELD_OUT, F.lit(False))
+    return language.score(docs, language.train(docs, ~held_out)).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+        "score")
+
+
 @query("op5_simhash")
 def op5_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(

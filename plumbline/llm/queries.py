@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, html, language, mixing, quality, sharding, simhash, urls
+from plumbline.llm import (
+    decontaminate, html, language, mixing, neighbours, packing, quality, sharding, simhash, urls)
 from plumbline.llm.common import QUERIES, SQL, fold, query, table  # noqa: F401
 from plumbline.llm.sql import MIXING
 
@@ -14,6 +17,7 @@ QUALITY_FOLDS, QUALITY_HELD_OUT = 4, 2
 LM_FOLDS, LM_HELD_OUT = 10, 0
 SHARDS = 40
 WINDOW = 10
+RANKS = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 MIX_WEIGHTS = [1, 2, 3]
 MIX_MOST = 3
 
@@ -61,6 +65,15 @@ def op6_html(spark, sf_dir):
     return html.main_text(pages, html.train(pages))
 
 
+@query("op7_packing")
+def op7_packing(spark, sf_dir):
+    rows = packing.pack(table(spark, sf_dir, "documents"), RANKS)
+    return rows.select("task", "block", "row", "doc_ids", "pieces", "ends",
+                       F.element_at("ends", -1).alias("n_tokens"),
+                       F.crc32("ids").alias("ids_crc32"),
+                       F.crc32("positions").alias("positions_crc32"))
+
+
 @query("op8_decontamination")
 def op8_decontamination(spark, sf_dir):
     return decontaminate.judge(table(spark, sf_dir, "documents"),
@@ -72,3 +85,8 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_MOST).select(
         "doc_id", "size", F.col("source_size"), "target",
         (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+@query("op10_neighbours")
+def op10_neighbours(spark, sf_dir):
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

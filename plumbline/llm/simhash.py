@@ -7,8 +7,9 @@ at least m-t segments in all; a row is therefore filed under every choice of m-t
 candidates are the rows under the same key, and a candidate is compared in full only if one of the
 key's segments starts a chain within the proportional budgets.  No link is lost.
 
-Wide fingerprints with t >= m are filed under each single segment instead.  There the chain starts
-at a segment that agrees exactly, and a pair is missed where none does.
+Wide fingerprints with t >= m, for similarities of shingle sets, are filed under each single segment
+instead.  There the chain starts at a segment that agrees exactly, and a pair is missed where none
+does.
 
 Rows of one key are compared where they meet and leave only the edges of a spanning forest, so a
 group of copies never turns into all its pairs.  Keys with more than `dense` different
@@ -22,6 +23,7 @@ empty result; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import accumulate, combinations
@@ -31,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import small_batches, stored, utf8
 from plumbline.llm.graph import components
@@ -81,17 +84,17 @@ def fingerprint(data: bytes, words: int = 4, longs: int = 1) -> bytes:
 
 def _fingerprint_batches(batches: Iterator, words: int, longs: int) -> Iterator:
     for b in batches:
-        fps = [fingerprint(x, words, longs) for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())],
-                                         names=["doc_id", "fp"])
+        fps = [fingerprint(x, words, longs) for x in b.column(b.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.binary())],
+                                         names=[*b.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, longs: int = 1) -> DataFrame:
-    """(doc_id, fp): one row per row of docs, fp the fingerprint's bytes, highest bit first."""
+def fingerprints(docs: DataFrame, columns: list[str], words: int = 4, longs: int = 1) -> DataFrame:
+    """(*columns, fp): one row per row of docs, fp the fingerprint's bytes, highest bit first."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", utf8().alias("t")).mapInArrow(
-        partial(_fingerprint_batches, words=words, longs=longs),
-        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp binary")
+    rows = docs.select(*columns, utf8().alias("_text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.BinaryType())])
+    return rows.mapInArrow(partial(_fingerprint_batches, words=words, longs=longs), schema)
 
 
 # --- segments and keys -----------------------------------------------------------------------
@@ -274,34 +277,100 @@ def _dense_edges(rows: DataFrame, m: int, diff: int) -> DataFrame:
         F.col("fp").alias("u"), "v").distinct()
 
 
+# --- wide fingerprints: keys with very many of them -------------------------------------------
+
+def _close_batches(batches: Iterator, diff: int) -> Iterator:
+    for b in batches:
+        if b.num_rows:
+            x = _as_matrix(b.column(0)) ^ _as_matrix(b.column(1))
+            yield b.filter(pa.array(np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= diff))
+
+
+def _leader_edges(rows: DataFrame, diff: int) -> DataFrame:
+    """Links to leaders: the least fingerprint of the key, and of the key's rows that agree in two
+    more bytes, at eight places.  Linear in the rows, whatever the key."""
+    last = F.octet_length("fp") - 1
+    more = F.array(F.lit("").cast("binary"), *[F.substring(
+        "fp", 1 + F.pmod(F.col("choice") * 5 + e * 8, last), F.lit(2)) for e in range(8)])
+    split = rows.select("key", "fp", F.posexplode(more).alias("place", "bytes"))
+    keys = ["key", "place", "bytes"]
+    leaders = split.groupBy(*keys).agg(F.min("fp").alias("v"))
+    return split.join(leaders, keys).where("fp <> v").select(F.col("fp").alias("u"), "v").distinct(
+        ).mapInArrow(partial(_close_batches, diff=diff), "u binary, v binary")
+
+
 def edges(nodes: DataFrame, diff: int, m: int, dense: int = DENSE) -> DataFrame:
     """nodes(fp), each once -> (u, v): a spanning forest of every key's links."""
     keys = nodes.select("fp").mapInArrow(partial(_key_batches, m=m, diff=diff),
                                          "key long, choice int, fp binary")
-    link = partial(_edge_batches, m=m, diff=diff)
-    if m <= diff or diff % 2:
-        return keys.repartition("key").sortWithinPartitions("key").mapInArrow(
-            link, "u binary, v binary")
     hot = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > dense)
                  .select("key"), "hot_keys")
-    few = keys.join(hot, "key", "left_anti") if hot.head(1) else keys
+    some = bool(hot.head(1))
+    few = keys.join(hot, "key", "left_anti") if some else keys
     found = few.repartition("key").sortWithinPartitions("key").mapInArrow(
-        link, "u binary, v binary")
-    if hot.head(1):
-        found = found.union(_dense_edges(keys.join(hot, "key", "left_semi"), m, diff))
+        partial(_edge_batches, m=m, diff=diff), "u binary, v binary")
+    if some:
+        many = keys.join(hot, "key", "left_semi")
+        found = found.union(_leader_edges(many, diff) if m <= diff else
+                            _dense_edges(many, m, diff))
     return found
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, longs: int = 1, diff: int = 4,
-                    segments: int | None = None, dense: int = DENSE) -> DataFrame:
-    """(doc_id, fp, component_id): the least doc_id reachable over links of at most diff bits."""
-    fps = stored(fingerprints(docs, words, longs), "fingerprints")
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+def grouped(docs: DataFrame, columns: list[str], words: int = 4, longs: int = 1, diff: int = 4,
+            segments: int | None = None, dense: int = DENSE) -> DataFrame:
+    """(*columns, fp, least), a row per row of docs; least is a struct of the columns of the row
+    that comes first (by them, nulls last) among all reachable over links of at most diff bits."""
+    fps = stored(fingerprints(docs, columns, words, longs), "fingerprints")
+    first = F.min(F.struct(*[x for c in columns for x in (
+        F.col(c).isNull().alias(f"no_{c}"), F.col(c))])).alias("least")
+    nodes = stored(fps.groupBy("fp").agg(first), "nodes")
     m = segments or segment_count(nodes.count(), 64 * longs, diff)
     comp = components(edges(nodes, diff, m, dense))
     rooted = nodes.join(comp, nodes["fp"] == comp["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
     # nodes are far fewer than rows only where there are copies; a hot node is split by AQE
-    labels = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
+    labels = rooted.select("fp", "root").join(least, "root").select("fp", "least")
+    return fps.join(labels, "fp", "left").select(*columns, "fp", "least")
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, diff: int = 4,
+                    segments: int | None = None, dense: int = DENSE) -> DataFrame:
+    """(doc_id, fp, component_id): the least doc_id reachable over links of at most diff bits of
+    64.  Exact."""
+    return grouped(docs, ["doc_id"], words, 1, diff, segments, dense).select(
+        "doc_id", "fp", F.col("least")["doc_id"].alias("component_id"))
+
+
+# --- similarity of shingle sets ---------------------------------------------------------------
+
+def wide_parameters(rows: int, similarity: float, tables: int = 32) -> dict[str, int]:
+    """Fingerprint width, allowed difference and segments for a Jaccard similarity.
+
+    Sets of equal size with similarity J have cosine 2J/(1+J), and a bit differs with the
+    probability angle/pi.  The allowance adds 1.64 standard deviations: 95 % of pairs at J pass.
+    A row is filed under `tables` segments, each a key of about log2(rows) - 3 bits.
+    """
+    key = max(16, math.ceil(math.log2(max(rows, 2))) - 3)
+    bits = -(-tables * key // 64) * 64
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return {"longs": bits // 64, "segments": tables,
+            "diff": int(bits * p + 1.64 * math.sqrt(bits * p * (1 - p)))}
+
+
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one with the least doc_id, null ids
+    last.  Groups are joined by estimated similarity of their sets of shingles."""
+    key = {"k1": F.xxhash64("doc_id", "text", F.lit(1)),
+           "k2": F.xxhash64(F.lit(2), "text", F.col("text").isNull(), "doc_id")}
+    rows = docs.select("doc_id", "text", *[c.alias(k) for k, c in key.items()])
+    found = stored(grouped(rows, ["doc_id", *key], words, **wide_parameters(
+        docs.count(), similarity)), "near_duplicates")
+    dropped = stored(found.where("k1 <> least.k1 or k2 <> least.k2").select(*key).distinct(),
+                     "dropped")
+    named = {k: f"_near_{k}" for k in key}
+    left = docs.withColumns({named[k]: c for k, c in key.items()}).join(
+        dropped.withColumnsRenamed(named), list(named.values()), "left_anti")
+    if found.groupBy(*key).count().where("count > 1").head(1):  # rows repeated in full
+        left = left.dropDuplicates(list(named.values()))
+    return left.select(*docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,10 +36,69 @@ def json_ingest(spark, d):
     return readers.read(spark, path, "json", lines=True).select(*s.COLUMNS)
 
 
+_WHOLE = r"regexp_matches(v, '^\s*[+-]?[0-9]+\s*$')"
+
+
+@query("csv_wide_integers", """SELECT CAST(9223372036854775800::DECIMAL(20, 0) + o_orderkey AS VARCHAR) AS id,
+  CAST(9007199254740993 + o_orderkey AS VARCHAR) AS long_id, o_custkey FROM orders""")
+def csv_wide_integers(spark, d):
+    """Whole numbers beyond double and beyond bigint, through CSV."""
+    path = scratch_path(spark, "wide-csv")
+    writers.write(table(spark, d, "orders").selectExpr(
+        "CAST(9223372036854775800 AS DECIMAL(20, 0)) + o_orderkey AS id",
+        "9007199254740993 + o_orderkey AS long_id", "o_custkey"), path, "csv")
+    return readers.read(spark, path, "csv", multi_line=False).select(
+        F.col("id").cast("string"), F.col("long_id").cast("string"), "o_custkey")
+
+
+_BROKEN = ("concat(c_name, chr(10), c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN concat(chr(10), "
+           "'\"quoted\", too') ELSE '' END)")
+
+
+@query("csv_multiline", f"SELECT c_custkey, {_BROKEN} AS remark FROM customer")
+def csv_multiline(spark, d):
+    """Texts with line breaks and quotes, through CSV."""
+    path = scratch_path(spark, "multiline-csv")
+    writers.write(table(spark, d, "customer").selectExpr(
+        "c_custkey", f"{_BROKEN} AS remark"), path, "csv")
+    return readers.read(spark, path, "csv")
+
+
+@query("csv_ragged", """SELECT count(*) AS records,
+  count(*) FILTER (WHERE o_orderkey % 7 = 0) AS surplus FROM orders""")
+def csv_ragged(spark, d):
+    """Records with more fields than the header."""
+    path = scratch_path(spark, "ragged-csv")
+    lines = table(spark, d, "orders").selectExpr("concat(o_orderkey, ',', CASE o_orderkey % 7 "
+                                                 "WHEN 0 THEN 'a,b' WHEN 1 THEN '' ELSE 'a' END) AS l")
+    # every file starts with the header, as the writer of a partitioned export leaves it
+    lines.mapInArrow(_with_header, "l string").write.text(path)
+    return readers.csv_records(spark, path)
+
+
+def _with_header(batches):
+    for i, b in enumerate(batches):
+        if not i:
+            yield pa.RecordBatch.from_arrays([pa.array(["key,flag"])], names=["l"])
+        yield b
+
+
+@query("json_array_ingest", f"{s.people()} SELECT {', '.join(s.COLUMNS)} FROM people")
+def json_array_ingest(spark, d):
+    """One JSON array, as web services return it."""
+    path = scratch_path(spark, "people-array")
+    people(spark, d).agg(F.to_json(F.collect_list(F.struct(*s.COLUMNS)), {
+        "ignoreNullFields": "false"})).coalesce(1).write.text(path)
+    return readers.read(spark, path, "json").select(*s.COLUMNS)
+
+
 @query("inferred_types", f"""{s.people(s.cells())}
 SELECT "column", count(v) AS non_null, CASE
   WHEN count(v) = 0 THEN 'string'
-  WHEN count_if(regexp_matches(v, '^\\s*[+-]?[0-9]{{1,18}}\\s*$')) = count(v) THEN 'bigint'
+  WHEN count(TRY_CAST(v AS BIGINT)) FILTER (WHERE {_WHOLE}) = count(v) THEN 'bigint'
+  WHEN count(TRY_CAST(v AS DECIMAL(38, 0))) FILTER (WHERE {_WHOLE}) = count(v)
+    THEN 'decimal(38,0)'
+  WHEN count(v) FILTER (WHERE {_WHOLE}) = count(v) THEN 'string'
   WHEN count_if({s.is_num('v')}) = count(v) THEN 'double'
   WHEN count_if(v IN ('true', 'false', 'True', 'False', 'TRUE', 'FALSE')) = count(v)
     THEN 'boolean' ELSE 'string' END AS inferred_type

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import vocab
@@ -29,6 +30,10 @@ _NAME_ROLES = {
 }
 
 
+#: Columns that carry a row's identity and are no data.
+ROW_IDENTITY = ("_row_file", "_row_index")
+
+
 def norm(name: str) -> str:
     """Column name as the role tables compare it."""
     return name.lower().strip()
@@ -63,12 +68,12 @@ class Col:
 def columns(df: DataFrame, overrides: dict[str, set[str]] | None = None) -> list[Col]:
     """Atomic columns of df with kinds and roles; overrides replaces the name-derived roles.
 
-    Nested columns lie outside the rules and are left out (see skipped_columns).  Columns
-    whose name starts with '_row' carry row identity and are no data.
+    Nested columns lie outside the rules and are left out (see skipped_columns), and so are
+    the row-identity columns.
     """
     out = []
     for f in df.schema.fields:
-        if f.name.startswith("_row") or not is_atomic(f.dataType):
+        if f.name in ROW_IDENTITY or not is_atomic(f.dataType):
             continue
         kind = ("numeric" if is_numeric(f.dataType)
                 else "string" if is_string(f.dataType) else "other")
@@ -80,10 +85,18 @@ def columns(df: DataFrame, overrides: dict[str, set[str]] | None = None) -> list
     return out
 
 
+def dates_as_text(df: DataFrame) -> DataFrame:
+    """df with date and timestamp columns that are named as dates in ISO notation, so that the
+    rules for written dates hold for them too."""
+    typed = [c.name for c in columns(df) if c.dtype.typeName() in ("date", "timestamp", "timestamp_ntz")
+             and (c.has("date") or c.has("cause_date"))]
+    return df.withColumns({n: F.date_format(n, "yyyy-MM-dd") for n in typed}) if typed else df
+
+
 def skipped_columns(df: DataFrame) -> list[tuple[str, str]]:
     """(column, reason) for columns the rules do not cover."""
     return [(f.name, f"nested type {f.dataType.simpleString()}") for f in df.schema.fields
-            if not f.name.startswith("_row") and not is_atomic(f.dataType)]
+            if f.name not in ROW_IDENTITY and not is_atomic(f.dataType)]
 
 
 def domain_rule(name: str, rules, whole_words: bool = False):

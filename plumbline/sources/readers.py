@@ -16,7 +16,9 @@ from plumbline.functions import text
 FORMATS = ("csv", "json", "parquet")
 _CORRUPT = "_corrupt_record"
 _BOOLEAN = ("true", "false", "True", "False", "TRUE", "FALSE")
-_INTEGER = r"^\s*[+-]?[0-9]{1,18}\s*$"
+_INTEGER = r"^\s*[+-]?[0-9]+\s*$"
+_WIDE = "decimal(38,0)"
+_SURPLUS = 16  # fields beyond the header that are looked at
 
 
 class IngestError(ValueError):
@@ -41,7 +43,8 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 def inferred_types(df: DataFrame) -> DataFrame:
     """One row per string column: column, non_null, inferred_type.
 
-    A column is bigint / double / boolean only if every non-null cell fits.
+    A column is bigint / double / boolean only if every non-null cell fits.  Whole numbers
+    beyond bigint become decimal(38,0), beyond that they stay text: none is ever rounded.
     """
     names = [f.name for f in df.schema.fields
              if roles.is_string(f.dataType) and f.name != _CORRUPT]
@@ -50,11 +53,15 @@ def inferred_types(df: DataFrame) -> DataFrame:
     return (cells.groupBy("column").agg(
         F.count(v).alias("non_null"),
         F.count_if(v.rlike(_INTEGER)).alias("i"),
+        F.count_if(v.rlike(_INTEGER) & text.strip(v).try_cast("bigint").isNotNull()).alias("l"),
+        F.count_if(v.rlike(_INTEGER) & text.strip(v).try_cast(_WIDE).isNotNull()).alias("w"),
         F.count_if(text.is_num(v)).alias("d"),
         F.count_if(v.isin(*_BOOLEAN)).alias("b"))
         .select("column", "non_null",
                 F.when(F.col("non_null") == 0, "string")
-                .when(F.col("i") == F.col("non_null"), "bigint")
+                .when(F.col("l") == F.col("non_null"), "bigint")
+                .when(F.col("w") == F.col("non_null"), _WIDE)
+                .when(F.col("i") == F.col("non_null"), "string")
                 .when(F.col("d") == F.col("non_null"), "double")
                 .when(F.col("b") == F.col("non_null"), "boolean")
                 .otherwise("string").alias("inferred_type")))
@@ -69,7 +76,7 @@ def infer(df: DataFrame) -> DataFrame:
     def cast(name):
         kind = kinds.get(name, "string")
         c = F.col(name)
-        if kind in ("bigint", "double"):
+        if kind in ("bigint", "double", _WIDE):
             return text.strip(c).try_cast(kind).alias(name)
         if kind == "boolean":
             return F.lower(c).try_cast("boolean").alias(name)
@@ -78,11 +85,36 @@ def infer(df: DataFrame) -> DataFrame:
     return df.select([cast(n) for n in df.columns])
 
 
-def read_csv(spark: SparkSession, path, sep: str = ",", infer_types: bool = True) -> DataFrame:
-    """CSV with header; quoted fields may span lines when the file says so (multiLine off)."""
-    raw = (spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
-           .option("escape", '"').csv(path))
-    df = null_reader_tokens(raw)
+def _csv(spark: SparkSession, sep: str, multi_line: bool):
+    return (spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
+            .option("escape", '"').option("multiLine", multi_line))
+
+
+def csv_records(spark: SparkSession, path, sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """One row: records, surplus (records with more fields than the header names)."""
+    raw, over = _raw_csv(spark, path, sep, multi_line)
+    return raw.agg(F.count("*").alias("records"), F.count_if(over).alias("surplus"))
+
+
+def _raw_csv(spark: SparkSession, path, sep: str, multi_line: bool):
+    """All columns as text, and the condition that a record has a value beyond the last one."""
+    names = _csv(spark, sep, multi_line).csv(path).columns
+    extra = [f"_surplus_{i}" for i in range(_SURPLUS)]
+    raw = _csv(spark, sep, multi_line).schema(T.StructType(
+        [T.StructField(n, T.StringType()) for n in names + extra])).csv(path)
+    return raw, F.coalesce(*[F.col(c) for c in extra]).isNotNull()
+
+
+def read_csv(spark: SparkSession, path, sep: str = ",", infer_types: bool = True,
+             multi_line: bool = True) -> DataFrame:
+    """CSV with header.  Quoted fields may span lines; files known to have none such can be
+    split among tasks with multi_line=False.  Missing fields at the end are null; a record with
+    more fields than the header is refused, as its values would be lost."""
+    raw, over = _raw_csv(spark, path, sep, multi_line)
+    surplus = raw.where(over).count()
+    if surplus:
+        raise IngestError(f"{surplus} record(s) have more fields than the header")
+    df = null_reader_tokens(raw.drop(*[f"_surplus_{i}" for i in range(_SURPLUS)]))
     return infer(df) if infer_types else df
 
 
@@ -111,12 +143,12 @@ def read_parquet(spark: SparkSession, path, row_id: bool = False) -> DataFrame:
 
 
 def read(spark: SparkSession, path, fmt: str, **options) -> DataFrame:
-    """Dispatch on format; unknown formats are refused."""
+    """Dispatch on format; unknown formats and sources without a record are refused."""
     fmt = fmt.lower().lstrip(".")
     if fmt not in FORMATS:
         raise IngestError(f"unsupported format '{fmt}'; use one of {', '.join(FORMATS)}")
-    return {"csv": read_csv, "json": read_json, "parquet": read_parquet}[fmt](
-        spark, path, **options)
+    return validate({"csv": read_csv, "json": read_json, "parquet": read_parquet}[fmt](
+        spark, path, **options))
 
 
 def record_quality(df: DataFrame, schema: T.StructType, column: str, fmt: str = "json",

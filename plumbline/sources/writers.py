@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from plumbline import roles
 from plumbline.sources.readers import IngestError
 
 
 def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
     """Write df without its row-identity columns; refuses unknown formats."""
-    out = df.drop(*[c for c in df.columns if c.startswith("_row")]).write.mode(mode)
+    out = df.drop(*roles.ROW_IDENTITY).write.mode(mode)
     if fmt == "parquet":
         out.parquet(path)
     elif fmt == "csv":

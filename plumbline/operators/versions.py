@@ -112,11 +112,15 @@ def deletable(log: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row: rows, checksum.  Independent of row order and partitioning."""
-    names = [c.name for c in roles.columns(df)]
-    return df.agg(F.count("*").alias("rows"),
-                  F.coalesce(F.sum(F.xxhash64(*names).cast("decimal(38,0)")), F.lit(0))
-                  .cast("string").alias("checksum"))
+    """One row: rows, checksum.  Independent of row order and partitioning.
+
+    Two sums of row hashes with different seeds.  A null takes part as a flag of its column,
+    as the hash itself passes over nulls.
+    """
+    cells = [x for c in roles.columns(df) for x in (F.col(c.name).isNull(), F.col(c.name))]
+    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), *cells).cast("decimal(38,0)")), F.lit(0))
+            .cast("string") for seed in (1, 2)]
+    return df.agg(F.count("*").alias("rows"), F.concat_ws("/", *sums).alias("checksum"))
 
 
 def search(datasets: DataFrame, needle: str) -> DataFrame:
@@ -163,7 +167,7 @@ class VersionStore:
         row = next_version(events).first() if events is not None else None
         version = row["version"] if row else 1
         path = f"{self.root}/data/{dataset}/v={version}"
-        names = [c for c in df.columns if not c.startswith("_row")]
+        names = [c for c in df.columns if c not in roles.ROW_IDENTITY]
         df.select(names).write.mode("error").parquet(path)
         rows = self.spark.read.parquet(path).count()  # answered from file footers
         self._append(dataset, version, "create", rows, names, changes, path)

@@ -99,6 +99,24 @@ def fingerprint_invariant(spark, d):
         (F.col("checksum") == F.col("c")).alias("same"), "rows")
 
 
+@query("fingerprint_differs", """SELECT count(*) AS rows, true AS moved_nulls, true AS one_cell
+FROM orders""")
+def fingerprint_differs(spark, d):
+    """Tables that differ in where their nulls stand, or in one cell, differ in checksum."""
+    o = fx.table(spark, d, "orders")
+    odd = F.col("o_orderkey") % 2 == 1
+    priority, comment = F.col("o_orderpriority"), F.lit("x")
+    a = o.select("o_orderkey", F.when(odd, priority).alias("p"), F.when(~odd, priority).alias("q"))
+    b = o.select("o_orderkey", F.when(~odd, priority).alias("p"), F.when(odd, priority).alias("q"))
+    least = o.agg(F.min("o_orderkey")).scalar()
+    c = a.withColumn("p", F.when(F.col("o_orderkey") == least, comment).otherwise(F.col("p")))
+    x, y, z = (versions.fingerprint(t).withColumnRenamed("checksum", n)
+               for t, n in ((a, "x"), (b, "y"), (c, "z")))
+    return x.join(y, "rows").join(z, "rows").select(
+        "rows", (F.col("x") != F.col("y")).alias("moved_nulls"),
+        (F.col("x") != F.col("z")).alias("one_cell"))
+
+
 @query("dataset_search", f"""WITH ds AS ({fx.DATASETS}) SELECT * FROM ds
 WHERE contains(lower(name), lower('#00000001'))""")
 def dataset_search(spark, d):

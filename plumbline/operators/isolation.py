@@ -1,9 +1,9 @@
 """Isolation forest per numeric column.
 
 On one dimension a forest is a step function of the value.  Trees are grown from the
-column's empirical distribution (a mergeable quantile sketch of fixed size, so hot values
-and table size do not matter), one small task per (column, tree); the summed steps give
-the flagged value ranges, and the table itself is only filtered by them.
+column's values in a sample of rows, chosen by row hash and therefore the same however the
+table is partitioned, one small task per (column, tree); the summed steps give the flagged
+value ranges, and the table itself is only filtered by them.
 """
 
 from __future__ import annotations
@@ -17,15 +17,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline import vocab
+from plumbline import roles, vocab
 from plumbline.operators.cells import names_of, number_cells, pin
-from plumbline.operators.quantiles import sketch
 
 # ship the worker functions by value: executors need no installed copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TREES, SAMPLE, SEED = 100, 256, 42
-_GRID = 4_000
+GRID = 8_000  # rows that the trees and the cut are taken from
 
 
 def _expected_depth(n: int) -> float:
@@ -49,13 +48,21 @@ def _leaves(points: np.ndarray, lo: float, hi: float, depth: int, limit: int, rn
             + _leaves(points[k:], cut, hi, depth + 1, limit, rng))
 
 
+def _grid(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sampled values of a column in order, and how often each occurs."""
+    return (np.asarray(pdf["grid"].iloc[0], dtype=float),
+            np.asarray(pdf["weight"].iloc[0], dtype=np.int64))
+
+
 def _grow(pdf: pd.DataFrame) -> pd.DataFrame:
     """Leaves of one (column, tree) as depth changes at the left edge of each leaf."""
     column, tree = pdf["column"].iloc[0], int(pdf["tree"].iloc[0])
-    grid, n = np.asarray(pdf["grid"].iloc[0], dtype=float), int(pdf["n"].iloc[0])
+    grid, weight = _grid(pdf)
+    n = int(pdf["n"].iloc[0])
     rng = np.random.default_rng([SEED, tree, *column.encode()])
     size = min(SAMPLE, n)
-    points = np.sort(rng.choice(grid, size=size, replace=size > len(grid)))
+    points = np.sort(rng.choice(np.repeat(grid, weight), size=size,
+                                replace=size > weight.sum()))
     limit = math.ceil(math.log2(max(size, 2)))
     leaves = _leaves(points, -math.inf, math.inf, 0, limit, rng)
     depths = np.array([d for _, _, d in leaves])
@@ -71,13 +78,13 @@ def _cut(edges: pd.DataFrame, grids: pd.DataFrame) -> pd.DataFrame:
     empty = pd.DataFrame({"column": [], "lo": [], "hi": []})
     if edges.empty or grids.empty:
         return empty
-    grid = np.asarray(grids["grid"].iloc[0], dtype=float)
+    grid, weight = _grid(grids)
     share = float(grids["contamination"].iloc[0])
     summed = edges.groupby("edge")["step"].sum().sort_index()
     edge = summed.index.to_numpy()
     depth = np.cumsum(summed.to_numpy()) / TREES
     held = depth[np.searchsorted(edge, grid, side="left") - 1]
-    limit = np.quantile(held, share)
+    limit = np.quantile(np.repeat(held, weight), share)
     flagged = depth < limit
     starts = flagged & ~np.concatenate([[False], flagged[:-1]])
     ends = flagged & ~np.concatenate([flagged[1:], [False]])
@@ -86,20 +93,36 @@ def _cut(edges: pd.DataFrame, grids: pd.DataFrame) -> pd.DataFrame:
                          "hi": upper[ends]})
 
 
+def _sampled(df: DataFrame, grid: int) -> DataFrame:
+    """About `grid` rows, those with the smallest hashes of their content: the same rows
+    whatever the partitioning.  All rows where there are not many more."""
+    rows = df.count()
+    if rows <= 2 * grid:
+        return df
+    cells = [F.col(c.name) for c in roles.columns(df)]
+    cut = int(-(2 ** 63) + grid / rows * 2 ** 64)
+    return df.where(F.xxhash64(F.lit(SEED), *cells) <= F.lit(cut).cast("bigint"))
+
+
 def flagged_ranges(df: DataFrame, names: list[str] | None = None,
                    contamination: float = vocab.FOREST_CONTAMINATION,
-                   min_rows: int = 2) -> DataFrame:
+                   min_rows: int = 2, grid: int = GRID) -> DataFrame:
     """column, ranges ARRAY<STRUCT<lo, hi>>: value ranges (lo, hi] counted as outliers.
 
-    Values are flagged when their mean path length is below the contamination quantile.
-    One scan of the table; everything after it has a fixed size per column.
+    Values are flagged when their mean path length is below the contamination quantile of
+    the sampled rows.  Two scans of the table; everything after them has a fixed size per
+    column.
     """
     names = names if names is not None else names_of(df, "numeric")
-    probs = [(i + 0.5) / _GRID for i in range(_GRID)]
-    grids = pin(number_cells(df, names).groupBy("column").agg(
-        sketch("value", probs, 2 * _GRID).alias("grid"),
-        F.count("value").alias("n")).where(F.col("n") >= min_rows)
-        .withColumn("contamination", F.lit(float(contamination))))
+    counts = number_cells(df, names).groupBy("column").agg(F.count("value").alias("n")).where(
+        F.col("n") >= min_rows)
+    held = number_cells(_sampled(df, grid), names).where("value IS NOT NULL").groupBy(
+        "column", "value").agg(F.count("*").alias("weight"))
+    grids = pin(held.groupBy("column").agg(
+        F.array_sort(F.collect_list(F.struct("value", "weight"))).alias("held")).join(
+        F.broadcast(counts), "column").select(
+        "column", F.col("held.value").alias("grid"), F.col("held.weight").alias("weight"), "n",
+        F.lit(float(contamination)).alias("contamination")))
     # a fixed number of partitions: the rows are few but each one is a tree to grow, so
     # they must not be coalesced by size
     grown = (grids.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(TREES))))

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from plumbline.operators.cells import number_cells, small_frame, together
 
 EXACT_LIMIT = 1_000_000
-_ACCURACY = 10_000
+_SKETCH = 4_000        # size parameter of a sketch
+_RANK_ERROR = 0.001    # of a sketch of that size, as a share of the values
 _BATCH = 80
 
 
@@ -58,13 +59,6 @@ def exact_quantiles(df: DataFrame, names: list[str], probs=(0.25, 0.5, 0.75),
     return small_frame(spark, out, ddl)
 
 
-def sketch(name: str, probs: list[float], accuracy: int):
-    """percentile_approx with many probabilities, passed as one SQL text (thousands of
-    literals are slow to build one by one)."""
-    return F.expr(f"percentile_approx(`{name}`, array({', '.join(f'{p!r}D' for p in probs)}), "
-                  f"{accuracy})")
-
-
 def label(p: float) -> str:
     return "q_" + f"{p:g}".replace("0.", "").ljust(2, "0")
 
@@ -137,22 +131,37 @@ def _sketch(df, todo, slack):
     shared: dict = {}
     for t, (lo, hi, rank, inside) in todo.items():
         shared.setdefault((t[0], lo, hi, inside), []).append((rank, t))
-    exprs, wanted = [], {}
+    asked, wanted = {}, {}
     for key, ranked in shared.items():
-        name, lo, hi, inside = key
+        inside = key[3]
         probs, last = [], None
         for rank, t in sorted(ranked):
             if last is None or rank > last + 1:
-                p, e = (rank + 0.5) / inside, slack / _ACCURACY
+                p, e = (rank + 0.5) / inside, slack * _RANK_ERROR
                 probs += [max(0.0, p - e), min(1.0, p + e)]
             last = rank
             wanted[t] = (key, len(probs) - 2)
-        exprs.append((key, F.percentile_approx(
-            F.when(_inside(name, lo, hi), F.col(name)), probs, _ACCURACY)))
-    got = _fused(df, exprs)
+        asked[key] = probs
+    got = {}
+    for part in _batches(list(asked.items())):
+        got.update(_merged_sketches(df, part))
     return {t: (float(got[key][i]), float(got[key][i + 1])) for t, (key, i) in wanted.items()}
 
 
+def _merged_sketches(df, part) -> dict:
+    """Quantiles from sketches merged in two levels, so that no task merges those of all
+    others: first among about the square root of the partitions, then the results."""
+    groups = max(8, math.isqrt(df.rdd.getNumPartitions()))
+    level = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("group")).agg(*[
+        F.kll_sketch_agg_double(F.when(_inside(*key[:3]), F.col(key[0])), F.lit(_SKETCH))
+        .alias(f"x{i}") for i, (key, _) in enumerate(part)])
+    row = level.agg(*[F.kll_merge_agg_double(f"x{i}", F.lit(_SKETCH)).alias(f"x{i}")
+                      for i in range(len(part))]).select(*[
+        F.kll_sketch_get_quantile_double(f"x{i}", F.array(*map(F.lit, probs))).alias(f"x{i}")
+        for i, (_, probs) in enumerate(part)]).first()
+    return {key: row[i] for i, (key, _) in enumerate(part)}
+
+
 def _count(df, todo, brackets):
     """Exact (below a, equal a, strictly between, equal b) inside each interval."""
     exprs: dict = {}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline import roles, vocab
 from plumbline.functions import stats, text
 from plumbline.operators.cells import (
-    histogram, in_columns, names_of, number_cells, pin, text_cells)
+    histogram, in_columns, names_of, number_cells, pin, small_frame, text_cells)
 from plumbline.operators.quantiles import exact_quantiles
 
 TOP_VALUES = 10
@@ -57,24 +57,36 @@ def _id_columns(df: DataFrame) -> list[str]:
     return [c.name for c in roles.columns(df) if c.has("id")]
 
 
+def _row_hash(names: list[str]) -> list:
+    """Two hashes of the named cells; a null counts as a flag of its place."""
+    cells = [x for n in names for x in (F.col(n).isNull(), F.col(n))]
+    return [F.xxhash64(F.lit(seed), *cells).alias(f"_h{seed}") for seed in (1, 2)]
+
+
 def duplicates(df: DataFrame) -> DataFrame:
     """One row: rows, exact_dups, logical_dups and their percentages.
 
-    Rows are grouped on their columns (never on a hash alone).  Logical duplicates ignore
-    id columns and are derived from the already reduced distinct rows.
+    Logical duplicates ignore id columns.  Rows are counted by two hashes of the columns that
+    matter; only rows whose hashes occur more than once are then grouped on the columns
+    themselves, so other rows are never shuffled in full and no hash decides alone.
     """
     names = [c.name for c in roles.columns(df)]
     ids = _id_columns(df)
     rest = [n for n in names if n not in ids]
-    distinct = df.groupBy(*names).agg(F.count("*").alias("n"))
+    key = ["_h1", "_h2"]
+    hashed = df.select(*names, *_row_hash(rest or names))
+    counts = hashed.groupBy(*key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    suspects = hashed.join(counts.where("_n > 1").select(*key), key, "left_semi")
+    distinct = suspects.groupBy(*names).agg(F.count("*").alias("_n"))
     if ids and rest:
-        groups = distinct.groupBy(*rest).agg(F.sum("n").alias("n"), F.count("*").alias("d"))
+        groups = distinct.groupBy(*rest).agg(F.sum("_n").alias("_n"), F.count("*").alias("_d"))
     else:
-        groups = distinct.withColumn("d", F.lit(1))
+        groups = distinct.withColumn("_d", F.lit(1))
     agg = groups.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col("n") - F.col("d")), F.lit(0)).alias("exact_dups"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("logical_dups"))
+        F.coalesce(F.sum(F.col("_n") - F.col("_d")), F.lit(0)).alias("exact_dups"),
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("logical_dups")).withColumn(
+            "rows", total)
     if ids and not rest:
         agg = agg.withColumn("logical_dups", F.col("exact_dups"))
 
@@ -159,6 +171,20 @@ def numeric_stats(df: DataFrame, names: list[str] | None = None) -> DataFrame:
         stats.kurt_g2(F.col("n"), F.col("k")).alias("kurtosis"))
 
 
+def extremes(df: DataFrame) -> DataFrame:
+    """column, min_value, max_value (texts) of numbers, dates and booleans, compared in the
+    column's own type, so no digit of a large number is lost.  One scan."""
+    names = [c.name for c in roles.columns(df) if c.kind != "string"]
+    if not names:
+        return small_frame(df.sparkSession, [],
+                           "column string, min_value string, max_value string")
+    both = df.agg(*[f(F.col(n)).cast("string").alias(f"{k}{i}") for i, n in enumerate(names)
+                    for k, f in (("a", F.min), ("z", F.max))])
+    return both.select(F.inline(F.array(*[F.struct(
+        F.lit(n).alias("column"), F.col(f"a{i}").alias("min_value"),
+        F.col(f"z{i}").alias("max_value")) for i, n in enumerate(names)])))
+
+
 def sample_values(df: DataFrame, order: list[str], k: int = SAMPLE_VALUES) -> DataFrame:
     """column, rank, value: the first k non-null cells in the given row order."""
     names = [c.name for c in roles.columns(df) if c.name not in order]
@@ -211,4 +237,5 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
                 ~in_columns(numeric), F.col("unique_count")
                 < F.greatest(F.lit(10.0), F.col("rows") * 0.05)))
             .join(moments.drop("n"), "column", "left")
-            .join(quantiles, "column", "left"))
+            .join(quantiles, "column", "left")
+            .join(extremes(df), "column", "left"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import profile
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.plans import sqltext as s
-from plumbline.plans.fixtures import people, table
+from plumbline.plans.fixtures import people, table, view
 from plumbline.plans.registry import query
 
 LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -105,6 +105,21 @@ def _stats(df):
                     "kurtosis")
 
 
+_BIG = "SELECT o_orderkey + 9007199254740993 AS big, o_custkey, o_orderdate FROM orders"
+
+
+@query("profile_extremes", f"""WITH t AS ({_BIG}), cells AS (
+  SELECT 'big' AS "column", CAST(min(big) AS VARCHAR) AS min_value,
+         CAST(max(big) AS VARCHAR) AS max_value FROM t
+  UNION ALL SELECT 'o_custkey', CAST(min(o_custkey) AS VARCHAR), CAST(max(o_custkey) AS VARCHAR)
+  FROM t
+  UNION ALL SELECT 'o_orderdate', CAST(min(o_orderdate) AS VARCHAR),
+         CAST(max(o_orderdate) AS VARCHAR) FROM t) SELECT * FROM cells""")
+def profile_extremes(spark, d):
+    """Extremes of numbers that a double cannot tell apart."""
+    return profile.extremes(view(spark, d, _BIG, "orders"))
+
+
 @query("profile_numeric", f"WITH {s.numbers(LINE, 'lineitem')} {_STATS}")
 def profile_numeric(spark, d):
     return _stats(table(spark, d, "lineitem"))

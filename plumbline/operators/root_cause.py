@@ -63,14 +63,16 @@ def fair_score(dedup: DataFrame, keys: tuple = ()) -> DataFrame:
 
 
 def group_impacts(dedup: DataFrame) -> DataFrame:
-    """issue_group, kind, position, impact for the groups that occur."""
-    rows = [F.struct(F.lit(g).alias("issue_group"), F.lit(kind).alias("kind"),
-                     F.lit(i).alias("position"), F.lit(t).alias("impact"))
-            for g, sides in vocab.GROUP_IMPACTS.items()
-            for kind, texts in zip(("business", "technical"), sides)
-            for i, t in enumerate(texts, 1)]
-    table = dedup.sparkSession.range(1).select(F.inline(F.array(*rows)))
-    return table.join(dedup.select("issue_group").distinct(), "issue_group", "left_semi")
+    """issue_group, impact, penalties, points, saved, columns: what each group that occurs does
+    to the score, and where."""
+    sums = dedup.groupBy("issue_group").agg(
+        _severity_name(F.max(_severity_rank(F.col("impact")))).alias("impact"),
+        F.sum("merged").alias("penalties"), F.round(F.sum("deduction"), 2).alias("points"),
+        F.round(F.sum("saved"), 2).alias("saved"))
+    places = dedup.select("issue_group", F.explode("affected_columns").alias("column")).groupBy(
+        "issue_group").agg(F.array_sort(F.collect_set("column")).alias("columns"))
+    return sums.join(places, "issue_group", "left").withColumn(
+        "columns", F.coalesce("columns", F.array().cast("array<string>")))
 
 
 # ------------------------------------------------------------------ causes per column
@@ -186,6 +188,7 @@ def column_status(found: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ fix steps
 # group -> (action, priority rule, Spark snippet); '{c}' stands for the column.
+# Action names are fixed values; the hints are this library's own.
 _ACTIONS = {
     "DATE_QUALITY": (
         ("parse_dates", "high_else_medium",
@@ -251,7 +254,7 @@ def fill_values(df: DataFrame, missing: DataFrame) -> DataFrame:
     kinds = {c.name: c.kind for c in roles.columns(df)}
     gaps = {r["column"]: r["missing_count"] for r in missing.where("missing_count > 0").collect()}
     numeric = [n for n in gaps if kinds.get(n) == "numeric"]
-    other = [n for n in gaps if kinds.get(n) == "string"]
+    other = [n for n in gaps if kinds.get(n) != "numeric"]
     moments, modes = together(
         lambda: pin(profile.numeric_stats(df, numeric)),
         lambda: pin(profile.modes(histogram(text_cells(df, other)))))

@@ -74,18 +74,18 @@ def fair_score(spark, d):
         _penalties(spark, d), ("dataset_id",)), ("dataset_id",))
 
 
-_IMPACT_ROWS = ", ".join(
-    f"('{g}', '{kind}', {i}, '{t}')" for g, sides in vocab.GROUP_IMPACTS.items()
-    for kind, texts in zip(("business", "technical"), sides) for i, t in enumerate(texts, 1))
-
-
-@query("group_impacts", f"""WITH {_DEDUP}, t(issue_group, kind, position, impact) AS (
-VALUES {_IMPACT_ROWS}) SELECT * FROM t WHERE issue_group IN (SELECT issue_group FROM dedup
-WHERE saved > 0)""")
+@query("group_impacts", f"""WITH {_DEDUP}, places AS (SELECT issue_group, string_agg(DISTINCT c, ','
+  ORDER BY c) AS columns FROM (SELECT issue_group, unnest(string_split(columns, ',')) AS c
+  FROM dedup WHERE columns <> '') GROUP BY 1)
+SELECT issue_group, CASE max(CASE impact WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)
+  WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS impact,
+  CAST(sum(merged) AS BIGINT) AS penalties, round(sum(deduction), 2) AS points,
+  round(sum(saved), 2) AS saved, coalesce(any_value(places.columns), '') AS columns
+FROM dedup LEFT JOIN places USING (issue_group) GROUP BY 1""")
 def group_impacts(spark, d):
-    """Impacts of the groups whose penalties overlap."""
+    """What each group of penalties does over all score reports."""
     dedup = root_cause.deduplicate(_penalties(spark, d), ("dataset_id",))
-    return root_cause.group_impacts(dedup.where("saved > 0"))
+    return root_cause.group_impacts(dedup).withColumn("columns", F.array_join("columns", ","))
 
 
 _D = s.as_date("signup_date")

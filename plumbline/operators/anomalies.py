@@ -19,6 +19,7 @@ from plumbline.operators.profile import numeric_stats
 from plumbline.operators.quantiles import exact_quantiles
 
 METHODS = ("iqr", "zscore", "isolation_forest", "all")
+PAGE_LIMIT = 200
 _FLAGGED = "column string, value string, method string, n bigint"
 
 
@@ -114,12 +115,12 @@ def numeric_flags(df: DataFrame, method: str = "all",
 def date_like_columns(df: DataFrame) -> DataFrame:
     """column, non_null, date_share for string columns not named as dates.
 
-    Long cells cannot be dates, which keeps the parser away from free text.
+    The shapes of dates keep the parser away from free text.
     """
     names = [c.name for c in roles.columns(df)
              if c.kind == "string" and not c.has("id") and not c.has("date")]
     v = F.col("value")
-    like = (F.length(v) <= 40) & (dates.is_ambiguous(v) | dates.as_date(v).isNotNull())
+    like = dates.is_ambiguous(v) | dates.as_date(v).isNotNull()
     return (weighted_cells(df, names).groupBy("column").agg(
         tally(v.isNotNull()).alias("non_null"), tally(like).alias("dates"))
         .where(F.col("non_null") > 0)
@@ -228,18 +229,30 @@ def detect(df: DataFrame, method: str = "all", as_dates: list[str] | None = None
     return assemble(flagged(df, method, as_dates, moments, repeated))
 
 
-def cells(df: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
-    """Row-level view: key..., column, value, method, severity of every flagged cell."""
+def cells(df: DataFrame, found: DataFrame, key: list[str],
+          as_dates: list[str] | None = None) -> DataFrame:
+    """Row-level view: key..., column, value, method, severity of every flagged cell.
+
+    as_dates: the columns taken as dates when found was made; their values are compared
+    without white space around them, as flagged() lists them.
+    """
+    if as_dates is None:
+        as_dates = date_columns(df)
     names = [c.name for c in roles.columns(df) if c.name not in key]
-    pairs = [x for n in names for x in (F.lit(n), F.col(n).cast("double").cast("string")
-                                        if roles.is_numeric(df.schema[n].dataType)
-                                        else F.col(n).cast("string"))]
+
+    def shown(n):
+        c = F.col(n)
+        if roles.is_numeric(df.schema[n].dataType):
+            return c.cast("double").cast("string")
+        return text.strip(c) if n in as_dates else c.cast("string")
+    pairs = [x for n in names for x in (F.lit(n), shown(n))]
     tall = df.select(*key, F.stack(F.lit(len(names)), *pairs).alias("column", "value"))
     return tall.join(found.drop("n"), ["column", "value"]).select(
         *key, "column", "value", "method", "severity")
 
 
 def page(results: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
-    """Page of a per-column result, ordered by column; size is at most 200."""
-    size = min(size, 200)
+    """Page of a per-column result, ordered by column; pages above PAGE_LIMIT are refused."""
+    if not 1 <= size <= PAGE_LIMIT or number < 1:
+        raise ValueError(f"page {number} of size {size}: sizes go from 1 to {PAGE_LIMIT}")
     return results.orderBy("column").offset((number - 1) * size).limit(size)

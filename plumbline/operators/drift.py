@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from plumbline import roles, vocab
 from plumbline.functions import stats
-from plumbline.operators.cells import number_cells, pin, text_cells, together
+from plumbline.operators.cells import number_cells, pin, small_frame, text_cells, together
 from plumbline.operators.profile import normalised
 from plumbline.operators.running import cumulative
 
+_TESTED = ("column string, drift_type string, test string, statistic double, p_value double, "
+           "mean_a double, mean_b double, mean_shift double, std_shift double")
+
 
 def common_columns(a: DataFrame, b: DataFrame) -> tuple[list[str], list[str]]:
     """(numeric on both sides, other) columns both versions have."""
@@ -110,6 +113,8 @@ def detect(a: DataFrame, b: DataFrame) -> DataFrame:
                 F.lit(1.0)).alias("p_value"),
             null.alias("mean_a"), null.alias("mean_b"), null.alias("mean_shift"),
             null.alias("std_shift")))
+    if not parts:  # nothing to compare
+        parts.append(small_frame(a.sparkSession, [], _TESTED))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     p = F.col("p_value")
     return out.withColumn("is_drifted", p < vocab.DRIFT_P_VALUE).withColumn(

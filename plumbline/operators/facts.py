@@ -17,25 +17,19 @@ from plumbline.functions import dates, text
 from plumbline.operators.cells import (
     in_columns, names_of, number_cells, tally, text_cells, weighted_cells)
 
-DATE_CHARS = 40
-
 
 def _role(df: DataFrame, *names: str) -> Column:
     return in_columns(c.name for c in roles.columns(df) if any(c.has(r) for r in names))
 
 
-def _labels(c: Column, table) -> Column:
-    return F.array_sort(F.collect_set(dates.date_label(c, table)))
-
-
 def text_facts(df: DataFrame, as_of: dt.date | None = None,
                repeated: list[str] | None = None) -> DataFrame:
     """One row per string column.
 
     column, rows, nulls, missing, garbage, sentinel, placeholders, numeric, email_bad,
     email_bad_lenient, date_unparseable, date_bad_year, date_future, date_ambiguous,
-    date_non_iso, date_unlabelled, date_formats, cause_formats, date_like, age_bad.  Cells too long for a
-    date never reach the date parser.
+    date_non_iso, date_unlabelled, date_formats, cause_formats, date_like, age_bad.  Only cells in a
+    date's shape reach the date parser.
     """
     as_of_col = F.lit(as_of) if as_of else F.current_date()
     names = names_of(df, "string")
@@ -50,8 +44,7 @@ def text_facts(df: DataFrame, as_of: dt.date | None = None,
              .withColumn("stripped", text.strip(v))
              .withColumn("folded", F.lower("stripped"))
              .withColumn("ambiguous", s.rlike(vocab.AMBIGUOUS_DATE))
-             .withColumn("parsed", F.when(any_date | (F.length(s) <= DATE_CHARS),
-                                          F.when(~F.col("ambiguous"), dates.as_date(s)))))
+             .withColumn("parsed", F.when(~F.col("ambiguous"), dates.as_date(s))))
     known = v.isNotNull()
     lo, hi = vocab.AGE_RANGE
     age = text.as_num(v)

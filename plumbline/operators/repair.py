@@ -73,13 +73,16 @@ def fills(df: DataFrame, numbers: DataFrame, counts: DataFrame, intent: list[str
     """column, strategy, fill_value, missing, missing_pct for columns with missing cells."""
     numeric = _columns(df, "numeric")
     gaps = counts.select("column", "rows", "missing")
-    nulls = number_cells(df, numeric).groupBy("column").agg(
-        F.count("*").alias("rows"), F.count_if(F.col("value").isNull()).alias("missing"))
+    others = _columns(df, "other")
+    nulls = number_cells(df, numeric).select("column", F.col("value").isNull().alias("gap")).union(
+        text_cells(df, others).select("column", F.col("value").isNull().alias("gap"))).groupBy(
+        "column").agg(F.count("*").alias("rows"), F.count_if("gap").alias("missing"))
     gaps = pin(gaps.unionByName(nulls).where("missing > 0"))
     names = [r["column"] for r in gaps.collect()]
     number_names = [n for n in names if n in numbers.columns]
     words = [n for n in names if n not in numbers.columns]
-    clean = df.select([text.junk_normalise(F.col(n)).alias(n) for n in words]) if words else df
+    clean = df.select([F.col(n) if n in others else text.junk_normalise(F.col(n)).alias(n)
+                       for n in words]) if words else df
     moments, modes = together(
         lambda: pin(profile.numeric_stats(numbers, number_names)),
         lambda: pin(profile.modes(histogram(text_cells(clean, words)))))

@@ -7,7 +7,7 @@ the score is an aggregate over penalties.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ class ScoreConfig:
     as_of: dt.date | None = None
     with_security: bool = True
     with_pii: bool = True
-    overrides: dict = field(default_factory=dict)
+    values_per_column: int = vocab.ANOMALY_LIST_LIMIT  # anomalous values that cost points
 
 
 @dataclass(frozen=True)
@@ -46,15 +46,18 @@ class Measures:
     threats: DataFrame | None  # security.threat_counts
     pii: DataFrame | None      # pii.columns
     delimiters: DataFrame | None  # delimiters.delimiter_report
+    values_per_column: int = vocab.ANOMALY_LIST_LIMIT
 
 
 def measure(df: DataFrame, config: ScoreConfig = ScoreConfig(),
             delimiters: DataFrame | None = None) -> Measures:
-    """Run the measuring jobs.  Their number is fixed, whatever the number of columns.
+    """Run the measuring jobs.  Their number grows by one per 50 columns (distinct sketches)
+    and per 4 numeric columns (exact ranks).  Typed dates are measured as ISO texts.
 
     Results are bounded by the schema (a row per column, threat or PII type) and pinned, so
     the rules on top never rescan the table.
     """
+    df = roles.dates_as_text(df)
     others = [c.name for c in roles.columns(df) if c.kind == "other"]
     repeated = repeated_columns(df)
     size, text, numbers, rest, dups, variants, found, personal = together(
@@ -78,10 +81,12 @@ def measure(df: DataFrame, config: ScoreConfig = ScoreConfig(),
     return Measures(
         table=df, size=size.withColumn("columns", F.lit(len(roles.columns(df)))), text=text,
         missing=missing.withColumn(
-            "missing_pct", F.round(F.col("missing_count") * 100.0 / F.col("rows"), 2)),
+            "missing_pct", F.round(F.try_divide(
+                F.col("missing_count") * 100.0, F.col("rows")), 2)),
         duplicates=dups,
         ages=numbers.select("column", "age_bad").unionByName(text.select("column", "age_bad")),
-        variants=variants, anomalies=odd, threats=found, pii=personal, delimiters=delimiters)
+        variants=variants, anomalies=odd, threats=found, pii=personal, delimiters=delimiters,
+        values_per_column=config.values_per_column)
 
 
 def _row(dimension: str, reason: Column, impact, deduction: Column, columns: Column):
@@ -105,7 +110,7 @@ def completeness(m: Measures) -> DataFrame:
     cells = m.missing.agg(
         F.sum("missing_count").alias("missing"), F.sum("rows").alias("cells"),
         F.array_sort(F.collect_list(F.when(F.col("missing_count") > 0, F.col("column"))))
-        .alias("affected")).withColumn("p", F.col("missing") * 100.0 / F.col("cells"))
+        .alias("affected")).withColumn("p", F.try_divide(F.col("missing") * 100.0, F.col("cells")))
     missing = cells.where("missing > 0").select(*_row(
         "completeness", F.format_string("%.1f%% of cells are missing", pct),
         F.when(pct >= 20, "high").when(pct >= 5, "medium").otherwise("low"),
@@ -124,7 +129,7 @@ def validity(m: Measures) -> DataFrame:
         "validity", F.format_string("%d impossible age(s) in '%s'", "age_bad", "column"),
         "high", F.least(F.col("age_bad") * 2, F.lit(15)), one))
     t = m.text.withColumn("known", F.col("rows") - F.col("nulls"))
-    pct = F.col("email_bad") * 100.0 / F.col("known")
+    pct = F.try_divide(F.col("email_bad") * 100.0, F.col("known"))
     emails = t.where("email_bad > 0").select(*_row(
         "validity", F.format_string("%d invalid email(s) in '%s'", "email_bad", "column"),
         F.when(pct >= 50, "high").otherwise("medium"), F.least(pct * 0.5, F.lit(10.0)), one))
@@ -137,7 +142,7 @@ def validity(m: Measures) -> DataFrame:
     plain = [c.name for c in roles.columns(m.table) if c.kind == "string"
              and not any(c.has(r) for r in ("email", "date", "status", "id"))]
     odd = F.col("known") - F.col("numeric")
-    share = odd * 100.0 / F.col("known")
+    share = F.try_divide(odd * 100.0, F.col("known"))
     mixed = t.where(in_columns(plain) & (F.col("known") >= 5) & (odd >= 2)
                     & (F.col("numeric") >= 0.7 * F.col("known"))).select(*_row(
                         "validity", F.format_string(
@@ -170,7 +175,7 @@ def consistency(m: Measures) -> DataFrame:
 def uniqueness(m: Measures) -> DataFrame:
     """Duplicate rows, exact or apart from ids."""
     n = F.greatest("exact_dups", "logical_dups")
-    pct = n * 100.0 / F.col("rows")
+    pct = F.try_divide(n * 100.0, F.col("rows"))
     return m.duplicates.withColumn("n", n).withColumn("p", pct).where("n > 0").select(*_row(
         "uniqueness", F.format_string("%d duplicate row(s), %.1f%%", "n", "p"),
         F.when(F.col("p") >= 10, "high").when(F.col("p") >= 2, "medium").otherwise("low"),
@@ -209,7 +214,7 @@ def garbage(m: Measures) -> DataFrame:
     cells = m.missing.agg(F.sum("rows")).scalar()
     t = m.text.agg(F.coalesce(F.sum("garbage"), F.lit(0)).alias("g"),
                    F.coalesce(F.sum("placeholders"), F.lit(0)).alias("ph")).withColumn(
-                       "p", F.col("g") * 100.0 / cells)
+                       "p", F.try_divide(F.col("g") * 100.0, cells))
     words = t.where("g > 0").select(*_row(
         "garbage", F.format_string("%d garbage value(s), %.2f%% of cells", "g", "p"),
         F.when(F.col("p") >= 2, "medium").otherwise("low"),
@@ -221,8 +226,8 @@ def garbage(m: Measures) -> DataFrame:
 
 
 def anomaly_penalty(m: Measures) -> DataFrame:
-    """Anomalous values weighted by severity; at most 50 values count per column."""
-    n = F.least("distinct_values", F.lit(vocab.ANOMALY_LIST_LIMIT))
+    """Anomalous values weighted by severity; so many values count per column."""
+    n = F.least("distinct_values", F.lit(m.values_per_column))
     by = m.anomalies.agg(
         *[F.coalesce(F.sum(F.when(F.col("severity") == s, n)), F.lit(0)).alias(s)
           for s in ("high", "medium", "low")],

@@ -141,10 +141,11 @@ def test_isolation_forest_flags_extremes(spark):
 
 
 def test_isolation_forest_ignores_partitioning(spark):
-    df = spark.createDataFrame(pd.DataFrame({"v": np.arange(500.0) ** 2}))
-    a = isolation.flagged_ranges(df.coalesce(1)).first()["ranges"]
-    b = isolation.flagged_ranges(df.coalesce(1)).first()["ranges"]
-    assert a == b
+    df = spark.range(60_000).select(F.col("id").alias("n"), (F.randn(3) * 10).alias("x"))
+    df = spark.createDataFrame(df.toPandas())
+    got = [{(r["value"], r["n"]) for r in anomalies.numeric_flags(
+        df.repartition(parts), "isolation_forest").collect()} for parts in (1, 3, 16)]
+    assert got[0] and got[0] == got[1] == got[2]
 
 
 # ------------------------------------------------------------------ security and PII
@@ -516,3 +517,100 @@ def test_large_samples_use_a_hash_cut(spark):
 def test_flagged_rows_are_counted_exactly(spark):
     df = frame(spark, "v", [float(x % 10) for x in range(100)] + [500.0] * 3, "double")
     assert anomalies.numeric_flags(df, "iqr").first()["n"] == 3
+
+
+def test_user_columns_with_row_prefix_are_data(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2, "f")], "a int, _row_total int, _row_file string")
+    writers.write(df, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).columns == ["a", "_row_total"]
+    store = versions.VersionStore(spark, str(tmp_path / "store"))
+    store.register("d", df)
+    assert store.read("d").columns == ["a", "_row_total"]
+
+
+def test_padded_dates_are_dates(spark):
+    rows = [(" " * 40 + f"2024-01-{i % 28 + 1:02d}",) for i in range(30)]
+    df = spark.createDataFrame(rows, "when_ string")
+    assert anomalies.date_columns(df) == ["when_"]
+
+
+def test_cells_of_padded_dates(spark):
+    rows = [(i, f"2024-01-{i % 28 + 1:02d}") for i in range(40)]
+    df = spark.createDataFrame(rows + [(40, "  2024-02-30 "), (41, "2024-02-30")],
+                               "id long, start_date string")
+    found = anomalies.flagged(df, "iqr")
+    got = anomalies.cells(df, found, ["id"]).where("method = 'date_validation'")
+    assert {r["id"] for r in got.collect()} == {40, 41}
+
+
+def test_pages_above_the_limit_are_refused(spark):
+    df = spark.createDataFrame([("a",)], "column string")
+    with pytest.raises(ValueError, match="500"):
+        anomalies.page(df, 1, 500)
+
+
+def test_empty_table_has_a_score(spark):
+    df = spark.createDataFrame([], "id long, age int, email string, start_date string, d date")
+    assert score.score(df, CFG).quality.count() == 1
+
+
+def test_no_common_column(spark):
+    a, b = spark.range(20).toDF("x"), spark.range(20).toDF("y")
+    got = drift.detect(a, b)
+    assert got.count() == 0 and "is_drifted" in got.columns
+
+
+def test_typed_dates_cost_as_much_as_text(spark):
+    rows = [(i, dt.date(1850, 1, 1) if i < 40 else dt.date(2020, 5, i % 28 + 1))
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "n long, start_date date")
+    text_df = df.withColumn("start_date", F.col("start_date").cast("string"))
+    got = [sorted(map(str, score.score(x, CFG).penalties.collect())) for x in (df, text_df)]
+    assert got[0] == got[1] and any("invalid date" in p for p in got[0])
+
+
+def test_missing_dates_and_flags_are_filled(spark):
+    rows = [(i, dt.date(2020, 1, 1) if i % 5 < 2 else None, True if i % 5 < 2 else None)
+            for i in range(50)]
+    df = spark.createDataFrame(rows, "n long, day date, flag boolean")
+    got = {(r["column"], r["action"]): r["fill_value"] for r in repair.suggest(df).collect()}
+    assert got["day", "fill_mode"] == "2020-01-01" and got["flag", "fill_mode"] == "true"
+    assert ("day", "review_column") in got
+    fills = root_cause.fill_values(df, profile.missing(df)).collect()
+    assert {r["column"] for r in fills} == {"day", "flag"}
+
+
+def test_all_remaining_issues(spark):
+    df = spark.createDataFrame([(1,) + (None,) * 8], "a int, " + ", ".join(
+        f"c{i} string" for i in range(8)))
+    assert cleaning.remaining_issues(df).count() == 8
+
+
+def test_surplus_fields_are_refused(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("a,b\n1,2\n4,5,6\n7\n")
+    assert readers.csv_records(spark, str(path)).first() == (3, 1)
+    with pytest.raises(readers.IngestError, match="1 record"):
+        readers.read(spark, str(path), "csv")
+
+
+def test_sources_without_records_are_refused(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("a,b\n")
+    with pytest.raises(readers.IngestError, match="no records"):
+        readers.read(spark, str(path), "csv")
+
+
+def test_outliers_write_nothing(spark, tmp_path):
+    df = spark.createDataFrame([(float(i % 10), float(i % 7)) for i in range(300)]
+                               + [(1e6, 1.0), (1.0, 1e6)], "x double, y double")
+    out, gone, _ = cleaning.remove_outliers(df)
+    assert gone == 2 and "Filter" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_narrowing_merges_sketches_in_levels(spark):
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("x"))
+    got = exact_quantiles(df, ["x"], (0.25, 0.5), exact_limit=1000).first()
+    ids = sorted(i * 7919 % 200_003 for i in range(200_000))
+    h = 199_999 * 0.25
+    assert got["q_25"] == ids[int(h)] + (h - int(h)) * (ids[int(h) + 1] - ids[int(h)])

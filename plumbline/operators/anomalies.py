@@ -17,6 +17,7 @@ from plumbline.operators.cells import (
     weighted_cells)
 from plumbline.operators.profile import numeric_stats
 from plumbline.operators.quantiles import exact_quantiles
+from plumbline.roles import col
 
 METHODS = ("iqr", "zscore", "isolation_forest", "all")
 PAGE_LIMIT = 200
@@ -241,7 +242,7 @@ def cells(df: DataFrame, found: DataFrame, key: list[str],
     names = [c.name for c in roles.columns(df) if c.name not in key]
 
     def shown(n):
-        c = F.col(n)
+        c = col(n)
         if roles.is_numeric(df.schema[n].dataType):
             return c.cast("double").cast("string")
         return text.strip(c) if n in as_dates else c.cast("string")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import roles
+from plumbline.roles import col
 
 TABLE = "__all__"
 
@@ -37,7 +38,7 @@ def text_cells(df: DataFrame, names: list[str]) -> DataFrame:
         return small_frame(df.sparkSession, [], "column string, value string")
     # stack instead of unpivot: generated code for shared regex results over an unpivot
     # does not compile in Spark 4.1, and the interpreted fallback is several times slower
-    pairs = [x for n in names for x in (F.lit(n), F.col(n).cast("string"))]
+    pairs = [x for n in names for x in (F.lit(n), col(n).cast("string"))]
     return df.select(F.stack(F.lit(len(names)), *pairs).alias("column", "value"))
 
 
@@ -45,8 +46,8 @@ def number_cells(df: DataFrame, names: list[str]) -> DataFrame:
     """(column, value DOUBLE) for the named numeric columns."""
     if not names:
         return small_frame(df.sparkSession, [], "column string, value double")
-    return (df.select([F.col(n).cast("double").alias(n) for n in names])
-            .unpivot([], names, "column", "value"))
+    return (df.select([col(n).cast("double").alias(n) for n in names])
+            .unpivot([], [col(n) for n in names], "column", "value"))
 
 
 REPEATED_SHARE = 0.2
@@ -63,7 +64,7 @@ def repeated_columns(df: DataFrame, names: list[str] | None = None) -> list[str]
     for i in range(0, len(names), 50):
         part = names[i:i + 50]
         row = df.agg(F.count("*").alias("rows"), *[
-            F.approx_count_distinct(F.col(n), 0.05).alias(f"d{j}")
+            F.approx_count_distinct(col(n), 0.05).alias(f"d{j}")
             for j, n in enumerate(part)]).first()
         out += [n for j, n in enumerate(part) if row[f"d{j}"] <= REPEATED_SHARE * row["rows"]]
     return out

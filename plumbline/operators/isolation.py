@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from plumbline import roles, vocab
 from plumbline.operators.cells import names_of, number_cells, pin
+from plumbline.roles import col
 
 # ship the worker functions by value: executors need no installed copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -99,7 +100,7 @@ def _sampled(df: DataFrame, grid: int) -> DataFrame:
     rows = df.count()
     if rows <= 2 * grid:
         return df
-    cells = [F.col(c.name) for c in roles.columns(df)]
+    cells = [col(c.name) for c in roles.columns(df)]
     cut = int(-(2 ** 63) + grid / rows * 2 ** 64)
     return df.where(F.xxhash64(F.lit(SEED), *cells) <= F.lit(cut).cast("bigint"))
 

@@ -9,6 +9,7 @@ from plumbline import roles, vocab
 from plumbline.functions import text
 from plumbline.operators.cells import (
     repeated_columns, tally, text_cells, weighted_cells)
+from plumbline.roles import col
 
 SAMPLES = 5
 # A cheap condition every match implies.  It is tested first and shared between types, so
@@ -27,10 +28,10 @@ def as_text(df: DataFrame) -> DataFrame:
     """All atomic columns as plain text; doubles without exponents."""
     out = []
     for c in roles.columns(df):
-        col = F.col(c.name)
+        cell = col(c.name)
         if c.dtype.typeName() in ("double", "float"):
-            col = text.num_text(col.cast("double"))
-        out.append(col.cast("string").alias(c.name))
+            cell = text.num_text(cell.cast("double"))
+        out.append(cell.cast("string").alias(c.name))
     return df.select(out)
 
 

@@ -10,6 +10,7 @@ from plumbline.functions import stats, text
 from plumbline.operators.cells import (
     histogram, in_columns, names_of, number_cells, pin, small_frame, text_cells)
 from plumbline.operators.quantiles import exact_quantiles
+from plumbline.roles import col
 
 TOP_VALUES = 10
 SAMPLE_VALUES = 5
@@ -18,7 +19,7 @@ SAMPLE_VALUES = 5
 def normalised(df: DataFrame) -> DataFrame:
     """String columns with null words nulled; everything else untouched."""
     strings = {c.name for c in roles.columns(df) if c.kind == "string"}
-    return df.select([text.null_normalise(F.col(n)).alias(n) if n in strings else F.col(n)
+    return df.select([text.null_normalise(col(n)).alias(n) if n in strings else col(n)
                       for n in df.columns])
 
 
@@ -29,9 +30,9 @@ def missing(df: DataFrame) -> DataFrame:
     """
     pairs = []
     for c in roles.columns(df):
-        gap = F.col(c.name).isNull()
+        gap = col(c.name).isNull()
         if c.kind == "string":
-            gap = gap | F.col(c.name).isin(*vocab.NULL_PATTERNS)
+            gap = gap | col(c.name).isin(*vocab.NULL_PATTERNS)
         pairs += [F.lit(c.name), gap]
     flags = df.select(F.stack(F.lit(len(pairs) // 2), *pairs).alias("column", "gap"))
     return (flags.groupBy("column")
@@ -49,7 +50,7 @@ def missing_share(df: DataFrame) -> DataFrame:
 def null_rows(df: DataFrame) -> DataFrame:
     """One row: null_rows, rows.  Raw cells; null words do not count here."""
     names = [c.name for c in roles.columns(df)]
-    empty = F.coalesce(*[F.col(n).cast("string") for n in names]).isNull()
+    empty = F.coalesce(*[col(n).cast("string") for n in names]).isNull()
     return df.agg(F.count_if(empty).alias("null_rows"), F.count("*").alias("rows"))
 
 
@@ -59,7 +60,7 @@ def _id_columns(df: DataFrame) -> list[str]:
 
 def _row_hash(names: list[str]) -> list:
     """Two hashes of the named cells; a null counts as a flag of its place."""
-    cells = [x for n in names for x in (F.col(n).isNull(), F.col(n))]
+    cells = [x for n in names for x in (col(n).isNull(), col(n))]
     return [F.xxhash64(F.lit(seed), *cells).alias(f"_h{seed}") for seed in (1, 2)]
 
 
@@ -74,13 +75,13 @@ def duplicates(df: DataFrame) -> DataFrame:
     ids = _id_columns(df)
     rest = [n for n in names if n not in ids]
     key = ["_h1", "_h2"]
-    hashed = df.select(*names, *_row_hash(rest or names))
+    hashed = df.select(*map(col, names), *_row_hash(rest or names))
     counts = hashed.groupBy(*key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
     suspects = hashed.join(counts.where("_n > 1").select(*key), key, "left_semi")
-    distinct = suspects.groupBy(*names).agg(F.count("*").alias("_n"))
+    distinct = suspects.groupBy(*map(col, names)).agg(F.count("*").alias("_n"))
     if ids and rest:
-        groups = distinct.groupBy(*rest).agg(F.sum("_n").alias("_n"), F.count("*").alias("_d"))
+        groups = distinct.groupBy(*map(col, rest)).agg(F.sum("_n").alias("_n"), F.count("*").alias("_d"))
     else:
         groups = distinct.withColumn("_d", F.lit(1))
     agg = groups.agg(
@@ -122,9 +123,9 @@ def unique_counts(df: DataFrame) -> DataFrame:
             c.name)
     out = None
     for kind, names in groups.items():
-        source = normalised(df.select(names)) if kind == "string" else df
-        cells = source.select([F.col(n).cast(kind).alias(n) for n in names]).unpivot(
-            [], names, "column", "value")
+        source = normalised(df.select([col(n) for n in names])) if kind == "string" else df
+        cells = source.select([col(n).cast(kind).alias(n) for n in names]).unpivot(
+            [], [col(n) for n in names], "column", "value")
         part = distinct_counts(histogram(cells))
         out = part if out is None else out.unionByName(part)
     return out
@@ -137,8 +138,8 @@ def approx_distinct_counts(df: DataFrame, rsd: float = 0.02) -> DataFrame:
     clean, out = normalised(df), None
     for i in range(0, len(names), 50):
         part = names[i:i + 50]
-        wide = clean.agg(*[F.approx_count_distinct(F.col(n), rsd).alias(n) for n in part])
-        tall = wide.unpivot([], part, "column", "unique_count")
+        wide = clean.agg(*[F.approx_count_distinct(col(n), rsd).alias(n) for n in part])
+        tall = wide.unpivot([], [col(n) for n in part], "column", "unique_count")
         out = tall if out is None else out.unionByName(tall)
     return out
 
@@ -178,7 +179,7 @@ def extremes(df: DataFrame) -> DataFrame:
     if not names:
         return small_frame(df.sparkSession, [],
                            "column string, min_value string, max_value string")
-    both = df.agg(*[f(F.col(n)).cast("string").alias(f"{k}{i}") for i, n in enumerate(names)
+    both = df.agg(*[f(col(n)).cast("string").alias(f"{k}{i}") for i, n in enumerate(names)
                     for k, f in (("a", F.min), ("z", F.max))])
     return both.select(F.inline(F.array(*[F.struct(
         F.lit(n).alias("column"), F.col(f"a{i}").alias("min_value"),
@@ -188,9 +189,10 @@ def extremes(df: DataFrame) -> DataFrame:
 def sample_values(df: DataFrame, order: list[str], k: int = SAMPLE_VALUES) -> DataFrame:
     """column, rank, value: the first k non-null cells in the given row order."""
     names = [c.name for c in roles.columns(df) if c.name not in order]
-    keys = [F.col(o).alias(f"_o{i}") for i, o in enumerate(order)]
-    cells = (normalised(df).select(*keys, *[F.col(n).cast("string").alias(n) for n in names])
-             .unpivot([f"_o{i}" for i in range(len(order))], names, "column", "value")
+    keys = [col(o).alias(f"_o{i}") for i, o in enumerate(order)]
+    cells = (normalised(df).select(*keys, *[col(n).cast("string").alias(n) for n in names])
+             .unpivot([f"_o{i}" for i in range(len(order))], [col(n) for n in names], "column",
+                     "value")
              .where(F.col("value").isNotNull()))
     w = Window.partitionBy("column").orderBy(*[f"_o{i}" for i in range(len(order))])
     return (cells.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -200,7 +202,7 @@ def sample_values(df: DataFrame, order: list[str], k: int = SAMPLE_VALUES) -> Da
 def categorical_flags(df: DataFrame, hist: DataFrame) -> DataFrame:
     """column, unique_count, is_potentially_categorical for string columns."""
     strings = names_of(df, "string")
-    return (missing(df.select(strings)).join(distinct_counts(hist), "column", "left")
+    return (missing(df.select([col(n) for n in strings])).join(distinct_counts(hist), "column", "left")
             .select("column", F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
                     (F.coalesce("unique_count", F.lit(0))
                      < F.greatest(F.lit(10.0), F.col("rows") * 0.05))

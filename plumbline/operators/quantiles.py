@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.cells import number_cells, small_frame, together
+from plumbline.roles import col
 
 EXACT_LIMIT = 1_000_000
 _SKETCH = 4_000        # size parameter of a sketch
@@ -22,7 +23,7 @@ _BATCH = 80
 
 
 def _num(name: str):
-    return F.col(name).cast("double")
+    return col(name).cast("double")
 
 
 def exact_quantiles(df: DataFrame, names: list[str], probs=(0.25, 0.5, 0.75),
@@ -105,7 +106,7 @@ def _batches(items: list):
 
 
 def _inside(name: str, lo: float, hi: float):
-    c = F.col(name)
+    c = col(name)
     cond = c.isNotNull()
     if lo != -math.inf:
         cond &= c > lo
@@ -153,7 +154,7 @@ def _merged_sketches(df, part) -> dict:
     others: first among about the square root of the partitions, then the results."""
     groups = max(8, math.isqrt(df.rdd.getNumPartitions()))
     level = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("group")).agg(*[
-        F.kll_sketch_agg_double(F.when(_inside(*key[:3]), F.col(key[0])), F.lit(_SKETCH))
+        F.kll_sketch_agg_double(F.when(_inside(*key[:3]), col(key[0])), F.lit(_SKETCH))
         .alias(f"x{i}") for i, (key, _) in enumerate(part)])
     row = level.agg(*[F.kll_merge_agg_double(f"x{i}", F.lit(_SKETCH)).alias(f"x{i}")
                       for i in range(len(part))]).select(*[
@@ -167,7 +168,7 @@ def _count(df, todo, brackets):
     exprs: dict = {}
     for t, (lo, hi, _, _) in todo.items():
         a, b = brackets[t]
-        c, key = F.col(t[0]), (t[0], lo, hi, a, b)
+        c, key = col(t[0]), (t[0], lo, hi, a, b)
         if (key, 0) not in exprs:
             inside = _inside(t[0], lo, hi)
             exprs[key, 0] = F.count_if(inside & (c < a))
@@ -189,7 +190,7 @@ def _pick(df, finish, limit):
     for t, (lo, hi, rank, inside) in finish.items():
         shared.setdefault((t[0], lo, hi), []).append((t, (rank + 0.5) / inside))
     items = [(key, F.percentile_approx(
-        F.when(_inside(*key), F.col(key[0])), [p for _, p in pairs],
+        F.when(_inside(*key), col(key[0])), [p for _, p in pairs],
         4 * max(limit, 1_000))) for key, pairs in shared.items()]
     parts = [items[i:i + 4] for i in range(0, len(items), 4)]  # bounds a task's memory
     got: dict = {}

@@ -12,6 +12,7 @@ from plumbline.operators.cells import (
     TABLE, histogram, in_columns, number_cells, pin, small_frame, tally, text_cells, together,
     weighted_cells)
 from plumbline.operators.quantiles import exact_quantiles
+from plumbline.roles import col
 
 SUGGESTION = ("column", "issue_type", "action", "affected", "fill_value", "detail")
 
@@ -53,8 +54,8 @@ def numeric_intent(df: DataFrame, counts: DataFrame) -> list[str]:
 
 def as_numbers(df: DataFrame, text_columns: list[str]) -> DataFrame:
     """All numeric-intent columns of df as doubles."""
-    out = [F.col(n).cast("double").alias(n) for n in _columns(df, "numeric")]
-    return df.select(out + [text.as_num(F.col(n)).alias(n) for n in text_columns])
+    out = [col(n).cast("double").alias(n) for n in _columns(df, "numeric")]
+    return df.select(out + [text.as_num(col(n)).alias(n) for n in text_columns])
 
 
 def out_of_range(numbers: DataFrame, rules=vocab.DOMAIN_RULES_REPAIR) -> DataFrame:
@@ -81,7 +82,7 @@ def fills(df: DataFrame, numbers: DataFrame, counts: DataFrame, intent: list[str
     names = [r["column"] for r in gaps.collect()]
     number_names = [n for n in names if n in numbers.columns]
     words = [n for n in names if n not in numbers.columns]
-    clean = df.select([F.col(n) if n in others else text.junk_normalise(F.col(n)).alias(n)
+    clean = df.select([col(n) if n in others else text.junk_normalise(col(n)).alias(n)
                        for n in words]) if words else df
     moments, modes = together(
         lambda: pin(profile.numeric_stats(numbers, number_names)),

@@ -16,6 +16,7 @@ from plumbline import roles, vocab
 from plumbline.operators import anomalies, facts, pii, profile, security
 from plumbline.operators.cells import in_columns, pin, repeated_columns, together
 from plumbline.operators.running import with_previous
+from plumbline.roles import col
 
 PENALTY = ("dimension", "reason", "impact", "deduction", "affected_columns")
 
@@ -64,7 +65,7 @@ def measure(df: DataFrame, config: ScoreConfig = ScoreConfig(),
         lambda: pin(profile.null_rows(df)),
         lambda: pin(facts.text_facts(df, config.as_of, repeated)),
         lambda: pin(facts.number_facts(df)),
-        lambda: pin(profile.missing(df.select(others))) if others else None,
+        lambda: pin(profile.missing(df.select([col(n) for n in others]))) if others else None,
         lambda: pin(profile.duplicates(df)),
         lambda: pin(facts.case_variants(df, "status")),
         lambda: pin(security.threat_counts(df, None, repeated))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline import vocab
 from plumbline.functions.text import matched
 from plumbline.operators.cells import names_of, tally, weighted_cells
+from plumbline.roles import col
 
 VALUE_CHARS, MATCH_CHARS, DISPLAY_ROWS = 200, 80, 100
 
@@ -24,14 +25,13 @@ def findings(df: DataFrame, key: list[str], columns: list[str] | None = None) ->
     names = [n for n in (columns or names_of(df, "string")) if n not in key]
     entries = []
     for n in names:
-        c = F.col(n)
+        c = col(n)
         for threat, (pattern, severity, _) in vocab.THREATS.items():
             match = F.char(F.lit(0)) if threat == "null_byte" else matched(c, pattern)
             entries.append(F.when(_hit(c, threat), F.struct(
                 F.lit(n).alias("column"), F.lit(threat).alias("threat_type"),
                 F.lit(severity).alias("severity"),
-                F.substring(c, 1, VALUE_CHARS).alias("value"),
-                F.substring(match, 1, MATCH_CHARS).alias("matched_pattern"))))
+                c.alias("value"), match.alias("matched_pattern"))))
     hits = F.filter(F.array(*entries), lambda x: x.isNotNull())
     return df.select(*key, F.inline(hits))
 
@@ -71,5 +71,7 @@ def verdict(counts: DataFrame) -> DataFrame:
 
 
 def display(found: DataFrame, key: list[str], n: int = DISPLAY_ROWS) -> DataFrame:
-    """The first findings in a fixed order, for showing only."""
-    return found.orderBy(*key, "column", "threat_type").limit(n)
+    """The first findings in a fixed order, their texts shortened: for showing only."""
+    return found.orderBy(*key, "column", "threat_type").limit(n).withColumns({
+        "value": F.substring("value", 1, VALUE_CHARS),
+        "matched_pattern": F.substring("matched_pattern", 1, MATCH_CHARS)})

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline import roles
 from plumbline.operators.running import with_previous
+from plumbline.roles import col
 
 LOG_SCHEMA = ("dataset_id string, version bigint, event string, row_count bigint, "
               "col_count bigint, columns array<string>, changes array<string>, path string, "
@@ -117,7 +118,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
     Two sums of row hashes with different seeds.  A null takes part as a flag of its column,
     as the hash itself passes over nulls.
     """
-    cells = [x for c in roles.columns(df) for x in (F.col(c.name).isNull(), F.col(c.name))]
+    cells = [x for c in roles.columns(df) for x in (col(c.name).isNull(), col(c.name))]
     sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), *cells).cast("decimal(38,0)")), F.lit(0))
             .cast("string") for seed in (1, 2)]
     return df.agg(F.count("*").alias("rows"), F.concat_ws("/", *sums).alias("checksum"))
@@ -168,7 +169,7 @@ class VersionStore:
         version = row["version"] if row else 1
         path = f"{self.root}/data/{dataset}/v={version}"
         names = [c for c in df.columns if c not in roles.ROW_IDENTITY]
-        df.select(names).write.mode("error").parquet(path)
+        df.select([col(n) for n in names]).write.mode("error").parquet(path)
         rows = self.spark.read.parquet(path).count()  # answered from file footers
         self._append(dataset, version, "create", rows, names, changes, path)
         return version

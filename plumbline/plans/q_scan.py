@@ -35,8 +35,8 @@ def _finding_rows(source: str, key: str, names) -> str:
         for t, (pattern, sev, _) in vocab.THREATS.items():
             got = "chr(0)" if t == "null_byte" else f"regexp_extract({n}, '{pattern}', 0)"
             rows.append(f"SELECT {key}, '{n}' AS \"column\", '{t}' AS threat_type, "
-                        f"'{sev}' AS severity, substr({n}, 1, 200) AS value, "
-                        f"substr({got}, 1, 80) AS matched_pattern FROM {source} "
+                        f"'{sev}' AS severity, {n} AS value, "
+                        f"{got} AS matched_pattern FROM {source} "
                         f"WHERE {threat(n, t)}")
     return " UNION ALL ".join(rows)
 

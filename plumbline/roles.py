@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,11 @@ _NAME_ROLES = {
 ROW_IDENTITY = ("_row_file", "_row_index")
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def norm(name: str) -> str:
     """Column name as the role tables compare it."""
     return name.lower().strip()
@@ -90,7 +95,7 @@ def dates_as_text(df: DataFrame) -> DataFrame:
     rules for written dates hold for them too."""
     typed = [c.name for c in columns(df) if c.dtype.typeName() in ("date", "timestamp", "timestamp_ntz")
              and (c.has("date") or c.has("cause_date"))]
-    return df.withColumns({n: F.date_format(n, "yyyy-MM-dd") for n in typed}) if typed else df
+    return df.withColumns({n: F.date_format(col(n), "yyyy-MM-dd") for n in typed}) if typed else df
 
 
 def skipped_columns(df: DataFrame) -> list[tuple[str, str]]:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from plumbline import roles, vocab
 from plumbline.functions import text
+from plumbline.roles import col
 
 FORMATS = ("csv", "json", "parquet")
 _CORRUPT = "_corrupt_record"
@@ -28,15 +29,15 @@ class IngestError(ValueError):
 def null_reader_tokens(df: DataFrame) -> DataFrame:
     """Null the CSV reader's missing-value tokens in every string column."""
     return df.select([
-        F.when(~F.col(f.name).isin(*vocab.READER_NA), F.col(f.name)).alias(f.name)
-        if roles.is_string(f.dataType) else F.col(f.name) for f in df.schema.fields])
+        F.when(~col(f.name).isin(*vocab.READER_NA), col(f.name)).alias(f.name)
+        if roles.is_string(f.dataType) else col(f.name) for f in df.schema.fields])
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """One notion of 'missing': NaN becomes null in floating-point columns."""
     return df.select([
-        F.when(~F.isnan(F.col(f.name)), F.col(f.name)).alias(f.name)
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f.name)
+        F.when(~F.isnan(col(f.name)), col(f.name)).alias(f.name)
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else col(f.name)
         for f in df.schema.fields])
 
 
@@ -48,7 +49,7 @@ def inferred_types(df: DataFrame) -> DataFrame:
     """
     names = [f.name for f in df.schema.fields
              if roles.is_string(f.dataType) and f.name != _CORRUPT]
-    cells = df.select(names).unpivot([], names, "column", "value")
+    cells = df.unpivot([], [col(n) for n in names], "column", "value")
     v = F.col("value")
     return (cells.groupBy("column").agg(
         F.count(v).alias("non_null"),
@@ -75,7 +76,7 @@ def infer(df: DataFrame) -> DataFrame:
 
     def cast(name):
         kind = kinds.get(name, "string")
-        c = F.col(name)
+        c = col(name)
         if kind in ("bigint", "double", _WIDE):
             return text.strip(c).try_cast(kind).alias(name)
         if kind == "boolean":
@@ -180,7 +181,7 @@ def sample_exact(df: DataFrame, n: int = vocab.PROFILE_SAMPLE_ROWS, seed: int =
     never sees the whole table.  Row contents break ties: the result does not depend on
     partitioning.
     """
-    names, rows = df.columns, df.count()
+    names, rows = [col(n) for n in df.columns], df.count()
     h = F.xxhash64(F.lit(seed), *names)
     share = 1.2 * n / max(rows, 1) + 1e-6
     kept = df
@@ -196,5 +197,5 @@ def sample_exact(df: DataFrame, n: int = vocab.PROFILE_SAMPLE_ROWS, seed: int =
 def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     """Approximate-size sample decided row by row from the row hash: no shuffle at all."""
     buckets = 1_000_000
-    keep = F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(buckets)) < int(fraction * buckets)
+    keep = F.pmod(F.xxhash64(F.lit(seed), *[col(n) for n in df.columns]), F.lit(buckets)) < int(fraction * buckets)
     return df.where(keep)

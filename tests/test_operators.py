@@ -161,9 +161,11 @@ def test_threats(spark):
     assert v["score_deduction"] == 25 + 25 + 15 + 20 + 10
 
 
-def test_findings_are_shortened(spark):
+def test_only_shown_findings_are_shortened(spark):
     df = frame(spark, "c", ["<script>" + "x" * 500 + "</script>"]).withColumn("k", F.lit(1))
-    r = security.findings(df, ["k"]).first()
+    found = security.findings(df, ["k"])
+    assert len(found.first()["value"]) == 517
+    r = security.display(found, ["k"]).first()
     assert len(r["value"]) == 200 and len(r["matched_pattern"]) == 80
 
 
@@ -614,3 +616,19 @@ def test_narrowing_merges_sketches_in_levels(spark):
     ids = sorted(i * 7919 % 200_003 for i in range(200_000))
     h = 199_999 * 0.25
     assert got["q_25"] == ids[int(h)] + (h - int(h)) * (ids[int(h) + 1] - ids[int(h)])
+
+
+def test_column_names_with_dots(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("id,price.usd,e mail.x,start_date\n" + "".join(
+        f"{i},{i * 1.5},{'N/A' if i % 4 == 0 else 'a@b.co'},2024-01-{i % 28 + 1:02d}\n"
+        for i in range(40)))
+    df = readers.read(spark, str(path), "csv")
+    assert df.schema["price.usd"].dataType.typeName() == "double"
+    rows = {r["column"]: r for r in profile.profile(df).collect()}
+    assert rows["price.usd"]["max"] == 58.5 and rows["e mail.x"]["unique_count"] == 1
+    assert score.score(df, score.ScoreConfig(as_of=dt.date(2025, 1, 1))).quality.count() == 1
+    assert "price.usd" in {r["column"] for r in drift.detect(df, df).collect()}
+    repair.suggest(df).collect()
+    out = cleaning.clean(df, cleaning.Options(force_gate=True, remove_outliers=True), CFG)
+    assert out.table.columns == df.columns

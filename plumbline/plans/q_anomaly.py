@@ -105,6 +105,21 @@ def isolation_forest_share(spark, d):
             F.avg(hit.cast("double")).alias("share"))
 
 
+@query("isolation_forest_properties", f"""WITH {s.numbers(_LINE, 'lineitem')} SELECT "column",
+  count(*) AS rows, true AS share_fits, true AS repeatable FROM nums GROUP BY 1""")
+def isolation_forest_properties(spark, d):
+    """About five percent of the rows of spread-out columns, and the same in any partitioning."""
+    df = table(spark, d, "lineitem").select(*_LINE)
+    ranges = isolation.flagged_ranges(df)
+    again = isolation.flagged_ranges(df.repartition(3)).withColumnRenamed("ranges", "again")
+    hit = F.coalesce(isolation.in_ranges(F.col("value"), F.col("ranges")), F.lit(False))
+    # columns of a few values may have no rare one
+    return number_cells(df, list(_LINE)).join(F.broadcast(ranges), "column", "left").join(
+        F.broadcast(again), "column", "left").groupBy("column").agg(
+        F.count("*").alias("rows"), (F.avg(hit.cast("double")) <= 0.08).alias("share_fits"),
+        F.bool_and(F.col("ranges").eqNullSafe(F.col("again"))).alias("repeatable"))
+
+
 def _text(spark, d, wanted):
     df = people(spark, d)
     return anomalies.text_flags(df, ["signup_date"]).where(

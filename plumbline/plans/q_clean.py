@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline import vocab
 from plumbline.operators import cleaning, repair
 from plumbline.plans import sqltext as s
-from plumbline.plans.fixtures import people, table
+from plumbline.plans.fixtures import people, table, view
 from plumbline.plans.q_scalar import _canonical
 from plumbline.plans.q_score import CONFIG
 from plumbline.plans.registry import query
@@ -286,6 +286,25 @@ def step_confidence(spark, d):
         F.col("key"), F.col("affected"), F.lit(100)))
 
 
+_SPARSE = """SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 2 THEN o_orderpriority END AS note,
+  CASE WHEN o_orderkey % 5 < 2 THEN o_orderdate END AS day,
+  CASE WHEN o_orderkey % 10 < 9 THEN o_orderkey % 3 = 0 END AS flag FROM orders"""
+
+
+@query("suggestions_sparse", f"""WITH t AS ({_SPARSE}), g AS (
+  SELECT 'note' AS "column", count(*) AS r, count(*) - count(note) AS m FROM t
+  UNION ALL SELECT 'day', count(*), count(*) - count(day) FROM t
+  UNION ALL SELECT 'flag', count(*), count(*) - count(flag) FROM t)
+SELECT "column", 'missing_values' AS issue_type, 'fill_mode' AS action, m AS affected FROM g
+WHERE m > 0
+UNION ALL SELECT "column", 'high_missing_rate', 'review_column', m FROM g
+WHERE round(m * 100.0 / r, 1) >= 50""")
+def suggestions_sparse(spark, d):
+    """Text, date and boolean columns with many missing cells."""
+    return repair.suggest(view(spark, d, _SPARSE, "orders")).select(
+        "column", "issue_type", "action", "affected")
+
+
 @query("remaining_issues", f"""{s.people()}
 SELECT * FROM (SELECT 'missing_values' AS issue, "column", count(*) - count(v) AS count FROM (
     SELECT 'name' AS "column", {s.null_words('name')} AS v FROM people

@@ -128,10 +128,37 @@ def chi2_statistic_orders(spark, d):
             "statistic", F.round("statistic", 4))
 
 
-@query("drift")
+def _chi_p(terms: int = 8000) -> str:
+    """Upper tail of the chi-square distribution by the power series of the lower one."""
+    a, z = "((categories - 1) / 2.0)", "(greatest(statistic, 0) / 2.0)"
+    return (f"CASE WHEN categories < 2 OR {z} = 0 THEN 1.0 WHEN {z} > 2 * {a} + 1000 THEN 0.0 "
+            f"ELSE greatest(0.0, 1.0 - (SELECT sum(exp(({a} + k) * ln({z}) - {z} "
+            f"- lgamma({a} + 1 + k))) FROM range({terms}) t(k))) END")
+
+
+#: column, drift_type, test, p of every column of the two versions
+DRIFT_CTES = (_KS, f"""drifts AS (
+  SELECT "column", 'numerical' AS drift_type, 'ks_test' AS test, {_ks_p()} AS p FROM ks
+  UNION ALL SELECT "column", 'categorical', 'chi2_test', {_chi_p()} FROM chi)""")
+_SEVERITY = "CASE WHEN p < 0.01 THEN 'high' WHEN p < 0.05 THEN 'medium' ELSE 'low' END"
+DRIFT_WITH = f"{_PEOPLE_PAIRED}, {_CHI}, {', '.join(_SIDES)}, {', '.join(DRIFT_CTES)}"
+
+
+@query("drift", f"""{DRIFT_WITH} SELECT "column", drift_type, test, round(p, 4) AS p_value,
+  p < 0.05 AS is_drifted, {_SEVERITY} AS severity FROM drifts""")
 def drift_report(spark, d):
-    """The full drift table of the two versions, p-values included."""
-    return drift.detect(*_versions(spark, d))
+    """Every column of the two versions, tested."""
+    return drift.detect(*_versions(spark, d)).select(
+        "column", "drift_type", "test", F.round("p_value", 4).alias("p_value"), "is_drifted",
+        "severity")
+
+
+@query("drift_identical", f"""{s.people(s.cells())} SELECT DISTINCT "column", 'identical' AS test,
+  false AS is_drifted, 'low' AS severity FROM cells""")
+def drift_identical(spark, d):
+    """A version compared with itself."""
+    a = people(spark, d)
+    return drift.between_versions(a, 3, a, 3).select("column", "test", "is_drifted", "severity")
 
 
 # upper 5 % point of chi-square by the cube-root normal approximation

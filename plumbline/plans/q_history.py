@@ -8,6 +8,7 @@ from plumbline.operators import alerts, forecast, profile, score, versions
 from plumbline.plans import fixtures as fx
 from plumbline.plans import sqltext as s
 from plumbline.plans.registry import query
+from plumbline.plans.session import scratch_path
 
 
 def _log(spark, d):
@@ -85,6 +86,36 @@ def version_delete(spark, d):
     return versions.deletable(_log(spark, d))
 
 
+def _store(spark, d):
+    """Two versions of people in a store, the second one cleaned; the first is current again."""
+    store = versions.VersionStore(spark, scratch_path(spark, "versions"))
+    store.register("people", fx.people(spark, d))
+    store.register("people", fx.people_v2(spark, d), ["salary raised", "notes renamed"])
+    store.restore("people", 1)
+    return store
+
+
+@query("version_store", f"""{s.both_versions()} SELECT 1::BIGINT AS version, count(*) AS row_count,
+  'upload' AS source, NULL::BIGINT AS parent_version, true AS is_latest FROM people
+UNION ALL SELECT 2, count(*), 'cleaning', 1, false FROM people_v2""")
+def version_store(spark, d):
+    """What a store lists after two registrations and a restore."""
+    return versions.listing(_store(spark, d).log()).drop("dataset_id", "created_at")
+
+
+@query("version_store_diff", f"""{s.both_versions()} SELECT a AS rows_a, b AS rows_b,
+  b - a AS row_delta, 12::BIGINT AS cols_a, 12::BIGINT AS cols_b, 0::BIGINT AS col_delta,
+  'segment' AS columns_added, 'notes' AS columns_removed, 'salary raised,notes renamed' AS changes
+FROM (SELECT (SELECT count(*) FROM people) AS a, (SELECT count(*) FROM people_v2) AS b)""")
+def version_store_diff(spark, d):
+    """Rows, columns and changes between two registered versions."""
+    return versions.diff(_store(spark, d).log(), 1, 2).select(
+        "rows_a", "rows_b", "row_delta", "cols_a", "cols_b", "col_delta",
+        F.array_join("columns_added", ",").alias("columns_added"),
+        F.array_join("columns_removed", ",").alias("columns_removed"),
+        F.array_join("changes_in_b", ",").alias("changes"))
+
+
 @query("fingerprint")
 def fingerprint(spark, d):
     return versions.fingerprint(fx.table(spark, d, "lineitem"))

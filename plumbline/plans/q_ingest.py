@@ -173,6 +173,23 @@ def sample_rows(spark, d):
     return readers.sample_exact(table(spark, d, "lineitem"))
 
 
+@query("sample_properties", """SELECT least(count(*), 5000) AS rows, 0::BIGINT AS strangers,
+  true AS repeatable, true AS fraction_fits FROM lineitem""")
+def sample_properties(spark, d):
+    """Samples hold the rows asked for, all from the table, and the same ones each time."""
+    t = table(spark, d, "lineitem")
+    one = readers.sample_exact(t, 5000)
+    again = readers.sample_exact(t.repartition(5), 5000)
+    part = readers.sample_fraction(t, 0.1).agg(F.count("*").alias("p"))
+
+    def summed(df):
+        return df.agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).scalar()
+    return one.agg(
+        F.count("*").alias("rows"), one.exceptAll(t).agg(F.count("*")).scalar().alias("strangers"),
+        (summed(one) == summed(again)).alias("repeatable"),
+        (F.abs(part.scalar() / t.agg(F.count("*")).scalar() - 0.1) < 0.03).alias("fraction_fits"))
+
+
 @query("sample_fraction")
 def sample_fraction(spark, d):
     return readers.sample_fraction(table(spark, d, "lineitem"), 0.1)

@@ -11,7 +11,7 @@ from plumbline.operators import (
     alerts, anomalies, drift, forecast, pii, report, score, security)
 from plumbline.operators.cells import pin
 from plumbline.plans import q_anomaly as qa
-from plumbline.plans import q_ingest
+from plumbline.plans import q_compare, q_ingest
 from plumbline.plans import q_scan as qs
 from plumbline.plans import sqltext as s
 from plumbline.plans.fixtures import people, people_v2, table
@@ -205,12 +205,56 @@ def _scored_table(df):
     return score.score(df, CONFIG).quality
 
 
-@query("report_key_issues")
+_FACTS = f"""q AS ({_quality('(SELECT count(*) FROM threats) > 0')}),
+an AS (SELECT CAST(sum(distinct_values) AS BIGINT) AS n, count(*) AS c, max(distinct_values) AS m,
+  arg_max("column", (distinct_values, "column")) AS w, list("column" ORDER BY "column")
+  FILTER (WHERE distinct_values >= 5) AS busy FROM anomalies),
+va AS (SELECT count(*) AS n, list(columns ORDER BY columns) AS cols FROM pen
+  WHERE dimension = 'validity'),
+fo AS (SELECT count(*) AS n FROM pen WHERE dimension = 'consistency' AND columns = 'signup_date'),
+th AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM threats),
+pi AS (SELECT count(*) AS n, list("column" ORDER BY "column") FILTER (WHERE confidence = 'high')
+  AS high FROM pii_columns),
+ds AS (SELECT dimension, greatest(round(100 - least(deducted / {_DIV} * 100, 100), 1), 0) AS score
+  FROM points)"""
+
+
+def _lines(items: list[tuple[str, str]], limit: int) -> str:
+    """The texts whose condition holds, the first ones, numbered."""
+    cases = ", ".join(f"CASE WHEN {cond} THEN {text} END" for cond, text in items)
+    return f"""SELECT CAST(generate_subscripts(l, 1) AS BIGINT) AS position, unnest(l) AS text
+  FROM (SELECT list_filter([{cases}], lambda x: x IS NOT NULL)[1:{limit}] AS l
+        FROM q, an, va, fo, th, pi)"""
+
+
+_KEY_ISSUES = _lines([
+    ("missing_pct > 20", "printf('%.1f%% of values are missing, a significant gap', missing_pct)"),
+    ("missing_pct > 5 AND missing_pct <= 20",
+     "printf('%.1f%% of values are missing, consider imputation', missing_pct)"),
+    ("dup_pct > 0", "printf('%.1f%% of rows are duplicates', dup_pct)"),
+    ("an.n > 0", "printf('%d anomalous values in %d column(s), worst ''%s'' (%d)', an.n, an.c, w, m)"),
+    ("va.n > 0", "printf('%d validity issue(s) in %s', va.n, array_to_string(cols, ', '))"),
+    ("fo.n > 0", "'Mixed date formats in signup_date'"),
+    ("th.n > 0", "printf('%d security threat(s)', th.n)"),
+    ("pi.n > 0", "printf('PII in %d column(s)', pi.n)"),
+    ("score < 40", "printf('Score is critically low (%.0f)', score)")], 5)
+_RECOMMENDATIONS = _lines([
+    ("missing_pct > 5", "'Fill missing values by median or mode'"),
+    ("len(busy) > 0", "'Review outliers in ' || array_to_string(busy[1:3], ', ')"),
+    ("th.n > 0", "'Strip or escape injection payloads'"),
+    ("len(high) > 0", "'Mask personal data in ' || array_to_string(high[1:3], ', ')"),
+    ("(SELECT score FROM ds WHERE dimension = 'completeness') < 70",
+     "'Run the cleaning pipeline to complete the data'"),
+    ("(SELECT score FROM ds WHERE dimension = 'uniqueness') < 70", "'Remove duplicate rows'"),
+    ("score < 60", "'Apply all suggested repairs with the cleaning pipeline'")], 6)
+
+
+@query("report_key_issues", f"{s.people(*CTES, _FACTS)} {_KEY_ISSUES}")
 def report_key_issues(spark, d):
     return report.key_issues(report.facts(_scored(spark, d)))
 
 
-@query("report_recommendations")
+@query("report_recommendations", f"{s.people(*CTES, _FACTS)} {_RECOMMENDATIONS}")
 def report_recommendations(spark, d):
     return report.recommendations(report.facts(_scored(spark, d)))
 
@@ -245,9 +289,26 @@ def report_security(spark, d):
     return report.security_lines(security.threat_counts(people(spark, d)))
 
 
-@query("report_drift")
+@query("report_drift", f"""{q_compare.DRIFT_WITH} SELECT "column", p < 0.05 AS drift_detected,
+  round(p, 4) AS p_value, CASE WHEN p < 0.01 THEN 'high' WHEN p < 0.05 THEN 'medium' ELSE 'low' END
+  AS severity FROM drifts""")
 def report_drift(spark, d):
-    return report.drift_rows(drift.detect(people(spark, d), people_v2(spark, d)))
+    rows = report.drift_rows(drift.detect(people(spark, d), people_v2(spark, d)))
+    return rows.withColumn("p_value", F.round("p_value", 4))
+
+
+@query("null_row_penalty", f"""{s.people()} SELECT 'completeness' AS dimension,
+  CASE WHEN n > 5 THEN 'high' ELSE 'medium' END AS impact,
+  CAST(least(n * 2, 10) AS DOUBLE) AS deduction
+  FROM (SELECT count(*) AS n FROM people WHERE id % 97 = 3) WHERE n > 0""")
+def null_row_penalty(spark, d):
+    """Rows without any value among the others."""
+    df = people(spark, d)
+    empty = df.where("id % 97 = 3").select(*[
+        F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    found = score.score(df.unionByName(empty), PLAIN).penalties
+    return found.where(F.col("reason").contains("empty row")).select(
+        "dimension", "impact", "deduction")
 
 
 @query("analyze", f"""{s.people(*CTES)} SELECT score, grade, rows,
@@ -270,10 +331,11 @@ def anomaly_alert(spark, d):
         "alert_type", "severity", F.col("details")["total"].cast("bigint").alias("total"))
 
 
-@query("drift_alert")
+@query("drift_alert", f"""{q_compare.DRIFT_WITH} SELECT 'drift_detected' AS alert_type, 'high' AS
+  severity, string_agg("column", ',' ORDER BY "column") AS columns FROM drifts WHERE p < 0.05
+  HAVING count(*) > 0""")
 def drift_alert(spark, d):
-    found = drift.detect(people(spark, d).select("salary", "status"),
-                         people_v2(spark, d).select("salary", "status"))
+    found = drift.detect(people(spark, d), people_v2(spark, d))
     return alerts.drift_alerts(found, "people", 2).select(
         "alert_type", "severity", F.col("details")["columns"].alias("columns"))
 

@@ -9,9 +9,7 @@ which starts again at 0 with every segment and with the padding.
 A task packs what it reads, some millions of ids at a time: nothing is shuffled, and memory does
 not grow with the input.
 
-The tokenizer's file is read on the driver from the path given, and sent to the tasks.  Texts are
-cut where a space follows a character that is not white space, which no token spans, and every
-distinct piece is tokenised once while it is remembered.
+The tokenizer's file is read on the driver from the path given, and sent to the tasks.
 
 Edge cases: null and empty texts are an end mark only; equal texts and repeated rows are packed
 each; very long texts are split and nothing of them is dropped; an empty table gives an empty
@@ -21,10 +19,8 @@ result; columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +35,10 @@ from plumbline.llm.common import small_batches
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 LENGTH = 2048
 CHUNK = 4_000_000          # ids that a task packs together
-_REMEMBERED = 400_000      # pieces of text a task remembers
-_SPACED = re.compile(r"\s |\A | \Z")
-_CUT = re.compile(r"(?<=\S)(?= )")
 
 
 class Tokenizer:
-    """Byte-level pieces by rank, with a memory of pieces seen."""
+    """Byte pieces merged by rank; `end` is the first id behind the ranks."""
 
     def __init__(self, ranks_file: bytes, pattern: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())
@@ -53,30 +46,9 @@ class Tokenizer:
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks,
                                           special_tokens={})
         self.end = max(ranks.values()) + 1
-        self.seen = _Memory(self.encoding)
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if len(self.seen) > _REMEMBERED:
-            self.seen.clear()
-        if _SPACED.search(text):
-            return list(chain.from_iterable(map(self.encoding.encode_ordinary, _CUT.split(text))))
-        first, *rest = text.split(" ")
-        return self.encoding.encode_ordinary(first) + list(
-            chain.from_iterable(map(self.seen.__getitem__, rest)))
-
-
-class _Memory(dict):
-    """word -> the ids of a space and the word."""
-
-    def __init__(self, encoding):
-        super().__init__()
-        self.encoding = encoding
-
-    def __missing__(self, word):
-        got = self[word] = tuple(self.encoding.encode_ordinary(" " + word))
-        return got
+        return self.encoding.encode_ordinary(text)
 
 
 @lru_cache(1)

@@ -549,15 +549,6 @@ def test_packing_round_trip(docs, rows, nothing, monkeypatch):
     assert packing.pack(nothing, RANKS).count() == 0
 
 
-def test_pieces_of_text_are_whole_tokens():
-    with open(RANKS, "rb") as f:
-        tok = packing.Tokenizer(f.read(), packing.PATTERN)
-    rng = random.Random(4)
-    for _ in range(3000):
-        t = "".join(rng.choices(" \n\tab'1é!\u00a0", k=rng.randint(0, 25)))
-        assert tok.encode(t) == tok.encoding.encode_ordinary(t)
-
-
 # --- 8 ---------------------------------------------------------------------------------------
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

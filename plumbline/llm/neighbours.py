@@ -25,7 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import stored
@@ -209,14 +209,14 @@ def nearest(query: np.ndarray, x: np.ndarray, ids: np.ndarray, own: int, scores:
     else:
         rows = np.arange(len(ids))
     rows = rows[ids[rows] != own]
-    exact = (x[rows] * query).sum(axis=1)
+    exact = (x[rows] * query).sum(axis=1) + 0.0  # no negative zero
     best = np.lexsort((ids[rows], -exact))[:k]
     return ids[rows][best], exact[best]
 
 
 def _search(left: pa.Table, right: pa.Table, d: int, k: int) -> pa.Table:
-    """left: vectors of one chunk, right: the queries routed to its part."""
-    out_q, out_v, out_s = [], [], []
+    """left: vectors of one chunk, right: the queries routed to its part; a row per query."""
+    asked, out_v, out_s = [], [], []
     if len(left) and len(right):
         x, q = (_matrix(t.column("vec"), d) for t in (left, right))
         ids, queries = (t.column("vec_id").to_numpy() for t in (left, right))
@@ -224,12 +224,28 @@ def _search(left: pa.Table, right: pa.Table, d: int, k: int) -> pa.Table:
             block = q[at:at + 256] @ x.T
             for i, scores in enumerate(block, at):
                 got, exact = nearest(q[i], x, ids, queries[i], scores, k)
-                out_q.append(np.full(len(got), queries[i]))
+                asked.append(queries[i])
                 out_v.append(got)
                 out_s.append(exact)
-    cat = [np.concatenate(c) if c else np.zeros(0) for c in (out_q, out_v, out_s)]
-    return pa.table({"query_id": pa.array(cat[0].astype(np.int64)),
-                     "vec_id": pa.array(cat[1].astype(np.int64)), "score": pa.array(cat[2])})
+    return pa.table({"query_id": pa.array(asked, pa.int64()),
+                     "ids": pa.array(out_v, pa.list_(pa.int64())),
+                     "scores": pa.array(out_s, pa.list_(pa.float64()))})
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best of every query; what a query found in a part stays one row."""
+    pairs = F.flatten(F.collect_list(F.transform(
+        F.arrays_zip("ids", "scores"),
+        lambda p: F.struct(p["ids"].alias("vec_id"), (F.lit(0.0) - p["scores"]).alias("less")))))
+    by_id = F.array_sort("pairs")  # a vec_id's best comes first
+    once = F.filter("pairs", lambda p, i: (i == 0) | (
+        F.col("pairs")[F.greatest(i - 1, F.lit(0))]["vec_id"] != p["vec_id"]))
+    ranked = F.slice(F.array_sort(F.transform("pairs", lambda p: F.struct(
+        p["less"].alias("less"), p["vec_id"].alias("vec_id")))), 1, k)
+    return found.groupBy("query_id").agg(pairs.alias("pairs")).withColumn("pairs", by_id).withColumn(
+        "pairs", once).select("query_id", F.posexplode(ranked).alias("at", "p")).select(
+        "query_id", (F.col("at") + 1).alias("rank"), F.col("p.vec_id").alias("vec_id"),
+        (F.lit(0.0) - F.col("p.less")).alias("score"))
 
 
 def search(embeddings: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE,
@@ -266,8 +282,5 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, sample: int = S
         F.pmod(F.xxhash64("vec_id"), "groups").alias("group"))
     keys = ["part", "chunk", "group"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        partial(_search, d=d, k=k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn(
-        "rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+        partial(_search, d=d, k=k), "query_id long, ids array<bigint>, scores array<double>")
+    return _best(found, k)

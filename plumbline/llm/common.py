@@ -58,3 +58,12 @@ def utf8(c: str = "text") -> Column:
 def fold(c: str, n: int) -> Column:
     """crc32 of the value as text, modulo n: the fold a row is in."""
     return F.crc32(F.col(c).cast("string").cast("binary")) % n
+
+
+#: Rows of up to 40 bytes that may be broadcast: 40 MB at most.
+SMALL = 1_000_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df, which is stored, to be broadcast where a count proves it small, else shuffled."""
+    return F.broadcast(df) if df.count() <= SMALL else df

@@ -3,9 +3,10 @@
 A benchmark item is cut into windows of `window` consecutive words (an item of fewer is one
 window).  The corpus frequency of every benchmark word is counted; each window is then looked up
 by its two rarest words only.  Their postings - document, position - are stored as the index.
-Shifted by the word's offset in the window, the two lists must meet in the same start; what meets
-is checked word by word against the documents that are left.  For proximity matches the two lists
-may miss each other by up to `slack` words.
+Shifted by the word's offset in the item, the two lists must meet in the same start.  Where they
+do, every word of the item is compared with the document at that start, and unbroken runs of at
+least a window's length are matches.  For proximity matches the two lists may miss each other by up
+to `slack` words.
 
 Frequent words are thereby never posted unless a window has nothing rarer, no list is gathered
 anywhere, and a passage that a third of all documents share costs those documents' rows only.
@@ -21,23 +22,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ascii_lower, stored
+from plumbline.llm.common import ascii_lower, sized, stored
 
-#: Letters, digits and all beyond ASCII make words, once A-Z are lower-cased ...
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: ... which for counting them need not be.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What separates words, once A-Z are lower-cased: letters, digits and all beyond ASCII make words.
+GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KEY = ["k1", "k2"]
-ANCHORS = 2
 
 
-def _words(text: str = "text") -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORDS),
-                                F.lit(0))
+def _cut(text: str = "text") -> Column:
+    """The words in order; an empty one at either end where the text begins or ends with a gap."""
+    return F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), GAPS)
 
 
-def _n_words() -> Column:
-    return F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("long")
+def _words(text: str = "text") -> Column:
+    return F.array_remove(_cut(text), "")
 
 
 def _key() -> dict[str, Column]:
@@ -46,99 +44,104 @@ def _key() -> dict[str, Column]:
             "k2": F.xxhash64(F.lit(2), "text", F.col("text").isNull(), "doc_id")}
 
 
-def windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """(item, phrase, words): the windows of every item, equal ones of one item once."""
-    words = benchmark.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), _words().alias("w"))
-    return words.where(F.size("w") > 0).select("item", F.explode(F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0))),
-        lambda i: F.slice("w", i + 1, window))).alias("words")).select(
-        "item", F.array_join("words", " ").alias("phrase"), "words").distinct()
-
-
-def _anchored(parts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(win, n, term, offset, turn): the rarest places of windows all of whose words occur."""
-    rare = Window.partitionBy("win").orderBy("freq", "offset")
-    every = Window.partitionBy("win")
-    return parts.join(terms, "term", "left").withColumn(
-        "lost", F.max(F.col("freq").isNull()).over(every)).where("not lost").withColumn(
-        "turn", F.row_number().over(rare)).where(F.col("turn") <= ANCHORS).select(
-        "win", "n", "term", "offset", "turn")
+def _anchors(parts: DataFrame, freq: DataFrame, window: int) -> DataFrame:
+    """(text, first, a, b): the offsets of the two rarest words of every window that can occur;
+    b is null in windows of one word."""
+    known = parts.join(freq, "term", "left")
+    last = F.greatest(F.col("n") - window, F.lit(0))
+    # a word lies in the windows that begin up to window - 1 words before it
+    inside = known.withColumn("first", F.explode(F.sequence(
+        F.greatest(F.col("offset") - (window - 1), F.lit(0)), F.least(F.col("offset"), last))))
+    rarest = F.array_sort(F.collect_list(F.struct("freq", "offset")))
+    return inside.groupBy("text", "first").agg(
+        F.bool_or(F.col("freq").isNull()).alias("lost"), rarest.alias("r")).where(
+        "not lost").select("text", "first", F.get("r", 0)["offset"].alias("a"),
+                           F.get("r", 1)["offset"].alias("b"))
 
 
 class Matcher:
     """The index of a corpus for one benchmark, and what is found through it."""
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = 10):
+        self.window = window
         self.docs = docs.select("doc_id", "text", *[c.alias(k) for k, c in _key().items()])
-        found = stored(windows(benchmark, window), "windows")
-        numbered = stored(found.select("phrase", "words").distinct().withColumn(
-            "win", F.monotonically_increasing_id()), "numbered")
-        self.items = stored(found.join(numbered, "phrase").select("win", "item"), "items")
+        named = stored(benchmark.select(
+            F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
+            _words().alias("words")).where(F.size("words") > 0), "items")
+        texts = stored(named.select("words").distinct().withColumn(
+            "text", F.monotonically_increasing_id()), "texts")
+        self.items = stored(named.join(texts, "words").select("text", "item").distinct(), "item_ids")
         # with a table's real size known, Spark broadcasts it only if it is small
-        self.parts = stored(numbered.select("win", F.size("words").alias("n"), F.posexplode(
+        self.parts = stored(texts.select("text", F.size("words").alias("n"), F.posexplode(
             "words").alias("offset", "term")), "parts")
         wanted = stored(self.parts.select("term").distinct(), "terms")
-        tokens = self.docs.select(F.explode(_words()).alias("term"))
-        freq = stored(tokens.join(wanted, "term", "left_semi").groupBy("term").agg(
-            F.count("*").alias("freq")), "frequencies")
-        self.anchors = stored(_anchored(self.parts, freq), "anchors")
-        posted = stored(self.anchors.select("term").distinct(), "posted")
-        places = self.docs.select(*KEY, _n_words().alias("n_words"),
-                                  F.posexplode(_words()).alias("pos", "term"))
-        self.index = stored(places.join(posted, "term", "left_semi"), "index")
-
-    def _starts(self, turn: int) -> DataFrame:
-        """Where windows would start by the postings of their turn-th rarest word."""
-        rare = self.anchors.where(F.col("turn") == turn)
-        return self.index.join(rare, "term").select(
-            *KEY, "win", "n", "n_words", (F.col("pos") - F.col("offset")).alias("start"))
-
-    def _inside(self, starts: DataFrame) -> DataFrame:
-        return starts.where("start >= 0 and start + n <= n_words")
-
-    def exact(self) -> DataFrame:
-        """(k1, k2, win, n, start): every occurrence of a window."""
-        first = self._inside(self._starts(1)).select(*KEY, "win", "n", "start").distinct()
-        second = self._inside(self._starts(2)).select(*KEY, "win", "start").distinct()
-        both = first.where("n > 1").join(second, [*KEY, "win", "start"], "left_semi")
-        met = stored(first.where("n = 1").unionByName(both), "met")
-        left = self.docs.join(met.select(*KEY).distinct(), KEY, "left_semi").select(
-            *KEY, F.posexplode(_words()).alias("pos", "term")).distinct()
-        expected = met.join(self.parts.select("win", "offset", "term"), "win").withColumn(
+        freq = stored(self.docs.select(F.explode(_cut()).alias("term")).join(
+            wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("freq")),
+            "frequencies")
+        self.anchors = stored(_anchors(self.parts, freq, window), "anchors")
+        places = self.anchors.select("text", F.explode(F.array("a", "b")).alias("offset")).where(
+            "offset is not null").distinct()
+        self.looked_up = stored(self.parts.join(places, ["text", "offset"]), "looked_up")
+        posted = stored(self.looked_up.select("term").distinct(), "posted")
+        self.index = stored(self.docs.select(*KEY, F.posexplode(_cut()).alias("pos", "term")).join(
+            posted, "term", "left_semi"), "index")
+
+    def alignments(self, slack: int = 0) -> DataFrame:
+        """(k1, k2, text, n, start, here, near): where items would start by the posted words; the
+        offsets of the words that say so, and of those that say so up to `slack` words before."""
+        found = self.index.join(self.looked_up, "term").select(
+            *KEY, "text", "n", (F.col("pos") - F.col("offset")).alias("start"), "offset").distinct()
+        by_start = Window.partitionBy(*KEY, "text").orderBy("start")
+        offsets = F.collect_set("offset")  # of one item's words
+        met = found.withColumn("near", offsets.over(by_start.rangeBetween(-slack, 0)))
+        if slack:
+            met = met.withColumn("here", offsets.over(by_start.rangeBetween(0, 0)))
+        else:
+            met = met.withColumn("here", F.col("near"))
+        return met.where((F.size("near") > 1) | (F.col("n") == 1)).drop("offset")
+
+    def meeting(self, alignments: DataFrame, offsets: str) -> DataFrame:
+        """Those where both rare words of some window are among the offsets."""
+        return alignments.join(self.anchors, "text").where(
+            F.array_contains(offsets, F.col("a"))
+            & (F.col("b").isNull() | F.array_contains(offsets, F.col("b"))))
+
+    def exact(self, alignments: DataFrame) -> DataFrame:
+        """(k1, k2, text, first, words): every longest run of an item's words in a document that
+        holds a window; first is its position in the document."""
+        place = [*KEY, "text", "n", "start"]
+        met = stored(self.meeting(alignments, "here").select(*place).distinct(), "met")
+        left = self.docs.join(sized(stored(met.select(*KEY).distinct(), "met_docs")), KEY,
+                              "left_semi").select(*KEY, F.posexplode(_cut()).alias("pos", "term")
+                                                  ).distinct()
+        expected = met.join(self.parts.drop("n"), "text").withColumn(
             "pos", F.col("start") + F.col("offset"))
-        return expected.join(left, [*KEY, "pos", "term"], "left_semi").groupBy(
-            *KEY, "win", "n", "start").agg(F.count("*").alias("same")).where("same = n").drop("same")
-
-    def near(self, slack: int) -> DataFrame:
-        """(k1, k2, win): windows whose two rarest words lie within `slack` of their distance."""
-        cell = slack + 1
-        first = self._starts(1).select(*KEY, "win", "n", F.col("start").alias("a")).distinct()
-        second = self._starts(2).select(*KEY, "win", F.col("start").alias("b"), F.explode(F.array(
-            *[F.floor((F.col("start") + d) / cell) for d in (-cell, 0, cell)])).alias("cell")
-        ).distinct()
-        alone = first.where("n = 1").select(*KEY, "win")
-        return first.withColumn("cell", F.floor(F.col("a") / cell)).join(
-            second, [*KEY, "win", "cell"]).where(F.abs(F.col("a") - F.col("b")) <= slack).select(
-            *KEY, "win").union(alone).distinct()
+        same = expected.join(left, [*KEY, "pos", "term"], "left_semi")
+        order = Window.partitionBy(*place).orderBy("offset")  # one item's words
+        return same.withColumn("run", F.col("offset") - F.row_number().over(order)).groupBy(
+            *place, "run").agg(F.min("pos").alias("first"), F.count("*").alias("words")).where(
+            F.col("words") >= F.least(F.col("n"), F.lit(self.window))).select(
+            *KEY, "text", "first", "words")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = 10, slack: int = 3) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near), a row per document.
 
-    n_near: windows found by proximity, exact ones included.
+    n_near: different item texts found by proximity, exact ones included.
     """
     m = Matcher(docs, benchmark, window)
-    exact = stored(m.exact(), "matches")
-    hit = exact.select(*KEY, F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)
-                                       ).alias("pos")).distinct().groupBy(*KEY).agg(
-        F.count("*").alias("n_hit"))
-    items = exact.select(*KEY, "win").distinct().join(m.items, "win").select(*KEY, "item").distinct(
-        ).groupBy(*KEY).agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list("item")
-                                                                        ).alias("items"))
-    near = m.near(slack).groupBy(*KEY).agg(F.count("*").alias("n_near"))
+    aligned = stored(m.alignments(slack), "alignments")
+    exact = stored(m.exact(aligned), "matches")
+    hit = exact.select(*KEY, F.explode(F.sequence(
+        F.col("first").cast("long"), F.col("first") + F.col("words") - 1)).alias("pos")).distinct(
+        ).groupBy(*KEY).agg(F.count("*").alias("n_hit"))
+    items = exact.select(*KEY, "text").distinct().join(m.items, "text").select(*KEY, "item"
+                                                                               ).distinct().groupBy(
+        *KEY).agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list("item")).alias("items"))
+    near = m.meeting(aligned, "near").select(*KEY, "text").distinct().groupBy(*KEY).agg(
+        F.count("*").alias("n_near"))
     found = stored(hit.join(items, KEY).join(near, KEY, "full_outer"), "found")
-    return m.docs.select(*KEY, "doc_id", _n_words().alias("n_words")).join(
+    return m.docs.select(*KEY, "doc_id", F.size(_words()).cast("long").alias("n_words")).join(
         found, KEY, "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
@@ -150,8 +153,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = 10, slack: int =
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without those that contain a window of the benchmark."""
-    hit = stored(Matcher(docs, benchmark, window).exact().select(*KEY).distinct(), "contaminated")
+    m = Matcher(docs, benchmark, window)
+    hit = stored(m.exact(m.alignments()).select(*KEY).distinct(), "contaminated")
     named = {k: f"_hit_{k}" for k in KEY}
     tagged = docs.withColumns({named[k]: c for k, c in _key().items()})
-    return tagged.join(hit.withColumnsRenamed(named), list(named.values()), "left_anti").select(
-        *docs.columns)
+    return tagged.join(sized(hit).withColumnsRenamed(named), list(named.values()),
+                       "left_anti").select(*docs.columns)

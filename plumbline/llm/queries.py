@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import (
     decontaminate, html, language, mixing, neighbours, packing, quality, sharding, simhash, urls)
 from plumbline.llm.common import QUERIES, SQL, fold, query, table  # noqa: F401
-from plumbline.llm.sql import MIXING
+from plumbline.llm.sql import DECONTAMINATION, MIXING, url_filter
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
              ("block", "net/es/"), ("block", "net/fr/")]
@@ -22,7 +22,7 @@ MIX_WEIGHTS = [1, 2, 3]
 MIX_MOST = 3
 
 
-@query("op1_urls")
+@query("op1_urls", url_filter(URL_RULES, urls.ORDER, urls.ALPHABET, urls.SCALE, urls.BIN))
 def op1_urls(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -74,7 +74,7 @@ def op7_packing(spark, sf_dir):
                        F.crc32("positions").alias("positions_crc32"))
 
 
-@query("op8_decontamination")
+@query("op8_decontamination", DECONTAMINATION)
 def op8_decontamination(spark, sf_dir):
     return decontaminate.judge(table(spark, sf_dir, "documents"),
                                table(spark, sf_dir, "benchmark"), WINDOW)

@@ -21,14 +21,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ascii_lower, stored
+from plumbline.llm.common import ascii_lower, sized, stored
 
 ORDER = 4                  # characters of the longest context
 ALPHABET = 256             # of the uniform choice at the end
 START, END = "\x02", "\x03"
 SCALE = 1_000_000          # log ratios are summed as whole millionths, in any order alike
 BIN = 1_000                # width of a score bin in calibration, in millionths
-SMALL = 1_000_000          # rows up to which the table of log ratios is broadcast (40 MB)
 
 Rule = tuple[str, str]     # verdict, host and path
 
@@ -90,8 +89,7 @@ def log_ratios(counts: DataFrame, grams: DataFrame) -> DataFrame:
 
 def scores(texts: DataFrame, ratios: DataFrame) -> DataFrame:
     """texts(chars, ...), each once -> the same and score: the mean ratio in millionths."""
-    side = F.broadcast(ratios) if ratios.count() <= SMALL else ratios
-    return _grams(texts).join(side, "gram").groupBy(*texts.columns).agg(
+    return _grams(texts).join(sized(ratios), "gram").groupBy(*texts.columns).agg(
         (F.sum("ratio") / F.count("*")).alias("score"))
 
 

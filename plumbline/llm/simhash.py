@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import small_batches, stored, utf8
+from plumbline.llm.common import sized, small_batches, stored, utf8
 from plumbline.llm.graph import components
 
 CHAIN = 4          # segments of a chain that are looked at before the full comparison
@@ -370,7 +370,7 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
                      "dropped")
     named = {k: f"_near_{k}" for k in key}
     left = docs.withColumns({named[k]: c for k, c in key.items()}).join(
-        dropped.withColumnsRenamed(named), list(named.values()), "left_anti")
+        sized(dropped).withColumnsRenamed(named), list(named.values()), "left_anti")
     if found.groupBy(*key).count().where("count > 1").head(1):  # rows repeated in full
         left = left.dropDuplicates(list(named.values()))
     return left.select(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import fold, small_batches, utf8
 
-SAMPLE = 2000
+SAMPLE = 4000
 LINES = 1000
 ACCEPT = 0.7
 _STEPS = 120
@@ -70,9 +70,9 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     x = np.zeros((len(flat), WIDTH), np.float32)
     x[:, :OWN] = own
     x[1:, OWN:2 * OWN] = own[:-1]
-    x[first, OWN:2 * OWN] = 0
+    x[first, OWN:2 * OWN] = own[first]  # a text's first line stands in for the one before it
     x[:-1, 2 * OWN:3 * OWN] = own[1:]
-    x[last, 2 * OWN:3 * OWN] = 0
+    x[last, 2 * OWN:3 * OWN] = own[last]
     x[first, -3] = x[last, -2] = x[:, -1] = 1
     return x, size, n_lines
 

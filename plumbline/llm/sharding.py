@@ -7,8 +7,8 @@ found by binary search on exact sums; the cuts then follow it.
 
 Edge cases: a null text is a group of its own, with no bytes and no crc; empty texts are a group;
 repeated rows keep a slot each; an empty table gives an empty result; with fewer groups than
-shards some shards stay empty; a group above the mean fills its shard alone or nearly so; columns
-other than doc_id and text are not read.
+shards some shards stay empty; a group above the mean has a shard to itself; columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -54,22 +54,32 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
 def cuts(sizes: list[int], shards: int) -> list[int]:
     """The index each shard but the first begins at, none above the smallest capacity.
 
-    Within that capacity a shard ends next to the mean of what is left, so that one large group
-    does not leave the shards behind it empty; what is left must still fit the shards left.
+    Within that capacity groups above the mean get a shard each, and the groups between two of
+    them are cut into near-equal shards, so that one large group does not leave others empty;
+    what is left must always fit the shards left.
     """
     prefix = [0, *accumulate(sizes)]
     capacity, n = smallest_capacity(sizes, shards), len(sizes)
     need = [0] * (n + 1)  # shards that the groups from i on take at least
     for i in range(n - 1, -1, -1):
         need[i] = 1 + need[bisect_right(prefix, prefix[i] + capacity) - 1]
+    large = [i for i in range(n) if sizes[i] * shards > prefix[-1]]
     begins, done = [], 0
     for left in range(shards, 1, -1):
-        goal = (prefix[-1] - prefix[done]) / left
-        most = bisect_right(prefix, prefix[done] + capacity) - 1
-        end = bisect_right(prefix, prefix[done] + goal) - 1
-        if end < most and (end == done
-                           or prefix[end + 1] - prefix[done] - goal < prefix[done] + goal - prefix[end]):
-            end += 1
+        large = [i for i in large if i >= done]
+        stop = large[0] if large else n
+        if stop == done < n:
+            end = done + 1
+        else:
+            rest = prefix[n] - prefix[done] - sum(sizes[i] for i in large)
+            mean = rest / max(1, left - len(large))
+            until = prefix[stop] - prefix[done]
+            parts = left if not large else max(1, round(until / mean)) if mean else 1
+            goal = prefix[done] + until / parts
+            most = min(stop, bisect_right(prefix, prefix[done] + capacity) - 1)
+            end = min(most, bisect_right(prefix, goal) - 1)
+            if end < most and (end == done or prefix[end + 1] - goal < goal - prefix[end]):
+                end += 1
         while need[end] > left - 1:
             end += 1
         begins.append(end)

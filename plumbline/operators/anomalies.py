@@ -17,10 +17,12 @@ from plumbline.operators.cells import (
     weighted_cells)
 from plumbline.operators.profile import numeric_stats
 from plumbline.operators.quantiles import exact_quantiles
+from plumbline.plans.session import checkpointed
 from plumbline.roles import col
 
 METHODS = ("iqr", "zscore", "isolation_forest", "all")
 PAGE_LIMIT = 200
+BROADCAST_VALUES = 100_000
 _FLAGGED = "column string, value string, method string, n bigint"
 
 
@@ -248,7 +250,12 @@ def cells(df: DataFrame, found: DataFrame, key: list[str],
         return text.strip(c) if n in as_dates else c.cast("string")
     pairs = [x for n in names for x in (F.lit(n), shown(n))]
     tall = df.select(*key, F.stack(F.lit(len(names)), *pairs).alias("column", "value"))
-    return tall.join(found.drop("n"), ["column", "value"]).select(
+    # a flagged value may be in a third of all rows: unless there are very many flagged values,
+    # they go to the cells, not the cells to them
+    found = checkpointed(found.drop("n"))
+    if found.count() <= BROADCAST_VALUES:
+        found = F.broadcast(found)
+    return tall.join(found, ["column", "value"]).select(
         *key, "column", "value", "method", "severity")
 
 

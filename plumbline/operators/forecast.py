@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from plumbline import vocab
 from plumbline.operators import score as scoring
-from plumbline.operators.cells import small_frame
+from plumbline.operators.cells import small_frame, together
 
 
 def history(tables: dict[tuple[str, int], DataFrame],
             config: scoring.ScoreConfig = scoring.ScoreConfig()) -> DataFrame:
-    """dataset_id, version, score of the given versions; one score run per version."""
+    """dataset_id, version, score of the given versions, which are scored side by side."""
     spark = next(iter(tables.values())).sparkSession
-    rows = [(d, v, float(scoring.score(t, config).quality.first()["score"]))
-            for (d, v), t in tables.items()]
+    scores = together(*[lambda t=t: float(scoring.score(t, config).quality.first()["score"])
+                        for t in tables.values()])
+    rows = [(d, v, s) for (d, v), s in zip(tables, scores)]
     return small_frame(spark, rows, "dataset_id string, version bigint, score double")
 
 

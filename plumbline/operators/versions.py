@@ -65,6 +65,14 @@ def listing(log: DataFrame) -> DataFrame:
         F.when(v > 1, v - 1).alias("parent_version"), (v == F.col("current")).alias("is_latest"))
 
 
+def metadata(log: DataFrame, version: int | None = None) -> DataFrame:
+    """Everything known of the given live version, or of each dataset's current one."""
+    made = log.where("event = 'create'").select(
+        "dataset_id", "version", "col_count", "columns", "changes", "path")
+    return resolve(log, version).join(listing(log), ["dataset_id", "version"]).join(
+        made, ["dataset_id", "version"])
+
+
 def newest_first(versions: DataFrame) -> DataFrame:
     return versions.orderBy("dataset_id", F.desc("version"))
 

@@ -103,6 +103,17 @@ def version_store(spark, d):
     return versions.listing(_store(spark, d).log()).drop("dataset_id", "created_at")
 
 
+@query("version_store_metadata", f"""{s.both_versions()} SELECT 2::BIGINT AS version,
+  count(*) AS row_count, 12::BIGINT AS col_count, '{",".join(fx.PEOPLE_V2)}' AS columns,
+  'salary raised,notes renamed' AS changes, 'cleaning' AS source, 1::BIGINT AS parent_version,
+  false AS is_latest FROM people_v2""")
+def version_store_metadata(spark, d):
+    """All that a store knows of one version."""
+    return versions.metadata(_store(spark, d).log(), 2).select(
+        "version", "row_count", "col_count", F.array_join("columns", ",").alias("columns"),
+        F.array_join("changes", ",").alias("changes"), "source", "parent_version", "is_latest")
+
+
 @query("version_store_diff", f"""{s.both_versions()} SELECT a AS rows_a, b AS rows_b,
   b - a AS row_delta, 12::BIGINT AS cols_a, 12::BIGINT AS cols_b, 0::BIGINT AS col_delta,
   'segment' AS columns_added, 'notes' AS columns_removed, 'salary raised,notes renamed' AS changes

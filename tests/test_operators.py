@@ -632,3 +632,24 @@ def test_column_names_with_dots(spark, tmp_path):
     repair.suggest(df).collect()
     out = cleaning.clean(df, cleaning.Options(force_gate=True, remove_outliers=True), CFG)
     assert out.table.columns == df.columns
+
+
+def test_cleaned_tables_become_versions(spark, tmp_path):
+    df = spark.createDataFrame([(i % 30, "N/A" if i % 5 == 0 else " x ") for i in range(60)],
+                               "k int, t string")
+    store = versions.VersionStore(spark, str(tmp_path / "store"))
+    store.register("d", df)
+    done = cleaning.clean(df, cleaning.Options(force_gate=True), CFG)
+    assert cleaning.save(store, "d", done) == 2
+    got = versions.metadata(store.log(), 2).first()
+    assert got["source"] == "cleaning" and got["row_count"] == done.table.count()
+    assert [c.split(":")[0] for c in got["changes"]] == [
+        r["key"] for r in done.steps.orderBy("position").collect()]
+
+
+def test_flagged_cells_by_shuffle_and_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i, 9999 if i % 3 else 1) for i in range(90)], "id long, quantity int")
+    found = anomalies.flagged(df, "iqr")
+    small = sorted(map(str, anomalies.cells(df, found, ["id"]).collect()))
+    monkeypatch.setattr(anomalies, "BROADCAST_VALUES", -1)
+    assert len(small) == 60 and small == sorted(map(str, anomalies.cells(df, found, ["id"]).collect()))

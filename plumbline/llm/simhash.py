@@ -9,7 +9,7 @@ key's segments starts a chain within the proportional budgets.  No link is lost.
 
 Wide fingerprints with t >= m, for similarities of shingle sets, are filed under each single segment
 instead.  There the chain starts at a segment that agrees exactly, and a pair is missed where none
-does.
+does.  What they find is checked on the shingles themselves.
 
 Rows of one key are compared where they meet and leave only the edges of a spanning forest, so a
 group of copies never turns into all its pairs.  Keys with more than `dense` different
@@ -40,6 +40,8 @@ from plumbline.llm.graph import components
 
 CHAIN = 4          # segments of a chain that are looked at before the full comparison
 DENSE = 4096       # different fingerprints under one key that are still compared in one place
+CLOSE = 3          # closest rows under a key that a row of a wide fingerprint is paired with
+SKETCH = 512       # least shingle hashes of a text that decide on similarity
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -200,7 +202,24 @@ def _pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at + i[up], at + j[up]
 
 
-def _linked(keys, choices, fps: np.ndarray, m: int, diff: int, names: list):
+def _closest(n: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray, few: int
+             ) -> tuple[np.ndarray, np.ndarray]:
+    """Of linked pairs those to a row's `few` closest partners and to its first one."""
+    row, partner, far = np.r_[a, b], np.r_[b, a], np.r_[bits, bits]
+    order = np.lexsort((partner, far, row))
+    starts = np.searchsorted(row[order], np.arange(n))
+    rank = np.arange(len(order)) - starts[row[order]]
+    kept = np.zeros(len(order), bool)
+    kept[order[rank < few]] = True
+    by_id = np.lexsort((partner, row))
+    kept[by_id[np.r_[True, row[by_id][1:] != row[by_id][:-1]][:len(by_id)]]] = True
+    low, high = np.minimum(row[kept], partner[kept]), np.maximum(row[kept], partner[kept])
+    both = np.unique(high.astype(np.int64) * n + low)
+    return both // n, both % n
+
+
+def _linked(keys, choices, fps: np.ndarray, m: int, diff: int, few: int) -> pa.RecordBatch:
+    """Edges among the rows of each key: a spanning forest, or with `few` pairs of close rows."""
     seg = _segments(fps, m)
     heads = np.array(_choices(m, diff))[choices]
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -209,14 +228,18 @@ def _linked(keys, choices, fps: np.ndarray, m: int, diff: int, names: list):
         left.append(a[ok])
         right.append(b[ok])
     a, b = np.concatenate(left), np.concatenate(right)
-    root = _forest(len(keys), a, b)
-    rows = np.flatnonzero(root != np.arange(len(keys)))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([fps[i].tobytes() for i in rows], pa.binary()),
-         pa.array([fps[i].tobytes() for i in root[rows]], pa.binary())], names=names)
-
-
-def _edge_batches(batches: Iterator, m: int, diff: int) -> Iterator:
+    if few:
+        bits = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
+        a, b = _closest(len(keys), a, b, bits, few)
+    else:
+        root = _forest(len(keys), a, b)
+        a = np.flatnonzero(root != np.arange(len(keys)))
+        b = root[a]
+    return pa.RecordBatch.from_arrays([pa.array([fps[i].tobytes() for i in x], pa.binary())
+                                       for x in (a, b)], names=["u", "v"])
+
+
+def _edge_batches(batches: Iterator, m: int, diff: int, few: int) -> Iterator:
     """Rows come sorted by key; a key's rows are compared together, also across batches."""
     held = None
     for b in batches:
@@ -227,10 +250,10 @@ def _edge_batches(batches: Iterator, m: int, diff: int) -> Iterator:
             np.concatenate(x) for x in zip(held, rows, strict=True))
         last = int(np.searchsorted(held[0], held[0][-1]))  # where the last, perhaps open, key begins
         if last:
-            yield _linked(*(x[:last] for x in held), m, diff, ["u", "v"])
+            yield _linked(*(x[:last] for x in held), m, diff, few)
             held = tuple(x[last:] for x in held)
     if held is not None:
-        yield _linked(*held, m, diff, ["u", "v"])
+        yield _linked(*held, m, diff, few)
 
 
 # --- keys with very many fingerprints --------------------------------------------------------
@@ -299,16 +322,17 @@ def _leader_edges(rows: DataFrame, diff: int) -> DataFrame:
         ).mapInArrow(partial(_close_batches, diff=diff), "u binary, v binary")
 
 
-def edges(nodes: DataFrame, diff: int, m: int, dense: int = DENSE) -> DataFrame:
-    """nodes(fp), each once -> (u, v): a spanning forest of every key's links."""
+def edges(nodes: DataFrame, diff: int, m: int, dense: int = DENSE, few: int = 0) -> DataFrame:
+    """nodes(fp), each once -> (u, v): a spanning forest of every key's links; with `few`, each
+    row's links to so many closest rows and to the first of its key."""
     keys = nodes.select("fp").mapInArrow(partial(_key_batches, m=m, diff=diff),
                                          "key long, choice int, fp binary")
     hot = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > dense)
                  .select("key"), "hot_keys")
     some = bool(hot.head(1))
-    few = keys.join(hot, "key", "left_anti") if some else keys
-    found = few.repartition("key").sortWithinPartitions("key").mapInArrow(
-        partial(_edge_batches, m=m, diff=diff), "u binary, v binary")
+    usual = keys.join(hot, "key", "left_anti") if some else keys
+    found = usual.repartition("key").sortWithinPartitions("key").mapInArrow(
+        partial(_edge_batches, m=m, diff=diff, few=few), "u binary, v binary")
     if some:
         many = keys.join(hot, "key", "left_semi")
         found = found.union(_leader_edges(many, diff) if m <= diff else
@@ -316,29 +340,31 @@ def edges(nodes: DataFrame, diff: int, m: int, dense: int = DENSE) -> DataFrame:
     return found
 
 
-def grouped(docs: DataFrame, columns: list[str], words: int = 4, longs: int = 1, diff: int = 4,
-            segments: int | None = None, dense: int = DENSE) -> DataFrame:
-    """(*columns, fp, least), a row per row of docs; least is a struct of the columns of the row
-    that comes first (by them, nulls last) among all reachable over links of at most diff bits."""
-    fps = stored(fingerprints(docs, columns, words, longs), "fingerprints")
-    first = F.min(F.struct(*[x for c in columns for x in (
+def _first(columns: list[str]):
+    """Of rows, the one that comes first by the columns, nulls last."""
+    return F.min(F.struct(*[x for c in columns for x in (
         F.col(c).isNull().alias(f"no_{c}"), F.col(c))])).alias("least")
-    nodes = stored(fps.groupBy("fp").agg(first), "nodes")
-    m = segments or segment_count(nodes.count(), 64 * longs, diff)
-    comp = components(edges(nodes, diff, m, dense))
+
+
+def _labelled(fps: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """fps with the first row of each row's component."""
+    comp = components(links)
     rooted = nodes.join(comp, nodes["fp"] == comp["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("least"))
     # nodes are far fewer than rows only where there are copies; a hot node is split by AQE
     labels = rooted.select("fp", "root").join(least, "root").select("fp", "least")
-    return fps.join(labels, "fp", "left").select(*columns, "fp", "least")
+    return fps.join(labels, "fp", "left")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, diff: int = 4,
                     segments: int | None = None, dense: int = DENSE) -> DataFrame:
     """(doc_id, fp, component_id): the least doc_id reachable over links of at most diff bits of
     64.  Exact."""
-    return grouped(docs, ["doc_id"], words, 1, diff, segments, dense).select(
+    fps = stored(fingerprints(docs, ["doc_id"], words), "fingerprints")
+    nodes = stored(fps.groupBy("fp").agg(_first(["doc_id"])), "nodes")
+    m = segments or segment_count(nodes.count(), 64, diff)
+    return _labelled(fps, nodes, edges(nodes, diff, m, dense)).select(
         "doc_id", "fp", F.col("least")["doc_id"].alias("component_id"))
 
 
@@ -358,14 +384,61 @@ def wide_parameters(rows: int, similarity: float, tables: int = 32) -> dict[str,
             "diff": int(bits * p + 1.64 * math.sqrt(bits * p * (1 - p)))}
 
 
-def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _sketch_batches(batches: Iterator, words: int, size: int) -> Iterator:
+    for b in batches:
+        got = [np.unique(shingle_hashes(x, words))[:size] for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array([x.tobytes() for x in got], pa.binary())], names=["fp", "set"])
+
+
+def jaccard(a: np.ndarray, b: np.ndarray, size: int) -> float:
+    """From the `size` least hashes of two sets; exact where neither has more."""
+    union = np.union1d(a, b)
+    if len(a) == size or len(b) == size:
+        union = union[:size]
+    both = np.intersect1d(a, b, assume_unique=True)
+    return np.isin(union, both, assume_unique=True).mean() if len(union) else 1.0
+
+
+def _similar_batches(batches: Iterator, similarity: float, size: int) -> Iterator:
+    for b in batches:
+        sets = [[np.frombuffer(x, np.uint64) for x in b.column(i).to_pylist()] for i in (2, 3)]
+        ok = [jaccard(x, y, size) >= similarity for x, y in zip(*sets, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(
+            pa.array(ok, pa.bool_()))
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: list[str], words: int,
+             similarity: float) -> DataFrame:
+    """Those pairs (u, v) whose texts' shingle sets are similar enough, by their SKETCH least
+    hashes.  docs(*key, text); a node's text is that of its first row."""
+    met = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
+    wanted = stored(nodes.join(met, "fp", "left_semi").select(
+        "fp", *[F.col("least")[k].alias(k) for k in key]), "wanted")
+    sets = stored(docs.join(sized(wanted), key).select("fp", utf8().alias("t")).mapInArrow(
+        partial(_sketch_batches, words=words, size=SKETCH), "fp binary, set binary").groupBy(
+        "fp").agg(F.min("set").alias("set")), "shingles")
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("set").alias("a")), "u").join(
+        sets.select(F.col("fp").alias("v"), F.col("set").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(
+        partial(_similar_batches, similarity=similarity, size=SKETCH), "u binary, v binary")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, dense: int = DENSE
+                ) -> DataFrame:
     """docs with one row of each group of near duplicates: the one with the least doc_id, null ids
-    last.  Groups are joined by estimated similarity of their sets of shingles."""
+    last.  Groups are joined by the similarity of their texts' sets of shingles: wide fingerprints
+    find the pairs, up to CLOSE a row and key and those to the key's first row, and the shingles
+    decide."""
     key = {"k1": F.xxhash64("doc_id", "text", F.lit(1)),
            "k2": F.xxhash64(F.lit(2), "text", F.col("text").isNull(), "doc_id")}
     rows = docs.select("doc_id", "text", *[c.alias(k) for k, c in key.items()])
-    found = stored(grouped(rows, ["doc_id", *key], words, **wide_parameters(
-        docs.count(), similarity)), "near_duplicates")
+    wide = wide_parameters(docs.count(), similarity)
+    fps = stored(fingerprints(rows, ["doc_id", *key], words, wide["longs"]), "fingerprints")
+    nodes = stored(fps.groupBy("fp").agg(_first(["doc_id", *key])), "nodes")
+    pairs = stored(edges(nodes, wide["diff"], wide["segments"], dense, CLOSE).distinct(), "pairs")
+    found = stored(_labelled(fps, nodes, _similar(pairs, nodes, rows, list(key), words, similarity)),
+                   "near_duplicates")
     dropped = stored(found.where("k1 <> least.k1 or k2 <> least.k2").select(*key).distinct(),
                      "dropped")
     named = {k: f"_near_{k}" for k in key}

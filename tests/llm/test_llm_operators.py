@@ -440,9 +440,18 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_sketched_similarity():
+    rng = np.random.default_rng(0)
+    a = np.unique(rng.integers(0, 2 ** 63, 3000).astype(np.uint64))
+    b = np.unique(np.r_[rng.permutation(a)[:2700], rng.integers(0, 2 ** 63, 300).astype(np.uint64)])
+    true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    assert simhash.jaccard(a, b, 10_000) == true
+    assert abs(simhash.jaccard(a[:512], b[:512], 512) - true) < 0.06
+    assert simhash.jaccard(a[:0], a[:0], 512) == 1.0 and simhash.jaccard(a[:5], a[:0], 512) == 0.0
+
+
 @pytest.mark.parametrize("dense", [simhash.DENSE, 5])
-def test_deduplicate(spark, nothing, dense, monkeypatch):
-    monkeypatch.setattr(simhash, "edges", lambda n, d, m, _=0, f=simhash.edges: f(n, d, m, dense))
+def test_deduplicate(spark, nothing, dense):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(400)]
     base = [" ".join(rng.choices(words, k=200)) for _ in range(25)]
@@ -454,9 +463,12 @@ def test_deduplicate(spark, nothing, dense, monkeypatch):
     rows += [(200 + i, base[12], None, None, None) for i in range(5)]
     rows += [rows[3], (None, base[12], None, None, None), (None, None, None, None, None),
              (300, None, None, None, None), (301, "", None, None, None)]
-    out = simhash.deduplicate(clashing(spark.createDataFrame(rows, SCHEMA)))
+    other = base[20].split()  # a third of the shingles changed: not similar enough
+    other[10:200:12] = ["changed"] * len(other[10:200:12])
+    rows.append((400, " ".join(other), None, None, None))
+    out = simhash.deduplicate(clashing(spark.createDataFrame(rows, SCHEMA)), dense=dense)
     assert "fp" in out.columns
-    assert sorted(r["doc_id"] for r in out.collect()) == [*range(25), 300]
+    assert sorted(r["doc_id"] for r in out.collect()) == [*range(25), 300, 400]
     assert simhash.deduplicate(nothing).count() == 0
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +17,10 @@ from plumbline.plans.session import scratch_path
 from plumbline.sources import delimiters, readers, writers
 
 
+# ship the worker function by value: executors need no installed copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _na(c):
     return f"CASE WHEN {c} IN {s.values(vocab.READER_NA)} THEN NULL ELSE {c} END AS {c}"
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +51,6 @@ class Tokenizer:
         return self.encoding.encode_ordinary(text)
 
 
-@lru_cache(1)
-def _tokenizer(ranks_file: bytes, pattern: str) -> Tokenizer:
-    return Tokenizer(ranks_file, pattern)
-
-
 class Rooms:
     """Which rooms (free places of open rows) there are; the least one of at least a size."""
 
@@ -135,7 +130,7 @@ def _packed_rows(pieces: list, length: int, pad: int, block: int, kind: str, id_
 
 
 def _pack_batches(batches: Iterator, ranks_file: bytes, pattern: str, length: int) -> Iterator:
-    tok = _tokenizer(ranks_file, pattern)
+    tok = Tokenizer(ranks_file, pattern)
     kind = "<u2" if tok.end < 1 << 16 else "<u4"
     held, size, block, id_type = [], 0, 0, pa.int64()
     for b in batches:

@@ -90,7 +90,7 @@ class Matcher:
         """(k1, k2, text, n, start, here, near): where items would start by the posted words; the
         offsets of the words that say so, and of those that say so up to `slack` words before."""
         found = self.index.join(self.looked_up, "term").select(
-            *KEY, "text", "n", (F.col("pos") - F.col("offset")).alias("start"), "offset").distinct()
+            *KEY, "text", "n", (F.col("pos") - F.col("offset")).alias("start"), "offset")
         by_start = Window.partitionBy(*KEY, "text").orderBy("start")
         offsets = F.collect_set("offset")  # of one item's words
         met = found.withColumn("near", offsets.over(by_start.rangeBetween(-slack, 0)))

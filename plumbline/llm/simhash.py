@@ -9,12 +9,14 @@ key's segments starts a chain within the proportional budgets.  No link is lost.
 
 Wide fingerprints with t >= m, for similarities of shingle sets, are filed under each single segment
 instead.  There the chain starts at a segment that agrees exactly, and a pair is missed where none
-does.  What they find is checked on the shingles themselves.
+does.  What they find is checked on the shingles themselves:
+pairs of closest rows as rows, all others that those have not joined within blocks of their key.
 
 Rows of one key are compared where they meet and leave only the edges of a spanning forest, so a
 group of copies never turns into all its pairs.  Keys with more than `dense` different
-fingerprints are not gathered at all: two fingerprints within t bits share a point within t/2 bits
-of both, so rows are filed under all such points, one least row per point, and no two rows meet.
+fingerprints are not gathered at all: wide ones meet block by block; of the others, two within t
+bits share a point within t/2 bits of both, so rows are filed under all such points, one least row
+per point, and no two rows meet.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; equal texts share
 their fingerprint and thereby their group; a repeated row stays a row; an empty table gives an
@@ -40,7 +42,8 @@ from plumbline.llm.graph import components
 
 CHAIN = 4          # segments of a chain that are looked at before the full comparison
 DENSE = 4096       # different fingerprints under one key that are still compared in one place
-CLOSE = 3          # closest rows under a key that a row of a wide fingerprint is paired with
+CLOSE = 3          # closest rows under a key that a row of a wide fingerprint meets at first
+BLOCK = 1024       # rows of a key that meet as many others in one place, with their shingles
 SKETCH = 512       # least shingle hashes of a text that decide on similarity
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -72,9 +75,8 @@ def _widened(h: np.ndarray, longs: int) -> np.ndarray:
     return x
 
 
-def fingerprint(data: bytes, words: int = 4, longs: int = 1) -> bytes:
-    """A bit is 1 if it is set in over half of the shingles' hashes; big-endian."""
-    h = shingle_hashes(data, words)
+def _majority(h: np.ndarray, longs: int) -> bytes:
+    """A bit is 1 if it is set in over half of the hashes; big-endian."""
     counts = np.zeros(64 * longs, np.int64)
     for at in range(0, len(h), 255 * 64):
         rows = _widened(h[at:at + 255 * 64], longs).astype(">u8")
@@ -84,6 +86,11 @@ def fingerprint(data: bytes, words: int = 4, longs: int = 1) -> bytes:
     return np.packbits(2 * counts > len(h)).tobytes()
 
 
+def fingerprint(data: bytes, words: int = 4, longs: int = 1) -> bytes:
+    """The majority over all shingles, repeated ones as often as they occur."""
+    return _majority(shingle_hashes(data, words), longs)
+
+
 def _fingerprint_batches(batches: Iterator, words: int, longs: int) -> Iterator:
     for b in batches:
         fps = [fingerprint(x, words, longs) for x in b.column(b.num_columns - 1).to_pylist()]
@@ -139,8 +146,8 @@ def _key_batches(batches: Iterator, m: int, diff: int) -> Iterator:
     for b in batches:
         if not b.num_rows:
             continue
-        seg = _segments(_as_matrix(b.column(0)), m)
-        edge = _bounds(8 * len(b.column(0)[0].as_py()), m)
+        fps = _as_matrix(b.column(0))
+        seg, edge = _segments(fps, m), _bounds(8 * fps.shape[1], m)
         for k, chosen in enumerate(_choices(m, diff)):
             key = np.full(len(seg), k, np.uint64)
             for s in chosen:
@@ -218,25 +225,33 @@ def _closest(n: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray, few: int
     return both // n, both % n
 
 
-def _linked(keys, choices, fps: np.ndarray, m: int, diff: int, few: int) -> pa.RecordBatch:
-    """Edges among the rows of each key: a spanning forest, or with `few` pairs of close rows."""
+def _binaries(fps: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in fps], pa.binary())
+
+
+def _linked(keys, choices, ids: np.ndarray, m: int, diff: int, few: int) -> pa.RecordBatch:
+    """Edges among the rows of each key: a spanning forest.  With `few`, pairs of close rows."""
+    fps = ids
     seg = _segments(fps, m)
     heads = np.array(_choices(m, diff))[choices]
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    bits = [np.empty(0, np.int64)]
     for a, b in _pairs(keys):
         ok = _within(seg, a, b, heads[a], diff)
         left.append(a[ok])
         right.append(b[ok])
+        if few:
+            bits.append(np.bitwise_count(fps[a[ok]] ^ fps[b[ok]]).sum(axis=1, dtype=np.int64))
     a, b = np.concatenate(left), np.concatenate(right)
-    if few:
-        bits = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
-        a, b = _closest(len(keys), a, b, bits, few)
-    else:
+    if not few:
         root = _forest(len(keys), a, b)
         a = np.flatnonzero(root != np.arange(len(keys)))
-        b = root[a]
-    return pa.RecordBatch.from_arrays([pa.array([fps[i].tobytes() for i in x], pa.binary())
-                                       for x in (a, b)], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([_binaries(ids[a]), _binaries(ids[root[a]])],
+                                          names=["u", "v"])
+    u, v = _closest(len(keys), a, b, np.concatenate(bits), few)
+    return pa.RecordBatch.from_arrays(
+        [_binaries(ids[u]), _binaries(ids[v]), pa.nulls(len(u), pa.int64()),
+         pa.nulls(len(u), pa.int32())], names=["u", "v", "key", "choice"])
 
 
 def _edge_batches(batches: Iterator, m: int, diff: int, few: int) -> Iterator:
@@ -305,13 +320,14 @@ def _dense_edges(rows: DataFrame, m: int, diff: int) -> DataFrame:
 def _close_batches(batches: Iterator, diff: int) -> Iterator:
     for b in batches:
         if b.num_rows:
-            x = _as_matrix(b.column(0)) ^ _as_matrix(b.column(1))
+            x = (_as_matrix(b.column(0)) ^ _as_matrix(b.column(1)))
             yield b.filter(pa.array(np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= diff))
 
 
 def _leader_edges(rows: DataFrame, diff: int) -> DataFrame:
     """Links to leaders: the least fingerprint of the key, and of the key's rows that agree in two
-    more bytes, at eight places.  Linear in the rows, whatever the key."""
+    more bytes, at eight places.  Linear in the rows, whatever the key.  They only spare
+    comparisons: all rows of the key meet later."""
     last = F.octet_length("fp") - 1
     more = F.array(F.lit("").cast("binary"), *[F.substring(
         "fp", 1 + F.pmod(F.col("choice") * 5 + e * 8, last), F.lit(2)) for e in range(8)])
@@ -323,20 +339,23 @@ def _leader_edges(rows: DataFrame, diff: int) -> DataFrame:
 
 
 def edges(nodes: DataFrame, diff: int, m: int, dense: int = DENSE, few: int = 0) -> DataFrame:
-    """nodes(fp), each once -> (u, v): a spanning forest of every key's links; with `few`, each
-    row's links to so many closest rows and to the first of its key."""
+    """nodes(fp), each once -> (u, v): a spanning forest of every key's links.  With `few`,
+    (u, v, key, choice): each row's links to so many closest rows and to the first of its key;
+    and, v null, the rows of keys that are not gathered."""
     keys = nodes.select("fp").mapInArrow(partial(_key_batches, m=m, diff=diff),
                                          "key long, choice int, fp binary")
     hot = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > dense)
                  .select("key"), "hot_keys")
     some = bool(hot.head(1))
     usual = keys.join(hot, "key", "left_anti") if some else keys
-    found = usual.repartition("key").sortWithinPartitions("key").mapInArrow(
-        partial(_edge_batches, m=m, diff=diff, few=few), "u binary, v binary")
+    found = usual.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
+        partial(_edge_batches, m=m, diff=diff, few=few),
+        "u binary, v binary" + (", key long, choice int" if few else ""))
     if some:
         many = keys.join(hot, "key", "left_semi")
-        found = found.union(_leader_edges(many, diff) if m <= diff else
-                            _dense_edges(many, m, diff))
+        found = found.unionByName(_leader_edges(many, diff).unionByName(many.select(
+            F.col("fp").alias("u"), "key", "choice"), True) if few else
+            _dense_edges(many, m, diff), True)
     return found
 
 
@@ -408,37 +427,147 @@ def _similar_batches(batches: Iterator, similarity: float, size: int) -> Iterato
             pa.array(ok, pa.bool_()))
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: list[str], words: int,
-             similarity: float) -> DataFrame:
-    """Those pairs (u, v) whose texts' shingle sets are similar enough, by their SKETCH least
-    hashes.  docs(*key, text); a node's text is that of its first row."""
-    met = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
-    wanted = stored(nodes.join(met, "fp", "left_semi").select(
+def _sketches(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, key: list[str], words: int
+              ) -> DataFrame:
+    """wanted(fp), docs(*key, text) -> (fp, set): the SKETCH least shingle hashes of a node."""
+    first = stored(nodes.join(wanted, "fp", "left_semi").select(
         "fp", *[F.col("least")[k].alias(k) for k in key]), "wanted")
-    sets = stored(docs.join(sized(wanted), key).select("fp", utf8().alias("t")).mapInArrow(
+    return stored(docs.join(sized(first), key).select("fp", utf8().alias("t")).mapInArrow(
         partial(_sketch_batches, words=words, size=SKETCH), "fp binary, set binary").groupBy(
         "fp").agg(F.min("set").alias("set")), "shingles")
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: list[str], words: int,
+             similarity: float) -> DataFrame:
+    """Those pairs (u, v) whose texts' shingle sets are similar enough."""
+    sets = _sketches(pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct(),
+                     nodes, docs, key, words)
     both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("set").alias("a")), "u").join(
         sets.select(F.col("fp").alias("v"), F.col("set").alias("b")), "v")
     return both.select("u", "v", "a", "b").mapInArrow(
         partial(_similar_batches, similarity=similarity, size=SKETCH), "u binary, v binary")
 
 
-def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, dense: int = DENSE
-                ) -> DataFrame:
+def _similarities(a: np.ndarray, others: list[np.ndarray], size: int) -> np.ndarray:
+    """jaccard() of one set with each of others."""
+    length = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    hit = a[np.minimum(np.searchsorted(a, flat), len(a) - 1)] == flat if len(a) else flat != flat
+    upto, end = np.r_[0, np.cumsum(hit)], np.cumsum(length)
+    both = upto[end] - upto[end - length]
+    out = np.where(len(a) + length, both / np.maximum(len(a) + length - both, 1), 1.0)
+    for k in np.flatnonzero((length == size) | (len(a) == size)):
+        out[k] = jaccard(a, others[k], size)
+    return out
+
+
+def _block_links(rows: pa.Table, m: int, diff: int, similarity: float, size: int
+                 ) -> pa.RecordBatch | None:
+    """Similar rows among those of two blocks of a key, as a forest over their labels."""
+    label = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
+    if not label.any():
+        return None
+    block, same = rows["block"].to_numpy(), rows["i"][0].as_py() == rows["j"][0].as_py()
+    ids = _as_matrix(rows["fp"].combine_chunks())
+    seg = _segments(ids, m)
+    heads = np.array(_choices(m, diff))[rows["choice"].to_numpy()]
+    sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
+    left, right = [], []
+    for x in range(0, len(ids), 128):
+        a, b = (y.ravel() for y in np.meshgrid(np.arange(x, min(len(ids), x + 128)),
+                                               np.arange(len(ids)), indexing="ij"))
+        ok = (b > a) & (label[a] != label[b])
+        if not same:
+            ok &= block[a] != block[b]
+        a, b = a[ok], b[ok]
+        ok = _within(seg, a, b, heads[a], diff)
+        a, b = a[ok], b[ok]
+        for i in np.unique(a):
+            others = b[a == i]
+            others = others[label[others] != label[i]]
+            if not len(others):
+                continue
+            alike = _similarities(sets[i], [sets[k] for k in others], size) >= similarity
+            for k in others[alike]:
+                if label[k] != label[i]:
+                    left.append(i)
+                    right.append(k)
+                    label[label == label[k]] = label[i]
+    if not left:
+        return None
+    return pa.RecordBatch.from_arrays([_binaries(ids[left]), _binaries(ids[right])],
+                                      names=["u", "v"])
+
+
+def _block_batches(batches: Iterator, m: int, diff: int, similarity: float, size: int) -> Iterator:
+    """Rows come sorted by key, i and j; those of one (key, i, j) meet, also across batches."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        marks = np.stack([b.column(c).to_numpy() for c in range(3)], axis=1)
+        cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1), b.num_rows]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if last is not None and last != tuple(marks[x]):
+                out = _block_links(pa.Table.from_batches(held), m, diff, similarity, size)
+                held = []
+                if out:
+                    yield out
+            held.append(b.slice(x, y - x))
+            last = tuple(marks[x])
+    if held:
+        out = _block_links(pa.Table.from_batches(held), m, diff, similarity, size)
+        if out:
+            yield out
+
+
+def _other_links(rest: DataFrame, links: DataFrame, nodes: DataFrame, docs: DataFrame,
+                 key: list[str], words: int, similarity: float, diff: int, m: int, block: int
+                 ) -> DataFrame | None:
+    """rest(key, choice, fp): rows of a key that are not all compared yet.  Links between rows that
+    `links` do not join already: every such pair of a key meets in one pair of the key's blocks,
+    and is judged there by the shingles, so that a key's pairs never become rows."""
+    comp = components(links)
+    rest = stored(rest.join(comp, rest["fp"] == comp["node"], "left").select(
+        "key", "choice", "fp", F.xxhash64(F.coalesce("root", "fp")).alias("label")), "rest")
+    keys = stored(rest.groupBy("key").agg(
+        F.ceil(F.count("*") / block).alias("blocks"), F.min("label").alias("low"),
+        F.max("label").alias("high")).where("low <> high").select("key", "blocks"), "open_keys")
+    if not keys.head(1):
+        return None
+    rows = stored(rest.join(sized(keys), "key"), "open_rows")
+    sets = _sketches(rows.select("fp").distinct(), nodes, docs, key, words)
+    own = F.pmod(F.xxhash64("fp"), "blocks").cast("int")
+    dealt = rows.join(sets, "fp").withColumn("block", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "block", "choice", "label", "fp", "set")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp").mapInArrow(
+        partial(_block_batches, m=m, diff=diff, similarity=similarity, size=SKETCH),
+        "u binary, v binary")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, dense: int = DENSE,
+                block: int = BLOCK) -> DataFrame:
     """docs with one row of each group of near duplicates: the one with the least doc_id, null ids
     last.  Groups are joined by the similarity of their texts' sets of shingles: wide fingerprints
-    find the pairs, up to CLOSE a row and key and those to the key's first row, and the shingles
-    decide."""
+    find the pairs, and the shingles decide.  Pairs of closest rows come first; in keys
+    that have more, every pair that these leave apart is judged after them."""
     key = {"k1": F.xxhash64("doc_id", "text", F.lit(1)),
            "k2": F.xxhash64(F.lit(2), "text", F.col("text").isNull(), "doc_id")}
     rows = docs.select("doc_id", "text", *[c.alias(k) for k, c in key.items()])
     wide = wide_parameters(docs.count(), similarity)
+    diff, m = wide["diff"], wide["segments"]
     fps = stored(fingerprints(rows, ["doc_id", *key], words, wide["longs"]), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(_first(["doc_id", *key])), "nodes")
-    pairs = stored(edges(nodes, wide["diff"], wide["segments"], dense, CLOSE).distinct(), "pairs")
-    found = stored(_labelled(fps, nodes, _similar(pairs, nodes, rows, list(key), words, similarity)),
-                   "near_duplicates")
+    met = stored(edges(nodes, diff, m, dense, CLOSE), "met")
+    pairs = stored(met.where("v IS NOT NULL").select("u", "v").distinct(), "pairs")
+    links = stored(_similar(pairs, nodes, rows, list(key), words, similarity), "links")
+    rest = met.where("v IS NULL").select("key", "choice", F.col("u").alias("fp"))
+    if rest.head(1):
+        others = _other_links(rest, links, nodes, rows, list(key), words, similarity, diff, m, block)
+        links = links if others is None else links.union(others)
+    found = stored(_labelled(fps, nodes, links), "near_duplicates")
     dropped = stored(found.where("k1 <> least.k1 or k2 <> least.k2").select(*key).distinct(),
                      "dropped")
     named = {k: f"_near_{k}" for k in key}

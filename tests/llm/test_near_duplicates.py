@@ -1,0 +1,65 @@
+"""Near duplicates by their shingles, among texts that share keys with many others."""
+
+import random
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+from plumbline.llm import simhash
+
+SCHEMA = "doc_id long, text string"
+
+
+def candidate_groups(rows, words=5, similarity=0.8):
+    """Components over all pairs that meet under a key and are similar by their shingles."""
+    wide = simhash.wide_parameters(len(rows), similarity)
+    m, diff = wide["segments"], wide["diff"]
+    sets = [set(simhash.shingle_hashes(t.encode(), words).tolist()) for _, t in rows]
+    fps = np.stack([np.frombuffer(simhash.fingerprint(t.encode(), words, wide["longs"]),
+                                  np.uint8) for _, t in rows])
+    seg = simhash._segments(fps, m)
+    root = {i: i for i, _ in rows}
+    for x, y in combinations(range(len(rows)), 2):
+        heads = np.flatnonzero(seg[x] == seg[y])
+        if len(heads) and len(sets[x] & sets[y]) >= similarity * len(sets[x] | sets[y]) and len(
+                simhash._within(seg, np.array([x]), np.array([y]), heads[None], diff)):
+            p, q = sorted((root[rows[x][0]], root[rows[y][0]]))
+            root = {i: p if r == q else r for i, r in root.items()}
+    return root
+
+
+@pytest.fixture(scope="module")
+def boilerplate():
+    """Texts that share most of their words, most pairs just below a similarity of 0.8."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    common = rng.choices(words, k=300)
+    out = []
+    for _ in range(150):
+        own = rng.choices(words, k=37)
+        out.append(common + own)
+        if rng.random() < 0.4:  # a copy that keeps some of the own words
+            out.append(common + own[:rng.randint(3, 20)] + rng.choices(words, k=25))
+    rng.shuffle(out)
+    return [(i, " ".join(t)) for i, t in enumerate(out)]
+
+
+def kept(spark, rows, **options):
+    return sorted(r["doc_id"] for r in simhash.deduplicate(
+        spark.createDataFrame(rows, SCHEMA).repartition(3), **options).collect())
+
+
+@pytest.mark.parametrize("dense,block", [(8, 5), (8, 1024)])
+def test_rows_of_hot_keys_all_meet(spark, boilerplate, dense, block):
+    want = sorted(set(candidate_groups(boilerplate).values()))
+    assert kept(spark, boilerplate, dense=dense, block=block) == want
+
+
+@pytest.mark.parametrize("size", [1000, 60])
+def test_similarities_of_one_with_many(size):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 150, n).astype(np.uint64))[:size] for n in (0, 1, 90, 200, 0)]
+    for a in sets:
+        assert simhash._similarities(a, sets, size).tolist() == [
+            simhash.jaccard(a, b, size) for b in sets]

@@ -230,7 +230,8 @@ def _binaries(fps: np.ndarray) -> pa.Array:
 
 
 def _linked(keys, choices, ids: np.ndarray, m: int, diff: int, few: int) -> pa.RecordBatch:
-    """Edges among the rows of each key: a spanning forest.  With `few`, pairs of close rows."""
+    """Edges among the rows of each key: a spanning forest.  With `few`, (u, v, key, choice):
+    pairs of close rows, and for a key with further pairs the rows that have any, v null."""
     fps = ids
     seg = _segments(fps, m)
     heads = np.array(_choices(m, diff))[choices]
@@ -249,9 +250,16 @@ def _linked(keys, choices, ids: np.ndarray, m: int, diff: int, few: int) -> pa.R
         return pa.RecordBatch.from_arrays([_binaries(ids[a]), _binaries(ids[root[a]])],
                                           names=["u", "v"])
     u, v = _closest(len(keys), a, b, np.concatenate(bits), few)
+    first = np.searchsorted(keys, keys)
+    cut = np.bincount(first[a], minlength=len(keys)) > np.bincount(first[u], minlength=len(keys))
+    rest = np.unique(np.r_[a, b])
+    rest = rest[cut[first[rest]]]
     return pa.RecordBatch.from_arrays(
-        [_binaries(ids[u]), _binaries(ids[v]), pa.nulls(len(u), pa.int64()),
-         pa.nulls(len(u), pa.int32())], names=["u", "v", "key", "choice"])
+        [_binaries(ids[np.r_[u, rest]]),
+         pa.concat_arrays([_binaries(ids[v]), pa.nulls(len(rest), pa.binary())]),
+         pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(keys[rest], pa.int64())]),
+         pa.concat_arrays([pa.nulls(len(u), pa.int32()), pa.array(choices[rest], pa.int32())])],
+        names=["u", "v", "key", "choice"])
 
 
 def _edge_batches(batches: Iterator, m: int, diff: int, few: int) -> Iterator:
@@ -341,7 +349,7 @@ def _leader_edges(rows: DataFrame, diff: int) -> DataFrame:
 def edges(nodes: DataFrame, diff: int, m: int, dense: int = DENSE, few: int = 0) -> DataFrame:
     """nodes(fp), each once -> (u, v): a spanning forest of every key's links.  With `few`,
     (u, v, key, choice): each row's links to so many closest rows and to the first of its key;
-    and, v null, the rows of keys that are not gathered."""
+    and, v null, the rows of keys that have more links than these."""
     keys = nodes.select("fp").mapInArrow(partial(_key_batches, m=m, diff=diff),
                                          "key long, choice int, fp binary")
     hot = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > dense)

@@ -56,6 +56,11 @@ def test_rows_of_hot_keys_all_meet(spark, boilerplate, dense, block):
     assert kept(spark, boilerplate, dense=dense, block=block) == want
 
 
+def test_every_close_pair_is_judged(spark, boilerplate):
+    want = sorted(set(candidate_groups(boilerplate).values()))
+    assert kept(spark, boilerplate) == want
+
+
 @pytest.mark.parametrize("size", [1000, 60])
 def test_similarities_of_one_with_many(size):
     rng = np.random.default_rng(2)

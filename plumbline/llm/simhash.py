@@ -7,9 +7,9 @@ at least m-t segments in all; a row is therefore filed under every choice of m-t
 candidates are the rows under the same key, and a candidate is compared in full only if one of the
 key's segments starts a chain within the proportional budgets.  No link is lost.
 
-Wide fingerprints with t >= m, for similarities of shingle sets, are filed under each single segment
-instead.  There the chain starts at a segment that agrees exactly, and a pair is missed where none
-does.  What they find is checked on the shingles themselves:
+Wide fingerprints with t >= m, for similarities of shingle sets, are taken over the set of shingles
+and filed under each single segment instead.  There the chain starts at a segment that agrees
+exactly, and a pair is missed where none does.  What they find is checked on the shingles themselves:
 pairs of closest rows as rows, all others that those have not joined within blocks of their key.
 
 Rows of one key are compared where they meet and leave only the edges of a spanning forest, so a
@@ -45,6 +45,7 @@ DENSE = 4096       # different fingerprints under one key that are still compare
 CLOSE = 3          # closest rows under a key that a row of a wide fingerprint meets at first
 BLOCK = 1024       # rows of a key that meet as many others in one place, with their shingles
 SKETCH = 512       # least shingle hashes of a text that decide on similarity
+SET = 16           # bytes behind a wide fingerprint that name its set of shingles
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -91,19 +92,29 @@ def fingerprint(data: bytes, words: int = 4, longs: int = 1) -> bytes:
     return _majority(shingle_hashes(data, words), longs)
 
 
-def _fingerprint_batches(batches: Iterator, words: int, longs: int) -> Iterator:
+def set_fingerprint(data: bytes, words: int, longs: int) -> bytes:
+    """The majority over the set of shingles, and SET bytes that differ where the sets do."""
+    h = np.unique(shingle_hashes(data, words))
+    return _majority(h, longs) + xxhash.xxh3_128_digest(h.tobytes())
+
+
+def _fingerprint_batches(batches: Iterator, words: int, longs: int, sets: bool) -> Iterator:
+    make = set_fingerprint if sets else fingerprint
     for b in batches:
-        fps = [fingerprint(x, words, longs) for x in b.column(b.num_columns - 1).to_pylist()]
+        fps = [make(x, words, longs) for x in b.column(b.num_columns - 1).to_pylist()]
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.binary())],
                                          names=[*b.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame, columns: list[str], words: int = 4, longs: int = 1) -> DataFrame:
-    """(*columns, fp): one row per row of docs, fp the fingerprint's bytes, highest bit first."""
+def fingerprints(docs: DataFrame, columns: list[str], words: int = 4, longs: int = 1,
+                 sets: bool = False) -> DataFrame:
+    """(*columns, fp): one row per row of docs, fp the fingerprint's bytes, highest bit first;
+    with `sets` those of set_fingerprint."""
     small_batches(docs.sparkSession)
     rows = docs.select(*columns, utf8().alias("_text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.BinaryType())])
-    return rows.mapInArrow(partial(_fingerprint_batches, words=words, longs=longs), schema)
+    return rows.mapInArrow(partial(_fingerprint_batches, words=words, longs=longs, sets=sets),
+                           schema)
 
 
 # --- segments and keys -----------------------------------------------------------------------
@@ -142,11 +153,16 @@ def _as_matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)
 
 
-def _key_batches(batches: Iterator, m: int, diff: int) -> Iterator:
+def _bits(fps: np.ndarray, few: int) -> np.ndarray:
+    """Wide fingerprints, which come with `few`, without the name of their set."""
+    return fps[:, :-SET] if few else fps
+
+
+def _key_batches(batches: Iterator, m: int, diff: int, few: int) -> Iterator:
     for b in batches:
         if not b.num_rows:
             continue
-        fps = _as_matrix(b.column(0))
+        fps = _bits(_as_matrix(b.column(0)), few)
         seg, edge = _segments(fps, m), _bounds(8 * fps.shape[1], m)
         for k, chosen in enumerate(_choices(m, diff)):
             key = np.full(len(seg), k, np.uint64)
@@ -232,7 +248,7 @@ def _binaries(fps: np.ndarray) -> pa.Array:
 def _linked(keys, choices, ids: np.ndarray, m: int, diff: int, few: int) -> pa.RecordBatch:
     """Edges among the rows of each key: a spanning forest.  With `few`, (u, v, key, choice):
     pairs of close rows, and for a key with further pairs the rows that have any, v null."""
-    fps = ids
+    fps = _bits(ids, few)
     seg = _segments(fps, m)
     heads = np.array(_choices(m, diff))[choices]
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -328,7 +344,7 @@ def _dense_edges(rows: DataFrame, m: int, diff: int) -> DataFrame:
 def _close_batches(batches: Iterator, diff: int) -> Iterator:
     for b in batches:
         if b.num_rows:
-            x = (_as_matrix(b.column(0)) ^ _as_matrix(b.column(1)))
+            x = (_as_matrix(b.column(0)) ^ _as_matrix(b.column(1)))[:, :-SET]
             yield b.filter(pa.array(np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= diff))
 
 
@@ -336,7 +352,7 @@ def _leader_edges(rows: DataFrame, diff: int) -> DataFrame:
     """Links to leaders: the least fingerprint of the key, and of the key's rows that agree in two
     more bytes, at eight places.  Linear in the rows, whatever the key.  They only spare
     comparisons: all rows of the key meet later."""
-    last = F.octet_length("fp") - 1
+    last = F.octet_length("fp") - SET - 1
     more = F.array(F.lit("").cast("binary"), *[F.substring(
         "fp", 1 + F.pmod(F.col("choice") * 5 + e * 8, last), F.lit(2)) for e in range(8)])
     split = rows.select("key", "fp", F.posexplode(more).alias("place", "bytes"))
@@ -350,7 +366,7 @@ def edges(nodes: DataFrame, diff: int, m: int, dense: int = DENSE, few: int = 0)
     """nodes(fp), each once -> (u, v): a spanning forest of every key's links.  With `few`,
     (u, v, key, choice): each row's links to so many closest rows and to the first of its key;
     and, v null, the rows of keys that have more links than these."""
-    keys = nodes.select("fp").mapInArrow(partial(_key_batches, m=m, diff=diff),
+    keys = nodes.select("fp").mapInArrow(partial(_key_batches, m=m, diff=diff, few=few),
                                          "key long, choice int, fp binary")
     hot = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > dense)
                  .select("key"), "hot_keys")
@@ -477,7 +493,7 @@ def _block_links(rows: pa.Table, m: int, diff: int, similarity: float, size: int
         return None
     block, same = rows["block"].to_numpy(), rows["i"][0].as_py() == rows["j"][0].as_py()
     ids = _as_matrix(rows["fp"].combine_chunks())
-    seg = _segments(ids, m)
+    seg = _segments(ids[:, :-SET], m)
     heads = np.array(_choices(m, diff))[rows["choice"].to_numpy()]
     sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
     left, right = [], []
@@ -559,14 +575,14 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, dense:
                 block: int = BLOCK) -> DataFrame:
     """docs with one row of each group of near duplicates: the one with the least doc_id, null ids
     last.  Groups are joined by the similarity of their texts' sets of shingles: wide fingerprints
-    find the pairs, and the shingles decide.  Pairs of closest rows come first; in keys
+    of the sets find the pairs, and the shingles decide.  Pairs of closest rows come first; in keys
     that have more, every pair that these leave apart is judged after them."""
     key = {"k1": F.xxhash64("doc_id", "text", F.lit(1)),
            "k2": F.xxhash64(F.lit(2), "text", F.col("text").isNull(), "doc_id")}
     rows = docs.select("doc_id", "text", *[c.alias(k) for k, c in key.items()])
     wide = wide_parameters(docs.count(), similarity)
     diff, m = wide["diff"], wide["segments"]
-    fps = stored(fingerprints(rows, ["doc_id", *key], words, wide["longs"]), "fingerprints")
+    fps = stored(fingerprints(rows, ["doc_id", *key], words, wide["longs"], True), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(_first(["doc_id", *key])), "nodes")
     met = stored(edges(nodes, diff, m, dense, CLOSE), "met")
     pairs = stored(met.where("v IS NOT NULL").select("u", "v").distinct(), "pairs")

@@ -16,8 +16,8 @@ def candidate_groups(rows, words=5, similarity=0.8):
     wide = simhash.wide_parameters(len(rows), similarity)
     m, diff = wide["segments"], wide["diff"]
     sets = [set(simhash.shingle_hashes(t.encode(), words).tolist()) for _, t in rows]
-    fps = np.stack([np.frombuffer(simhash.fingerprint(t.encode(), words, wide["longs"]),
-                                  np.uint8) for _, t in rows])
+    fps = np.stack([np.frombuffer(simhash.set_fingerprint(t.encode(), words, wide["longs"]),
+                                  np.uint8)[:-simhash.SET] for _, t in rows])
     seg = simhash._segments(fps, m)
     root = {i: i for i, _ in rows}
     for x, y in combinations(range(len(rows)), 2):
@@ -61,6 +61,16 @@ def test_every_close_pair_is_judged(spark, boilerplate):
     assert kept(spark, boilerplate) == want
 
 
+def test_repeated_lines_count_once(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(500)]
+    line = "one line of an odd number of words here that comes again"
+    rows = [(i, " ".join([line] * 90 + rng.choices(words, k=40))) for i in range(3)]
+    text = " ".join(rng.choices(words, k=400))
+    rows += [(10, text), (11, text + " " + " ".join([line] * 300))]
+    assert kept(spark, rows) == [0, 1, 2, 10]
+
+
 @pytest.mark.parametrize("size", [1000, 60])
 def test_similarities_of_one_with_many(size):
     rng = np.random.default_rng(2)

@@ -1,8 +1,8 @@
 """Isolation forest per numeric column.
 
 On one dimension a forest is a step function of the value.  Trees are grown from the
-column's values in a sample of rows, chosen by row hash and therefore the same however the
-table is partitioned, one small task per (column, tree); the summed steps give the flagged
+column's values, weighted by their counts and thinned by value hash, therefore the same however
+the table is partitioned, one small task per (column, tree); the summed steps give the flagged
 value ranges, and the table itself is only filtered by them.
 """
 
@@ -17,15 +17,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline import roles, vocab
-from plumbline.operators.cells import names_of, number_cells, pin
-from plumbline.roles import col
+from plumbline import vocab
+from plumbline.operators.cells import histogram, names_of, number_cells, pin
 
 # ship the worker functions by value: executors need no installed copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TREES, SAMPLE, SEED = 100, 256, 42
-GRID = 8_000  # rows that the trees and the cut are taken from
+GRID = 8_000  # points that the trees and the cut are taken from
 
 
 def _expected_depth(n: int) -> float:
@@ -94,15 +93,15 @@ def _cut(edges: pd.DataFrame, grids: pd.DataFrame) -> pd.DataFrame:
                          "hi": upper[ends]})
 
 
-def _sampled(df: DataFrame, grid: int) -> DataFrame:
-    """About `grid` rows, those with the smallest hashes of their content: the same rows
-    whatever the partitioning.  All rows where there are not many more."""
-    rows = df.count()
-    if rows <= 2 * grid:
-        return df
-    cells = [col(c.name) for c in roles.columns(df)]
-    cut = int(-(2 ** 63) + grid / rows * 2 ** 64)
-    return df.where(F.xxhash64(F.lit(SEED), *cells) <= F.lit(cut).cast("bigint"))
+def _weighted(df: DataFrame, names: list[str], counts: DataFrame, grid: int) -> DataFrame:
+    """(column, value, weight): each value's share of about `grid` points, rounded up or down by
+    the value's hash, so that copies keep their weight; all rows where there are not many more."""
+    share = F.when(F.col("n") > 2 * grid, grid / F.col("n")).otherwise(1.0)
+    part = F.pmod(F.xxhash64(F.lit(SEED), "column", "value"), F.lit(1 << 30)) / (1 << 30)
+    return histogram(number_cells(df, names)).withColumnRenamed("n", "held").join(
+        F.broadcast(counts), "column").select(
+        "column", "value", F.floor(F.col("held") * share + part).alias("weight")).where(
+        "weight > 0")
 
 
 def flagged_ranges(df: DataFrame, names: list[str] | None = None,
@@ -111,14 +110,14 @@ def flagged_ranges(df: DataFrame, names: list[str] | None = None,
     """column, ranges ARRAY<STRUCT<lo, hi>>: value ranges (lo, hi] counted as outliers.
 
     Values are flagged when their mean path length is below the contamination quantile of
-    the sampled rows.  Two scans of the table; everything after them has a fixed size per
-    column.
+    the weighted values.  Two scans of the table, one of them grouped by value; everything after
+    them has a fixed size per column.
     """
     names = names if names is not None else names_of(df, "numeric")
     counts = number_cells(df, names).groupBy("column").agg(F.count("value").alias("n")).where(
         F.col("n") >= min_rows)
-    held = number_cells(_sampled(df, grid), names).where("value IS NOT NULL").groupBy(
-        "column", "value").agg(F.count("*").alias("weight"))
+    counts = pin(counts)
+    held = _weighted(df, names, counts, grid)
     grids = pin(held.groupBy("column").agg(
         F.array_sort(F.collect_list(F.struct("value", "weight"))).alias("held")).join(
         F.broadcast(counts), "column").select(

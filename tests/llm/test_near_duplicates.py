@@ -37,10 +37,11 @@ def boilerplate():
     common = rng.choices(words, k=300)
     out = []
     for _ in range(150):
-        own = rng.choices(words, k=37)
+        own = rng.choices(words, k=45)
         out.append(common + own)
         if rng.random() < 0.4:  # a copy that keeps some of the own words
-            out.append(common + own[:rng.randint(3, 20)] + rng.choices(words, k=25))
+            same = rng.randint(8, 20)
+            out.append(common + own[:same] + rng.choices(words, k=45 - same))
     rng.shuffle(out)
     return [(i, " ".join(t)) for i, t in enumerate(out)]
 

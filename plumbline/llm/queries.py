@@ -7,7 +7,8 @@ import os
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    decontaminate, html, language, mixing, neighbours, packing, quality, sharding, simhash, urls)
+    align, decontaminate, html, language, mixing, neighbours, packing, pieces, quality, sharding,
+    shallot, simhash, urls)
 from plumbline.llm.common import QUERIES, SQL, fold, query, table  # noqa: F401
 from plumbline.llm.sql import DECONTAMINATION, MIXING, url_filter
 
@@ -18,6 +19,8 @@ LM_FOLDS, LM_HELD_OUT = 10, 0
 SHARDS = 40
 WINDOW = 10
 RANKS = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+BYTES = os.environ.get("TOKENIZER_BYTES", "/opt/tokenizers/byte_bpe_50k.json")
+PIECES = os.environ.get("TOKENIZER_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 MIX_WEIGHTS = [1, 2, 3]
 MIX_MOST = 3
 
@@ -90,3 +93,24 @@ def op9_mixing(spark, sf_dir):
 @query("op10_neighbours")
 def op10_neighbours(spark, sf_dir):
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op11_kmeans")
+def op11_kmeans(spark, sf_dir):
+    return shallot.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, d=64)
+
+
+@query("op12_pieces")
+def op12_pieces(spark, sf_dir):
+    model = pieces.read_model(PIECES)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.decode(pieces.encode(docs, model), model).select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark, sf_dir):
+    aligned = align.compare(table(spark, sf_dir, "documents"), BYTES, PIECES)
+    return align.score(aligned, align.pair_counts(aligned))

@@ -83,6 +83,23 @@ def csv_ragged(spark, d):
     return readers.csv_records(spark, path)
 
 
+_EXTRA = "[0, 1, 15, 16, 17, 40][{}]"
+
+
+@query("csv_surplus", f"""SELECT count(*) AS records, count(*) FILTER (WHERE
+  {_EXTRA.format('o_orderkey % 6 + 1')} > 0 AND o_orderkey % 4 > 0) AS surplus FROM orders""")
+def csv_surplus(spark, d):
+    """Records with 1 to 40 further fields, of which the last one may hold a value."""
+    path = scratch_path(spark, "surplus-csv")
+    # two fields as the header has them, then empty ones, then a value, a quoted one or none
+    lines = table(spark, d, "orders").selectExpr(
+        "concat(o_orderkey, ',\"a, \"\"b\"\"\"', repeat(',', array(0, 1, 15, 16, 17, 40)"
+        "[o_orderkey % 6]), CASE WHEN array(0, 1, 15, 16, 17, 40)[o_orderkey % 6] = 0 THEN '' "
+        "ELSE array('', 'x', '\"x, y\"', ' ')[o_orderkey % 4] END) AS l")
+    lines.mapInArrow(_with_header, "l string").write.text(path)
+    return readers.csv_records(spark, path)
+
+
 def _with_header(batches):
     for i, b in enumerate(batches):
         if not i:

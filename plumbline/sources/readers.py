@@ -6,6 +6,8 @@ inferred in ONE distributed aggregate over the whole file (no sampling).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,7 @@ _CORRUPT = "_corrupt_record"
 _BOOLEAN = ("true", "false", "True", "False", "TRUE", "FALSE")
 _INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 _WIDE = "decimal(38,0)"
-_SURPLUS = 16  # fields beyond the header that are looked at
+_RECORD = "_record_text"  # holds records whose number of fields is not the header's
 
 
 class IngestError(ValueError):
@@ -98,12 +100,23 @@ def csv_records(spark: SparkSession, path, sep: str = ",", multi_line: bool = Tr
 
 
 def _raw_csv(spark: SparkSession, path, sep: str, multi_line: bool):
-    """All columns as text, and the condition that a record has a value beyond the last one."""
+    """All columns as text, and the condition that a record has a value beyond the last one.
+
+    The reader keeps the text of every record with another number of fields than the header, too
+    few or too many; the fields beyond the header are looked up there, however many there are.
+    """
     names = _csv(spark, sep, multi_line).csv(path).columns
-    extra = [f"_surplus_{i}" for i in range(_SURPLUS)]
-    raw = _csv(spark, sep, multi_line).schema(T.StructType(
-        [T.StructField(n, T.StringType()) for n in names + extra])).csv(path)
-    return raw, F.coalesce(*[F.col(c) for c in extra]).isNotNull()
+    raw = (_csv(spark, sep, multi_line).option("columnPruning", False)
+           .option("columnNameOfCorruptRecord", _RECORD).schema(T.StructType(
+               [T.StructField(n, T.StringType()) for n in [*names, _RECORD]])).csv(path))
+    mark = re.escape(sep)
+    # quoted fields, which may hold separators, count as one letter
+    plain = F.regexp_replace(F.rtrim(F.col(_RECORD), F.lit("\r\n")),
+                             rf'(^|{mark})"(?:[^"]|"")*"', "$1q")
+    beyond = F.slice(F.split(plain, mark), len(names) + 1, 1 << 20)
+    # a record is as long as its first field: this also keeps the reader from reading the text alone
+    whole = F.length(_RECORD) >= F.length(F.coalesce(col(names[0]), F.lit("")))
+    return raw, F.coalesce(whole & F.exists(beyond, lambda x: x != ""), F.lit(False))
 
 
 def read_csv(spark: SparkSession, path, sep: str = ",", infer_types: bool = True,
@@ -115,7 +128,7 @@ def read_csv(spark: SparkSession, path, sep: str = ",", infer_types: bool = True
     surplus = raw.where(over).count()
     if surplus:
         raise IngestError(f"{surplus} record(s) have more fields than the header")
-    df = null_reader_tokens(raw.drop(*[f"_surplus_{i}" for i in range(_SURPLUS)]))
+    df = null_reader_tokens(raw.drop(_RECORD))
     return infer(df) if infer_types else df
 
 

@@ -653,3 +653,15 @@ def test_flagged_cells_by_shuffle_and_broadcast(spark, monkeypatch):
     small = sorted(map(str, anomalies.cells(df, found, ["id"]).collect()))
     monkeypatch.setattr(anomalies, "BROADCAST_VALUES", -1)
     assert len(small) == 60 and small == sorted(map(str, anomalies.cells(df, found, ["id"]).collect()))
+
+
+@pytest.mark.parametrize("extra", [1, 15, 16, 17, 40, 400])
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_csv_surplus_fields_are_never_lost(spark, tmp_path, extra, multi_line):
+    path = tmp_path / "a.csv"
+    path.write_text("a,b\n1,2\n3,4" + "," * extra + "LOST\n5\n")
+    with pytest.raises(readers.IngestError, match="1 record"):
+        readers.read_csv(spark, str(path), multi_line=multi_line)
+    path.write_text("a,b\n1,2\n3,4" + "," * extra + '\n5\n"x,y","7,""8"""\n')
+    got = readers.read_csv(spark, str(path), multi_line=multi_line).collect()
+    assert [tuple(r) for r in got] == [("1", "2"), ("3", "4"), ("5", None), ("x,y", '7,"8"')]

@@ -9,6 +9,7 @@ from plumbline import roles, vocab
 from plumbline.functions import stats, text
 from plumbline.operators.cells import (
     histogram, in_columns, names_of, number_cells, pin, small_frame, text_cells)
+from plumbline.operators.frequent import frequent_values
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.roles import col
 
@@ -144,20 +145,6 @@ def approx_distinct_counts(df: DataFrame, rsd: float = 0.02) -> DataFrame:
     return out
 
 
-def modes(hist: DataFrame) -> DataFrame:
-    """column, mode, n: most frequent value, the smallest one on ties."""
-    best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("value")))
-    return hist.groupBy("column").agg(best.alias("b")).select(
-        "column", F.col("b.value").alias("mode"), (-F.col("b.neg")).alias("n"))
-
-
-def top_values(hist: DataFrame, k: int = TOP_VALUES) -> DataFrame:
-    """column, rank, value, n.  Spark limits each task to k rows per column first."""
-    w = Window.partitionBy("column").orderBy(F.desc("n"), F.col("value"))
-    return (hist.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("column", F.col("rank").cast("bigint").alias("rank"), "value", "n"))
-
-
 def numeric_stats(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """column, n, min, max, mean, std, skewness, kurtosis for numeric columns, one scan."""
     names = names if names is not None else names_of(df, "numeric")
@@ -224,8 +211,8 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     if exact:
         out = out.join(unique_counts(df), "column", "left")
         if words:
-            top = top_values(value_histogram(df, words)).groupBy("column").agg(F.array_sort(
-                F.collect_list(F.struct("rank", "value", "n"))).alias("top_values"))
+            top = frequent_values(normalised(df), words, TOP_VALUES).groupBy("column").agg(
+                F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("top_values"))
             out = out.join(top, "column", "left")
     else:
         out = out.join(approx_distinct_counts(df), "column", "left")

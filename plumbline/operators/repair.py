@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline import roles, vocab
 from plumbline.functions import dates, text
-from plumbline.operators import profile
+from plumbline.operators import frequent, profile
 from plumbline.operators.cells import (
-    TABLE, histogram, in_columns, number_cells, pin, small_frame, tally, text_cells, together,
+    TABLE, in_columns, number_cells, pin, small_frame, tally, text_cells, together,
     weighted_cells)
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.roles import col
@@ -86,7 +86,7 @@ def fills(df: DataFrame, numbers: DataFrame, counts: DataFrame, intent: list[str
                        for n in words]) if words else df
     moments, modes = together(
         lambda: pin(profile.numeric_stats(numbers, number_names)),
-        lambda: pin(profile.modes(histogram(text_cells(clean, words)))))
+        lambda: pin(frequent.modes(clean, words)))
     known = {r["column"]: r["n"] for r in moments.collect()}
     mid = exact_quantiles(numbers, number_names, (0.5,), counts=known)
     skewed = F.abs(F.coalesce("skewness", F.lit(0.0))) > vocab.SKEW_FOR_MEDIAN

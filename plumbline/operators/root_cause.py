@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline import roles, vocab
 from plumbline.functions import text
-from plumbline.operators import profile
+from plumbline.operators import frequent, profile
 from plumbline.operators.cells import (
-    TABLE, histogram, in_columns, names_of, pin, text_cells, together)
+    TABLE, in_columns, names_of, pin, text_cells, together)
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.score import Measures, grade
 
@@ -257,7 +257,7 @@ def fill_values(df: DataFrame, missing: DataFrame) -> DataFrame:
     other = [n for n in gaps if kinds.get(n) != "numeric"]
     moments, modes = together(
         lambda: pin(profile.numeric_stats(df, numeric)),
-        lambda: pin(profile.modes(histogram(text_cells(df, other)))))
+        lambda: pin(frequent.modes(df, other)))
     counts = {r["column"]: r["n"] for r in moments.collect()}
     mid = exact_quantiles(df, numeric, (0.5,), counts=counts)
     skewed = F.abs(F.coalesce("skewness", F.lit(0.0))) > vocab.SKEW_FOR_MEDIAN

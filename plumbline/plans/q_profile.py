@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import profile
+from plumbline.operators.frequent import frequent_values, modes
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.plans import sqltext as s
 from plumbline.plans.fixtures import people, table, view
@@ -158,22 +159,39 @@ WHERE rank <= 10"""
 
 @query("top_values", f"{s.people(s.cells(s.STRINGS), _HIST)} {_TOP}")
 def top_values(spark, d):
-    return profile.top_values(profile.value_histogram(people(spark, d), list(s.STRINGS)))
+    return frequent_values(profile.normalised(people(spark, d)), list(s.STRINGS), 10)
 
 
 @query("top_values_lineitem",
        f"WITH {s.cells(('l_returnflag', 'l_linestatus', 'l_partkey'), 'lineitem')}, {_HIST} "
        f"{_TOP}")
 def top_values_lineitem(spark, d):
-    return profile.top_values(profile.value_histogram(
-        table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_partkey"]))
+    return frequent_values(profile.normalised(table(spark, d, "lineitem")),
+                           ["l_returnflag", "l_linestatus", "l_partkey"], 10)
+
+
+_TEXTS = ("text", "lang", "source")
+_DOC_CELLS = s.cells(_TEXTS, "documents")
+
+
+@query("top_values_documents", f"WITH {_DOC_CELLS}, {_HIST} {_TOP}")
+def top_values_documents(spark, d):
+    """Whole texts among the columns: only the winners' texts are read back."""
+    return frequent_values(profile.normalised(table(spark, d, "documents")), list(_TEXTS), 10)
+
+
+@query("top_values_proposed", f"WITH {_DOC_CELLS}, {_HIST} {_TOP}")
+def top_values_proposed(spark, d):
+    """The same with candidates proposed by sketches."""
+    return frequent_values(profile.normalised(table(spark, d, "documents")), list(_TEXTS), 10,
+                           propose=True)
 
 
 @query("mode", f"""{s.people(s.cells(s.STRINGS), _HIST)}
 SELECT "column", value AS mode, n FROM (SELECT *, row_number() OVER (
   PARTITION BY "column" ORDER BY n DESC, value) AS r FROM hist) WHERE r = 1""")
 def mode(spark, d):
-    return profile.modes(profile.value_histogram(people(spark, d), list(s.STRINGS)))
+    return modes(profile.normalised(people(spark, d)), list(s.STRINGS))
 
 
 @query("categorical_flags", f"""{s.people(s.cells(s.STRINGS), _HIST)}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import (
-    anomalies, changes, cleaning, drift, facts, forecast, isolation, pii, profile, repair,
+    anomalies, changes, cleaning, drift, facts, forecast, frequent, isolation, pii, profile, repair,
     report, root_cause, score, security, versions)
 from plumbline.operators.cells import histogram, number_cells, pin
 from plumbline.operators.quantiles import exact_quantiles
@@ -64,7 +64,7 @@ def test_pin_refuses_large_results(spark):
 # ------------------------------------------------------------------ profile
 def test_mode_takes_smallest_on_ties(spark):
     df = frame(spark, "c", ["a", "a", "b", "b", None])
-    assert profile.modes(profile.value_histogram(df)).first()["mode"] == "a"
+    assert frequent.modes(df, df.columns).first()["mode"] == "a"
 
 
 def test_duplicates_exact_and_logical(spark):

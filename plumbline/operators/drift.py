@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline import roles, vocab
 from plumbline.functions import stats
+from plumbline.operators import ks
 from plumbline.operators.cells import number_cells, pin, small_frame, text_cells, together
 from plumbline.operators.profile import normalised
-from plumbline.operators.running import cumulative
 
 _TESTED = ("column string, drift_type string, test string, statistic double, p_value double, "
            "mean_a double, mean_b double, mean_shift double, std_shift double")
@@ -52,14 +52,9 @@ def numeric_moments(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
 
 def ks_statistics(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
     """column, n_a, n_b, statistic: largest gap between the two distribution functions."""
-    steps = cumulative(paired_histogram(number_cells, a, b, names), ["n_a", "n_b"])
-    totals = steps.groupBy("column").agg(  # one row per column
-        F.max("cum_n_a").alias("t_a"), F.max("cum_n_b").alias("t_b"))
-    steps = steps.join(F.broadcast(totals), "column")
-    gap = F.abs(F.col("cum_n_a") / F.col("t_a") - F.col("cum_n_b") / F.col("t_b"))
-    return (steps.groupBy("column").agg(
-        F.max("t_a").alias("n_a"), F.max("t_b").alias("n_b"), F.max(gap).alias("statistic"))
-        .where((F.col("n_a") >= vocab.DRIFT_MIN_ROWS) & (F.col("n_b") >= vocab.DRIFT_MIN_ROWS)))
+    rows = ks.statistics(_tagged(number_cells, a, b, names), names, vocab.DRIFT_MIN_ROWS)
+    return small_frame(a.sparkSession, rows,
+                       "column string, n_a bigint, n_b bigint, statistic double")
 
 
 def chi2_statistics(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
@@ -92,13 +87,13 @@ def detect(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row per tested column: drift_type, test, statistic, p_value, is_drifted, severity,
     mean_a, mean_b, mean_shift, std_shift, interpretation."""
     numeric, other = common_columns(a, b)
-    ks, mom, chi = together(
-        lambda: pin(ks_statistics(a, b, numeric)) if numeric else None,
+    gaps, mom, chi = together(
+        lambda: ks_statistics(a, b, numeric) if numeric else None,
         lambda: pin(numeric_moments(a, b, numeric)) if numeric else None,
         lambda: pin(chi2_statistics(a, b, other)) if other else None)
     parts = []
-    if ks is not None:
-        parts.append(ks.join(mom.drop("n_a", "n_b"), "column").select(
+    if gaps is not None:
+        parts.append(gaps.join(mom.drop("n_a", "n_b"), "column").select(
             "column", F.lit("numerical").alias("drift_type"), F.lit("ks_test").alias("test"),
             "statistic",
             stats.ks_pvalue(F.col("statistic"), F.col("n_a"), F.col("n_b")).alias("p_value"),

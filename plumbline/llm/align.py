@@ -2,8 +2,7 @@
 
 Both token sequences spell the same bytes, so they are two lists of byte ends.  While the ends at
 the current shift between the lists' indices agree, tokens stand one to one: the agreeing stretch
-is measured by exponential probing, comparing slices twice as long each time and then halving, and
-jumped over.  Where it stops, the shorter end is followed on either side until both meet again;
+is measured by exponential probing, comparing slices twice as long each time, and jumped over.  Where it stops, the shorter end is followed on either side until both meet again;
 these tokens are one irregular group, and its surplus on one side is added to the shift.
 
 A group of p and q tokens has p + q - 1 overlapping pairs, for no end within it is common.  Tasks
@@ -25,7 +24,6 @@ import json
 from collections.abc import Iterator
 from functools import partial
 from hashlib import sha256
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +40,7 @@ from plumbline.llm.common import sized, stored
 #: from 256 on), and the pattern that cuts texts for it.
 PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 400_000       # words that a task remembers
-LONGEST = 64               # characters of a word that is remembered
+PROBE = 16                 # ends compared at first, then twice as many each time
 TEXTS = 256                # rows of a batch of results
 PAIR = 1 << 32             # a pair of ids in one number
 
@@ -73,72 +70,70 @@ class Bytes:
         self.surface = [b""] * (max(ids.values()) + 1)
         for entry, i in ids.items():
             self.surface[i] = entry
-        self.one = tiktoken.Encoding("own", pat_str="(?s).+", mergeable_ranks=ids,
-                                     special_tokens={})
+        self.all, self.one = (tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ids,
+                                                special_tokens={})
+                              for pattern in (PATTERN, "(?s).+"))
         self.cut = regex.compile(PATTERN).findall
-        self.words: dict[str, list[int]] = {}
-
-    def _word(self, word: str) -> list[int]:
-        ids = self.one.encode_ordinary(word)
-        if len(word) <= LONGEST:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
+        self.blanks = regex.compile(r"\s{1000}").search
 
     def encode(self, text: str) -> list[int]:
-        words = self.words
-        return list(chain.from_iterable([words.get(w) or self._word(w) for w in self.cut(text)]))
+        if not self.blanks(text):
+            return self.all.encode_ordinary(text)
+        # the library's pattern recurses over white space; words of any length it takes
+        return [i for word in self.cut(text) for i in self.one.encode_ordinary(word)]
 
 
-def stretch(a: list[int], b: list[int], i: int, j: int) -> int:
+def stretch(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
     """How many ends from a[i] and b[j] on agree one to one."""
-    most = min(len(a) - i, len(b) - j)
-    n, step = 0, 1
-    while n < most and a[i + n:i + n + step] == b[j + n:j + n + step]:
-        n = min(n + step, most)
+    most, n, step = min(len(a) - i, len(b) - j), 0, PROBE
+    while n < most:
+        step = min(step, most - n)
+        differ = a[i + n:i + n + step] != b[j + n:j + n + step]
+        first = int(differ.argmax())
+        if differ[first]:
+            return n + first
+        n += step
         step *= 2
-    while step > 1:  # the first difference is within step places
-        step //= 2
-        if n + step <= most and a[i + n:i + n + step] == b[j + n:j + n + step]:
-            n += step
     return n
 
 
-def align(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int],
-                                               list[int]]:
+def align(a: np.ndarray, b: np.ndarray) -> tuple[list[tuple[int, int, int, int]], np.ndarray,
+                                                 np.ndarray]:
     """Byte ends of two spellings of one text -> runs, and the indices of every overlapping pair.
 
     A run is (i, p, j, q): p tokens from a[i] and q from b[j], one group; (i, p, j, 0) is a stretch
     of p tokens that stand one to one.
     """
-    found, left, right = [], [], []
+    found, left, right = [], [], []     # left, right: pairs in irregular groups
+    ends_a, ends_b = a.tolist(), b.tolist()
     i = shift = 0
-    while i < len(a):
-        j = i + shift
-        x, y = a[i], b[j]
+    while i < len(ends_a):
+        p, q = i, i + shift
+        x, y = ends_a[p], ends_b[q]
         if x == y:
-            n = stretch(a, b, i, j)
-            found.append((i, n, j, 0))
-            left += range(i, i + n)
-            right += range(j, j + n)
+            n = stretch(a, b, p, q)
+            found.append((p, n, q, 0))
             i += n
             continue
-        p, q = i, j
         while x != y:
             left.append(p)
             right.append(q)
             if x < y:
                 p += 1
-                x = a[p]
+                x = ends_a[p]
             else:
                 q += 1
-                y = b[q]
+                y = ends_b[q]
         left.append(p)
         right.append(q)
-        found.append((i, p + 1 - i, j, q + 1 - j))
+        found.append((i, p + 1 - i, i + shift, q + 1 - i - shift))
         i, shift = p + 1, q - p
-    return found, left, right
+    # a stretch's pairs: its tokens in order
+    even = np.array([(i, n, j) for i, n, j, q in found if not q], np.int64).reshape(-1, 3)
+    n = even[:, 1]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return (found, np.concatenate([np.repeat(even[:, 0], n) + at, np.array(left, np.int64)]),
+            np.concatenate([np.repeat(even[:, 2], n) + at, np.array(right, np.int64)]))
 
 
 class Pieces:
@@ -152,8 +147,8 @@ class Pieces:
             self.surface[i] = (bytes([int(piece[3:-1], 16)]) if self.processor.is_byte(i)
                                else piece.replace("\u2581", " ").encode())
 
-    def encode(self, text: str) -> list[int]:
-        return self.processor.encode(text)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.processor.encode(texts, num_threads=1)
 
 
 def _digest(found: list[tuple[int, int, int, int]], a: list[str], b: list[str]
@@ -178,18 +173,16 @@ def _align_batches(batches: Iterator, bytes_file: str, pieces_file: bytes) -> It
         for at in range(0, whole.num_rows, TEXTS):
             batch = whole.slice(at, TEXTS)
             out = []
-            for text in batch.column(1):
-                spaced = " " + text.as_py() if text.is_valid and text.as_py() else ""
-                a, b = left.encode(spaced), right.encode(spaced[1:])
-                spelt = spaced.encode()
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for text, b in zip(texts, right.encode(texts), strict=True):
+                spaced = " " + text if text else ""
+                a, spelt = left.encode(spaced), spaced.encode()
                 if (b"".join([surface_a[i] for i in a]) != spelt
                         or b"".join([surface_b[i] for i in b]) != spelt):
                     a, b = [], []
                 ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-                found, la, lb = align(np.cumsum(size_a[ids_a]).tolist(),
-                                      np.cumsum(size_b[ids_b]).tolist())
-                pairs, counts = np.unique(ids_a[np.array(la, np.int64)] * PAIR
-                                          + ids_b[np.array(lb, np.int64)], return_counts=True)
+                found, la, lb = align(np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b]))
+                pairs, counts = np.unique(ids_a[la] * PAIR + ids_b[lb], return_counts=True)
                 out.append((part + row, len(a), len(b), *_digest(
                     found, [words[i] for i in a], [words[i] for i in b]), len(la), pairs, counts))
                 row += 1

@@ -17,6 +17,7 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 QUALITY_FOLDS, QUALITY_HELD_OUT = 4, 2
 LM_FOLDS, LM_HELD_OUT = 10, 0
 SHARDS = 40
+SHINGLE, NEAR_BITS = 4, 4
 WINDOW = 10
 RANKS = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 BYTES = os.environ.get("TOKENIZER_BYTES", "/opt/tokenizers/byte_bpe_50k.json")
@@ -58,7 +59,7 @@ def op4_language(spark, sf_dir):
 
 @query("op5_simhash")
 def op5_simhash(spark, sf_dir):
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), SHINGLE, NEAR_BITS).select(
         "doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 

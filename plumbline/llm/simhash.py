@@ -7,16 +7,10 @@ at least m-t segments in all; a row is therefore filed under every choice of m-t
 candidates are the rows under the same key, and a candidate is compared in full only if one of the
 key's segments starts a chain within the proportional budgets.  No link is lost.
 
-Wide fingerprints with t >= m, for similarities of shingle sets, are taken over the set of shingles
-and filed under each single segment instead.  There the chain starts at a segment that agrees
-exactly, and a pair is missed where none does.  What they find is checked on the shingles themselves:
-pairs of closest rows as rows, all others that those have not joined within blocks of their key.
-
 Rows of one key are compared where they meet and leave only the edges of a spanning forest, so a
 group of copies never turns into all its pairs.  Keys with more than `dense` different
-fingerprints are not gathered at all: wide ones meet block by block; of the others, two within t
-bits share a point within t/2 bits of both, so rows are filed under all such points, one least row
-per point, and no two rows meet.
+fingerprints are not gathered at all: two of them within t bits share a point within t/2 bits of
+both, so rows are filed under all such points, one least row per point, and no two rows meet.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; equal texts share
 their fingerprint and thereby their group; a repeated row stays a row; an empty table gives an
@@ -25,7 +19,6 @@ empty result; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import accumulate, combinations
@@ -42,11 +35,6 @@ from plumbline.llm.graph import components
 
 CHAIN = 4          # segments of a chain that are looked at before the full comparison
 DENSE = 4096       # different fingerprints under one key that are still compared in one place
-CLOSE = 3          # closest rows under a key that a row of a wide fingerprint meets at first
-BLOCK = 1024       # rows of a key that meet as many others in one place, with their shingles
-SKETCH = 512       # least shingle hashes of a text that decide on similarity
-SET = 16           # bytes behind a wide fingerprint that name its set of shingles
-_GOLDEN = 0x9E3779B97F4A7C15
 
 
 def shingle_hashes(data: bytes, words: int) -> np.ndarray:
@@ -63,58 +51,31 @@ def shingle_hashes(data: bytes, words: int) -> np.ndarray:
                      zip(starts, ends[min(words, len(parts)) - 1:], strict=False)], np.uint64)
 
 
-def _widened(h: np.ndarray, longs: int) -> np.ndarray:
-    """(n,) hashes -> (n, longs); the first is the hash itself, the rest are mixed from it."""
-    if longs == 1:
-        return h[:, None]
-    x = h[:, None] + np.arange(longs, dtype=np.uint64) * np.uint64(_GOLDEN)
-    x[:, 1:] ^= x[:, 1:] >> np.uint64(30)
-    x[:, 1:] *= np.uint64(0xBF58476D1CE4E5B9)
-    x[:, 1:] ^= x[:, 1:] >> np.uint64(27)
-    x[:, 1:] *= np.uint64(0x94D049BB133111EB)
-    x[:, 1:] ^= x[:, 1:] >> np.uint64(31)
-    return x
-
-
-def _majority(h: np.ndarray, longs: int) -> bytes:
-    """A bit is 1 if it is set in over half of the hashes; big-endian."""
-    counts = np.zeros(64 * longs, np.int64)
+def fingerprint(data: bytes, words: int = 4) -> bytes:
+    """A bit is 1 if it is set in over half of the shingles' hashes, repeated ones as often as they
+    occur; highest bit first."""
+    h = shingle_hashes(data, words)
+    counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 255 * 64):
-        rows = _widened(h[at:at + 255 * 64], longs).astype(">u8")
-        bits = np.unpackbits(rows.view(np.uint8), axis=1)
+        bits = np.unpackbits(h[at:at + 255 * 64, None].astype(">u8").view(np.uint8), axis=1)
         for k in range(0, len(bits), 255):  # sums of up to 255 ones stay in bytes
             counts += bits[k:k + 255].sum(axis=0, dtype=np.uint8)
     return np.packbits(2 * counts > len(h)).tobytes()
 
 
-def fingerprint(data: bytes, words: int = 4, longs: int = 1) -> bytes:
-    """The majority over all shingles, repeated ones as often as they occur."""
-    return _majority(shingle_hashes(data, words), longs)
-
-
-def set_fingerprint(data: bytes, words: int, longs: int) -> bytes:
-    """The majority over the set of shingles, and SET bytes that differ where the sets do."""
-    h = np.unique(shingle_hashes(data, words))
-    return _majority(h, longs) + xxhash.xxh3_128_digest(h.tobytes())
-
-
-def _fingerprint_batches(batches: Iterator, words: int, longs: int, sets: bool) -> Iterator:
-    make = set_fingerprint if sets else fingerprint
+def _fingerprint_batches(batches: Iterator, words: int) -> Iterator:
     for b in batches:
-        fps = [make(x, words, longs) for x in b.column(b.num_columns - 1).to_pylist()]
+        fps = [fingerprint(x, words) for x in b.column(b.num_columns - 1).to_pylist()]
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.binary())],
                                          names=[*b.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame, columns: list[str], words: int = 4, longs: int = 1,
-                 sets: bool = False) -> DataFrame:
-    """(*columns, fp): one row per row of docs, fp the fingerprint's bytes, highest bit first;
-    with `sets` those of set_fingerprint."""
+def fingerprints(docs: DataFrame, columns: list[str], words: int = 4) -> DataFrame:
+    """(*columns, fp): one row per row of docs, fp the fingerprint's bytes, highest bit first."""
     small_batches(docs.sparkSession)
     rows = docs.select(*columns, utf8().alias("_text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.BinaryType())])
-    return rows.mapInArrow(partial(_fingerprint_batches, words=words, longs=longs, sets=sets),
-                           schema)
+    return rows.mapInArrow(partial(_fingerprint_batches, words=words), schema)
 
 
 # --- segments and keys -----------------------------------------------------------------------
@@ -144,8 +105,8 @@ def _segments(fps: np.ndarray, m: int) -> np.ndarray:
 
 
 def _choices(m: int, diff: int) -> list[tuple[int, ...]]:
-    """The segments a row is filed under: every m-diff of them, or each one."""
-    return list(combinations(range(m), max(1, m - diff)))
+    """The segments a row is filed under: every m-diff of them."""
+    return list(combinations(range(m), m - diff))
 
 
 def _as_matrix(column) -> np.ndarray:
@@ -153,16 +114,11 @@ def _as_matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)
 
 
-def _bits(fps: np.ndarray, few: int) -> np.ndarray:
-    """Wide fingerprints, which come with `few`, without the name of their set."""
-    return fps[:, :-SET] if few else fps
-
-
-def _key_batches(batches: Iterator, m: int, diff: int, few: int) -> Iterator:
+def _key_batches(batches: Iterator, m: int, diff: int) -> Iterator:
     for b in batches:
         if not b.num_rows:
             continue
-        fps = _bits(_as_matrix(b.column(0)), few)
+        fps = _as_matrix(b.column(0))
         seg, edge = _segments(fps, m), _bounds(8 * fps.shape[1], m)
         for k, chosen in enumerate(_choices(m, diff)):
             key = np.full(len(seg), k, np.uint64)
@@ -225,60 +181,26 @@ def _pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at + i[up], at + j[up]
 
 
-def _closest(n: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray, few: int
-             ) -> tuple[np.ndarray, np.ndarray]:
-    """Of linked pairs those to a row's `few` closest partners and to its first one."""
-    row, partner, far = np.r_[a, b], np.r_[b, a], np.r_[bits, bits]
-    order = np.lexsort((partner, far, row))
-    starts = np.searchsorted(row[order], np.arange(n))
-    rank = np.arange(len(order)) - starts[row[order]]
-    kept = np.zeros(len(order), bool)
-    kept[order[rank < few]] = True
-    by_id = np.lexsort((partner, row))
-    kept[by_id[np.r_[True, row[by_id][1:] != row[by_id][:-1]][:len(by_id)]]] = True
-    low, high = np.minimum(row[kept], partner[kept]), np.maximum(row[kept], partner[kept])
-    both = np.unique(high.astype(np.int64) * n + low)
-    return both // n, both % n
-
-
 def _binaries(fps: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes() for x in fps], pa.binary())
 
 
-def _linked(keys, choices, ids: np.ndarray, m: int, diff: int, few: int) -> pa.RecordBatch:
-    """Edges among the rows of each key: a spanning forest.  With `few`, (u, v, key, choice):
-    pairs of close rows, and for a key with further pairs the rows that have any, v null."""
-    fps = _bits(ids, few)
+def _linked(keys, choices, fps: np.ndarray, m: int, diff: int) -> pa.RecordBatch:
+    """Edges among the rows of each key: a spanning forest."""
     seg = _segments(fps, m)
     heads = np.array(_choices(m, diff))[choices]
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    bits = [np.empty(0, np.int64)]
     for a, b in _pairs(keys):
         ok = _within(seg, a, b, heads[a], diff)
         left.append(a[ok])
         right.append(b[ok])
-        if few:
-            bits.append(np.bitwise_count(fps[a[ok]] ^ fps[b[ok]]).sum(axis=1, dtype=np.int64))
-    a, b = np.concatenate(left), np.concatenate(right)
-    if not few:
-        root = _forest(len(keys), a, b)
-        a = np.flatnonzero(root != np.arange(len(keys)))
-        return pa.RecordBatch.from_arrays([_binaries(ids[a]), _binaries(ids[root[a]])],
-                                          names=["u", "v"])
-    u, v = _closest(len(keys), a, b, np.concatenate(bits), few)
-    first = np.searchsorted(keys, keys)
-    cut = np.bincount(first[a], minlength=len(keys)) > np.bincount(first[u], minlength=len(keys))
-    rest = np.unique(np.r_[a, b])
-    rest = rest[cut[first[rest]]]
-    return pa.RecordBatch.from_arrays(
-        [_binaries(ids[np.r_[u, rest]]),
-         pa.concat_arrays([_binaries(ids[v]), pa.nulls(len(rest), pa.binary())]),
-         pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(keys[rest], pa.int64())]),
-         pa.concat_arrays([pa.nulls(len(u), pa.int32()), pa.array(choices[rest], pa.int32())])],
-        names=["u", "v", "key", "choice"])
-
-
-def _edge_batches(batches: Iterator, m: int, diff: int, few: int) -> Iterator:
+    root = _forest(len(keys), np.concatenate(left), np.concatenate(right))
+    a = np.flatnonzero(root != np.arange(len(keys)))
+    return pa.RecordBatch.from_arrays([_binaries(fps[a]), _binaries(fps[root[a]])],
+                                      names=["u", "v"])
+
+
+def _edge_batches(batches: Iterator, m: int, diff: int) -> Iterator:
     """Rows come sorted by key; a key's rows are compared together, also across batches."""
     held = None
     for b in batches:
@@ -289,10 +211,10 @@ def _edge_batches(batches: Iterator, m: int, diff: int, few: int) -> Iterator:
             np.concatenate(x) for x in zip(held, rows, strict=True))
         last = int(np.searchsorted(held[0], held[0][-1]))  # where the last, perhaps open, key begins
         if last:
-            yield _linked(*(x[:last] for x in held), m, diff, few)
+            yield _linked(*(x[:last] for x in held), m, diff)
             held = tuple(x[last:] for x in held)
     if held is not None:
-        yield _linked(*held, m, diff, few)
+        yield _linked(*held, m, diff)
 
 
 # --- keys with very many fingerprints --------------------------------------------------------
@@ -339,47 +261,18 @@ def _dense_edges(rows: DataFrame, m: int, diff: int) -> DataFrame:
         F.col("fp").alias("u"), "v").distinct()
 
 
-# --- wide fingerprints: keys with very many of them -------------------------------------------
-
-def _close_batches(batches: Iterator, diff: int) -> Iterator:
-    for b in batches:
-        if b.num_rows:
-            x = (_as_matrix(b.column(0)) ^ _as_matrix(b.column(1)))[:, :-SET]
-            yield b.filter(pa.array(np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= diff))
-
-
-def _leader_edges(rows: DataFrame, diff: int) -> DataFrame:
-    """Links to leaders: the least fingerprint of the key, and of the key's rows that agree in two
-    more bytes, at eight places.  Linear in the rows, whatever the key.  They only spare
-    comparisons: all rows of the key meet later."""
-    last = F.octet_length("fp") - SET - 1
-    more = F.array(F.lit("").cast("binary"), *[F.substring(
-        "fp", 1 + F.pmod(F.col("choice") * 5 + e * 8, last), F.lit(2)) for e in range(8)])
-    split = rows.select("key", "fp", F.posexplode(more).alias("place", "bytes"))
-    keys = ["key", "place", "bytes"]
-    leaders = split.groupBy(*keys).agg(F.min("fp").alias("v"))
-    return split.join(leaders, keys).where("fp <> v").select(F.col("fp").alias("u"), "v").distinct(
-        ).mapInArrow(partial(_close_batches, diff=diff), "u binary, v binary")
-
-
-def edges(nodes: DataFrame, diff: int, m: int, dense: int = DENSE, few: int = 0) -> DataFrame:
-    """nodes(fp), each once -> (u, v): a spanning forest of every key's links.  With `few`,
-    (u, v, key, choice): each row's links to so many closest rows and to the first of its key;
-    and, v null, the rows of keys that have more links than these."""
-    keys = nodes.select("fp").mapInArrow(partial(_key_batches, m=m, diff=diff, few=few),
+def edges(nodes: DataFrame, diff: int, m: int, dense: int = DENSE) -> DataFrame:
+    """nodes(fp), each once -> (u, v): a spanning forest of every key's links."""
+    keys = nodes.select("fp").mapInArrow(partial(_key_batches, m=m, diff=diff),
                                          "key long, choice int, fp binary")
     hot = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > dense)
                  .select("key"), "hot_keys")
     some = bool(hot.head(1))
     usual = keys.join(hot, "key", "left_anti") if some else keys
     found = usual.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
-        partial(_edge_batches, m=m, diff=diff, few=few),
-        "u binary, v binary" + (", key long, choice int" if few else ""))
+        partial(_edge_batches, m=m, diff=diff), "u binary, v binary")
     if some:
-        many = keys.join(hot, "key", "left_semi")
-        found = found.unionByName(_leader_edges(many, diff).unionByName(many.select(
-            F.col("fp").alias("u"), "key", "choice"), True) if few else
-            _dense_edges(many, m, diff), True)
+        found = found.unionByName(_dense_edges(keys.join(hot, "key", "left_semi"), m, diff))
     return found
 
 
@@ -400,198 +293,30 @@ def _labelled(fps: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     return fps.join(labels, "fp", "left")
 
 
+def _grouped(docs: DataFrame, columns: list[str], words: int, diff: int, segments: int | None,
+             dense: int) -> DataFrame:
+    """(*columns, fp, least): every row and the first row of its group, by the columns."""
+    fps = stored(fingerprints(docs, columns, words), "fingerprints")
+    nodes = stored(fps.groupBy("fp").agg(_first(columns)), "nodes")
+    m = segments or segment_count(nodes.count(), 64, diff)
+    return _labelled(fps, nodes, edges(nodes, diff, m, dense))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, diff: int = 4,
                     segments: int | None = None, dense: int = DENSE) -> DataFrame:
     """(doc_id, fp, component_id): the least doc_id reachable over links of at most diff bits of
     64.  Exact."""
-    fps = stored(fingerprints(docs, ["doc_id"], words), "fingerprints")
-    nodes = stored(fps.groupBy("fp").agg(_first(["doc_id"])), "nodes")
-    m = segments or segment_count(nodes.count(), 64, diff)
-    return _labelled(fps, nodes, edges(nodes, diff, m, dense)).select(
+    return _grouped(docs, ["doc_id"], words, diff, segments, dense).select(
         "doc_id", "fp", F.col("least")["doc_id"].alias("component_id"))
 
 
-# --- similarity of shingle sets ---------------------------------------------------------------
-
-def wide_parameters(rows: int, similarity: float, tables: int = 32) -> dict[str, int]:
-    """Fingerprint width, allowed difference and segments for a Jaccard similarity.
-
-    Sets of equal size with similarity J have cosine 2J/(1+J), and a bit differs with the
-    probability angle/pi.  The allowance adds 1.64 standard deviations: 95 % of pairs at J pass.
-    A row is filed under `tables` segments, each a key of about log2(rows) - 3 bits.
-    """
-    key = max(16, math.ceil(math.log2(max(rows, 2))) - 3)
-    bits = -(-tables * key // 64) * 64
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return {"longs": bits // 64, "segments": tables,
-            "diff": int(bits * p + 1.64 * math.sqrt(bits * p * (1 - p)))}
-
-
-def _sketch_batches(batches: Iterator, words: int, size: int) -> Iterator:
-    for b in batches:
-        got = [np.unique(shingle_hashes(x, words))[:size] for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([x.tobytes() for x in got], pa.binary())], names=["fp", "set"])
-
-
-def jaccard(a: np.ndarray, b: np.ndarray, size: int) -> float:
-    """From the `size` least hashes of two sets; exact where neither has more."""
-    union = np.union1d(a, b)
-    if len(a) == size or len(b) == size:
-        union = union[:size]
-    both = np.intersect1d(a, b, assume_unique=True)
-    return np.isin(union, both, assume_unique=True).mean() if len(union) else 1.0
-
-
-def _similar_batches(batches: Iterator, similarity: float, size: int) -> Iterator:
-    for b in batches:
-        sets = [[np.frombuffer(x, np.uint64) for x in b.column(i).to_pylist()] for i in (2, 3)]
-        ok = [jaccard(x, y, size) >= similarity for x, y in zip(*sets, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(
-            pa.array(ok, pa.bool_()))
-
-
-def _sketches(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, key: list[str], words: int
-              ) -> DataFrame:
-    """wanted(fp), docs(*key, text) -> (fp, set): the SKETCH least shingle hashes of a node."""
-    first = stored(nodes.join(wanted, "fp", "left_semi").select(
-        "fp", *[F.col("least")[k].alias(k) for k in key]), "wanted")
-    return stored(docs.join(sized(first), key).select("fp", utf8().alias("t")).mapInArrow(
-        partial(_sketch_batches, words=words, size=SKETCH), "fp binary, set binary").groupBy(
-        "fp").agg(F.min("set").alias("set")), "shingles")
-
-
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: list[str], words: int,
-             similarity: float) -> DataFrame:
-    """Those pairs (u, v) whose texts' shingle sets are similar enough."""
-    sets = _sketches(pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct(),
-                     nodes, docs, key, words)
-    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("set").alias("a")), "u").join(
-        sets.select(F.col("fp").alias("v"), F.col("set").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(
-        partial(_similar_batches, similarity=similarity, size=SKETCH), "u binary, v binary")
-
-
-def _similarities(a: np.ndarray, others: list[np.ndarray], size: int) -> np.ndarray:
-    """jaccard() of one set with each of others."""
-    length = np.array([len(x) for x in others])
-    flat = np.concatenate(others)
-    hit = a[np.minimum(np.searchsorted(a, flat), len(a) - 1)] == flat if len(a) else flat != flat
-    upto, end = np.r_[0, np.cumsum(hit)], np.cumsum(length)
-    both = upto[end] - upto[end - length]
-    out = np.where(len(a) + length, both / np.maximum(len(a) + length - both, 1), 1.0)
-    for k in np.flatnonzero((length == size) | (len(a) == size)):
-        out[k] = jaccard(a, others[k], size)
-    return out
-
-
-def _block_links(rows: pa.Table, m: int, diff: int, similarity: float, size: int
-                 ) -> pa.RecordBatch | None:
-    """Similar rows among those of two blocks of a key, as a forest over their labels."""
-    label = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
-    if not label.any():
-        return None
-    block, same = rows["block"].to_numpy(), rows["i"][0].as_py() == rows["j"][0].as_py()
-    ids = _as_matrix(rows["fp"].combine_chunks())
-    seg = _segments(ids[:, :-SET], m)
-    heads = np.array(_choices(m, diff))[rows["choice"].to_numpy()]
-    sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
-    left, right = [], []
-    for x in range(0, len(ids), 128):
-        a, b = (y.ravel() for y in np.meshgrid(np.arange(x, min(len(ids), x + 128)),
-                                               np.arange(len(ids)), indexing="ij"))
-        ok = (b > a) & (label[a] != label[b])
-        if not same:
-            ok &= block[a] != block[b]
-        a, b = a[ok], b[ok]
-        ok = _within(seg, a, b, heads[a], diff)
-        a, b = a[ok], b[ok]
-        for i in np.unique(a):
-            others = b[a == i]
-            others = others[label[others] != label[i]]
-            if not len(others):
-                continue
-            alike = _similarities(sets[i], [sets[k] for k in others], size) >= similarity
-            for k in others[alike]:
-                if label[k] != label[i]:
-                    left.append(i)
-                    right.append(k)
-                    label[label == label[k]] = label[i]
-    if not left:
-        return None
-    return pa.RecordBatch.from_arrays([_binaries(ids[left]), _binaries(ids[right])],
-                                      names=["u", "v"])
-
-
-def _block_batches(batches: Iterator, m: int, diff: int, similarity: float, size: int) -> Iterator:
-    """Rows come sorted by key, i and j; those of one (key, i, j) meet, also across batches."""
-    held, last = [], None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        marks = np.stack([b.column(c).to_numpy() for c in range(3)], axis=1)
-        cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1), b.num_rows]
-        for x, y in zip(cuts, cuts[1:], strict=False):
-            if last is not None and last != tuple(marks[x]):
-                out = _block_links(pa.Table.from_batches(held), m, diff, similarity, size)
-                held = []
-                if out:
-                    yield out
-            held.append(b.slice(x, y - x))
-            last = tuple(marks[x])
-    if held:
-        out = _block_links(pa.Table.from_batches(held), m, diff, similarity, size)
-        if out:
-            yield out
-
-
-def _other_links(rest: DataFrame, links: DataFrame, nodes: DataFrame, docs: DataFrame,
-                 key: list[str], words: int, similarity: float, diff: int, m: int, block: int
-                 ) -> DataFrame | None:
-    """rest(key, choice, fp): rows of a key that are not all compared yet.  Links between rows that
-    `links` do not join already: every such pair of a key meets in one pair of the key's blocks,
-    and is judged there by the shingles, so that a key's pairs never become rows."""
-    comp = components(links)
-    rest = stored(rest.join(comp, rest["fp"] == comp["node"], "left").select(
-        "key", "choice", "fp", F.xxhash64(F.coalesce("root", "fp")).alias("label")), "rest")
-    keys = stored(rest.groupBy("key").agg(
-        F.ceil(F.count("*") / block).alias("blocks"), F.min("label").alias("low"),
-        F.max("label").alias("high")).where("low <> high").select("key", "blocks"), "open_keys")
-    if not keys.head(1):
-        return None
-    rows = stored(rest.join(sized(keys), "key"), "open_rows")
-    sets = _sketches(rows.select("fp").distinct(), nodes, docs, key, words)
-    own = F.pmod(F.xxhash64("fp"), "blocks").cast("int")
-    dealt = rows.join(sets, "fp").withColumn("block", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "choice", "label", "fp", "set")
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp").mapInArrow(
-        partial(_block_batches, m=m, diff=diff, similarity=similarity, size=SKETCH),
-        "u binary, v binary")
-
-
-def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, dense: int = DENSE,
-                block: int = BLOCK) -> DataFrame:
-    """docs with one row of each group of near duplicates: the one with the least doc_id, null ids
-    last.  Groups are joined by the similarity of their texts' sets of shingles: wide fingerprints
-    of the sets find the pairs, and the shingles decide.  Pairs of closest rows come first; in keys
-    that have more, every pair that these leave apart is judged after them."""
+def deduplicate(docs: DataFrame, words: int = 4, diff: int = 4, dense: int = DENSE) -> DataFrame:
+    """docs with one row of each group of near_duplicates: the one with the least doc_id, null ids
+    last, and of equal ids the one whose text has the least hash."""
     key = {"k1": F.xxhash64("doc_id", "text", F.lit(1)),
            "k2": F.xxhash64(F.lit(2), "text", F.col("text").isNull(), "doc_id")}
     rows = docs.select("doc_id", "text", *[c.alias(k) for k, c in key.items()])
-    wide = wide_parameters(docs.count(), similarity)
-    diff, m = wide["diff"], wide["segments"]
-    fps = stored(fingerprints(rows, ["doc_id", *key], words, wide["longs"], True), "fingerprints")
-    nodes = stored(fps.groupBy("fp").agg(_first(["doc_id", *key])), "nodes")
-    met = stored(edges(nodes, diff, m, dense, CLOSE), "met")
-    pairs = stored(met.where("v IS NOT NULL").select("u", "v").distinct(), "pairs")
-    links = stored(_similar(pairs, nodes, rows, list(key), words, similarity), "links")
-    rest = met.where("v IS NULL").select("key", "choice", F.col("u").alias("fp"))
-    if rest.head(1):
-        others = _other_links(rest, links, nodes, rows, list(key), words, similarity, diff, m, block)
-        links = links if others is None else links.union(others)
-    found = stored(_labelled(fps, nodes, links), "near_duplicates")
+    found = stored(_grouped(rows, ["doc_id", *key], words, diff, None, dense), "near_duplicates")
     dropped = stored(found.where("k1 <> least.k1 or k2 <> least.k2").select(*key).distinct(),
                      "dropped")
     named = {k: f"_near_{k}" for k in key}

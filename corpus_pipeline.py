@@ -12,9 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm import decontaminate, mixing, quality, sharding, simhash
 from plumbline.llm.common import stored, table
 from plumbline.llm.queries import (
-    MIX_MOST, MIX_WEIGHTS, QUALITY_FOLDS, QUALITY_HELD_OUT, SHARDS, WINDOW)
-
-SIMILARITY, SHINGLE = 0.8, 5
+    MIX_MOST, MIX_WEIGHTS, NEAR_BITS, QUALITY_FOLDS, QUALITY_HELD_OUT, SHARDS, SHINGLE, WINDOW)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +23,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least doc_id."""
-    return simhash.deduplicate(docs, SHINGLE, SIMILARITY)
+    return simhash.deduplicate(docs, SHINGLE, NEAR_BITS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ from plumbline import roles, vocab
 from plumbline.functions import dates, text
 from plumbline.operators import isolation
 from plumbline.operators.cells import (
-    histogram, in_columns, number_cells, pin, small_frame, tally, text_cells, together,
-    weighted_cells)
+    distinct_estimates, histogram, in_columns, number_cells, often_repeated, pin, small_frame,
+    tally, text_cells, together, weighted_cells)
 from plumbline.operators.profile import numeric_stats
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.plans.session import checkpointed
@@ -130,10 +130,12 @@ def date_like_columns(df: DataFrame) -> DataFrame:
         .select("column", "non_null", (F.col("dates") / F.col("non_null")).alias("date_share")))
 
 
-def text_flags(df: DataFrame, date_columns: list[str],
-               repeated: list[str] | None = None) -> DataFrame:
-    """Flagged values of string columns, rarity excepted."""
-    names = _names(df, "string")
+def text_flags(df: DataFrame, date_columns: list[str], repeated: list[str] | None = None,
+               only: list[str] | None = None) -> DataFrame:
+    """Flagged values of string columns, rarity excepted.  only: the columns known to have some."""
+    names = [n for n in _names(df, "string") if only is None or n in only]
+    if not names:
+        return small_frame(df.sparkSession, [], _FLAGGED)
     v = F.col("value")
     is_date = in_columns(date_columns)
     s = text.strip(v)
@@ -154,11 +156,13 @@ def text_flags(df: DataFrame, date_columns: list[str],
     return _flag(cells, flags, F.when(is_date, s).otherwise(v))
 
 
-def rare_values(df: DataFrame, date_columns: list[str]) -> DataFrame:
+def rare_values(df: DataFrame, date_columns: list[str],
+                estimates: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
     """Values far rarer than the column's most frequent one.
 
     Columns whose estimated distinct share is clearly above the limit are dropped before
-    any value is shuffled; the rest are decided on exact counts.
+    any value is shuffled; the rest are decided on exact counts.  estimates:
+    cells.distinct_estimates if known.
     """
     skip = set(date_columns)
     names = [c.name for c in roles.columns(df)
@@ -166,12 +170,10 @@ def rare_values(df: DataFrame, date_columns: list[str]) -> DataFrame:
              and not c.has("id") and not c.has("identity") and c.name not in skip]
     if not names:
         return small_frame(df.sparkSession, [], _FLAGGED)
-    cells = text_cells(df, names)
-    rough = cells.groupBy("column").agg(
-        F.approx_count_distinct("value", 0.05).alias("d"), F.count("value").alias("n"))
-    keep = [r["column"] for r in rough.where(
-        (F.col("n") >= vocab.MIN_OBSERVATIONS)
-        & (F.col("d") <= 2 * vocab.MAX_CARDINALITY_RATIO * F.col("n"))).collect()]
+    if estimates is None:
+        estimates = distinct_estimates(df, names)
+    keep = [c for c in names if estimates[c][1] >= vocab.MIN_OBSERVATIONS
+            and estimates[c][2] <= 2 * vocab.MAX_CARDINALITY_RATIO * estimates[c][1]]
     hist = histogram(text_cells(df, keep))
     per_column = hist.groupBy("column").agg(
         F.sum("n").alias("non_null"), F.count("*").alias("d"), F.max("n").alias("max_n"))
@@ -183,20 +185,24 @@ def rare_values(df: DataFrame, date_columns: list[str]) -> DataFrame:
 
 
 def flagged(df: DataFrame, method: str = "all", as_dates: list[str] | None = None,
-            moments: DataFrame | None = None, repeated: list[str] | None = None) -> DataFrame:
+            moments: DataFrame | None = None,
+            estimates: dict[str, tuple[int, int, int]] | None = None,
+            only: list[str] | None = None) -> DataFrame:
     """column, value, method, severity, n: every anomalous value with its row count.
 
-    as_dates (facts.date_columns), moments (facts.number_facts) and repeated
-    (cells.repeated_columns) may be passed in when they were measured before.
+    as_dates (facts.date_columns), moments (facts.number_facts), estimates
+    (cells.distinct_estimates) and only (facts.flagged_columns) may be passed in when they were
+    measured before.
     """
     method = method.lower()
     if method not in METHODS:
         raise ValueError(f"unknown method '{method}'; use one of {', '.join(METHODS)}")
     if as_dates is None:
         as_dates = date_columns(df)
+    repeated = None if estimates is None else often_repeated(estimates)
     parts = together(lambda: numeric_flags(df, method, moments),
-                     lambda: text_flags(df, as_dates, repeated),
-                     lambda: rare_values(df, as_dates))
+                     lambda: text_flags(df, as_dates, repeated, only),
+                     lambda: rare_values(df, as_dates, estimates))
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.withColumn("severity", _severity(F.col("method")))
 
@@ -227,9 +233,11 @@ def assemble(found: DataFrame, limit: int = vocab.ANOMALY_LIST_LIMIT) -> DataFra
 
 
 def detect(df: DataFrame, method: str = "all", as_dates: list[str] | None = None,
-           moments: DataFrame | None = None, repeated: list[str] | None = None) -> DataFrame:
+           moments: DataFrame | None = None,
+           estimates: dict[str, tuple[int, int, int]] | None = None,
+           only: list[str] | None = None) -> DataFrame:
     """Anomalous columns of df, assembled."""
-    return assemble(flagged(df, method, as_dates, moments, repeated))
+    return assemble(flagged(df, method, as_dates, moments, estimates, only))
 
 
 def cells(df: DataFrame, found: DataFrame, key: list[str],

@@ -59,17 +59,28 @@ def repeated_columns(df: DataFrame, names: list[str] | None = None) -> list[str]
     Decided on distinct-count sketches from one cheap scan; it steers the plan only and
     never changes a result.
     """
+    return often_repeated(distinct_estimates(df, names))
+
+
+def distinct_estimates(df: DataFrame, names: list[str] | None = None
+                       ) -> dict[str, tuple[int, int, int]]:
+    """(rows, non-null rows, sketched distinct values) of every column; a scan per 50."""
     names = names if names is not None else [c.name for c in roles.columns(df)]
-    out: list[str] = []
+    out: dict[str, tuple[int, int, int]] = {}
     for i in range(0, len(names), 50):
         part = names[i:i + 50]
-        row = df.agg(F.count("*").alias("rows"), *[
-            F.approx_count_distinct(col(n), 0.05).alias(f"d{j}")
-            for j, n in enumerate(part)]).first()
-        out += [n for j, n in enumerate(part) if row[f"d{j}"] <= REPEATED_SHARE * row["rows"]]
+        row = df.agg(F.count("*").alias("rows"), *[x for j, n in enumerate(part) for x in (
+            F.count(col(n)).alias(f"n{j}"),
+            F.approx_count_distinct(col(n), 0.05).alias(f"d{j}"))]).first()
+        out |= {n: (row["rows"], row[f"n{j}"], row[f"d{j}"]) for j, n in enumerate(part)}
     return out
 
 
+def often_repeated(estimates: dict[str, tuple[int, int, int]]) -> list[str]:
+    """Columns whose values repeat so much that grouping equal cells first pays off."""
+    return [n for n, (rows, _, d) in estimates.items() if d <= REPEATED_SHARE * rows]
+
+
 def weighted_cells(df: DataFrame, names: list[str], repeated: list[str] | None = None
                    ) -> DataFrame:
     """(column, value STRING, n): cells with multiplicity.
@@ -112,6 +123,23 @@ def histogram(cells: DataFrame, by: tuple = ()) -> DataFrame:
             .groupBy("column", *by, "value").agg(F.count("*").alias("n")))
 
 
+def sorted_numbers(by_key: dict[str, list[float]], key: Column) -> Column:
+    """The sorted numbers of a key, null for others.
+
+    They are a constant of the plan, so no row carries them; a few dozen keys at a time.
+    """
+    pairs = [x for k, numbers in by_key.items() for x in (F.lit(k), F.split(F.lit(
+        ",".join(map(repr, numbers))), ",").cast("array<double>"))]
+    return F.try_element_at(F.create_map(*pairs), key)
+
+
+def count_below(numbers: Column, v: Column, most: int) -> Column:
+    """How many of the sorted numbers, at most `most`, lie below v: a binary search."""
+    steps = F.array(*[F.lit(1 << s) for s in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda i, step: F.when(
+        F.get(numbers, i + step - 1) < v, i + step).otherwise(i))
+
+
 def in_columns(names) -> Column:
     """Condition 'this cell belongs to one of the named columns'."""
     names = list(names)

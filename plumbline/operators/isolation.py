@@ -2,8 +2,8 @@
 
 On one dimension a forest is a step function of the value.  Trees are grown from the
 column's values, weighted by their counts and thinned by value hash, therefore the same however
-the table is partitioned, one small task per (column, tree); the summed steps give the flagged
-value ranges, and the table itself is only filtered by them.
+the table is partitioned, one small task per (column, tree).  The rows of every step of the summed
+forest are counted, which tells the flagged ranges of values; the table is then filtered by them.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import vocab
-from plumbline.operators.cells import histogram, names_of, number_cells, pin
+from plumbline.operators.cells import (
+    count_below, histogram, names_of, number_cells, pin, small_frame, sorted_numbers)
 
 # ship the worker functions by value: executors need no installed copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TREES, SAMPLE, SEED = 100, 256, 42
-GRID = 8_000  # points that the trees and the cut are taken from
+GRID = 8_000  # points that the trees are grown from
+BLOCK = 20    # columns whose steps are counted in one scan
 
 
 def _expected_depth(n: int) -> float:
@@ -70,27 +72,31 @@ def _grow(pdf: pd.DataFrame) -> pd.DataFrame:
                          "step": np.diff(depths, prepend=0.0)})
 
 
-def _cut(edges: pd.DataFrame, grids: pd.DataFrame) -> pd.DataFrame:
-    """Ranges of one column whose mean path length is among the shortest.
-
-    Input is bounded: at most trees x sample edges and one grid of quantiles.
-    """
-    empty = pd.DataFrame({"column": [], "lo": [], "hi": []})
-    if edges.empty or grids.empty:
-        return empty
-    grid, weight = _grid(grids)
-    share = float(grids["contamination"].iloc[0])
+def _steps(edges: pd.DataFrame) -> pd.DataFrame:
+    """The forest of one column as a step function: mean path length from each edge on.  Input
+    is bounded: at most trees x sample edges."""
     summed = edges.groupby("edge")["step"].sum().sort_index()
-    edge = summed.index.to_numpy()
-    depth = np.cumsum(summed.to_numpy()) / TREES
-    held = depth[np.searchsorted(edge, grid, side="left") - 1]
-    limit = np.quantile(np.repeat(held, weight), share)
-    flagged = depth < limit
+    return pd.DataFrame({"column": [edges["column"].iloc[0]], "edges": [summed.index.to_numpy()],
+                         "depths": [np.cumsum(summed.to_numpy()) / TREES]})
+
+
+def lower_quantile(values: np.ndarray, counts: np.ndarray, share: float) -> float:
+    """The quantile of values occurring so often, interpolated between order statistics."""
+    order = np.argsort(values, kind="stable")
+    upto = np.cumsum(counts[order])
+    rank = (upto[-1] - 1) * share
+    low, high = (values[order[np.searchsorted(upto, np.floor(rank) + k, side="right")]]
+                 for k in (0, min(1, math.ceil(rank) - math.floor(rank))))
+    return low + (rank - np.floor(rank)) * (high - low)
+
+
+def _cut(edge: np.ndarray, depth: np.ndarray, counts: np.ndarray, share: float) -> list[tuple]:
+    """Ranges (lo, hi] whose mean path length lies below the share's quantile over all rows."""
+    flagged = depth < lower_quantile(depth, counts, share)
     starts = flagged & ~np.concatenate([[False], flagged[:-1]])
     ends = flagged & ~np.concatenate([flagged[1:], [False]])
     upper = np.append(edge[1:], math.inf)
-    return pd.DataFrame({"column": edges["column"].iloc[0], "lo": edge[starts],
-                         "hi": upper[ends]})
+    return list(zip(edge[starts].tolist(), upper[ends].tolist(), strict=True))
 
 
 def _weighted(df: DataFrame, names: list[str], counts: DataFrame, grid: int) -> DataFrame:
@@ -109,9 +115,9 @@ def flagged_ranges(df: DataFrame, names: list[str] | None = None,
                    min_rows: int = 2, grid: int = GRID) -> DataFrame:
     """column, ranges ARRAY<STRUCT<lo, hi>>: value ranges (lo, hi] counted as outliers.
 
-    Values are flagged when their mean path length is below the contamination quantile of
-    the weighted values.  Two scans of the table, one of them grouped by value; everything after
-    them has a fixed size per column.
+    Values are flagged when their mean path length is below the contamination quantile over all
+    rows of the table: the forest's steps are counted in one scan, so the share is exact.  Another
+    scan is grouped by value for the trees; everything else has a fixed size per column.
     """
     names = names if names is not None else names_of(df, "numeric")
     counts = number_cells(df, names).groupBy("column").agg(F.count("value").alias("n")).where(
@@ -121,16 +127,33 @@ def flagged_ranges(df: DataFrame, names: list[str] | None = None,
     grids = pin(held.groupBy("column").agg(
         F.array_sort(F.collect_list(F.struct("value", "weight"))).alias("held")).join(
         F.broadcast(counts), "column").select(
-        "column", F.col("held.value").alias("grid"), F.col("held.weight").alias("weight"), "n",
-        F.lit(float(contamination)).alias("contamination")))
+        "column", F.col("held.value").alias("grid"), F.col("held.weight").alias("weight"), "n"))
     # a fixed number of partitions: the rows are few but each one is a tree to grow, so
     # they must not be coalesced by size
     grown = (grids.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(TREES))))
              .repartition(max(8, min(len(names) * 8, 200)), "column", "tree")
              .groupBy("column", "tree")
              .applyInPandas(_grow, "column string, edge double, step double"))
-    ranges = (grown.groupBy("column").cogroup(grids.groupBy("column"))
-              .applyInPandas(_cut, "column string, lo double, hi double"))
+    steps = {r["column"]: (np.array(r["edges"]), np.array(r["depths"])) for r in
+             grown.groupBy("column").applyInPandas(
+                 _steps, "column string, edges array<double>, depths array<double>").collect()}
+    out = []
+    for at in range(0, len(names), BLOCK):
+        part = {n: steps[n] for n in names[at:at + BLOCK] if n in steps}
+        if not part:
+            continue
+        most = max(len(edge) for edge, _ in part.values())
+        edges = sorted_numbers({n: edge.tolist() for n, (edge, _) in part.items()}, F.col("column"))
+        found = number_cells(df, list(part)).where(F.col("value").isNotNull()).select(
+            "column", count_below(edges, F.col("value"), most).alias("at")).groupBy(
+            "column", "at").agg(F.count("*").alias("n")).collect()  # a row per step at most
+        for n, (edge, depth) in part.items():
+            held_by = np.zeros(len(edge), np.int64)
+            for r in found:
+                if r["column"] == n:
+                    held_by[max(r["at"], 1) - 1] += r["n"]
+            out += [(n, lo, hi) for lo, hi in _cut(edge, depth, held_by, contamination)]
+    ranges = small_frame(df.sparkSession, out, "column string, lo double, hi double")
     return ranges.groupBy("column").agg(
         F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
 

@@ -12,13 +12,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.cells import small_frame
+from plumbline.operators.cells import count_below, small_frame, sorted_numbers
 
 CUTS = 511                 # cut points per sample, so at most 1022 an interval
-STEPS = 10                 # of the binary search among them
 ROUNDS = 3                 # of cutting before values are counted one by one
 SMALL = 1_000_000          # rows of an interval that are counted so at once
 OPEN = 50                  # intervals that are cut again in one round
@@ -48,22 +47,13 @@ def _cut_points(cells: DataFrame) -> dict[str, list[float]]:
     return {key: sorted(q) for key, q in cuts.items()}
 
 
-def _search(cuts: Column, v: Column) -> Column:
-    """How many of the sorted cuts lie below v; cuts has 2^STEPS - 1 elements."""
-    steps = F.array(*[F.lit(1 << s) for s in reversed(range(STEPS))])
-    return F.aggregate(steps, F.lit(0), lambda i, step: F.when(
-        F.get(cuts, i + step - 1) < v, i + step).otherwise(i))
-
-
 def _slots(cells: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
-    """cells with slot: 2i between the cuts i - 1 and i, 2i + 1 at cut i."""
-    padded = [(key, [*q, *[float("nan")] * ((1 << STEPS) - 1 - len(q))])
-              for key, q in cuts.items()]  # nothing lies above NaN
-    frame = cells.sparkSession.createDataFrame(padded, "key string, cuts array<double>")
-    return cells.join(F.broadcast(frame), "key").withColumn(
-        "i", _search(F.col("cuts"), F.col("value"))).withColumn(
-        "slot", 2 * F.col("i") + F.coalesce(F.get("cuts", F.col("i")) == F.col("value"),
-                                            F.lit(False)).cast("int")).drop("cuts", "i")
+    """cells of the keys with cuts, with slot: 2i between the cuts i - 1 and i, 2i + 1 at cut i."""
+    at = sorted_numbers(cuts, F.col("key"))
+    i = F.col("i")
+    return cells.where(F.col("key").isin(*cuts)).withColumn("i", count_below(
+        at, F.col("value"), 2 * CUTS)).withColumn("slot", 2 * i + F.coalesce(
+            F.get(at, i) == F.col("value"), F.lit(False)).cast("int")).drop("i")
 
 
 def _counted(slots: DataFrame) -> dict[str, list[tuple[int, int, int]]]:
@@ -120,7 +110,10 @@ def _block(cells: DataFrame, least_rows: int) -> list[tuple]:
     cells = cells.withColumn("key", F.col("column")).select("key", "side", "value")
     todo: dict[str, Interval] = {}
     for step in range(ROUNDS):
-        slots = _slots(cells, _cut_points(cells))
+        cuts = _cut_points(cells)
+        if not cuts:
+            break  # no values at all
+        slots = _slots(cells, cuts)
         left = []
         for key, rows in _counted(slots).items():
             if step == 0:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import roles, vocab
@@ -51,9 +51,16 @@ def match_counts(df: DataFrame, repeated: list[str] | None = None) -> DataFrame:
     if repeated is None:
         repeated = repeated_columns(df)  # cheaper on the typed columns than on their text
     cells = weighted_cells(plain, plain.columns, repeated).where(v.isNotNull())
-    counts = cells.groupBy("column").agg(
-        F.sum("n").alias("total"),
-        *[tally(_hit(v, k)).alias(k) for k in vocab.PII_PATTERNS])
+    return from_tallies(cells.groupBy("column").agg(F.sum("n").alias("total"), *tallies()))
+
+
+def tallies() -> list[Column]:
+    """A count per type over weighted cells."""
+    return [tally(_hit(F.col("value"), k)).alias(k) for k in vocab.PII_PATTERNS]
+
+
+def from_tallies(counts: DataFrame) -> DataFrame:
+    """match_counts of a frame with a column, total (non-null cells) and its tallies per row."""
     rows = F.array(*[F.struct(F.lit(k).alias("pii_type"), F.lit(i).alias("type_order"),
                               F.col(k).alias("matches"))
                      for i, k in enumerate(vocab.PII_PATTERNS)])

@@ -11,6 +11,7 @@ from plumbline.operators.cells import (
     histogram, in_columns, names_of, number_cells, pin, small_frame, text_cells)
 from plumbline.operators.frequent import frequent_values
 from plumbline.operators.quantiles import exact_quantiles
+from plumbline.plans.session import checkpointed
 from plumbline.roles import col
 
 TOP_VALUES = 10
@@ -100,6 +101,33 @@ def duplicates(df: DataFrame) -> DataFrame:
                       F.array(*map(F.lit, ids)).cast("array<string>").alias("id_columns"))
 
 
+SUSPECTS = 1_000_000       # pairs of row hashes that may be broadcast
+
+
+def without_duplicates(df: DataFrame) -> tuple[DataFrame, int]:
+    """df with one of each group of equal rows, and the number of rows that went.
+
+    Pairs of row hashes that occur more than once are the suspects.  Only rows with such hashes
+    are compared, and exchanged, in full; the others stay where they are as long as the suspects
+    are few enough to be sent to them.  Of equal rows the one with the least row identity stays.
+    """
+    names = [c.name for c in roles.columns(df)]
+    extra = [n for n in df.columns if n not in names]
+    key = ["_h1", "_h2"]
+    hashed = df.select(*map(col, df.columns), *_row_hash(names))
+    suspects = checkpointed(hashed.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1"))
+    number, rows = suspects.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    if not number:
+        return df, 0
+    keys = suspects.select(*key)
+    keys = F.broadcast(keys) if number <= SUSPECTS else keys
+    first = F.min(F.struct(*map(col, extra)) if extra else F.lit(0)).alias("_first")
+    kept = hashed.join(keys, key, "left_semi").groupBy(*map(col, names)).agg(first).select(
+        *[F.col("_first")[n].alias(n) if n in extra else col(n) for n in df.columns])
+    alone = hashed.join(keys, key, "left_anti").select(*map(col, df.columns))
+    return alone.unionByName(kept), rows - kept.count()
+
+
 def value_histogram(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(column, value STRING, n) over the normalised table."""
     names = names or [c.name for c in roles.columns(df)]

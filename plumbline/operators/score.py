@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from plumbline import roles, vocab
 from plumbline.operators import anomalies, facts, pii, profile, security
-from plumbline.operators.cells import in_columns, pin, repeated_columns, together
+from plumbline.operators.cells import (
+    TABLE, distinct_estimates, in_columns, names_of, often_repeated, pin, together)
 from plumbline.operators.running import with_previous
-from plumbline.roles import col
 
 PENALTY = ("dimension", "reason", "impact", "deduction", "affected_columns")
 
@@ -40,7 +40,7 @@ class Measures:
     size: DataFrame            # rows, columns, null_rows
     missing: DataFrame         # column, rows, missing_count, missing_pct
     duplicates: DataFrame      # rows, exact_dups, logical_dups, ...
-    text: DataFrame            # facts.text_facts
+    text: DataFrame            # facts.text_view
     ages: DataFrame            # column, age_bad
     variants: DataFrame        # column, raw, canonical
     anomalies: DataFrame       # anomalies.assemble
@@ -59,26 +59,24 @@ def measure(df: DataFrame, config: ScoreConfig = ScoreConfig(),
     the rules on top never rescan the table.
     """
     df = roles.dates_as_text(df)
-    others = [c.name for c in roles.columns(df) if c.kind == "other"]
-    repeated = repeated_columns(df)
-    size, text, numbers, rest, dups, variants, found, personal = together(
-        lambda: pin(profile.null_rows(df)),
-        lambda: pin(facts.text_facts(df, config.as_of, repeated)),
+    estimates = distinct_estimates(df)
+    counted, numbers, dups, variants = together(
+        lambda: pin(facts.cell_facts(df, config.as_of, often_repeated(estimates),
+                                     config.with_security, config.with_pii)),
         lambda: pin(facts.number_facts(df)),
-        lambda: pin(profile.missing(df.select([col(n) for n in others]))) if others else None,
         lambda: pin(profile.duplicates(df)),
-        lambda: pin(facts.case_variants(df, "status")),
-        lambda: pin(security.threat_counts(df, None, repeated))
-        if config.with_security else None,
-        lambda: pin(pii.columns(pii.match_counts(df, repeated)))
-        if config.with_pii else None)
-    missing = (text.select("column", "rows", F.col("missing").alias("missing_count"))
-               .unionByName(numbers.select("column", "rows",
-                                           F.col("nulls").alias("missing_count"))))
-    if others:
-        missing = missing.unionByName(rest.drop("missing_pct"))
-    odd = pin(anomalies.detect(df, config.method, facts.date_columns(df, text), numbers,
-                               repeated))
+        lambda: pin(facts.case_variants(df, "status")))
+    columns = counted.where(F.col("column") != TABLE)
+    text = pin(facts.text_view(columns.where(in_columns(names_of(df, "string")))))
+    as_dates = facts.date_columns(df, text)
+    odd = pin(anomalies.detect(df, config.method, as_dates, numbers, estimates,
+                               facts.flagged_columns(df, text, as_dates)))
+    found = pin(security.from_tallies(columns)) if config.with_security else None
+    personal = pin(pii.columns(pii.from_tallies(columns))) if config.with_pii else None
+    size = counted.where(F.col("column") == TABLE).agg(
+        F.coalesce(F.max("nulls"), F.lit(0)).alias("null_rows"),
+        F.coalesce(F.max("rows"), F.lit(0)).alias("rows"))
+    missing = columns.select("column", "rows", F.col("missing").alias("missing_count"))
     return Measures(
         table=df, size=size.withColumn("columns", F.lit(len(roles.columns(df)))), text=text,
         missing=missing.withColumn(

@@ -43,9 +43,18 @@ def threat_counts(df: DataFrame, columns: list[str] | None = None,
     Counting needs no findings: one column-grouped aggregate over the cells.
     """
     names = columns or names_of(df, "string")
+    return from_tallies(weighted_cells(df, names, repeated).groupBy("column").agg(*tallies()))
+
+
+def tallies(where: Column | None = None) -> list[Column]:
+    """A count per threat over weighted cells, of those that meet where."""
     v = F.col("value")
-    counts = weighted_cells(df, names, repeated).groupBy("column").agg(
-        *[tally(_hit(v, t)).alias(t) for t in vocab.THREATS])
+    return [tally(_hit(v, t) if where is None else where & _hit(v, t)).alias(t)
+            for t in vocab.THREATS]
+
+
+def from_tallies(counts: DataFrame) -> DataFrame:
+    """threat_counts of a frame with a column and its tallies per row."""
     rows = F.array(*[F.struct(F.lit(t).alias("threat_type"), F.col(t).alias("n"),
                               F.lit(sev).alias("severity"), F.lit(w).alias("weight"))
                      for t, (_, sev, w) in vocab.THREATS.items()])

@@ -120,6 +120,30 @@ def isolation_forest_properties(spark, d):
         F.bool_and(F.col("ranges").eqNullSafe(F.col("again"))).alias("repeatable"))
 
 
+_SPREAD = ("l_orderkey", "l_partkey", "l_extendedprice")
+
+
+@query("isolation_forest_exact", f"""WITH {s.numbers(_SPREAD, 'lineitem')} SELECT "column",
+  count(*) AS rows, true AS share_exact, true AS sparse FROM nums GROUP BY 1""")
+def isolation_forest_exact(spark, d):
+    """Of columns with many values, five percent of all rows are flagged, and not by far less; the
+    flagged ranges hold fewer rows for their width than the column does on the whole."""
+    df = table(spark, d, "lineitem").select(*_SPREAD)
+    ranges = isolation.flagged_ranges(df)
+    v = F.col("value")
+    hit = F.coalesce(isolation.in_ranges(v, F.col("ranges")), F.lit(False))
+    cells = number_cells(df, list(_SPREAD)).join(F.broadcast(ranges), "column")
+    sums = cells.groupBy("column", "ranges").agg(
+        F.count("*").alias("rows"), F.count_if(hit).alias("flagged"),
+        F.min("value").alias("a"), F.max("value").alias("z"))
+    width = F.aggregate("ranges", F.lit(0.0), lambda w, r: w + F.greatest(
+        F.lit(0.0), F.least(r["hi"], F.col("z")) - F.greatest(r["lo"], F.col("a"))))
+    return sums.select(
+        "column", "rows", (F.col("flagged") / F.col("rows")).between(0.035, 0.05).alias(
+            "share_exact"), (F.col("flagged") / F.col("rows") <= 1.3 * width / (
+                F.col("z") - F.col("a"))).alias("sparse"))
+
+
 def _text(spark, d, wanted):
     df = people(spark, d)
     return anomalies.text_flags(df, ["signup_date"]).where(

@@ -28,4 +28,4 @@ def load() -> None:
     """Import the modules that register queries."""
     from plumbline.plans import (  # noqa: F401
         q_anomaly, q_cause, q_clean, q_compare, q_history, q_ingest, q_profile, q_scalar,
-        q_scan, q_score)
+        q_scan, q_score, q_whole)

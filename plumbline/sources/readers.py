@@ -165,6 +165,14 @@ def read(spark: SparkSession, path, fmt: str, **options) -> DataFrame:
         spark, path, **options))
 
 
+def accepted_formats(files: DataFrame, path: str = "path") -> DataFrame:
+    """path, format (the last extension in lower case, '' if none), accepted: what read() would
+    make of each file, told from its name alone."""
+    fmt = F.lower(F.regexp_extract(F.col(path), r"\.([^./\\]*)$", 1))
+    return files.select(F.col(path).alias("path"), fmt.alias("format"),
+                        fmt.isin(*FORMATS).alias("accepted"))
+
+
 def record_quality(df: DataFrame, schema: T.StructType, column: str, fmt: str = "json",
                    ) -> DataFrame:
     """Parse raw records held in a text column; one row: records, corrupt, usable."""

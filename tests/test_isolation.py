@@ -1,5 +1,7 @@
 """The isolation forest where values repeat."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import isolation
@@ -25,3 +27,21 @@ def test_few_values_in_many_rows(spark):
     held = isolation._weighted(df, ["x"], counts, isolation.GRID).collect()
     assert [r["weight"] for r in held] == [80] * 100
     assert isolation.flagged_ranges(df).count() == 1
+
+
+def test_share_is_exact_over_many_distinct_values(spark):
+    """1,000,000 different values: the flagged share is the wanted one, counted over all rows."""
+    df = spark.range(1_000_000).select(F.randn(3).alias("x"), F.exp(F.randn(5)).alias("y"))
+    ranges = isolation.flagged_ranges(df)
+    cells = df.unpivot([], ["x", "y"], "column", "v").join(F.broadcast(ranges), "column")
+    for r in cells.groupBy("column").agg(F.avg(isolation.in_ranges(
+            F.col("v"), F.col("ranges")).cast("double")).alias("share")).collect():
+        assert 0.0495 < r["share"] <= 0.05
+
+
+def test_quantile_of_counted_values():
+    rng = np.random.default_rng(1)
+    values, counts = rng.permutation(50) / 7, rng.integers(0, 9, 50)
+    for share in (0.0, 0.05, 0.31, 1.0):
+        assert isolation.lower_quantile(values, counts, share) == pytest.approx(
+            np.quantile(np.repeat(values, counts), share))

@@ -665,3 +665,55 @@ def test_csv_surplus_fields_are_never_lost(spark, tmp_path, extra, multi_line):
     path.write_text("a,b\n1,2\n3,4" + "," * extra + '\n5\n"x,y","7,""8"""\n')
     got = readers.read_csv(spark, str(path), multi_line=multi_line).collect()
     assert [tuple(r) for r in got] == [("1", "2"), ("3", "4"), ("5", None), ("x,y", '7,"8"')]
+
+
+def test_rows_without_duplicates_are_not_exchanged(spark):
+    rows = [(i % 900, f"text {i % 900}", None if i % 2 else 1.5, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, t string, x double, _row_index long").repartition(4)
+    after, gone = profile.without_duplicates(df)
+    kept = sorted(after.collect())
+    assert gone == 100 and [r["_row_index"] for r in kept] == list(range(900))
+    assert [tuple(r) for r in kept] == rows[:900]
+    plan = after.select("k")._jdf.queryExecution().executedPlan().toString()
+    alone = plan[plan.index("Union"):plan.index("HashAggregate")]  # the branch of rows that stay
+    assert "LeftAnti" in alone and "Exchange hashpartitioning" not in alone
+    unique = df.where("_row_index < 500")
+    assert profile.without_duplicates(unique)[1] == 0
+
+
+def test_score_measures_all_cells_in_one_pass(spark):
+    """Text facts, threats and personal data agree with their own operators."""
+    df = fixtures.people(spark, "/root/testdata/sf0.001")
+    m = score.measure(df, score.ScoreConfig(as_of=dt.date(2024, 6, 1)))
+    own = facts.text_facts(df, dt.date(2024, 6, 1))
+    def rows(d):
+        return sorted(map(str, d.select(sorted(d.columns)).collect()))
+    assert rows(m.text) == rows(own)
+    assert rows(m.threats) == rows(security.threat_counts(df))
+    assert rows(m.pii) == rows(pii.columns(pii.match_counts(df)))
+    assert rows(m.size.select("null_rows", "rows")) == rows(profile.null_rows(df))
+    assert rows(m.missing) == rows(profile.missing(df))
+    assert rows(m.anomalies) == rows(anomalies.detect(df, "all"))
+
+
+def test_sequential_fences_equal_one_column_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.lognormal(0, 1, (3000, 6))
+    x[:, 3] = np.where(rng.random(3000) < 0.1, x[:, 2] * 30, x[:, 3])
+    x[::50, 4] = np.nan
+    names = [f"c{i}" for i in range(6)]
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    left = pd.DataFrame(x, columns=names)
+    for n in names:
+        q1, q3 = left[n].quantile([0.25, 0.75])
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        left = left[left[n].isna() | left[n].between(lo, hi)]
+    searched = []
+    search = cleaning.exact_quantiles
+    monkeypatch.setattr(cleaning, "exact_quantiles",
+                        lambda *a, **k: searched.append(1) or search(*a, **k))
+    after, gone, _ = cleaning.remove_outliers(df)
+    assert gone == 3000 - len(left)
+    assert sorted(r["c0"] for r in after.collect()) == sorted(left["c0"])
+    assert len(searched) <= 5  # not one per column

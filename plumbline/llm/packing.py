@@ -24,6 +24,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,6 +34,7 @@ from plumbline.llm.common import small_batches
 
 #: Fixed value: the pattern that belongs to the public vocabulary's ranks.
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_LONG_BLANKS = regex.compile(r"\s{1000}").search
 LENGTH = 2048
 CHUNK = 4_000_000          # ids that a task packs together
 
@@ -43,12 +45,17 @@ class Tokenizer:
     def __init__(self, ranks_file: bytes, pattern: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())
                  if a}
-        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks,
-                                          special_tokens={})
+        self.encoding, self.one = (
+            tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={})
+            for p in (pattern, "(?s).+"))
+        self.cut = regex.compile(pattern).findall
         self.end = max(ranks.values()) + 1
 
     def encode(self, text: str) -> list[int]:
-        return self.encoding.encode_ordinary(text)
+        if not _LONG_BLANKS(text):
+            return self.encoding.encode_ordinary(text)
+        # the pattern's engine recurses over white space, whose words it takes one by one
+        return [i for word in self.cut(text) for i in self.one.encode_ordinary(word)]
 
 
 class Rooms:

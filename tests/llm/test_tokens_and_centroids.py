@@ -11,8 +11,8 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plumbline.llm import align, pieces, shallot
-from plumbline.llm.queries import BYTES, PIECES
+from plumbline.llm import align, packing, pieces, shallot
+from plumbline.llm.queries import BYTES, PIECES, RANKS
 
 CLASHES = ["ids", "decoded", "source", "pairs", "counts", "row", "links", "chunk", "first",
            "cluster", "narrow", "n_a", "pair"]
@@ -283,3 +283,13 @@ def test_runs_jump_stretches():
         assert sorted(zip(la, lb, strict=True)) == list(zip(
             np.searchsorted(a, ends), np.searchsorted(b, ends), strict=True))
         assert sum(p if not q else 1 for _, p, _, q in runs) == len(np.intersect1d(a, b))
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000 + "x", "a" * 1_000_000])
+def test_packing_reads_texts_of_one_character(text):
+    with open(RANKS, "rb") as f:
+        tok = packing.Tokenizer(f.read(), packing.PATTERN)
+    ids = tok.encode(text)
+    assert tok.encoding.decode(ids) == text
+    blanks = " " * 999 + "x  y" + "\n" * 900
+    assert [i for w in tok.cut(blanks) for i in tok.one.encode_ordinary(w)] == tok.encode(blanks)

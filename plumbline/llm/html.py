@@ -6,12 +6,15 @@ above zero, tags mostly below.  One linear scan finds the contiguous run with th
 its words, less what stands in elements that are never article text, are the page's main text.
 
 Kinds know the element they stand in - menu, form, advert and so on, by tag name or by words of the
-class, id or role - but not the marks that the labels come from, so pages without such marks are
-judged alike.  Fitting takes the `sample` marked pages that come first by a hash of their id.
+class, id or role.  Such parts are left out wherever they stand; where a name may as well be that of
+a section of the article (discussion, related, message ...), its learnt weight decides.  Only
+scripts and styles are skipped unread; text of math, object, noscript or svg counts like any other.
+The article mark is read to learn from, and to keep an article together around its left-out parts.
+Fitting takes the `sample` marked pages that come first by a hash of their id.
 
 Edge cases: null and empty html gives an empty text, as does a page without any positive word;
-tags left open end with the element around them, at the next landmark or with the page; very long
-pages are read whole; without marked pages the weights are +1 for words and -1 for tags; repeated
+tags left open end with the element around them, at the next landmark or with the page, and a < that
+no > closes is text; very long pages are read whole, in time linear in their length; without marked pages the weights are +1 for words and -1 for tags; repeated
 rows get a row each; an empty table gives an empty result; columns other than page_id, url and html
 are not read.
 """
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -34,13 +38,10 @@ from plumbline.llm.common import small_batches
 SAMPLE = 2000
 SMOOTH = 0.5
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|math|object)\b"
-    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>?"
-    r"|[^<]+|<", re.S | re.I)
+_TAG = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_ENDS = re.compile(r"[>\"']")
+#: Elements whose content is no text and reaches to their closing tag.
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style")}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
@@ -51,27 +52,30 @@ _BLOCKS = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that may hold a part of the page, by tag ...
 _HOLDERS = frozenset("div section table ul ol dl aside nav header footer form head menu dialog main "
-                     "article figure details fieldset button title label p span td".split())
+                     "article figure details fieldset button title label select textarea p span "
+                     "td".split())
 _MARKS = frozenset(("article", "main"))
 _BAD_TAGS = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer",
              "aside": "aside", "form": "form", "fieldset": "form", "button": "form",
-             "label": "form", "dialog": "notice", "head": "head", "title": "head"}
+             "label": "form", "select": "form", "textarea": "form", "dialog": "notice", "head": "head", "title": "head"}
 #: ... and by words of their names.
 _BAD_WORDS = {
     **dict.fromkeys("nav navbar navigation menu breadcrumb breadcrumbs toc pagination pager "
                     "tabs toolbar".split(), "menu"),
     **dict.fromkeys("header masthead banner topbar".split(), "header"),
     **dict.fromkeys("footer copyright colophon bottombar".split(), "footer"),
-    **dict.fromkeys("sidebar aside related recommended recommendations widget widgets teaser "
-                    "trending popular complementary".split(), "aside"),
+    **dict.fromkeys("sidebar aside recommended recommendations widget widgets teaser "
+                    "trending complementary".split(), "aside"),
     **dict.fromkeys("ad ads adv advert adverts advertisement advertising sponsor sponsored "
                     "sponsors promo promotion promoted adsense".split(), "advert"),
-    **dict.fromkeys("cookie cookies consent gdpr notice notices notification alert popup modal "
-                    "overlay disclaimer warning message subscribe subscription newsletter paywall "
-                    "signup".split(), "notice"),
-    **dict.fromkeys("comment comments reply replies respond disqus discussion reviews".split(),
-                    "comments"),
-    **dict.fromkeys("form search login share sharing social".split(), "form")}
+    **dict.fromkeys("cookie cookies consent gdpr notification popup modal overlay subscribe "
+                    "subscription newsletter paywall signup".split(), "notice"),
+    **dict.fromkeys("comment comments reply replies respond disqus".split(), "comments"),
+    **dict.fromkeys("form login sharing social".split(), "form")}
+#: Words that may as well name a section of an article: each has a kind and a weight of its own, and
+#: what stands in it is judged as plain words are where no marked page has it.
+_UNSURE = frozenset("related popular notice notices alert disclaimer warning message discussion "
+                    "reviews search share".split())
 
 
 def _part(tag: str, attributes: str) -> str:
@@ -80,12 +84,73 @@ def _part(tag: str, attributes: str) -> str:
         return ""
     if tag in _BAD_TAGS:
         return _BAD_TAGS[tag]
+    unsure = ""
     if tag in _HOLDERS and attributes:
         for m in _NAMES.finditer(attributes):
             for w in _PARTS.findall(m[1] or m[2] or m[3] or ""):
                 if (w := w.lower()) in _BAD_WORDS:
                     return _BAD_WORDS[w]
-    return ""
+                if w in _UNSURE:
+                    unsure = unsure or "?" + w
+    return unsure
+
+
+def _tag_ends(html: str) -> tuple[list[int], list[int]]:
+    """The places of > and quotes, and for each where a tag ends that goes on there: at the first
+    > outside quotes, -1 if there is none."""
+    at = [m.start() for m in _ENDS.finditer(html)]
+    ends = [-1] * (len(at) + 1)
+    following: dict[str, int] = {}
+    for i in range(len(at) - 1, -1, -1):
+        c = html[at[i]]
+        if c == ">":
+            ends[i] = at[i]
+        else:
+            ends[i] = ends[following[c] + 1] if c in following else -1
+            following[c] = i
+    return at, ends
+
+
+class _Open:
+    """The open elements that may hold a part.  Every step takes constant time, or as much as it
+    removes or settles for good, so that a page is read in time linear in its length."""
+
+    def __init__(self):
+        self.elements: list[tuple[str, str, str]] = []  # tag, part it opens, part in force
+        self.tags: Counter[str] = Counter()
+        self.first = 0  # elements before this one hold no part
+
+    @property
+    def part(self) -> str:
+        return self.elements[-1][2] if self.elements else ""
+
+    def push(self, tag: str, own: str) -> None:
+        if not own and self.first == len(self.elements):
+            self.first += 1
+        # the outer part counts, unless it is unsure and the inner one is not
+        around = self.part
+        self.elements.append((tag, own, own if own and around[:1] in ("", "?") else around))
+        self.tags[tag] += 1
+
+    def close(self, tag: str) -> None:
+        """End the innermost element of that tag and all within; nothing if none is open."""
+        while self.tags[tag]:
+            last = self.elements.pop()[0]
+            self.tags[last] -= 1
+            if last == tag:
+                break
+        self.first = min(self.first, len(self.elements))
+
+    def drop_parts(self) -> None:
+        """End the elements that open a part, not those around them or within."""
+        rest = []
+        for tag, own, _ in self.elements[self.first:]:
+            if own:
+                self.tags[tag] -= 1
+            else:
+                rest.append((tag, "", ""))
+        self.elements[self.first:] = rest
+        self.first = len(self.elements)
 
 
 class Page:
@@ -93,39 +158,56 @@ class Page:
 
     def __init__(self, html: str):
         self.tokens: list[tuple[str, str | None, str, bool, bool]] = []
-        self.marks = 0
-        open_: list[tuple[str, str]] = []  # elements that may hold a part, and their part
-        part, marked, block = "", 0, True
-        for m in _TOKEN.finditer(html):
-            tag = m[3]
-            if tag is None:
-                s = m[0]
-                if s[0] == "<" and len(s) > 1:
-                    # a comment or an element whose content is never text
-                    self.tokens.append((m[1].lower() if m[1] else "!", None, part, False, marked > 0))
-                else:
-                    self.tokens.append(("", s, part, block, marked > 0))
-                    block = False
+        self.marks, self.marked, self.block = 0, 0, True
+        self.open = _Open()
+        marks, ends = _tag_ends(html)
+        begin = at = 0  # of the text that has not become a token yet
+        while (at := html.find("<", at)) >= 0:
+            tag = _TAG.match(html, at + 1)
+            end = ends[bisect_left(marks, tag.end())] if tag else -1
+            if end < 0 and html[at + 1:at + 2] not in ("!", "?", "/"):
+                at += 1  # no markup
                 continue
-            tag, closes = tag.lower(), bool(m[2])
-            if tag in _BLOCKS:
-                block = True
-            if tag in _MARKS or tag == "body":
-                if not closes and not marked:  # a landmark ends what was left open before it
-                    open_ = [x for x in open_ if not x[1]]
-                self.marks += not closes and tag == "article"
-                marked += (0 if tag == "body" else 1) * (-1 if closes else 1)
-                marked = max(marked, 0)
-            if closes:
-                at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
-                if at is not None:
-                    del open_[at:]
-            elif tag in _HOLDERS and tag not in _VOID and not m[4].endswith("/"):
-                own = _part(tag, m[4])
-                if own or tag not in ("p", "span", "td", "label"):
-                    open_.append((tag, own))
-            part = next((p for _, p in open_ if p), "")
-            self.tokens.append((("/" if closes else "") + tag, None, part, False, marked > 0))
+            self._text(html[begin:at])
+            if end >= 0:
+                raw = None if tag[1] else _RAW.get(tag[2].lower())
+                if raw:
+                    self.tokens.append((tag[2].lower(), None, self.open.part, False, self.marked > 0))
+                    last = raw.search(html, end)
+                    at = last.end() if last else len(html)
+                else:
+                    self._tag(tag[2].lower(), bool(tag[1]), html[tag.end():end])
+                    at = end + 1
+            else:  # a comment or a declaration
+                close = "-->" if html.startswith("!--", at + 1) else ">"
+                end = html.find(close, at + 1 + len(close))
+                at = end + len(close) if end >= 0 else len(html)
+                self.tokens.append(("!", None, self.open.part, False, self.marked > 0))
+            begin = at
+        self._text(html[begin:])
+
+    def _text(self, text: str) -> None:
+        if text:
+            self.tokens.append(("", text, self.open.part, self.block, self.marked > 0))
+            self.block = False
+
+    def _tag(self, tag: str, closes: bool, attributes: str) -> None:
+        if tag in _BLOCKS:
+            self.block = True
+        if tag in _MARKS or tag == "body":
+            if not closes and not self.marked:  # a landmark ends what was left open before it
+                self.open.drop_parts()
+            self.marks += not closes and tag == "article"
+            if tag != "body":
+                self.marked = max(self.marked + (-1 if closes else 1), 0)
+        if closes:
+            self.open.close(tag)
+        elif tag in _HOLDERS and tag not in _VOID and not attributes.endswith("/"):
+            own = _part(tag, attributes)
+            if own or tag not in ("p", "span", "td", "label"):
+                self.open.push(tag, own)
+        self.tokens.append((("/" if closes else "") + tag, None, self.open.part, False,
+                            self.marked > 0))
 
     def kinds(self) -> Iterator[tuple[str, int]]:
         """Each token's kind and how many words or tags it stands for."""
@@ -140,11 +222,19 @@ Weights = dict[str, float]
 
 
 def weight(weights: Weights, kind: str) -> float:
-    """A kind that no marked page had scores by its form."""
+    """A kind that no marked page had scores by its form, in an unsure part as outside of it."""
     got = weights.get(kind)
+    if got is None and "?" in kind:
+        kind = kind[:kind.index("?")]
+        got = weights.get(kind)
     return got if got is not None else 1.0 if kind == "word " else -1.0
 
 
+def left_out(weights: Weights, part: str) -> bool:
+    """Whether words of the part are no article text: of unsure parts, the weights decide."""
+    return bool(part) and (part[0] != "?" or weight(weights, f"word {part}") < 0)
+
+
 def best_run(scores: list[float]) -> tuple[int, int]:
     """[begin, end) of the contiguous run with the largest sum; empty if no sum is positive."""
     best, run, begin, out = 0.0, 0.0, 0, (0, 0)
@@ -160,27 +250,23 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 def extract(html: str, weights: Weights) -> str:
     """The main text: blocks of the best run in page order, joined by one space."""
     page = Page(html)
+    out = {part: left_out(weights, part) for part in {t[2] for t in page.tokens}}
     # inside a marked article, what is left out anyway must not cut the run in two
-    scores = [0.0 if marked and part else n * weight(weights, kind)
+    scores = [0.0 if marked and out[part] else n * weight(weights, kind)
               for (kind, n), (_, _, part, _, marked) in zip(page.kinds(), page.tokens, strict=True)]
     begin, end = best_run(scores)
     blocks: list[list[str]] = []
     for i in range(begin, end):
         _, text, part, block, _ = page.tokens[i]
-        if text is None or part:
+        if text is None or out[part]:
             continue
-        if block or not blocks or _between(page.tokens, i):
+        if block or not blocks or i > 0 and out[page.tokens[i - 1][2]]:
             blocks.append([])
         blocks[-1].append(text)
     done = (" ".join(unescape("".join(b)).split()) for b in blocks)
     return " ".join(b for b in done if b)
 
 
-def _between(tokens: list, i: int) -> bool:
-    """Whether a part that is left out stood just before token i."""
-    return i > 0 and bool(tokens[i - 1][2])
-
-
 def _count_batches(batches: Iterator) -> Iterator:
     inside, outside = Counter(), Counter()
     for b in batches:

@@ -9,6 +9,7 @@ from plumbline import roles, vocab
 from plumbline.functions import stats
 from plumbline.operators import ks
 from plumbline.operators.cells import number_cells, pin, small_frame, text_cells, together
+from plumbline.operators.frequent import KEY, PREFIX, hashed
 from plumbline.operators.profile import normalised
 
 _TESTED = ("column string, drift_type string, test string, statistic double, p_value double, "
@@ -39,6 +40,14 @@ def paired_histogram(cells, a: DataFrame, b: DataFrame, names: list[str]) -> Dat
         F.count_if(side == "a").alias("n_a"), F.count_if(side == "b").alias("n_b"))
 
 
+def paired_hashes(a: DataFrame, b: DataFrame, names: list[str], width: int = PREFIX) -> DataFrame:
+    """(column, h1, h2, prefix, n_a, n_b): the histograms of both versions beside each other by
+    the hashes of their values, so that no value longer than width is exchanged."""
+    side = F.col("side")
+    return hashed(_tagged(text_cells, a, b, names), width, "side").groupBy(*KEY, "prefix").agg(
+        F.count_if(side == "a").alias("n_a"), F.count_if(side == "b").alias("n_b"))
+
+
 def numeric_moments(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
     """column, n_a, n_b, mean_a, mean_b, std_a, std_b, min_a ... max_b."""
     v, out = F.col("value"), []
@@ -65,7 +74,7 @@ def chi2_statistics(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
     so every column reduces map-side.
     """
     eps = 1e-9
-    hist = paired_histogram(text_cells, a, b, names)
+    hist = paired_hashes(a, b, names)
     o, x = F.col("n_a") + eps, F.col("n_b") + eps
     sums = hist.groupBy("column").agg(
         F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"),

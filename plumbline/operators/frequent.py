@@ -29,7 +29,7 @@ MISSED = 2 * 3.5 / 2048
 PREFIX = 32                # characters that rank values of equal count
 MOST = 1000                # candidates of a column whose texts are read back
 
-_KEY = ["column", "h1", "h2"]
+KEY = ["column", "h1", "h2"]
 
 
 def _hashes(width: int) -> list:
@@ -39,10 +39,10 @@ def _hashes(width: int) -> list:
         ("h1", F.xxhash64(v)), ("h2", F.xxhash64(F.lit(1), v)))]
 
 
-def _hashed(cells: DataFrame, width: int) -> DataFrame:
-    """(column, h1, h2, prefix) of every cell that is not null."""
+def hashed(cells: DataFrame, width: int, *keep: str) -> DataFrame:
+    """(column, h1, h2, prefix and what is to be kept) of every cell that is not null."""
     return cells.where(F.col("value").isNotNull()).select(
-        "column", *_hashes(width), F.left("value", F.lit(width)).alias("prefix"))
+        "column", *keep, *_hashes(width), F.left("value", F.lit(width)).alias("prefix"))
 
 
 def _leaders(counts: DataFrame, k: int) -> DataFrame:
@@ -56,14 +56,14 @@ def _leaders(counts: DataFrame, k: int) -> DataFrame:
 
 def _proposed(cells: DataFrame, k: int) -> tuple[list, list[str]]:
     """Leaders of the columns that the sketches settle, and these columns' names."""
-    hashed = _hashed(cells, PREFIX).withColumn("item", F.xxhash64("h1", "prefix"))
-    sketched = pin(hashed.groupBy("column").agg(
+    items = hashed(cells, PREFIX).withColumn("item", F.xxhash64("h1", "prefix"))
+    sketched = pin(items.groupBy("column").agg(
         F.count("*").alias("cells"),
         F.expr(f"approx_top_k(item, {TRACKED}, {TRACKED})").alias("top")).select(
         "column", "cells", F.col("top.item").alias("items")))
     candidates = sketched.select("column", F.explode("items").alias("item"))
-    exact = hashed.join(F.broadcast(candidates), ["column", "item"]).groupBy(
-        *_KEY, "prefix").agg(F.count("*").alias("n"))
+    exact = items.join(F.broadcast(candidates), ["column", "item"]).groupBy(
+        *KEY, "prefix").agg(F.count("*").alias("n"))
     covered = F.sum("n").over(Window.partitionBy("column"))  # TRACKED rows a column, about
     leaders = _leaders(exact.withColumn("covered", covered), k).collect()
     sizes = {r["column"]: r["cells"] for r in sketched.collect()}
@@ -87,7 +87,7 @@ def frequent_values(df: DataFrame, names: list[str], k: int, propose: bool = Fal
         parts.append((part, width))
         left = [n for n in names if n not in settled]
     while left:
-        counts = _hashed(text_cells(df, left), width).groupBy(*_KEY, "prefix").agg(
+        counts = hashed(text_cells(df, left), width).groupBy(*KEY, "prefix").agg(
             F.count("*").alias("n"))
         rows = _leaders(counts, k).collect()  # MOST + 1 short rows a column at most
         found = Counter(r["column"] for r in rows)
@@ -99,7 +99,7 @@ def frequent_values(df: DataFrame, names: list[str], k: int, propose: bool = Fal
     for rows, width in parts:
         long = [(r["column"], r["h1"], r["h2"]) for r in rows if r["h1"] is not None]
         if long:
-            ranked = ranked.unionByName(_texts(df, long, width))
+            ranked = ranked.unionByName(texts(df, long, width))
     w = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     return ranked.withColumn("rank", F.row_number().over(w).cast("bigint")).where(
         F.col("rank") <= k).select("column", "rank", "value", "n")
@@ -114,12 +114,12 @@ def _frame(df: DataFrame, rows: list[tuple]) -> DataFrame:
     return small_frame(df.sparkSession, rows, "column string, value string, n bigint")
 
 
-def _texts(df: DataFrame, long: list[tuple], width: int) -> DataFrame:
+def texts(df: DataFrame, long: list[tuple], width: int) -> DataFrame:
     """(column, value, n) of the values with the given (column, h1, h2).
 
     Values are grouping keys here, so that no task sorts the texts it has found.
     """
     wanted = small_frame(df.sparkSession, long, "column string, h1 bigint, h2 bigint")
     return text_cells(df, sorted({c for c, _, _ in long})).select(
-        "column", "value", *_hashes(width)).join(F.broadcast(wanted), _KEY).groupBy(
+        "column", "value", *_hashes(width)).join(F.broadcast(wanted), KEY).groupBy(
         "column", "value").agg(F.count("*").alias("n"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import roles
+from plumbline.operators import changes, state
 from plumbline.operators.running import with_previous
 from plumbline.roles import col
 
@@ -170,15 +171,23 @@ class VersionStore:
                 return None
             raise
 
-    def register(self, dataset: str, df: DataFrame, changes: list[str] | None = None) -> int:
-        """Store df as the next version and return its number."""
+    def _state_path(self, dataset: str, version: int) -> str:
+        return f"{self.root}/state/{dataset}/v={version}"
+
+    def register(self, dataset: str, df: DataFrame, changes: list[str] | None = None,
+                 keep_state: bool = True) -> int:
+        """Store df as the next version and return its number.  With its state kept (two more
+        scans of what was stored), comparisons need not read it again."""
         events = self._events(dataset)
         row = next_version(events).first() if events is not None else None
         version = row["version"] if row else 1
         path = f"{self.root}/data/{dataset}/v={version}"
         names = [c for c in df.columns if c not in roles.ROW_IDENTITY]
         df.select([col(n) for n in names]).write.mode("error").parquet(path)
-        rows = self.spark.read.parquet(path).count()  # answered from file footers
+        stored = self.spark.read.parquet(path)
+        rows = stored.count()  # answered from file footers
+        if keep_state:
+            state.save(state.of(stored), self._state_path(dataset, version))
         self._append(dataset, version, "create", rows, names, changes, path)
         return version
 
@@ -192,6 +201,19 @@ class VersionStore:
             raise KeyError(f"{dataset} has no version {version}")
         return self.spark.read.parquet(f"{self.root}/data/{dataset}/v={version}")
 
+    def changes(self, dataset: str, version: int, other: int | DataFrame) -> DataFrame:
+        """The change summary from a version to another, or to a table that is not registered.
+
+        Of versions with kept state only the schema is read, and the columns of changed values
+        too long to be in the state; of versions without, the table.
+        """
+        def side(v):
+            df = self.read(dataset, v)
+            return df, state.load(self.spark, self._state_path(dataset, v)) or state.of(df)
+        a, state_a = side(version)
+        b, state_b = side(other) if isinstance(other, int) else (other, state.of(other))
+        return changes.summary_of(a, b, state_a, state_b)
+
     def restore(self, dataset: str, version: int) -> None:
         """Make an older version current; no data is copied."""
         row = live(self._events(dataset)).where(F.col("version") == version).first()

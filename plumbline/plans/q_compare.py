@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import stats
 from plumbline.operators import changes, drift
+from plumbline.operators.versions import VersionStore
 from plumbline.plans import sqltext as s
 from plumbline.plans.fixtures import PEOPLE_V2, people, people_v2, table
 from plumbline.plans.registry import query
+from plumbline.plans.session import scratch_path
 
 _NUM = ("id", "age", "salary", "quantity")
 _CAT = ("name", "email", "score_text", "phone", "country", "status", "signup_date")
@@ -247,20 +249,53 @@ def category_changes(spark, d):
     return changes.category_changes(*_versions(spark, d))
 
 
+_SHOWN = """SELECT "column", CASE WHEN a = 0 THEN 'added' ELSE 'removed' END AS change,
+count(*) AS total, array_to_string(list_sort(list(value))[1:20], ', ') AS "values"
+FROM paired WHERE (a = 0) <> (b = 0) GROUP BY 1, 2"""
+
+
 @query("category_changes_orders", f"""WITH {s.cells(('o_orderstatus', 'd'), '''(SELECT
 o_orderstatus, CAST(o_totalprice AS VARCHAR) AS d FROM orders WHERE o_orderpriority = '1-URGENT')
 ''', 'ca')}, {s.cells(('o_orderstatus', 'd'), '''(SELECT o_orderstatus,
 CAST(o_totalprice AS VARCHAR) AS d FROM orders WHERE o_orderpriority <> '1-URGENT')''', 'cb')},
-{_paired('ca', 'cb')} SELECT "column", CASE WHEN a = 0 THEN 'added' ELSE 'removed' END AS change,
-count(*) AS total FROM paired WHERE (a = 0) <> (b = 0) GROUP BY 1, 2""")
+{_paired('ca', 'cb')} {_SHOWN}""")
 def category_changes_orders(spark, d):
-    """How many values only one group of orders has."""
+    """The first values in order that only one group of orders has, and how many there are."""
     o = table(spark, d, "orders").select(
         "o_orderpriority", "o_orderstatus", F.col("o_totalprice").cast("string").alias("d"))
     urgent = F.col("o_orderpriority") == "1-URGENT"
     keep = ["o_orderstatus", "d"]
-    return changes.category_changes_shown(changes.category_changes(
-        o.where(urgent).select(keep), o.where(~urgent).select(keep))).drop("values")
+    return changes.category_changes_shown(o.where(urgent).select(keep), o.where(
+        ~urgent).select(keep)).withColumn("values", F.array_join("values", ", "))
+
+
+@query("category_changes_documents", f"""WITH {s.cells(('source', 'text'), '''(SELECT source, text
+FROM documents WHERE lang = 'en')''', 'ca')}, {s.cells(('source', 'text'), '''(SELECT source, text
+FROM documents WHERE lang <> 'en')''', 'cb')}, {_paired('ca', 'cb')} {_SHOWN}""")
+def category_changes_documents(spark, d):
+    """Long texts: documents in English against all others."""
+    docs, keep = table(spark, d, "documents"), ["source", "text"]
+    english = F.col("lang") == "en"
+    return changes.category_changes_shown(docs.where(english).select(keep), docs.where(
+        ~english).select(keep)).withColumn("values", F.array_join("values", ", "))
+
+
+@query("stored_changes", f"""{_PEOPLE_PAIRED}, {s.cells(_COMMON, 'people', 'aa')},
+{s.cells(_COMMON, 'people_v2', 'bb')}, ra AS (SELECT count(*) AS n FROM people),
+rb AS (SELECT count(*) AS n FROM people_v2)
+SELECT 'rows' AS section, '__all__' AS "column", 'rows' AS item, CAST(ra.n AS VARCHAR) AS before,
+  CAST(rb.n AS VARCHAR) AS after, CAST(rb.n - ra.n AS VARCHAR) AS delta FROM ra, rb
+UNION ALL SELECT 'missing', "column", 'missing', CAST(a.m AS VARCHAR), CAST(b.m AS VARCHAR),
+  CAST(b.m - a.m AS VARCHAR) FROM ({_gaps('aa')}) a JOIN ({_gaps('bb')}) b USING ("column")
+  WHERE a.m <> b.m
+UNION ALL SELECT 'categories', "column", change, NULL, "values", CAST(total AS VARCHAR)
+  FROM ({_SHOWN})""")
+def stored_changes(spark, d):
+    """Two registered versions, compared by their kept states."""
+    store = VersionStore(spark, scratch_path(spark, "states"))
+    for version in _versions(spark, d):
+        store.register("people", version)
+    return store.changes("people", 1, 2).where("section IN ('rows', 'missing', 'categories')")
 
 
 @query("change_summary")

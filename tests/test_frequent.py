@@ -60,7 +60,7 @@ def test_nothing(spark):
 def test_no_exchange_carries_a_long_text(spark, sf):
     """The counts are exchanged as hashes and prefixes; only winners' texts travel."""
     df = spark.read.parquet(f"{sf}/documents.parquet").select("text")
-    counts = frequent._hashed(frequent.text_cells(df, ["text"]), frequent.PREFIX).groupBy(
+    counts = frequent.hashed(frequent.text_cells(df, ["text"]), frequent.PREFIX).groupBy(
         "column", "h1", "h2", "prefix").agg(F.count("*").alias("n"))
     plan = frequent._leaders(counts, 10)._jdf.queryExecution().executedPlan().toString()
     partial = [line for line in plan.splitlines() if "partial_count" in line]

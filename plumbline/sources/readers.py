@@ -93,18 +93,33 @@ def _csv(spark: SparkSession, sep: str, multi_line: bool):
             .option("escape", '"').option("multiLine", multi_line))
 
 
-def csv_records(spark: SparkSession, path, sep: str = ",", multi_line: bool = True) -> DataFrame:
+def spans_lines(spark: SparkSession, path) -> bool:
+    """Whether a record of the CSV file may span lines.
+
+    No quoted field goes on in the next line where all lines have an even number of quotes, so such
+    files may be split among tasks.  The lines are read in splits, up to the first that tells.
+    """
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return not lines.where((quotes % 2 == 1) | line.rlike(r"\r[^\r]")).select("value").isEmpty()
+
+
+def csv_records(spark: SparkSession, path, sep: str = ",",
+                multi_line: bool | None = None) -> DataFrame:
     """One row: records, surplus (records with more fields than the header names)."""
     raw, over = _raw_csv(spark, path, sep, multi_line)
     return raw.agg(F.count("*").alias("records"), F.count_if(over).alias("surplus"))
 
 
-def _raw_csv(spark: SparkSession, path, sep: str, multi_line: bool):
+def _raw_csv(spark: SparkSession, path, sep: str, multi_line: bool | None):
     """All columns as text, and the condition that a record has a value beyond the last one.
 
     The reader keeps the text of every record with another number of fields than the header, too
     few or too many; the fields beyond the header are looked up there, however many there are.
     """
+    if multi_line is None:
+        multi_line = spans_lines(spark, path)
     names = _csv(spark, sep, multi_line).csv(path).columns
     raw = (_csv(spark, sep, multi_line).option("columnPruning", False)
            .option("columnNameOfCorruptRecord", _RECORD).schema(T.StructType(
@@ -120,9 +135,10 @@ def _raw_csv(spark: SparkSession, path, sep: str, multi_line: bool):
 
 
 def read_csv(spark: SparkSession, path, sep: str = ",", infer_types: bool = True,
-             multi_line: bool = True) -> DataFrame:
-    """CSV with header.  Quoted fields may span lines; files known to have none such can be
-    split among tasks with multi_line=False.  Missing fields at the end are null; a record with
+             multi_line: bool | None = None) -> DataFrame:
+    """CSV with header.  Quoted fields may span lines; a file with such fields is read by one
+    task, others are split.  multi_line tells which it is, else the lines are looked through
+    first.  Missing fields at the end are null; a record with
     more fields than the header is refused, as its values would be lost."""
     raw, over = _raw_csv(spark, path, sep, multi_line)
     surplus = raw.where(over).count()

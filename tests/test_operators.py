@@ -655,6 +655,25 @@ def test_flagged_cells_by_shuffle_and_broadcast(spark, monkeypatch):
     assert len(small) == 60 and small == sorted(map(str, anomalies.cells(df, found, ["id"]).collect()))
 
 
+@pytest.mark.parametrize("body, spans", [
+    ("a,b\n1,2\n\n3,4\n", False), ('a,b\r\n"x, ""y""",2\r\n', False), ('a,b\n"x\ny",2\n', True),
+    ('a,b\n"x\r\n\r\ny",2\n', True), ('a,b\n"x\ry",2\n', True), ('a,b\n5" pipe,2\n3,4\n', True),
+    ("a,b\r1,2\r", True), ("a,b", False)])
+def test_csv_is_split_where_no_record_spans_lines(spark, tmp_path, body, spans):
+    path = tmp_path / "t.csv"
+    path.write_bytes(body.encode())
+    assert readers.spans_lines(spark, str(path)) == spans
+    whole = readers.read_csv(spark, str(path), infer_types=False, multi_line=True).collect()
+    assert readers.read_csv(spark, str(path), infer_types=False).collect() == whole
+
+
+def test_large_csv_is_split(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("a,b\n" + '"some, text",12345678\n' * 600_000)
+    got = readers.read_csv(spark, str(path), infer_types=False)
+    assert got.rdd.getNumPartitions() > 1 and got.count() == 600_000
+
+
 @pytest.mark.parametrize("extra", [1, 15, 16, 17, 40, 400])
 @pytest.mark.parametrize("multi_line", [True, False])
 def test_csv_surplus_fields_are_never_lost(spark, tmp_path, extra, multi_line):

@@ -13,13 +13,20 @@ from pyspark.sql import functions as F
 from plumbline.plans.session import checkpointed
 
 
+ROWS = 4_000_000  # of a range, about
+
+
 def _ranged(df: DataFrame, key: str, order: str, ranges: int | None) -> DataFrame:
-    """df with its range number, stored in the shared folder.
+    """df with its range number, stored in the shared folder; the number of ranges grows with the
+    rows unless it is given.
 
     Range bounds are sampled, and a second evaluation could draw other ones; the reliable
     checkpoint fixes them.
     """
-    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if ranges is None:
+        df = checkpointed(df)  # counted, sampled and dealt out below, but computed once
+        ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                     -(-df.count() // ROWS))
     return checkpointed(df.repartitionByRange(ranges, key, order)
                         .withColumn("range", F.spark_partition_id()))
 

@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
+from plumbline.llm.common import small_batches
+
 BLANK = "▁"
 REMEMBERED = 400_000       # words, and pairs of pieces, that a task remembers
 LONGEST = 64               # characters of a word that is remembered
@@ -116,9 +118,52 @@ def words_pattern(pieces: Iterable[str]) -> str:
     return f"{BLANK}*(?:{rest})*{letter}+|{BLANK}*(?:{rest})+|{BLANK}+|\n"
 
 
-class Codec:
+class Decoder:
     def __init__(self, model: Model):
         self.model = model
+        self.bytes = set(model.byte_ids)
+        self.silent = {i for i, s in enumerate(model.surface) if not s}
+        self.blanks = {i for p, i in model.ids.items() if p.startswith(BLANK)}
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of any ids: begin and end are nothing, bytes that form no character U+FFFD."""
+        surface, byte_ids = self.model.surface, self.bytes
+        try:
+            if not self.silent.isdisjoint(ids[1:-1]):
+                raise ValueError("bytes before and behind do not join")
+            text = b"".join([surface[i] for i in ids]).decode()
+        except ValueError:
+            text = self._decode_bytes(ids, byte_ids)
+        first = next((i for i in ids if surface[i]), None)
+        blank = self.model.prefix and first in self.blanks
+        return text[1:] if blank else text
+
+    def _decode_bytes(self, ids: list[int], byte_ids: set[int]) -> str:
+        """Bytes of one run of byte ids stand together; each that fits nowhere is U+FFFD."""
+        surface, out, run = self.model.surface, [], b""
+        for i in [*ids, None]:
+            if i in byte_ids:
+                run += surface[i]
+                continue
+            while run:
+                for n in range(4, 0, -1):
+                    try:
+                        out.append(run[:n].decode())
+                        break
+                    except UnicodeDecodeError:
+                        continue
+                else:
+                    n = 1
+                    out.append("�")
+                run = run[n:]
+            if i is not None:
+                out.append(surface[i].decode())
+        return "".join(out)
+
+
+class Codec(Decoder):
+    def __init__(self, model: Model):
+        super().__init__(model)
         self.automaton = ahocorasick.Automaton()
         for piece in model.ids:
             self.automaton.add_word(piece, piece)
@@ -129,9 +174,6 @@ class Codec:
         self.shorter = {p: next(p[:n] for n in range(len(p) - 1, 0, -1) if n == 1 or p[:n] in known)
                         for p in known if len(p) > 1}
         self.words: dict[str, bytes] = {}
-        self.bytes = set(model.byte_ids)
-        self.silent = {i for i, s in enumerate(model.surface) if not s}
-        self.blanks = {i for p, i in model.ids.items() if p.startswith(BLANK)}
         self.cut = re.compile(words_pattern(model.ids), re.DOTALL).findall
 
     def _first_fit(self, before: str | None, piece: str) -> str:
@@ -201,57 +243,26 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of any ids: begin and end are nothing, bytes that form no character U+FFFD."""
-        surface, byte_ids = self.model.surface, self.bytes
-        try:
-            if not self.silent.isdisjoint(ids[1:-1]):
-                raise ValueError("bytes before and behind do not join")
-            text = b"".join([surface[i] for i in ids]).decode()
-        except ValueError:
-            text = self._decode_bytes(ids, byte_ids)
-        first = next((i for i in ids if surface[i]), None)
-        blank = self.model.prefix and first in self.blanks
-        return text[1:] if blank else text
-
-    def _decode_bytes(self, ids: list[int], byte_ids: set[int]) -> str:
-        """Bytes of one run of byte ids stand together; each that fits nowhere is U+FFFD."""
-        surface, out, run = self.model.surface, [], b""
-        for i in [*ids, None]:
-            if i in byte_ids:
-                run += surface[i]
-                continue
-            while run:
-                for n in range(4, 0, -1):
-                    try:
-                        out.append(run[:n].decode())
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                else:
-                    n = 1
-                    out.append("�")
-                run = run[n:]
-            if i is not None:
-                out.append(surface[i].decode())
-        return "".join(out)
-
 
 # --- tables ----------------------------------------------------------------------------------
 
-def _encode_batches(batches: Iterator, model: Model, ends: bool) -> Iterator:
+def _encode_batches(batches: Iterator, model: Model, ends: bool, decoded: bool) -> Iterator:
     codec = Codec(model)
     before, after = (np.array([i], "<u4").tobytes() if ends else b""
                      for i in (model.begin, model.end))
     for b in batches:
         ids = [before + codec.packed(text.as_py() or "") + after
                for text in b.column(b.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary())],
-                                         names=[*b.schema.names[:-1], "ids"])
+        more = [pa.array(ids, pa.binary())]
+        if decoded:
+            more.append(pa.array([codec.decode(np.frombuffer(x, "<u4").tolist()) for x in ids],
+                                 pa.string()))
+        yield pa.RecordBatch.from_arrays(
+            [*b.columns[:-1], *more], names=[*b.schema.names[:-1], *("ids", "decoded")[:len(more)]])
 
 
 def _decode_batches(batches: Iterator, model: Model) -> Iterator:
-    codec = Codec(model)
+    codec = Decoder(model)
     for b in batches:
         texts = [codec.decode(np.frombuffer(x.as_py(), "<u4").tolist()) if x.is_valid else None
                  for x in b.column(b.num_columns - 1)]
@@ -259,20 +270,28 @@ def _decode_batches(batches: Iterator, model: Model) -> Iterator:
                                          names=[*b.schema.names[:-1], "decoded"])
 
 
-def _with(df: DataFrame, source: str, name: str, kind, fn) -> DataFrame:
-    """df's columns but name, then name: what fn makes of the column source, which comes last."""
-    kept = df.drop(name)
-    schema = StructType([*kept.schema.fields, StructField(name, kind)])
+def _with(df: DataFrame, source: str, made: dict, fn) -> DataFrame:
+    """df's columns but those made (name: type), then these: what fn makes of the column source,
+    which comes last."""
+    small_batches(df.sparkSession)
+    kept = df.drop(*made)
+    schema = StructType([*kept.schema.fields, *(StructField(n, t) for n, t in made.items())])
     source = df[source].alias("of " + " ".join(kept.columns))  # no other column's name
     return df.select(*[df[f"`{c}`"] for c in kept.columns], source).mapInArrow(fn, schema)
 
 
 def encode(docs: DataFrame, model: Model, text: str = "text", ends: bool = True) -> DataFrame:
     """docs with ids: each text's, between begin and end if ends, 4 bytes each, least first."""
-    return _with(docs, text, "ids", BinaryType(),
-                 partial(_encode_batches, model=model, ends=ends))
+    return _with(docs, text, {"ids": BinaryType()},
+                 partial(_encode_batches, model=model, ends=ends, decoded=False))
 
 
 def decode(encoded: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
     """encoded with decoded: the text of each row's ids; null stays null."""
-    return _with(encoded, ids, "decoded", StringType(), partial(_decode_batches, model=model))
+    return _with(encoded, ids, {"decoded": StringType()}, partial(_decode_batches, model=model))
+
+
+def round_trip(docs: DataFrame, model: Model, text: str = "text", ends: bool = True) -> DataFrame:
+    """decode(encode(docs)): docs with ids and decoded, by one Python process per task, not two."""
+    return _with(docs, text, {"ids": BinaryType(), "decoded": StringType()},
+                 partial(_encode_batches, model=model, ends=ends, decoded=True))

@@ -105,7 +105,7 @@ def op11_kmeans(spark, sf_dir):
 def op12_pieces(spark, sf_dir):
     model = pieces.read_model(PIECES)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.decode(pieces.encode(docs, model), model).select(
+    return pieces.round_trip(docs, model).select(
         "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm import align, packing, pieces, shallot
-from plumbline.llm.queries import BYTES, PIECES, RANKS
+from plumbline.llm.queries import BYTES, PIECES, QUERIES, RANKS
 
 CLASHES = ["ids", "decoded", "source", "pairs", "counts", "row", "links", "chunk", "first",
            "cluster", "narrow", "n_a", "pair"]
@@ -156,6 +156,18 @@ def test_pieces_equal_the_library(docs, rows):
         assert r["decoded"] == sp.decode(ids) and r["source"] == "own"
 
 
+def test_pieces_there_and_back_at_once(spark, docs):
+    """One Python process per task in batches of bounded rows: two with batches of 10,000 texts
+    took more memory than an executor has."""
+    model = pieces.read_model(PIECES)
+    got = pieces.round_trip(docs, model)
+    want = pieces.decode(pieces.encode(docs, model), model)
+    assert got.columns == want.columns and as_text(got.collect()) == as_text(want.collect())
+    query = QUERIES["op12_pieces"](spark, "/root/testdata/sf0.001")
+    assert query._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
 def test_pieces_of_nothing(spark):
     model = pieces.read_model(PIECES)
     got = pieces.decode(pieces.encode(spark.createDataFrame([], DOCS), model), model)

@@ -2,8 +2,9 @@
 
 Both token sequences spell the same bytes, so they are two lists of byte ends.  While the ends at
 the current shift between the lists' indices agree, tokens stand one to one: the agreeing stretch
-is measured by exponential probing, comparing slices twice as long each time, and jumped over.  Where it stops, the shorter end is followed on either side until both meet again;
-these tokens are one irregular group, and its surplus on one side is added to the shift.
+is measured by exponential probing, comparing slices twice as long each time, and jumped over; its
+first tokens are compared one by one.  Where it stops, the shorter end is followed on either side
+until both meet again; these tokens are one irregular group, and its surplus on one side is added to the shift.
 
 A group of p and q tokens has p + q - 1 overlapping pairs, for no end within it is common.  Tasks
 count each document's pairs of ids; counts of the whole corpus are a grouped sum of these, and the
@@ -40,8 +41,8 @@ from plumbline.llm.common import sized, stored
 #: from 256 on), and the pattern that cuts texts for it.
 PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PROBE = 16                 # ends compared at first, then twice as many each time
-TEXTS = 256                # rows of a batch of results
+PROBE = 16                 # ends compared in the first slice, then twice as many each time
+TEXTS = 256                # texts aligned one after the other, rows of a batch of results
 PAIR = 1 << 32             # a pair of ids in one number
 
 
@@ -97,23 +98,28 @@ def stretch(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
     return n
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[list[tuple[int, int, int, int]], np.ndarray,
-                                                 np.ndarray]:
+def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte ends of two spellings of one text -> runs, and the indices of every overlapping pair.
 
     A run is (i, p, j, q): p tokens from a[i] and q from b[j], one group; (i, p, j, 0) is a stretch
     of p tokens that stand one to one.
     """
-    found, left, right = [], [], []     # left, right: pairs in irregular groups
+    runs: list[int] = []     # four numbers each
+    left, right = [], []     # pairs in irregular groups
     ends_a, ends_b = a.tolist(), b.tolist()
-    i = shift = 0
-    while i < len(ends_a):
+    i, shift, size = 0, 0, len(ends_a)
+    while i < size:
         p, q = i, i + shift
         x, y = ends_a[p], ends_b[q]
         if x == y:
-            n = stretch(a, b, p, q)
-            found.append((p, n, q, 0))
-            i += n
+            # one by one at first: most stretches are shorter than a slice is worth
+            p, near = p + 1, min(i + PROBE, size, len(ends_b) - shift)
+            while p < near and ends_a[p] == ends_b[p + shift]:
+                p += 1
+            if p == i + PROBE:
+                p += stretch(a, b, p, p + shift)
+            runs += (i, p - i, q, 0)
+            i = p
             continue
         while x != y:
             left.append(p)
@@ -126,10 +132,11 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[list[tuple[int, int, int, int]]
                 y = ends_b[q]
         left.append(p)
         right.append(q)
-        found.append((i, p + 1 - i, i + shift, q + 1 - i - shift))
+        runs += (i, p + 1 - i, i + shift, q + 1 - i - shift)
         i, shift = p + 1, q - p
+    found = np.array(runs, np.int64).reshape(-1, 4)
     # a stretch's pairs: its tokens in order
-    even = np.array([(i, n, j) for i, n, j, q in found if not q], np.int64).reshape(-1, 3)
+    even = found[found[:, 3] == 0]
     n = even[:, 1]
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     return (found, np.concatenate([np.repeat(even[:, 0], n) + at, np.array(left, np.int64)]),
@@ -151,40 +158,60 @@ class Pieces:
         return self.processor.encode(texts, num_threads=1)
 
 
-def _digest(found: list[tuple[int, int, int, int]], a: list[str], b: list[str]
-            ) -> tuple[int, str]:
-    """The number of groups, and the hash of them written as a1,a2|b1;a3|b2,b3."""
-    groups: list[str] = []
-    for i, p, j, q in found:
-        if q:
-            groups.append(",".join(a[i:i + p]) + "|" + ",".join(b[j:j + q]))
-        else:
-            groups.extend(map("|".join, zip(a[i:i + p], b[j:j + p], strict=True)))
-    return len(groups), sha256(";".join(groups).encode()).hexdigest() if groups else ""
+def written(ids: int) -> np.ndarray:
+    """(3, ids): every id in decimal before a comma, a bar and a semicolon."""
+    return np.array([[f"{i}{mark}".encode() for i in range(ids)] for mark in ",|;"])
+
+
+def groups_of(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray,
+              table: np.ndarray) -> np.ndarray:
+    """The ids of both sides as they are written, a1,a2|b1;a3|b2,b3; with a mark behind each: those
+    of a group, which the tokens marked last end, from a and then from b."""
+    of_a, of_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    out = np.empty(len(a) + len(b), table.dtype)
+    out[np.arange(len(a)) + np.r_[0, np.flatnonzero(last_b) + 1][of_a]] = table[last_a * 1, a]
+    out[np.arange(len(b)) + (np.flatnonzero(last_a) + 1)[of_b]] = table[last_b * 2, b]
+    return out
 
 
 def _align_batches(batches: Iterator, bytes_file: str, pieces_file: bytes) -> Iterator:
     left, right = Bytes(bytes_file), Pieces(pieces_file)
     surface_a, surface_b = left.surface, right.surface
     size_a, size_b = (np.array([len(s) for s in x], np.int64) for x in (surface_a, surface_b))
-    words = [str(i) for i in range(max(len(size_a), len(size_b)))]
+    table = written(max(len(size_a), len(size_b)))
     part, row = TaskContext.get().partitionId() << 40, 0
     for whole in batches:
         for at in range(0, whole.num_rows, TEXTS):
             batch = whole.slice(at, TEXTS)
-            out = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
+            all_a, all_b = [], []
             for text, b in zip(texts, right.encode(texts), strict=True):
                 spaced = " " + text if text else ""
                 a, spelt = left.encode(spaced), spaced.encode()
-                if (b"".join([surface_a[i] for i in a]) != spelt
-                        or b"".join([surface_b[i] for i in b]) != spelt):
+                if (b"".join(map(surface_a.__getitem__, a)) != spelt
+                        or b"".join(map(surface_b.__getitem__, b)) != spelt):
                     a, b = [], []
-                ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-                found, la, lb = align(np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b]))
-                pairs, counts = np.unique(ids_a[la] * PAIR + ids_b[lb], return_counts=True)
-                out.append((part + row, len(a), len(b), *_digest(
-                    found, [words[i] for i in a], [words[i] for i in b]), len(la), pairs, counts))
+                all_a.append(np.array(a, np.int64))
+                all_b.append(np.array(b, np.int64))
+            # texts end alike on both sides, so one after the other they are aligned as apart
+            ids_a, ids_b = np.concatenate(all_a), np.concatenate(all_b)
+            ends_a, ends_b = np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])
+            _, la, lb = align(ends_a, ends_b)
+            met = ends_a[la] == ends_b[lb]
+            last_a, last_b = np.zeros(len(ids_a), bool), np.zeros(len(ids_b), bool)
+            last_a[la[met]], last_b[lb[met]] = True, True
+            marked = groups_of(ids_a, ids_b, last_a, last_b, table)
+            upto_a, upto_b = (np.r_[0, np.cumsum([len(x) for x in xs])] for xs in (all_a, all_b))
+            order = np.argsort(la, kind="stable")
+            linked, cut = (ids_a[la] * PAIR + ids_b[lb])[order], np.searchsorted(la[order], upto_a)
+            upto, out = upto_a + upto_b, []
+            for k in range(len(texts)):
+                pairs, counts = np.unique(linked[cut[k]:cut[k + 1]], return_counts=True)
+                groups = marked[upto[k]:upto[k + 1]].tobytes().replace(b"\0", b"")[:-1]
+                out.append((part + row, len(all_a[k]), len(all_b[k]),
+                            int(last_a[upto_a[k]:upto_a[k + 1]].sum()),
+                            sha256(groups).hexdigest() if groups else "",
+                            int(cut[k + 1] - cut[k]), pairs, counts))
                 row += 1
             rows, n_a, n_b, n_groups, digests, n_links, pairs, counts = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(

@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -261,6 +263,27 @@ def test_alignment(spark, docs, rows):
             for r in counted.collect()} == counts
 
 
+def test_texts_are_aligned_as_one(monkeypatch):
+    """The marks of many texts are written and hashed at once, empty and refused ones between."""
+    task = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 2))
+    monkeypatch.setattr(align, "TaskContext", task)
+    calls, own = [], align.align
+    monkeypatch.setattr(align, "align", lambda a, b: calls.append(len(a)) or own(a, b))
+    texts = awkward_texts()
+    with open(BYTES, encoding="utf-8") as f, open(PIECES, "rb") as g:
+        files = {"bytes_file": f.read(), "pieces_file": g.read()}
+    found = []
+    for size in (1, 64):
+        monkeypatch.setattr(align, "TEXTS", size)
+        batch = pa.RecordBatch.from_pydict(
+            {"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+        calls.clear()
+        found.append([r for b in align._align_batches(iter([batch]), **files)
+                      for r in b.to_pylist()])
+        assert len(calls) == -(-len(texts) // size)
+    assert found[0] == found[1] and len(found[0]) == len(texts)
+
+
 def test_alignment_of_nothing(spark):
     aligned = align.compare(spark.createDataFrame([], DOCS), BYTES, PIECES)
     assert align.score(aligned, align.pair_counts(aligned)).count() == 0

@@ -6,10 +6,14 @@ A gated recurrent unit reads a document word by word, and each word's probabilit
 class given the state, times that of the word within the class: a softmax over the state for
 listed words, the smoothed share of the class's counts for others, unseen words included.
 
-The weights are learnt by back-propagation through windows of a bounded sample of documents, the
-`sample` first ones by a hash of their id with at most `longest` words; counts, classes and shares
-come from all training documents, scores from every word of every document.  Many documents are
-read side by side, one per lane, the state passing from window to window until a document ends.
+Counts, classes, shares and weights come from every word of all training documents, scores from
+every word of every document.  The weights are learnt by back-propagation through windows: they
+start from a few epochs over a sample, the `sample` first documents by a hash of their id with at
+most `longest` words; from there each task goes on over all training documents it reads, and the
+tasks' weights are averaged by their tokens.  Many documents are read side by side, one per lane,
+the state passing from window to window until a document ends, in learning also after `longest`
+words.  What a task learns depends on the rows it reads: another split of the input gives slightly
+other scores.
 
 Words with at least a certain count, at most `listed` of them, are sent to the tasks with their
 counts; the others' counts are joined to the documents that hold them.
@@ -33,6 +37,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +53,8 @@ SAMPLE, LONGEST = 600, 5000
 LANES, STEPS = 512, 64
 CHUNK = 3_000_000      # tokens that a task reads side by side
 _FIT_LANES, _FIT_STEPS, _EPOCHS, _RATE = 32, 16, 3, 0.01
+_ONWARD, _SLOWER = 0.003, 50    # rate of the pass over all documents, windows until it falls
+_MERGED = 16           # tasks that add up weights
 _FLUSH = 400_000       # different words a task counts before it passes them on
 PSEUDO = 0.1
 
@@ -221,6 +228,7 @@ class Network:
             dh[at] += e @ p["o"][a:b]
         dh = dh.reshape(steps, lanes, n)
         back = np.zeros((lanes, n), np.float32)
+        dx = np.empty((steps, lanes, 3 * n), dh.dtype)
         for t in range(steps - 1, -1, -1):
             gates, new, inner = kept[t]
             z, r = gates[:, :n], gates[:, n:]
@@ -230,8 +238,11 @@ class Network:
             dr = d_new * inner * r * (1 - r)
             da = np.concatenate([dz, dr, d_new * r], axis=1)
             g["u"] += before[t].T @ da
-            np.add.at(g["x"], inputs[t], np.concatenate([dz, dr, d_new], axis=1))
+            dx[t] = np.concatenate([dz, dr, d_new], axis=1)
             back = (total * z + da @ p["u"].T) * ~reset[t][:, None]
+        order = np.argsort(inputs.ravel(), kind="stable")
+        seen, at = np.unique(inputs.ravel()[order], return_index=True)
+        g["x"][seen] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], at, axis=0)
         return g, h
 
 
@@ -265,26 +276,47 @@ def _laid_out(docs: list[np.ndarray], lanes: int, start: int):
     return inputs, targets, doc, first, np.array(size)
 
 
+class Adam:
+    """Descent with momentum; gradients longer than 1 are shortened to that."""
+
+    def __init__(self, net: Network):
+        self.net, self.done = net, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
+
+    def descend(self, g: dict, rate: float) -> None:
+        self.done += 1
+        m, v, done = self.m, self.v, self.done
+        size = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
+        for k, x in g.items():
+            x *= min(1.0, 1.0 / (size + 1e-9))
+            m[k] += 0.1 * (x - m[k])
+            v[k] += 0.01 * (x * x - v[k])
+            self.net.p[k] -= (rate / (1 - 0.9 ** done)) * m[k] / (
+                np.sqrt(v[k] / (1 - 0.99 ** done)) + 1e-8)
+
+
 def fit(net: Network, docs: list[np.ndarray]) -> None:
     """Truncated back-propagation through time with Adam; the state passes between windows."""
     inputs, targets, doc, first, _ = _laid_out(docs, _FIT_LANES, net.ids)
-    m = {k: np.zeros_like(v) for k, v in net.p.items()}
-    v = {k: np.zeros_like(x) for k, x in net.p.items()}
-    done, planned = 0, max(1, _EPOCHS * -(-len(inputs) // _FIT_STEPS))
+    adam, planned = Adam(net), max(1, _EPOCHS * -(-len(inputs) // _FIT_STEPS))
     for _ in range(_EPOCHS):
         h = np.zeros((inputs.shape[1], net.hidden), np.float32)
         for t in range(0, len(inputs), _FIT_STEPS):
             at = slice(t, t + _FIT_STEPS)
             g, h = net.gradients(inputs[at], targets[at], doc[at] >= 0, first[at], h)
-            done += 1
-            rate = _RATE * (1 - 0.9 * done / planned)
-            size = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            for k, x in g.items():
-                x *= min(1.0, 1.0 / (size + 1e-9))
-                m[k] += 0.1 * (x - m[k])
-                v[k] += 0.01 * (x * x - v[k])
-                net.p[k] -= (rate / (1 - 0.9 ** done)) * m[k] / (
-                    np.sqrt(v[k] / (1 - 0.99 ** done)) + 1e-8)
+            adam.descend(g, _RATE * (1 - 0.9 * (adam.done + 1) / planned))
+
+
+def fit_onward(adam: Adam, docs: list[np.ndarray]) -> None:
+    """One pass over docs, many lanes wide; lanes that have ended are left out."""
+    net = adam.net
+    inputs, targets, doc, first, size = _laid_out(docs, LANES, net.ids)
+    h = np.zeros((inputs.shape[1], net.hidden), np.float32)
+    for t in range(0, len(inputs), _FIT_STEPS):
+        live, at = int((size > t).sum()), slice(t, t + _FIT_STEPS)
+        g, h = net.gradients(inputs[at, :live], targets[at, :live], doc[at, :live] >= 0,
+                             first[at, :live], h[:live])
+        adam.descend(g, _ONWARD / math.sqrt(1 + adam.done / _SLOWER))
 
 
 def network_scores(net: Network, docs: list[np.ndarray]) -> np.ndarray:
@@ -321,6 +353,59 @@ def _sample_batches(batches: Iterator, voc: Vocabulary, longest: int) -> Iterato
             [pa.array([c.tobytes() for c in coded], pa.binary())], names=["ids"])
 
 
+def _fit_batches(batches: Iterator, voc: Vocabulary, net: Network, longest: int) -> Iterator:
+    """The tokens a task read and its weights times these, after a pass over all its rows."""
+    adam, held, size, read = Adam(net), [], 0, 0
+    for b in batches:
+        for data in b.column(0).to_pylist():
+            ids = encode(tokens(data), voc)[1]
+            held += [ids[i:i + longest] for i in range(0, len(ids), longest)]
+            size += len(ids)
+            if size > CHUNK:
+                fit_onward(adam, held)
+                read, size, held = read + size, 0, []
+    if held:
+        fit_onward(adam, held)
+    read += size
+    if read:
+        yield _weights(read, {k: x.astype(np.float64) * read for k, x in net.p.items()},
+                       TaskContext.get().partitionId())
+
+
+def _weights(read: int, sums: dict, part: int) -> pa.RecordBatch:
+    flat = np.concatenate([x.ravel() for x in sums.values()])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part], pa.int64()), pa.array([read], pa.int64()),
+         pa.array([flat.tobytes()], pa.binary())], names=["part", "read", "sums"])
+
+
+def _add_batches(batches: Iterator) -> Iterator:
+    read, total = 0, None
+    for b in batches:
+        for n, data in zip(b.column(1), b.column(2), strict=True):
+            own = np.frombuffer(data.as_py())
+            read, total = read + n.as_py(), own if total is None else total + own
+    if read:
+        yield _weights(read, {"all": total}, 0)
+
+
+def fit_all(rows: DataFrame, voc: Vocabulary, net: Network, longest: int) -> int:
+    """net's weights after every row of rows (t) was learnt from; returns the tokens read."""
+    schema = "part long, read long, sums binary"
+    learnt = stored(rows.mapInArrow(partial(_fit_batches, voc=voc, net=net, longest=longest),
+                                    schema), "weights")
+    # as many rows as tasks; always added in the same order
+    got = learnt.repartition(_MERGED, "part").sortWithinPartitions("part").mapInArrow(
+        _add_batches, schema).collect()
+    read = sum(r["read"] for r in got)
+    if read:
+        flat, at = sum(np.frombuffer(r["sums"]) for r in got) / read, 0
+        for k, x in net.p.items():
+            net.p[k] = flat[at:at + x.size].reshape(x.shape).astype(np.float32)
+            at += x.size
+    return read
+
+
 class Model(NamedTuple):
     voc: Vocabulary
     net: Network
@@ -329,7 +414,7 @@ class Model(NamedTuple):
 
 def train(docs: DataFrame, training: Column, sample: int = SAMPLE, longest: int = LONGEST,
           listed: int = LISTED) -> Model:
-    """Counts over all rows of `training`, weights from a sample of them."""
+    """Counts and weights from all rows of `training`; the weights start from a sample's."""
     small_batches(docs.sparkSession)
     rows = docs.where(training)
     counts = stored(word_counts(rows), "word_counts")
@@ -344,6 +429,7 @@ def train(docs: DataFrame, training: Column, sample: int = SAMPLE, longest: int
         rng = np.random.default_rng(1)
         rng.shuffle(coded)
         fit(net, [np.frombuffer(c, np.int32) for c in coded])
+    fit_all(rows.select(utf8().alias("t")), voc, net, longest)
     return Model(voc, net, counts)
 
 

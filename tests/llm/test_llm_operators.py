@@ -341,6 +341,24 @@ def test_language_model(docs, rows, nothing):
     assert all(math.isfinite(r["score"]) for r in language.score(docs, empty).collect())
 
 
+def test_every_training_document_is_learnt_from(spark):
+    """A sequence that only documents beyond the sample hold, or only long ones, is foreseen."""
+    rng = random.Random(4)
+    plain = [" ".join(rng.choices("abcdefgh", k=80)) for _ in range(40)]
+    rare = [" ".join(["a b c d"] * 20)] * 400
+    for more, longest in ((rare, 5000), ([" ".join(["a b c d"] * 8000)], 100)):
+        rows = list(enumerate(plain + more))
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+        # the sample: none of the further documents
+        small = language.train(docs.where(f"doc_id < {len(plain)}"), F.lit(True), longest=longest)
+        model = language.train(docs, F.lit(True), sample=1, longest=longest)
+        assert language.fit_all(docs.select(F.encode("text", "utf-8").alias("t")), model.voc,
+                                model.net, longest) == sum(len(t.split()) + 1 for _, t in rows)
+        ask = spark.createDataFrame([(0, rare[0])], docs.schema)
+        learnt, other = (language.score(ask, m).first()["score"] for m in (model, small))
+        assert learnt > other + 5
+
+
 def test_probabilities_add_up(docs):
     model = language.train(docs, F.lit(True), sample=20, listed=40)
     voc, net = model.voc, model.net

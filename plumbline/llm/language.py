@@ -29,14 +29,14 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
-from itertools import repeat
+from itertools import pairwise, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,6 +56,8 @@ _FIT_LANES, _FIT_STEPS, _EPOCHS, _RATE = 32, 16, 3, 0.01
 _ONWARD, _SLOWER = 0.003, 50    # rate of the pass over all documents, windows until it falls
 _MERGED = 16           # tasks that add up weights
 _FLUSH = 400_000       # different words a task counts before it passes them on
+_ROWS = 100_000        # of them in a batch
+_STRETCH = 1 << 23     # bytes of text that a task cuts into words at once
 PSEUDO = 0.1
 
 
@@ -69,22 +71,63 @@ def spelling(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % SPELLINGS
 
 
+def by_ending() -> np.ndarray:
+    """The spelling of every two last bytes, then of every only one."""
+    two = [bytes([a, b]) for a in range(256) for b in range(256)]
+    return np.array([spelling(w) for w in [*two, *(bytes([a]) for a in range(256))]], np.int32)
+
+
+def spellings(words: pa.Array, known: np.ndarray) -> np.ndarray:
+    """`spelling` of each by what `by_ending` gave; no word is empty."""
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int32)[words.offset:words.offset + len(words) + 1]
+    data, last = np.frombuffer(data or b"", np.uint8), ends[1:] - 1
+    before = np.where(np.diff(ends) > 1, data[last - 1].astype(np.int32), 256)
+    return known[np.where(before < 256, before * 256, 65536) + data[last]]
+
+
 # --- counts ----------------------------------------------------------------------------------
 
+def words_of(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """(first row, words of each row, the words) of stretches of some _STRETCH bytes; all rows'."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = [0, *np.flatnonzero(np.diff(upto // _STRETCH)) + 1, len(texts)]
+    for begin, end in pairwise(cuts):
+        if begin == end:
+            continue
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(texts[begin:end].view(pa.string())))
+        n = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = cut.flatten()
+        real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+        if not real.all():  # white space at an end of a text leaves an empty word
+            n = np.bincount(np.repeat(np.arange(len(n)), n)[real], minlength=len(n))
+            words = words.filter(pa.array(real))
+        yield begin, n, words.view(pa.binary())
+
+
 def _count_batches(batches: Iterator) -> Iterator:
-    counts: Counter = Counter()
+    held: list[pa.Table] = []
+    size = ends = 0
 
-    def passed_on():
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())],
-            names=["word", "n"])
+    def added_up() -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate(
+            [("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
     for b in batches:
-        for data in b.column(0).to_pylist():
-            counts.update(tokens(data))
-            if len(counts) > _FLUSH:
-                yield passed_on()
-                counts.clear()
-    yield passed_on()
+        for _, n, words in words_of(b.column(0)):
+            found = words.value_counts()
+            held.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+            size, ends = size + len(found), ends + len(n)
+            if size > 4 * _FLUSH:
+                held = [added_up()]
+                size = held[0].num_rows
+            if size > _FLUSH and len(held) == 1:
+                yield from held[0].to_batches(max_chunksize=_ROWS)
+                held, size = [], 0
+    if held:
+        yield from added_up().to_batches(max_chunksize=_ROWS)
+    if ends:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["word", "n"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -143,6 +186,33 @@ def encode(words: list[bytes], voc: Vocabulary) -> tuple[np.ndarray, np.ndarray,
     return ranks, ids, [words[i] for i in np.flatnonzero(ranks < 0)]
 
 
+class Coder:
+    """Encodes whole columns of texts as `encode` does a text's words."""
+
+    def __init__(self, voc: Vocabulary):
+        self.listed = pa.array(list(voc.rank), pa.binary())
+        self.end, self.short = voc.rank[END], voc.short
+        self.known = by_ending()
+        self.place = np.r_[np.arange(voc.short), voc.short + spellings(
+            self.listed[voc.short:], self.known)].astype(np.int32)
+
+    def coded(self, texts: pa.Array) -> Iterator[tuple]:
+        """Per stretch: first row, each row's first token, ranks, model ids, the rows and words of
+        tokens not listed."""
+        for begin, n, words in words_of(texts):
+            found = pc.index_in(words, value_set=self.listed).fill_null(-1).to_numpy()
+            places = self.place[found]
+            other = np.flatnonzero(found < 0)
+            unlisted = words.take(pa.array(other))
+            places[other] = self.short + spellings(unlisted, self.known)
+            rows, last = np.repeat(np.arange(len(n)), n), np.cumsum(n + 1) - 1
+            at = rows + np.arange(len(rows))
+            ranks, ids = (np.empty(len(rows) + len(n), np.int32) for _ in range(2))
+            ranks[at], ids[at] = found, places
+            ranks[last], ids[last] = self.end, self.place[self.end]
+            yield begin, last - n, ranks, ids, rows[other], unlisted
+
+
 # --- the network -----------------------------------------------------------------------------
 
 class Network:
@@ -165,85 +235,142 @@ class Network:
             "ob": np.log(weight[:voc.short] / mass[voc.class_of])}
         self.p = {k: v.astype(np.float32) for k, v in made.items()}
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def advance(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next state and what its slope needs; a column per lane."""
         n = self.hidden
-        a = h @ self.p["u"]
-        gates = x[:, :2 * n] + a[:, :2 * n]
-        gates = 0.5 * np.tanh(0.5 * gates) + 0.5
-        new = np.tanh(x[:, 2 * n:] + gates[:, n:] * a[:, 2 * n:])
-        return new + gates[:, :n] * (h - new), gates, new, a[:, 2 * n:]
-
-    def by_class(self, ids: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(first, last + 1, rows) of each class of listed words that occurs."""
-        order = np.argsort(self.class_of[ids], kind="stable")
-        cut = np.searchsorted(self.class_of[ids[order]], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            if cut[k] < cut[k + 1]:
-                yield self.begin[k], self.begin[k + 1], order[cut[k]:cut[k + 1]]
+        a = self.p["u"].T @ h
+        gates, inner = a[:2 * n], a[2 * n:]
+        gates += x[:2 * n]
+        gates *= 0.5
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        new = gates[n:] * inner
+        new += x[2 * n:]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= gates[:n]
+        out += new
+        return out, gates, new, inner
+
+    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The same, a row per lane."""
+        return tuple(y.T for y in self.advance(x.T, h.T))
+
+    def by_class(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of ids in the order of their classes, and where each class begins."""
+        own = self.class_of[ids].astype(np.int16)  # short integers are sorted by their digits
+        return np.argsort(own, kind="stable"), np.r_[0, np.cumsum(
+            np.bincount(own, minlength=CLASSES + SPELLINGS))]
+
+    def outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the classes and of the listed words, a row each, the biases behind them."""
+        p = self.p
+        return np.c_[p["c"].T, p["cb"]], np.c_[p["o"], p["ob"]]
 
     def log_probs(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """ln P(class | h), and for listed words of the word within it, for each row."""
-        logits = h @ self.p["c"] + self.p["cb"]
-        top = logits.max(axis=1)
-        rows = np.arange(len(ids))
-        out = (logits[rows, self.class_of[ids]] - top).astype(np.float64)
-        out -= np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        for a, b, at in self.by_class(ids):
-            if b - a > 1:
-                inner = h[at] @ self.p["o"][a:b].T + self.p["ob"][a:b]
-                top = inner.max(axis=1)
-                out[at] += inner[np.arange(len(at)), ids[at] - a] - top
-                out[at] -= np.log(np.exp(inner - top[:, None]).sum(axis=1))
+        return self.log_prob_columns(np.r_[h.T, np.ones((1, len(h)), h.dtype)], ids)
+
+    def log_prob_columns(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The same for each column, below which there is a one."""
+        order, cut = self.by_class(ids)
+        c, o = self.outputs()
+        h, ids = h.take(order, axis=1, mode="clip"), ids[order]
+        logits = _logits(c, h)
+        got = np.concatenate([logits[k, s:e] for k, (s, e) in enumerate(pairwise(cut))])
+        got -= np.log(np.exp(logits, out=logits).sum(axis=0))
+        for k, (s, e) in enumerate(pairwise(cut[:CLASSES + 1])):
+            a, b = self.begin[k], self.begin[k + 1]
+            if s < e and b - a > 1:
+                inner = _logits(o[a:b], h[:, s:e])
+                got[s:e] += inner[ids[s:e] - a, np.arange(e - s)]
+                got[s:e] -= np.log(np.exp(inner, out=inner).sum(axis=0))
+        out = np.empty(len(ids))
+        out[order] = got
         return out
 
     def gradients(self, inputs, targets, real, reset, h) -> tuple[dict, np.ndarray]:
         """One window, (steps, lanes) each; real: not beyond a lane's end.  -> gradients, state."""
         steps, lanes = inputs.shape
         n, p = self.hidden, self.p
-        before, kept, hs = [], [], np.empty((steps, lanes, n), np.float32)
+        kind = p["u"].dtype
+        x = p["x"].T.take(inputs, axis=1, mode="clip")
+        before, hs = np.empty((n, steps, lanes), kind), np.ones((n + 1, steps, lanes), kind)
+        kept, fresh = [], reset.any(axis=1)
+        h = h.T.astype(kind)
         for t in range(steps):
-            h = np.where(reset[t][:, None], np.float32(0), h)
-            before.append(h)
-            h, *rest = self.step(p["x"][inputs[t]], h)
+            if fresh[t]:
+                h = h * ~reset[t]
+            before[:, t] = h
+            h, *rest = self.advance(x[:, t], h)
             kept.append(rest)
-            hs[t] = h
-        flat, ids = hs.reshape(-1, n), targets.ravel()
-        rows = np.arange(len(ids))
-        logits = flat @ p["c"] + p["cb"]
-        d = np.exp(logits - logits.max(axis=1)[:, None])
-        d /= d.sum(axis=1)[:, None]
-        d[rows, self.class_of[ids]] -= 1
-        scale = real.ravel().astype(np.float32)[:, None] / max(1, real.sum())
-        d *= scale
+            hs[:n, t] = h
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["c"], g["cb"] = flat.T @ d, d.sum(axis=0)
-        dh = d @ p["c"].T
-        for a, b, at in self.by_class(ids):
-            inner = flat[at] @ p["o"][a:b].T + p["ob"][a:b]
-            e = np.exp(inner - inner.max(axis=1)[:, None])
-            e /= e.sum(axis=1)[:, None]
-            e[np.arange(len(at)), ids[at] - a] -= 1
-            e *= scale[at]
-            g["o"][a:b], g["ob"][a:b] = e.T @ flat[at], e.sum(axis=0)
-            dh[at] += e @ p["o"][a:b]
-        dh = dh.reshape(steps, lanes, n)
-        back = np.zeros((lanes, n), np.float32)
-        dx = np.empty((steps, lanes, 3 * n), dh.dtype)
+        dh = self._output_gradients(hs.reshape(n + 1, -1), targets.ravel(), real.ravel(), g).reshape(
+            n, steps, lanes)
+        back = np.zeros((n, lanes), kind)
+        da, d_new = np.empty((3 * n, steps, lanes), kind), np.empty((n, steps, lanes), kind)
         for t in range(steps - 1, -1, -1):
             gates, new, inner = kept[t]
-            z, r = gates[:, :n], gates[:, n:]
-            total = dh[t] + back
-            d_new = total * (1 - z) * (1 - new * new)
-            dz = total * (before[t] - new) * z * (1 - z)
-            dr = d_new * inner * r * (1 - r)
-            da = np.concatenate([dz, dr, d_new * r], axis=1)
-            g["u"] += before[t].T @ da
-            dx[t] = np.concatenate([dz, dr, d_new], axis=1)
-            back = (total * z + da @ p["u"].T) * ~reset[t][:, None]
-        order = np.argsort(inputs.ravel(), kind="stable")
-        seen, at = np.unique(inputs.ravel()[order], return_index=True)
-        g["x"][seen] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], at, axis=0)
-        return g, h
+            slope = gates * (1 - gates)
+            z, r = gates[:n], gates[n:]
+            total = dh[:, t] + back
+            own, d = da[:, t], total * (1 - z)
+            d *= 1 - new * new
+            d_new[:, t] = d
+            np.multiply(total, before[:, t] - new, out=own[:n])
+            np.multiply(d, inner, out=own[n:2 * n])
+            own[:2 * n] *= slope
+            np.multiply(d, r, out=own[2 * n:])
+            back = p["u"] @ own
+            total *= z
+            back += total
+            if fresh[t]:
+                back *= ~reset[t]
+        g["u"] = before.reshape(n, -1) @ da.reshape(3 * n, -1).T
+        da[2 * n:] = d_new
+        flat = inputs.ravel().astype(np.min_scalar_type(self.ids))
+        order = np.argsort(flat, kind="stable")
+        seen, at = np.unique(flat[order], return_index=True)
+        dx = da.reshape(3 * n, -1).take(order, axis=1, mode="clip")
+        g["x"][seen] = np.add.reduceat(dx, at, axis=1).T
+        return g, h.T
+
+    def _output_gradients(self, h, ids, real, g: dict) -> np.ndarray:
+        """The gradients of the output's weights, into g; returns that of h, a column per word."""
+        n, p, (order, cut) = self.hidden, self.p, self.by_class(ids)
+        c, o = self.outputs()
+        h, ids = h.take(order, axis=1, mode="clip"), ids[order]
+        scale = real[order].astype(h.dtype) / max(1, real.sum())
+        d = np.exp(_logits(c, h))
+        d *= scale / d.sum(axis=0)
+        for k, (s, e) in enumerate(pairwise(cut)):
+            d[k, s:e] -= scale[s:e]
+        slopes = d @ h.T
+        g["c"], g["cb"] = slopes[:, :n].T, slopes[:, n]
+        dh, slopes = p["c"] @ d, np.zeros_like(o)
+        for k, (s, e) in enumerate(pairwise(cut[:CLASSES + 1])):
+            a, b = self.begin[k], self.begin[k + 1]
+            if s < e and b - a > 1:
+                own, part = h[:, s:e], scale[s:e]
+                d = _logits(o[a:b], own)
+                np.exp(d, out=d)
+                d *= part / d.sum(axis=0)
+                d[ids[s:e] - a, np.arange(e - s)] -= part
+                np.matmul(d, own.T, out=slopes[a:b])
+                dh[:, s:e] += p["o"][a:b].T @ d
+        g["o"], g["ob"] = slopes[:, :n], slopes[:, n]
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return dh.take(back, axis=1, mode="clip")
+
+
+def _logits(w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """w @ h, less each column's greatest."""
+    out = w @ h
+    out -= out.max(axis=0)
+    return out
 
 
 def lanes_of(lengths: list[int], lanes: int) -> list[list[int]]:
@@ -280,19 +407,28 @@ class Adam:
     """Descent with momentum; gradients longer than 1 are shortened to that."""
 
     def __init__(self, net: Network):
-        self.net, self.done = net, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
+        self.done, self.flat = 0, np.concatenate([x.ravel() for x in net.p.values()])
+        self.net, at = net, 0
+        for k, x in net.p.items():  # the weights become views of one vector
+            net.p[k], at = self.flat[at:at + x.size].reshape(x.shape), at + x.size
+        self.m, self.v = np.zeros((2, len(self.flat)), self.flat.dtype)
 
     def descend(self, g: dict, rate: float) -> None:
         self.done += 1
         m, v, done = self.m, self.v, self.done
-        size = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        for k, x in g.items():
-            x *= min(1.0, 1.0 / (size + 1e-9))
-            m[k] += 0.1 * (x - m[k])
-            v[k] += 0.01 * (x * x - v[k])
-            self.net.p[k] -= (rate / (1 - 0.9 ** done)) * m[k] / (
-                np.sqrt(v[k] / (1 - 0.99 ** done)) + 1e-8)
+        x = np.concatenate([g[k].ravel() for k in self.net.p])
+        x *= min(1.0, 1.0 / (math.sqrt(float(x @ x)) + 1e-9))
+        m += 0.1 * (x - m)
+        x *= x
+        x -= v
+        x *= 0.01
+        v += x
+        np.sqrt(v, out=x)
+        x *= 1 / math.sqrt(1 - 0.99 ** done)
+        x += 1e-8
+        np.divide(m, x, out=x)
+        x *= rate / (1 - 0.9 ** done)
+        self.flat -= x
 
 
 def fit(net: Network, docs: list[np.ndarray]) -> None:
@@ -323,23 +459,24 @@ def network_scores(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     """ln P of every document's classes and listed words, every window of it read in order."""
     inputs, targets, doc, first, size = _laid_out(docs, LANES, net.ids)
     out = np.zeros(len(docs))
-    h = np.zeros((inputs.shape[1], net.hidden), np.float32)
+    h = np.zeros((net.hidden, inputs.shape[1]), np.float32)
+    rows = net.p["x"].T.copy()
     for t0 in range(0, len(inputs), STEPS):
         live = int((size > t0).sum())
-        h, part = h[:live], slice(t0, t0 + STEPS)
-        steps = len(inputs[part])
-        hs = np.empty((steps, live, net.hidden), np.float32)
+        h, part = h[:, :live], slice(t0, t0 + STEPS)
+        x = rows.take(inputs[part, :live], axis=1, mode="clip")
+        hs = np.ones((net.hidden + 1, *x.shape[1:]), np.float32)
         starts = first[part, :live]
         fresh = starts.any(axis=1)
-        for t in range(steps):
+        for t in range(len(starts)):
             if fresh[t]:
-                h = np.where(starts[t][:, None], np.float32(0), h)
-            h = net.step(net.p["x"][inputs[t0 + t, :live]], h)[0]
-            hs[t] = h
+                h = h * ~starts[t]
+            h = net.advance(x[:, t], h)[0]
+            hs[:-1, t] = h
         own = doc[part, :live].ravel()
+        got = net.log_prob_columns(hs.reshape(net.hidden + 1, -1), targets[part, :live].ravel())
         real = own >= 0
-        got = net.log_probs(hs.reshape(-1, net.hidden)[real], targets[part, :live].ravel()[real])
-        out += np.bincount(own[real], got, len(docs))
+        out += np.bincount(own[real], got[real], len(docs))
     return out
 
 
@@ -355,15 +492,15 @@ def _sample_batches(batches: Iterator, voc: Vocabulary, longest: int) -> Iterato
 
 def _fit_batches(batches: Iterator, voc: Vocabulary, net: Network, longest: int) -> Iterator:
     """The tokens a task read and its weights times these, after a pass over all its rows."""
-    adam, held, size, read = Adam(net), [], 0, 0
+    adam, coder, held, size, read = Adam(net), Coder(voc), [], 0, 0
     for b in batches:
-        for data in b.column(0).to_pylist():
-            ids = encode(tokens(data), voc)[1]
-            held += [ids[i:i + longest] for i in range(0, len(ids), longest)]
-            size += len(ids)
-            if size > CHUNK:
-                fit_onward(adam, held)
-                read, size, held = read + size, 0, []
+        for _, starts, _, ids, *_ in coder.coded(b.column(0)):
+            for s, e in pairwise([*starts.tolist(), len(ids)]):
+                held += [ids[i:min(i + longest, e)] for i in range(s, e, longest)]
+                size += e - s
+                if size > CHUNK:
+                    fit_onward(adam, held)
+                    read, size, held = read + size, 0, []
     if held:
         fit_onward(adam, held)
     read += size
@@ -436,42 +573,50 @@ def train(docs: DataFrame, training: Column, sample: int = SAMPLE, longest: int
 def _score_batches(batches: Iterator, voc: Vocabulary, net: Network) -> Iterator:
     """Per document: tokens, and over its listed words the known ones, sum of log10(c + PSEUDO),
     ln probability; its other words with their counts."""
-    ten = math.log(10)
+    coder, ten = Coder(voc), math.log(10)
     logs = np.log10(voc.count + PSEUDO)
     share = np.log10(voc.spelt[:, 0] + PSEUDO * (voc.spelt[:, 1] + 1))
+    # by rank, the last for words not listed, which the join adds
+    of_count, is_known = np.r_[logs, 0], np.r_[voc.count > 0, False]
+    # a word outside the short list: log10(c + PSEUDO), less its class's total
+    beyond, less = np.r_[logs, 0], np.r_[np.zeros(voc.short), share]
+    beyond[:voc.short] = 0
     held: list = []
 
     def scored():
-        ln = network_scores(net, [x[1] for x in held])
-        cols = list(zip(*[x[2:] for x in held], strict=True))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in held]), *[pa.array(c) for c in cols[:3]],
-             pa.array(ln / ten + np.array(cols[3])), pa.array(cols[4], pa.list_(pa.binary())),
-             pa.array(cols[5], pa.list_(pa.int32()))],
-            schema=schema)
-    size, schema = 0, None
+        ln = network_scores(net, [d for x in held for d in np.split(x[1], x[2][1:])]) / ten
+        for (doc_id, _, starts, more, *cols) in held:
+            own, ln = ln[:len(starts)], ln[len(starts):]
+            yield pa.RecordBatch.from_arrays([doc_id, *cols[:3], pa.array(own + more), *cols[3:]],
+                                             names=names)
+    names = ["doc_id", "n_tokens", "known", "logs", "model", "words", "times"]
+    size = 0
     for b in batches:
-        schema = schema or pa.schema([
-            ("doc_id", b.column(0).type), ("n_tokens", pa.int64()), ("known", pa.int64()),
-            ("logs", pa.float64()), ("model", pa.float64()), ("words", pa.list_(pa.binary())),
-            ("times", pa.list_(pa.int32()))])
-        for doc_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ranks, ids, other = encode(tokens(data), voc)
-            times = Counter(other)
-            listed = ranks[ranks >= 0]
-            # a word outside the short list: log10(c + PSEUDO), less its class's total
-            beyond = logs[listed[listed >= voc.short]].sum() - share[ids[ids >= voc.short]
-                                                                   - voc.short].sum()
-            held.append((doc_id, ids, len(ids), int((voc.count[listed] > 0).sum()),
-                         float(logs[listed].sum()), float(beyond), list(times),
-                         list(times.values())))
+        for begin, starts, ranks, ids, rows, words in coder.coded(b.column(1)):
+            if held and size + len(ids) > CHUNK:
+                yield from scored()
+                held, size = [], 0
             size += len(ids)
-            if size > CHUNK:
-                yield scored()
-                held.clear()
-                size = 0
+            sums = [np.add.reduceat(x, starts) for x in (
+                beyond[ranks] - less[ids], is_known[ranks].astype(np.int64), of_count[ranks])]
+            held.append((b.column(0)[begin:begin + len(starts)], ids, starts, sums[0],
+                         pa.array(np.diff(starts, append=len(ids))), *map(pa.array, sums[1:]),
+                         *_by_row(rows, words, len(starts))))
     if held:
-        yield scored()
+        yield from scored()
+
+
+def _by_row(rows: np.ndarray, words: pa.Array, n: int) -> tuple[pa.Array, pa.Array]:
+    """For each of n rows its different words and how often it has them."""
+    got = pa.table({"row": rows, "word": words}).group_by(
+        ["row", "word"], use_threads=False).aggregate([([], "count_all")])
+    own = got["row"].to_numpy()
+    order = np.argsort(own, kind="stable")
+    cuts = pa.array(np.searchsorted(own[order], np.arange(n + 1)).astype(np.int32))
+    got = got.take(pa.array(order)).combine_chunks()
+    return tuple(pa.ListArray.from_arrays(cuts, pa.concat_arrays([*got[c].chunks, empty]))
+                 for c, empty in (("word", pa.array([], pa.binary())),
+                                  ("count_all", pa.array([], pa.int64()))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -482,7 +627,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = stored(docs.select("doc_id", utf8().alias("t")).mapInArrow(
         partial(_score_batches, voc=voc, net=model.net),
         f"doc_id {kind}, n_tokens long, known long, logs double, model double, "
-        "words array<binary>, times array<int>").withColumn(
+        "words array<binary>, times array<long>").withColumn(
         "row", F.monotonically_increasing_id()), "scored")
     other = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select(
         "row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))

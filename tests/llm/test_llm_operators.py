@@ -4,14 +4,19 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -382,6 +387,80 @@ def test_language_model_beats_counts(spark, sf):
     assert r[0] > r[1]
 
 
+def test_columns_are_encoded_as_words_are(docs, rows, monkeypatch):
+    voc = language.train(docs, F.lit(True), sample=1, listed=40).voc
+    odd = [" lead", "trail\t\n", "a  b\x0b\x0cC\rÉ\u00a0É", "\x1cx \x85", "Z", "zz z", "\n"]
+    texts = [b"cut", *((t or "").encode() for _, t, *_ in rows), *(t.encode() for t in odd)]
+    for stretch in (1, 100, 1 << 23):
+        monkeypatch.setattr(language, "_STRETCH", stretch)
+        coder, got, place = language.Coder(voc), [], 0
+        for begin, starts, ranks, ids, of, unlisted in coder.coded(pa.array(texts)[1:]):
+            assert begin == place
+            place += len(starts)
+            for i, (s, e) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
+                got.append((list(ranks[s:e]), list(ids[s:e]),
+                            [w.as_py() for w, r in zip(unlisted, of, strict=True) if r == i]))
+        want = [language.encode(language.tokens(t), voc) for t in texts[1:]]
+        assert got == [(list(r), list(k), other) for r, k, other in want]
+    assert list(coder.coded(pa.array([], pa.binary()))) == []
+
+
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    voc = language.Vocabulary(3, 2, {language.END: 0, b"ab": 1}, np.array([2, 1]), 1,
+                              np.array([0]), np.ones((language.SPELLINGS, 2)))
+    ship = tmp_path / "shipped"
+    ship.write_bytes(cloudpickle.dumps(
+        (partial(language._score_batches, voc=voc, net=language.Network(voc)),
+         partial(language._fit_batches, voc=voc, net=language.Network(voc), longest=5),
+         language._count_batches, pa.record_batch([[7], [b"ab c"]], ["doc_id", "t"]))))
+    code = ("import sys; from pyspark import cloudpickle; "
+            "score, fit, count, b = cloudpickle.load(open(sys.argv[1], 'rb')); "
+            "print(sum(x.num_rows for x in score(iter([b]))), "
+            "sum(x.num_rows for x in count(iter([b.select(['t'])]))))")
+    got = subprocess.run([sys.executable, "-c", code, ship], cwd=tmp_path, capture_output=True)
+    assert got.stdout.split() == [b"1", b"3"], got.stderr
+
+
+def test_word_counts_passed_on_in_parts(monkeypatch):
+    texts = [" ".join(f"w{i % 7} w{i} W{i}" for i in range(k)).encode() for k in (0, 9, 40, 3, 40)]
+    monkeypatch.setattr(language, "_STRETCH", 50)
+    for flush in (2, 30, 10_000):
+        monkeypatch.setattr(language, "_FLUSH", flush)
+        monkeypatch.setattr(language, "_ROWS", 11)
+        got = Counter()
+        for b in language._count_batches(iter([pa.record_batch([pa.array(texts)], ["t"])] * 2)):
+            for w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got[w] += n
+        assert got == Counter(w for t in texts * 2 for w in language.tokens(t))
+    assert list(language._count_batches(iter([]))) == []
+
+
+def test_learning_and_scoring_cost_little(spark):
+    """Processor time of both, in that of cutting the texts and counting their words: 9 and 12 in
+    two runs, 22 and 23 with a row per lane and words encoded one by one."""
+    rng = np.random.default_rng(5)
+    data = [" ".join(f"w{i}" for i in rng.zipf(1.2, 600) % 50_000).encode() for _ in range(1000)]
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(data)],
+                                 "doc_id long, text string")
+    model = language.train(docs, F.lit(True), sample=1)
+    voc, net = model[:2]
+
+    def measured(_):  # in a task, where products take one thread
+        ids = [language.encode(language.tokens(t), voc)[1] for t in data]
+        batch = pa.record_batch([pa.array(range(len(data))), pa.array(data)], ["doc_id", "t"])
+
+        def cost(*work):
+            begun = time.process_time()
+            for w in work:
+                w()
+            return time.process_time() - begun
+        return min(cost(lambda: language.fit_onward(language.Adam(net), ids),
+                        lambda: list(language._score_batches(iter([batch]), voc, net)))
+                   / cost(lambda: [Counter(language.tokens(t)) for t in data]) for _ in range(3))
+    ratio = spark.sparkContext.parallelize([0], 1).map(measured).first()
+    assert ratio < 16, ratio
+
+
 # --- 5 ---------------------------------------------------------------------------------------
 
 def brute_fingerprint(text, k=4):
